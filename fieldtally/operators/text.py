@@ -37,8 +37,11 @@ def word_counts(
 
 def trigram_counts(answers: DataFrame, text: str, compat: bool = False) -> DataFrame:
     """(words, n) of neighbouring word triples; answers under three words add none."""
+    # The words get a column of their own, else the text would be split again
+    # for every triple taken from it.
+    tokens = answers.select(words(clean_answer(text, compat=compat)).alias("tokens"))
     return (
-        answers.select(F.explode(trigrams(words(clean_answer(text, compat=compat)))).alias("words"))
+        tokens.select(F.explode(trigrams("tokens")).alias("words"))
         .groupBy("words")
         .agg(F.count("*").alias("n"))
     )
