@@ -83,10 +83,12 @@ def first_match(rules: Sequence[tuple[Column, str]], otherwise: Column | str | N
     return out.otherwise(F.lit(otherwise) if isinstance(otherwise, str) else otherwise)
 
 
-def band(c: Column | str, bands: Sequence[tuple], otherwise: str | None = None) -> Column:
+def band(
+    c: Column | str, bands: Sequence[tuple], otherwise: str | None = None, fractional: bool = False
+) -> Column:
     """Label of the first band holding the value; NULL (or ``otherwise``) for none."""
     c = _col(c)
-    rules = [(c >= low if high is None else in_range(c, low, high), label) for low, high, label in bands]
+    rules = [(c >= low if high is None else in_range(c, low, high, fractional), label) for low, high, label in bands]
     return first_match(rules, otherwise)
 
 

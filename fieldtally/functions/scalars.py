@@ -18,10 +18,15 @@ def not_in(c: Column | str, values: Sequence) -> Column:
     return ~F.coalesce(_col(c).isin(list(values)), F.lit(False))
 
 
-def in_range(c: Column | str, low: int, high: int) -> Column:
-    """Membership of the whole numbers low..high; 17.5 is in neither 5..17 nor 18..34."""
+def in_range(c: Column | str, low: int, high: int, fractional: bool = False) -> Column:
+    """Membership of the whole numbers low..high.
+
+    For a column that can hold fractions say so: 17.5 is then in neither 5..17
+    nor 18..34. Whole-number columns spare the test.
+    """
     c = _col(c)
-    return c.between(low, high) & (c == F.floor(c))
+    within = c.between(low, high)
+    return within & (c == F.floor(c)) if fractional else within
 
 
 def as_number(c: Column | str, to: str = "double") -> Column:

@@ -46,7 +46,8 @@ def attach_many(one: DataFrame, many: DataFrame, keys: Sequence[str], null_safe:
     without a match. In a left join Spark cannot split the right side, so a key
     holding a large part of a roster would end in one task; as an inner join it
     is split. The second part needs only the distinct keys of the right side,
-    which are reduced before they are shuffled.
+    which are reduced before they are shuffled. Both parts are spread by the
+    key, so a further join on it needs no shuffle of their union.
     """
     matched = attach_matching(one, many, keys, null_safe)
     present = _aligned(many.select(*keys).distinct(), keys)

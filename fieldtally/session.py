@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 SETTINGS = {
     "spark.ui.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
+    # Recording the call site of every column costs a round trip to the JVM each.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # AQE sizes the shuffles, splits skewed join partitions and turns a shuffle
     # join into a broadcast join once the measured size of a side allows it.
     "spark.sql.adaptive.enabled": "true",
@@ -52,9 +54,7 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
-        local = os.path.join(tempfile.gettempdir(), "fieldtally-shared")
-        spark.conf.set("spark.checkpoint.dir", local)
-        return local
+        return os.path.join(tempfile.gettempdir(), "fieldtally-shared")
     raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
