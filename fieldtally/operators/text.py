@@ -12,10 +12,10 @@ from fieldtally.functions.text import EXTRA_STOP_WORDS
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Split rows over all cores if their files come in fewer parts than that.
+    """Spread the rows of a table just read if its files come in fewer parts than there are cores.
 
     Splitting texts is work per character, and a file with one row group is read
-    by one task. With as many parts as cores nothing is moved.
+    by one task. A table of many files is left where it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
@@ -34,7 +34,7 @@ def word_counts(
     text: the same result with one test per word instead of one per occurrence.
     """
     counted = (
-        spread(answers.select(text)).select(F.explode(words(clean_answer(text, compat=compat))).alias("word"))
+        answers.select(F.explode(words(clean_answer(text, compat=compat))).alias("word"))
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
@@ -49,7 +49,7 @@ def trigram_counts(answers: DataFrame, text: str, compat: bool = False) -> DataF
     """(words, n) of neighbouring word triples; answers under three words add none."""
     # The words get a column of their own, else the text would be split again
     # for every triple taken from it.
-    tokens = spread(answers.select(text)).select(words(clean_answer(text, compat=compat)).alias("tokens"))
+    tokens = answers.select(words(clean_answer(text, compat=compat)).alias("tokens"))
     return (
         tokens.select(F.explode(trigrams("tokens")).alias("words"))
         .groupBy("words")

@@ -41,7 +41,8 @@ def banner_report(t: SurveyTables) -> DataFrame:
 def banner_unweighted(t: SurveyTables) -> DataFrame:
     """Unweighted answers with counts, printed."""
     table = banner.banner(analysis_base(t), "q1", DIMENSIONS)
-    return _numbers(table).withColumn("cell", percent_with_count("prop", "n", keep_zero=True)).drop("question")
+    printed = table.withColumn("cell", percent_with_count("prop", "n", keep_zero=True))
+    return _numbers(printed).drop("question")
 
 
 def banner_printed(t: SurveyTables) -> DataFrame:

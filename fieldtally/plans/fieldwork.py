@@ -130,25 +130,29 @@ def polygon_centroids(t: SurveyTables) -> DataFrame:
     return points.select("polygon_id", share6("lon").alias("lon"), share6("lat").alias("lat"))
 
 
+def _texts(t: SurveyTables) -> DataFrame:
+    return text.spread(t.answers.select("answer_id", "answer"))
+
+
 def open_text_clean(t: SurveyTables) -> DataFrame:
     """Answers without filler words, whole texts."""
-    return t.answers.select("answer_id", clean_answer("answer").alias("cleaned"))
+    return _texts(t).select("answer_id", clean_answer("answer").alias("cleaned"))
 
 
 def open_text_words(t: SurveyTables) -> DataFrame:
     """The hundred most frequent words."""
-    return text.most_common(text.word_counts(t.answers, "answer", ENGLISH), "word", 100)
+    return text.most_common(text.word_counts(_texts(t), "answer", ENGLISH), "word", 100)
 
 
 def open_text_vocabulary(t: SurveyTables) -> DataFrame:
     """Every word with its count, stop words given as a table."""
     stop = t.spark.createDataFrame([(w,) for w in ENGLISH], "word string")
-    return text.word_counts(t.answers, "answer", stop)
+    return text.word_counts(_texts(t), "answer", stop)
 
 
 def open_text_trigrams(t: SurveyTables) -> DataFrame:
     """The thirty most frequent word triples."""
-    return text.most_common(text.trigram_counts(t.answers, "answer"), "words", 30)
+    return text.most_common(text.trigram_counts(_texts(t), "answer"), "words", 30)
 
 
 LIVE_ORDER = ["ts", "event_id"]
