@@ -25,10 +25,12 @@ MISSED = "that"
 # Further words left out of the word list of a report.
 EXTRA_STOP_WORDS = ["to", "the", "a", "an", "nope", "for", "in", "none", "nome"]
 
-# A word: letters and digits, apostrophes only between them.
-WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
-_BEFORE = r"(?<![\p{L}\p{N}_])"
-_AFTER = r"(?![\p{L}\p{N}_])"
+# Letters with their accents, digits and the underscore make words; an
+# apostrophe does between them.
+_IN_WORD = r"[\p{L}\p{M}\p{N}_]"
+WORD = rf"[\p{{L}}\p{{N}}]{_IN_WORD}*(?:['’]{_IN_WORD}+)*"
+_BEFORE = rf"(?<!{_IN_WORD})"
+_AFTER = rf"(?!{_IN_WORD})"
 
 
 def cleaning_pattern(fillers: Sequence[str] = FILLER_WORDS, compat: bool = False) -> str:
@@ -62,7 +64,10 @@ def clean_answer(c: Column | str, fillers: Sequence[str] = FILLER_WORDS, compat:
 
 
 def words(c: Column | str) -> Column:
-    """Lower-case words of a text, in order, as an array."""
+    """Lower-case words of a text, in order, as an array.
+
+    Give it a column of its own before taking several things from it.
+    """
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(WORD), F.lit(0))
 
 

@@ -34,12 +34,14 @@ def banner(
     drop_null_answer: bool = True,
     ceil_counts: bool = False,
     total: bool = True,
+    drop_null_item: bool = False,
 ) -> DataFrame:
     """(question, dimension, item, answer, n, total, prop) for any number of questions.
 
     ``prop`` is the share of the answer within the item. ``ceil_counts`` rounds
-    the counts up before totals and shares are taken. Items of a demographic
-    that is NULL form a group of their own.
+    the counts up before totals and shares are taken. Where a demographic is
+    NULL its rows form an item of their own, unless ``drop_null_item`` leaves
+    them out of that demographic; they stay in the Total.
     """
     qs = [questions] if isinstance(questions, str) else list(questions)
     keep = [*dims, *([weight] if weight else [])]
@@ -47,7 +49,10 @@ def banner(
     if drop_null_answer:
         answers = answers.filter(F.col("answer").isNotNull())
     cells = answers.groupBy(*dims, "question", "answer").agg(weight_sum(weight).alias("n"))
-    counts = by_dimension(cells, dims, total).groupBy(*KEYS).agg(F.sum("n").alias("n"))
+    laid_out = by_dimension(cells, dims, total)
+    if drop_null_item:
+        laid_out = laid_out.filter(F.col("item").isNotNull())
+    counts = laid_out.groupBy(*KEYS).agg(F.sum("n").alias("n"))
     if ceil_counts:
         counts = counts.withColumn("n", F.ceil("n"))
     return with_share(counts, ["question", "dimension", "item"])

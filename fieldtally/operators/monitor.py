@@ -26,24 +26,35 @@ def frame_join(frame: DataFrame, interviews: DataFrame, address: Sequence[str])
 
 
 def frame_counts(
-    frame: DataFrame, interviews: DataFrame, address: Sequence[str], community: str, result: str = "result"
+    frame: DataFrame,
+    interviews: DataFrame,
+    address: Sequence[str],
+    frame_key: str,
+    frame_community: str,
+    community: str = "community",
+    result: str = "result",
 ) -> DataFrame:
-    """Per community of the frame: joined rows, rows with interview, completed ones.
+    """Per community of the frame: (community, sampled, visited, completed, pending).
 
-    ``sampled`` counts frame rows once per interview at their address, as the
-    joined table would.
+    ``sampled`` counts frame households once per interview at their address, as
+    the joined table would. ``pending`` are joined rows whose interview names
+    no community, first of all those without an interview.
     """
     at_address = interviews.groupBy(*address).agg(
-        F.count("*").alias("__found"), F.count_if(F.col(result) == COMPLETED).alias("__completed")
+        F.count("*").alias("__found"),
+        F.count_if(F.col(result) == COMPLETED).alias("__completed"),
+        F.count_if(F.col(community).isNull()).alias("__unplaced"),
+    )
+    listed = frame.groupBy(frame_community, *address).agg(
+        F.count("*").alias("__listed"), F.count(frame_key).alias("__keyed")
     )
-    listed = frame.groupBy(community, *address).agg(F.count("*").alias("__listed"))
     met = attach_one(listed, at_address, address, null_safe=True)
     n, found = F.col("__listed"), F.coalesce("__found", F.lit(0))
-    return met.groupBy(community).agg(
-        F.sum(n * F.greatest(found, F.lit(1))).alias("sampled"),
+    return met.groupBy(frame_community).agg(
+        F.sum(F.col("__keyed") * F.greatest(found, F.lit(1))).alias("sampled"),
         F.sum(n * found).alias("visited"),
         F.sum(n * F.coalesce("__completed", F.lit(0))).alias("completed"),
-        F.sum(F.when(found == 0, n).otherwise(0)).alias("pending"),
+        F.sum(n * F.coalesce("__unplaced", F.lit(1))).alias("pending"),
     )
 
 

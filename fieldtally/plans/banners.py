@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.functions import keep_or_other, percent_text, percent_with_count
+from fieldtally.functions import keep_or_other, percent_text, percent_with_count, strip_prefix
 from fieldtally.operators import banner, multiselect, rating
+from fieldtally.operators.tabulate import wide
 from fieldtally.operators.weights import copies
 from fieldtally.plans.base import DIMENSIONS, analysis_base, rating_base, share6
 from fieldtally.plans.preparation import PRIORITIES
@@ -39,8 +40,8 @@ def banner_report(t: SurveyTables) -> DataFrame:
 
 
 def banner_unweighted(t: SurveyTables) -> DataFrame:
-    """Unweighted answers with counts, printed."""
-    table = banner.banner(analysis_base(t), "q1", DIMENSIONS)
+    """Unweighted answers with counts, printed; heads lacking a demographic are not shown under it."""
+    table = banner.banner(analysis_base(t), "q1", DIMENSIONS, drop_null_item=True)
     printed = table.withColumn("cell", percent_with_count("prop", "n", keep_zero=True))
     return _numbers(printed).drop("question")
 
@@ -57,6 +58,20 @@ def banner_multi(t: SurveyTables) -> DataFrame:
     return _numbers(table, "selected", "total")
 
 
+def multi_printed(t: SurveyTables) -> DataFrame:
+    """The same printed, one column per option."""
+    table = multiselect.banner_multi(analysis_base(t), OPTIONS, DIMENSIONS, "ind_weight")
+    cells = table.select(
+        "dimension",
+        "item",
+        strip_prefix("option", "m__").alias("option"),
+        percent_with_count("prop", "selected", gap="").alias("cell"),
+    )
+    codes = [o.removeprefix("m__") for o in OPTIONS]
+    spread = wide(cells, ["dimension", "item"], "option", codes, "cell")
+    return spread.withColumnsRenamed({c: f"option_{c}" for c in codes})
+
+
 def multi_unweighted(t: SurveyTables) -> DataFrame:
     """Unweighted: selected over answered."""
     table = multiselect.banner_multi(analysis_base(t), OPTIONS, DIMENSIONS, ceil_counts=False)
@@ -126,6 +141,17 @@ def rating_means(t: SurveyTables) -> DataFrame:
     return table.select(F.col("rated").cast("bigint").alias("rated"), "dimension", "item", share6("mean").alias("mean"))
 
 
+def rating_means_wide(t: SurveyTables) -> DataFrame:
+    """Weighted mean rating to two digits, one column per item."""
+    table = rating.means(rating_base(t), "rated_item", "rate", DIMENSIONS, "ind_weight")
+    items = [str(i) for i in range(1, 8)]
+    rounded = table.select(
+        "dimension", "item", F.col("rated").cast("string").alias("rated"), F.bround("mean", 2).alias("mean")
+    )
+    spread = wide(rounded, ["dimension", "item"], "rated", items, "mean")
+    return spread.withColumnsRenamed({i: f"item_{i}" for i in items})
+
+
 def weighted_mean(t: SurveyTables) -> DataFrame:
     """Weighted mean rating per item."""
     table = rating.weighted_mean(rating_base(t), ["rated_item"], "rate", "ind_weight")
@@ -158,7 +184,7 @@ def likert_items(t: SurveyTables) -> DataFrame:
 
 
 QUERIES = [
-    banner_single, banner_missing, banner_report, banner_unweighted, banner_printed, banner_multi, multi_unweighted,
-    multi_mention_share, multi_mentions, multiselect_region, multiselect_constituency, multi_item_share, yes_share,
-    rating_distribution, rating_wide, rating_means, weighted_mean, likert_summary, likert_overall, likert_items,
+    banner_single, banner_missing, banner_report, banner_unweighted, banner_printed, banner_multi, multi_printed,
+    multi_unweighted, multi_mention_share, multi_mentions, multiselect_region, multiselect_constituency, multi_item_share, yes_share,
+    rating_distribution, rating_wide, rating_means, rating_means_wide, weighted_mean, likert_summary, likert_overall, likert_items,
 ]

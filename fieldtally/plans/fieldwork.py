@@ -21,7 +21,8 @@ TEAM = {"North": ["interviewer0"], "South": ["interviewer1"], "West": ["intervie
 
 def _counts(t: SurveyTables) -> DataFrame:
     frame = t.frame.select("frame_id", "frame_community", *ADDRESS)
-    return monitor.frame_counts(frame, t.visits.select(*ADDRESS, "result"), ADDRESS, "frame_community")
+    visits = t.visits.select(*ADDRESS, "community", "result")
+    return monitor.frame_counts(frame, visits, ADDRESS, "frame_id", "frame_community")
 
 
 def kpis(t: SurveyTables) -> DataFrame:
@@ -30,10 +31,15 @@ def kpis(t: SurveyTables) -> DataFrame:
 
 
 def pending_by_community(t: SurveyTables) -> DataFrame:
-    """Frame households without an interview."""
+    """Frame households without an interview that names its community."""
     return _counts(t).select("frame_community", "pending")
 
 
+def communities(t: SurveyTables) -> DataFrame:
+    """Communities of the frame and whether work has started there."""
+    return _counts(t).select("frame_community", (F.col("visited") > 0).alias("started"))
+
+
 def progress_table(t: SurveyTables) -> DataFrame:
     """Sampled, visited and completed households per community and in total."""
     return monitor.progress(_counts(t), "frame_community")
@@ -178,7 +184,7 @@ def stream_status_counts(t: SurveyTables) -> DataFrame:
 
 
 QUERIES = [
-    kpis, pending_by_community, progress_table, submission_table, response_table, map_status, nonrespondents,
+    kpis, pending_by_community, communities, progress_table, submission_table, response_table, map_status, nonrespondents,
     missing_result, missing_info, interviews_by_interviewer, duration_of_interviews, sample_size, design_weights,
     systematic_sample, expand_by_weight, polygon_centroids, open_text_clean, open_text_words, open_text_vocabulary,
     open_text_trigrams, refresh_latest, stream_status_counts,

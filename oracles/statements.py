@@ -296,6 +296,7 @@ def _banners() -> dict[str, str]:
         "CAST(sum(copies) AS BIGINT) AS n FROM base GROUP BY {g}answer",
         ["strata"],
     )
+    options = ", ".join(f"max(CASE WHEN option = 'm__{i}' THEN c END) AS option_{i}" for i in range(1, 6))
     complete = " AND ".join(f"{c} <> 'Not stated'" for c in CONCERNS)
     concern_levels = "\nUNION ALL\n".join(
         f"SELECT '{c}' AS rated, {c} AS level, CAST(sum(copies) AS BIGINT) AS n FROM base WHERE {complete} GROUP BY {c}"
@@ -312,7 +313,8 @@ def _banners() -> dict[str, str]:
 SELECT dimension, item, answer, n, CAST(total AS BIGINT) AS total, round_even({p}, 6) AS prop,
   {cell(p, "n", keep_zero=True)} AS cell
 FROM (SELECT *, sum(n) OVER (PARTITION BY dimension, item) AS total
-  FROM ({_banner("q1", "count(*)", "q1 IS NOT NULL")}))""",
+  FROM ({_banner("q1", "count(*)", "q1 IS NOT NULL")}))
+WHERE item IS NOT NULL""",
         "banner_printed": f"""
 SELECT dimension, item, {answers} FROM (
   SELECT dimension, item, answer, CASE WHEN dimension = 'Total' THEN {cell(p, "n")} ELSE {pct(p)} END AS c
@@ -323,6 +325,12 @@ SELECT dimension, item, option, CAST(s AS DOUBLE) AS selected, CAST(a AS DOUBLE)
   round_even(CAST(s AS DOUBLE) / nullif(CAST(a AS DOUBLE), 0), 6) AS prop
 FROM (SELECT dimension, item, option, ceil(selected) AS s, ceil(answered) AS a
   FROM ({_option_rows("base", DIMENSIONS, "ind_weight")}))""",
+        "multi_printed": f"""
+SELECT dimension, item, {options} FROM (SELECT dimension, item, option,
+    {pct("CAST(s AS DOUBLE) / nullif(CAST(a AS DOUBLE), 0)")} || '(' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ')' AS c
+  FROM (SELECT dimension, item, option, ceil(selected) AS s, ceil(answered) AS a
+    FROM ({_option_rows("base", DIMENSIONS, "ind_weight")})))
+GROUP BY dimension, item""",
         "multi_unweighted": f"""
 SELECT dimension, item, option, CAST(selected AS DOUBLE) AS selected, CAST(answered AS DOUBLE) AS total,
   round_even(selected / nullif(CAST(answered AS DOUBLE), 0), 6) AS prop
@@ -359,6 +367,9 @@ SELECT rated, dimension, item, {points} FROM (SELECT rated, dimension, item, ans
   FROM (SELECT *, sum(n) OVER (PARTITION BY rated, dimension, item) AS total FROM ({rated})))
 GROUP BY rated, dimension, item""",
         "rating_means": means,
+        "rating_means_wide": f"""
+SELECT dimension, item, {", ".join(f"max(CASE WHEN rated = {i} THEN m END) AS item_{i}" for i in range(1, 8))}
+FROM ({means.replace(", 6) AS mean", ", 2) AS m")}) GROUP BY dimension, item""",
         "weighted_mean": """
 SELECT CAST(rated AS BIGINT) AS rated_item, round_even(CAST(sum(ind_weight * rate) AS DOUBLE) /
   CAST(sum(ind_weight) FILTER (WHERE rate IS NOT NULL) AS DOUBLE), 2) AS mean
@@ -389,7 +400,7 @@ FROM joined {extra}"""
 
 def _cleaned(text: str) -> str:
     """Delete fillers: words are put between marks first, so a mark on both sides means a whole word."""
-    marked = f"regexp_replace({text}, '([\\p{{L}}\\p{{N}}_]+)', chr(1) || '\\1' || chr(2), 'g')"
+    marked = f"regexp_replace({text}, '([\\p{{L}}\\p{{M}}\\p{{N}}_]+)', chr(1) || '\\1' || chr(2), 'g')"
     fillers = "|".join(FILLER_WORDS)
     # The empty mark reads ##<N>/<A>## once its letters are marked.
     gone = f"(?i)\\x01(?:{fillers})\\x02|\\x01no\\x02(?:$)|##\\x01N\\x02/\\x01A\\x02##"
@@ -397,7 +408,8 @@ def _cleaned(text: str) -> str:
 
 
 def _fieldwork() -> dict[str, str]:
-    tokens = f"regexp_extract_all(lower({_cleaned('text')}), '[\\p{{L}}\\p{{N}}]+(?:[''’][\\p{{L}}\\p{{N}}]+)*')"
+    inner = "[\\p{L}\\p{M}\\p{N}_]"
+    tokens = f"regexp_extract_all(lower({_cleaned('text')}), '[\\p{{L}}\\p{{N}}]{inner}*(?:[''’]{inner}+)*')"
     vocabulary = (
         f"SELECT word, count(*) AS n FROM (SELECT unnest({tokens}) AS word FROM documents) "
         f"WHERE word NOT IN ({_quoted([*ENGLISH, *EXTRA_STOP_WORDS])}) GROUP BY word"
@@ -411,10 +423,11 @@ SELECT count(*) AS submitted, count(*) FILTER (WHERE result = 'Completed') AS co
   round_even(count(*) FILTER (WHERE result IN ('Completed', 'Partial')) / CAST(count(*) AS DOUBLE), 2) AS response_rate,
   count(DISTINCT coalesce(community, '?')) AS communities_started,
   (SELECT count(*) FROM (SELECT frame_community FROM joined GROUP BY 1
-    HAVING count(*) FILTER (WHERE interview_key IS NULL) = 0)) AS communities_completed
+    HAVING count(*) FILTER (WHERE community IS NULL) = 0)) AS communities_completed
 FROM visits""",
         "pending_by_community": """
-SELECT frame_community, count(*) FILTER (WHERE interview_key IS NULL) AS pending FROM joined GROUP BY 1""",
+SELECT frame_community, count(*) FILTER (WHERE community IS NULL) AS pending FROM joined GROUP BY 1""",
+        "communities": "SELECT frame_community, count(interview_key) > 0 AS started FROM joined GROUP BY 1",
         "progress_table": f"""
 SELECT *, {pct("visited / CAST(sampled AS DOUBLE)")} AS visited_pct,
   {pct("completed / CAST(sampled AS DOUBLE)")} AS completed_pct FROM ({_progress_rows("")})""",

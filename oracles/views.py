@@ -117,7 +117,7 @@ SELECT h.*, w.ind_weight, p.community FROM heads h JOIN interviews i USING (inte
   LEFT JOIN weights w USING (interview_key) LEFT JOIN places p USING (address_id)
 WHERE i.result_code = 1""",
     "joined": """
-SELECT f.frame_id, f.frame_community, f.frame_head, v.interview_key, v.interview_id, v.result
+SELECT f.frame_id, f.frame_community, f.frame_head, v.interview_key, v.interview_id, v.result, v.community
 FROM frame f LEFT JOIN visits v ON f.ed IS NOT DISTINCT FROM v.ed
   AND f.building_number IS NOT DISTINCT FROM v.building_number
   AND f.dwelling_number IS NOT DISTINCT FROM v.dwelling_number

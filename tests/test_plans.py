@@ -86,10 +86,12 @@ def test_hot_roster_key_is_split(no_broadcast):
         )
         joined = linkage.attach_many(one, many, ["key"])
         assert joined.count() == one.join(many, "key", "left").count()
-        joined = joined.groupBy("head").agg(F.max("member"))
-        joined.collect()
-        final = physical(joined).split("Initial Plan")[0]
-        assert "skewed" in final
+        weights = spark.range(2000).select(F.col("id").alias("key"), (F.col("id") % 17).alias("weight"))
+        weighted = linkage.attach_one(joined, weights, ["key"]).groupBy("weight").agg(F.max("member"), F.max("head"))
+        weighted.collect()
+        final = physical(weighted).split("Initial Plan")[0]
+        # Both the 1:N join and the one after it are split.
+        assert final.count("skew=true") == 2
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)

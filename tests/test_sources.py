@@ -98,3 +98,15 @@ def test_settled_rows_have_no_lineage(spark):
     stored = settle(df, "rand")
     assert rows(stored) == rows(stored)
     assert "Range" not in stored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_columns_by_prefix_and_position(spark):
+    from fieldtally.operators import columns
+
+    df = spark.createDataFrame([(1, 2, 3, 4, 5)], "key int, unitList__1 int, k4__1 int, k4__2 int, sex int")
+    assert columns.prefixed(df, "k4__") == ["k4__1", "k4__2"]
+    assert columns.without_prefixed(df, "unitList", "k4").columns == ["key", "sex"]
+    assert columns.between(df, "unitList__1", "k4__2") == ["unitList__1", "k4__1", "k4__2"]
+    assert columns.move_after(df, ["sex"], "key").columns == ["key", "sex", "unitList__1", "k4__1", "k4__2"]
+    with pytest.raises(ValueError, match="after"):
+        columns.between(df, "sex", "key")

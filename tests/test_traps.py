@@ -197,17 +197,17 @@ def test_counts_over_repeated_addresses_equal_the_joined_rows(spark):
         [(1, "a", 7), (2, "a", 7), (3, "a", 8), (4, "b", None)], "id int, place string, hh int"
     )
     visits = spark.createDataFrame(
-        [(10, 7, "Completed"), (11, 7, "Partial"), (12, None, None), (13, 99, "Completed")],
-        "key int, hh int, result string",
+        [(10, 7, "Completed", "a"), (11, 7, "Partial", None), (12, None, None, "b"), (13, 99, "Completed", "z")],
+        "key int, hh int, result string, community string",
     )
-    counts = monitor.frame_counts(frame, visits, ["hh"], "place")
+    counts = monitor.frame_counts(frame, visits, ["hh"], "id", "place")
     joined = monitor.frame_join(frame, visits, ["hh"]).groupBy("place").agg(
         F.count("id").alias("sampled"),
         F.count("key").alias("visited"),
         F.count_if(F.col("result") == "Completed").alias("completed"),
-        F.count_if(F.col("key").isNull()).alias("pending"),
+        F.count_if(F.col("community").isNull()).alias("pending"),
     )
-    assert rows(counts) == rows(joined) == [("a", 5, 4, 2, 1), ("b", 1, 1, 0, 0)]
+    assert rows(counts) == rows(joined) == [("a", 5, 4, 2, 3), ("b", 1, 1, 0, 0)]
     progress = monitor.progress(counts, "place")
     assert rows(progress.select("community", "sampled", "visited_pct", "completed_pct")) == [
         ("Total", 6, "83.3%", "33.3%"), ("a", 5, "80%", "40%"), ("b", 1, "100%", "0%"),
@@ -235,8 +235,8 @@ def test_cleaning_by_whole_words_and_the_historic_way(spark):
 
 
 def test_words_keep_inner_apostrophes_and_accents(spark):
-    assert values(spark, [("L'Élève doesn't -- 'quote' 3rd_x",), ("",), (None,)], "t string", words("t")) == [
-        ["l'élève", "doesn't", "quote", "3rd", "x"], [], None,
+    assert values(spark, [("L'Élève doesn't -- 'quote' 3rd_x nai\u0308ve",), ("",), (None,)], "t string", words("t")) == [
+        ["l'élève", "doesn't", "quote", "3rd_x", "nai\u0308ve"], [], None,
     ]
 
 
