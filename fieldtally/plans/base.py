@@ -1,24 +1,15 @@
-"""Tables that several reports start from."""
+"""The household survey over a folder of tables, and tables several queries start from."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.functions import (
-    AGE_BANDS_HOUSEHOLD,
-    band,
-    collapse,
-    education_attained,
-    keep_or_other,
-    only_levels,
-    worker_group,
-)
-from fieldtally.functions.recode import EDUCATION_ORDER
-from fieldtally.operators.linkage import attach_matching, attach_many, attach_one, heads_of
+from fieldtally.operators.linkage import attach_one
+from fieldtally.plans.household import DIMENSIONS, HouseholdSurvey, demographics
 from fieldtally.sources.views import SurveyTables
 
-DIMENSIONS = ["strata", "age_group", "ethnicity", "education", "workertype_group"]
+__all__ = ["DIMENSIONS", "analysis_base", "demographics", "rating_base", "share6", "survey_of", "weighted_heads"]
 
 
 def share6(c: str | Column) -> Column:
@@ -26,36 +17,18 @@ def share6(c: str | Column) -> Column:
     return F.bround((F.col(c) if isinstance(c, str) else c).cast("double"), 6)
 
 
-def demographics(roster: DataFrame) -> DataFrame:
-    """Roster with the derived reporting groups of every member."""
-    return roster.withColumns(
-        {
-            "age_group": band("age", AGE_BANDS_HOUSEHOLD),
-            "ethnicity_group": keep_or_other("ethnicity", ["Mestizo/Hispanic/Latino", "Creole", "Mennonite"]),
-            "ed_attainment": only_levels(
-                education_attained("ed_attending", "ed_clevel", "ed_llevel"), EDUCATION_ORDER
-            ),
-            "workertype_group": worker_group("workertype", "employed"),
-        }
-    )
-
-
-def head_attributes(t: SurveyTables) -> DataFrame:
-    """Demographics of household heads."""
-    return heads_of(
-        demographics(t.roster),
-        ["interview_key", "sex", "age_group", "ethnicity_group", "ed_attainment", "employed", "workertype_group"],
-    )
-
-
-def with_reporting_groups(df: DataFrame) -> DataFrame:
-    """The shorter education and ethnicity groups banners use."""
-    education = collapse("ed_attainment", {"Secondary or Higher": ["Secondary", "Tertiary"]})
-    return df.withColumns(
-        {
-            "education": keep_or_other(education, ["Primary", "Secondary or Higher"]),
-            "ethnicity": keep_or_other("ethnicity_group", ["Creole", "Mestizo/Hispanic/Latino"]),
-        }
+def survey_of(t: SurveyTables) -> HouseholdSurvey:
+    """The folder's interviews, rosters and weights as one survey."""
+    return HouseholdSurvey(
+        t.interviews,
+        t.roster,
+        t.ratings,
+        t.weights,
+        key="interview_key",
+        result="result_code",
+        weight="ind_weight",
+        rated_item="rated_item",
+        rate="rate",
     )
 
 
@@ -65,21 +38,16 @@ def analysis_base(t: SurveyTables) -> DataFrame:
     Heads, weights and interviews meet on the interview key first; the place is
     looked up by address at the end.
     """
-    completed = t.interviews.filter("result_code = 1")
-    headed = attach_many(completed, head_attributes(t), ["interview_key"])
-    weighted = attach_one(headed, t.weights, ["interview_key"])
-    return with_reporting_groups(attach_one(weighted, t.places, ["address_id"]))
+    return attach_one(survey_of(t).households, t.places, ["address_id"])
 
 
 def rating_base(t: SurveyTables) -> DataFrame:
     """Ratings of completed interviews with the same demographics and weights."""
     wanted = ["interview_key", *DIMENSIONS, "hh_weight", "ind_weight"]
-    return attach_matching(t.ratings, analysis_base(t).select(*wanted), ["interview_key"])
+    return survey_of(t).rated_by(analysis_base(t).select(*wanted))
 
 
 def weighted_heads(t: SurveyTables) -> DataFrame:
     """Heads of completed interviews with weights and community."""
-    completed = t.interviews.filter("result_code = 1").select("interview_key", "address_id")
-    heads = attach_matching(head_attributes(t), completed, ["interview_key"])
-    weighted = attach_one(heads, t.weights, ["interview_key"])
-    return attach_one(weighted, t.places.select("address_id", "community"), ["address_id"])
+    heads = survey_of(t).weighted_heads("address_id")
+    return attach_one(heads, t.places.select("address_id", "community"), ["address_id"])

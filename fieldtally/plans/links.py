@@ -40,7 +40,7 @@ def full_roster(t: SurveyTables) -> DataFrame:
 
 def head_attributes(t: SurveyTables) -> DataFrame:
     """Interviews with the demographics of their heads."""
-    heads = base.head_attributes(t)
+    heads = base.survey_of(t).heads
     joined = linkage.attach_many(t.interviews.select("interview_key", "result"), heads, ["interview_key"])
     return joined.withColumns({c: F.col(c).cast("bigint") for c in ("sex", "employed")})
 

@@ -9,46 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldtally.functions import as_number
-
-WEIGHT_TYPE = T.DecimalType(18, 8)
-
-WEIGHTS = T.StructType(
-    [
-        T.StructField("interview_key", T.StringType()),
-        T.StructField("hh_final_weight", WEIGHT_TYPE),
-        T.StructField("ind_weights", WEIGHT_TYPE),
-    ]
-)
-ASSIGNMENTS = T.StructType(
-    [
-        T.StructField("ctv", T.IntegerType()),
-        T.StructField("building_number", T.IntegerType()),
-        T.StructField("dwelling_number", T.IntegerType()),
-        T.StructField("household_number", T.IntegerType()),
-        T.StructField("description", T.StringType()),
-        T.StructField("head_name", T.StringType()),
-        T.StructField("language", T.IntegerType()),
-        T.StructField("ed", T.StringType()),
-        T.StructField("team", T.IntegerType()),
-        T.StructField("lat", T.DoubleType()),
-        T.StructField("lon", T.DoubleType()),
-        T.StructField("responsible", T.StringType()),
-        T.StructField("quantity", T.IntegerType()),
-        T.StructField("interview", T.StringType()),
-    ]
-)
-FRAME_COLUMNS = [
-    "interview_key",
-    "ed",
-    "head_name",
-    "ctv_official",
-    "building_number",
-    "dwelling_number",
-    "household_number",
-    "lat",
-    "lon",
-]
-
+from fieldtally.sources.schemas import ASSIGNMENTS, FRAME, WEIGHTS
 
 def read_dataset(
     spark: SparkSession, path: str, columns: Sequence[str] | None = None, schema: T.StructType | None = None
@@ -74,7 +35,7 @@ def read_assignments(spark: SparkSession, path: str, schema: T.StructType = ASSI
     return read_delimited(spark, path, schema, sep="\t")
 
 
-def as_frame(raw: DataFrame, columns: Sequence[str] = FRAME_COLUMNS, numbers: Sequence[str] = ("lat", "lon")) -> DataFrame:
+def as_frame(raw: DataFrame, columns: Sequence[str] = tuple(FRAME.names), numbers: Sequence[str] = ("lat", "lon")) -> DataFrame:
     """Sample frame from a delivered table: wanted columns, coordinates as numbers."""
     return raw.select(*columns).withColumns({c: as_number(F.col(c).cast("string")) for c in numbers})
 

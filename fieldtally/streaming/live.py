@@ -42,17 +42,36 @@ def keep_latest(
 
 
 def read_latest(
-    spark: SparkSession, target: str, key: str, order: Sequence[str], columns: Sequence[str]
+    spark: SparkSession,
+    target: str,
+    key: str,
+    order: Sequence[str],
+    columns: Sequence[str],
+    compacted: tuple[str, int] | None = None,
 ) -> DataFrame:
-    """Present record of every key over all stored batches."""
-    return latest_per_key(spark.read.parquet(target), [key], order, columns)
+    """Present record of every key over all stored batches.
+
+    With ``compacted`` = (path, last batch in it) only later batches are read
+    beside it; the folders of earlier ones are not opened.
+    """
+    batches = spark.read.parquet(target)
+    if compacted:
+        path, upto = compacted
+        wanted = [key, *order, *[c for c in columns if c not in order]]
+        later = batches.filter(F.col("batch_id") > upto).select(*wanted)
+        batches = later.unionByName(spark.read.schema(later.schema).parquet(path))
+    return latest_per_key(batches, [key], order, columns)
 
 
 def compact_latest(
     spark: SparkSession, target: str, into: str, key: str, order: Sequence[str], columns: Sequence[str]
-) -> None:
-    """Write the present records as one dataset, from which later reads may start."""
-    read_latest(spark, target, key, order, columns).write.mode("overwrite").parquet(into)
+) -> int:
+    """Write the present records as one dataset and return the last batch it covers."""
+    upto = spark.read.parquet(target).agg(F.max("batch_id")).first()[0]
+    batches = spark.read.parquet(target).filter(F.col("batch_id") <= upto)
+    kept = [*order, *[c for c in columns if c not in order]]
+    latest_per_key(batches, [key], order, kept).write.mode("overwrite").parquet(into)
+    return upto
 
 
 def count_status(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str]) -> StreamingQuery:

@@ -7,25 +7,25 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from fieldtally.session import settle, shared_dir
-from fieldtally.sources import readers, writers
+from fieldtally.sources import readers, schemas, writers
 
 
 def test_weights_from_csv(spark, tmp_path):
-    (tmp_path / "w.csv").write_text("interview_key,hh_final_weight,ind_weights\n11-22,16.71428571,0\n33-44,,2.5\n")
+    (tmp_path / "w.csv").write_text("interview__key,hh_final_weight,ind_weights\n11-22,16.71428571,0\n33-44,,2.5\n")
     df = readers.read_weights(spark, str(tmp_path / "w.csv"))
-    assert df.schema == readers.WEIGHTS
+    assert df.schema == schemas.WEIGHTS
     assert rows(df) == [("11-22", Decimal("16.71428571"), Decimal("0E-8")), ("33-44", None, Decimal("2.50000000"))]
 
 
 def test_malformed_number_is_an_error(spark, tmp_path):
-    (tmp_path / "w.csv").write_text("interview_key,hh_final_weight,ind_weights\n11-22,abc,1\n")
+    (tmp_path / "w.csv").write_text("interview__key,hh_final_weight,ind_weights\n11-22,abc,1\n")
     with pytest.raises(Exception, match="(?i)malformed"):
         readers.read_weights(spark, str(tmp_path / "w.csv")).collect()
 
 
 def test_assignments_round_trip(spark, tmp_path):
     row = (2, 26, 9, 9, "wood, yellow", "Head\tOne", 1, "01", 1, None, None, "interviewer1", 1, "13-47")
-    df = spark.createDataFrame([row], readers.ASSIGNMENTS)
+    df = spark.createDataFrame([row], schemas.ASSIGNMENTS)
     writers.write_tsv(df, str(tmp_path / "list"))
     assert rows(readers.read_assignments(spark, str(tmp_path / "list"))) == [row]
 
@@ -35,7 +35,7 @@ def test_frame_coordinates_become_numbers(spark):
         "dwelling_number int, household_number int, lat string, lon string, extra string"
     raw = spark.createDataFrame([("k", "1", "h", "c", 1, 2, 3, "17.25", "west", "x")], columns)
     frame = readers.as_frame(raw)
-    assert frame.columns == readers.FRAME_COLUMNS
+    assert frame.columns == schemas.FRAME.names
     assert (frame.first()["lat"], frame.first()["lon"]) == (17.25, None)
 
 

@@ -49,8 +49,23 @@ def test_latest_record_over_arriving_files(spark, landing, tmp_path):
     assert rows(run()) == whole
     assert len(list((tmp_path / "latest").glob("batch_id=*"))) == 5
     assert rows(run()) == whole
-    live.compact_latest(spark, target, str(tmp_path / "compact"), "user_id", ORDER, COLUMNS)
-    assert rows(spark.read.parquet(str(tmp_path / "compact"))) == whole
+
+
+def test_later_batches_are_read_beside_a_compacted_set(spark, tmp_path):
+    target, compact = str(tmp_path / "latest"), str(tmp_path / "compact")
+    schema, order, columns = "key int, t int, v string", ["t"], ["v"]
+    batches = [[(1, 1, "a"), (2, 5, "b")], [(1, 2, "c")], [(2, 4, "late"), (3, 1, "new"), (1, 9, "d")]]
+
+    def store(i):
+        spark.createDataFrame(batches[i], schema).write.mode("overwrite").parquet(f"{target}/batch_id={i}")
+
+    store(0), store(1)
+    upto = live.compact_latest(spark, target, compact, "key", order, columns)
+    assert upto == 1 and rows(spark.read.parquet(compact), "key", "v") == [(1, "c"), (2, "b")]
+    store(2)
+    both = live.read_latest(spark, target, "key", order, columns, (compact, upto))
+    assert rows(both) == rows(live.read_latest(spark, target, "key", order, columns))
+    assert rows(both) == [(1, "d"), (2, "b"), (3, "new")]
 
 
 def test_status_counts_over_arriving_files(spark, landing, tmp_path):
