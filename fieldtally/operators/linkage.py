@@ -93,9 +93,10 @@ def join_lookup(
     """Left join to a lookup that is broadcast only after its rows were counted.
 
     With more than ``max_rows`` rows it is joined by shuffling like any table.
-    The lookup is read twice, so hand in a stored table (see ``session.settle``).
+    Counting reads the lookup once more, so hand in a stored table (see
+    ``session.settle``): for parquet the count comes from the footers.
     """
-    small = lookup.limit(max_rows + 1).count() <= max_rows
+    small = lookup.count() <= max_rows
     return attach_one(df, F.broadcast(lookup) if small else lookup, keys, null_safe)
 
 
@@ -138,16 +139,19 @@ def numbered(df: DataFrame, group: Sequence[str], bucket: Column, order: Sequenc
     ``bucket`` must rise with ``order`` (a coarse prefix of it). Rows are numbered
     within (group, bucket); the counts of the buckets before are added to that.
     """
-    tagged = df.withColumn("__bucket", bucket)
-    sizes = tagged.groupBy(*group, "__bucket").agg(F.count("*").alias("__size"))
-    before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *group, "__bucket", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset")
+    # A struct equals another where NULLs meet NULLs, so windows and join share
+    # one partitioning also for a group that is NULL.
+    tagged = df.withColumn("__part", F.struct(*group, bucket.alias("__bucket")))
+    sizes = tagged.groupBy("__part").agg(F.count("*").alias("__size"))
+    before = (
+        Window.partitionBy(*[f"__part.{g}" for g in group])
+        .orderBy("__part.__bucket")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    inner = Window.partitionBy(*group, "__bucket").orderBy(*order)
-    ranked = tagged.withColumn("__rank", F.row_number().over(inner))
+    offsets = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
+    ranked = tagged.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     return (
-        attach_one(ranked, offsets, [*group, "__bucket"], null_safe=True)
+        attach_one(ranked, offsets, ["__part"])
         .withColumn(name, F.col("__rank") + F.col("__offset"))
-        .drop("__rank", "__offset", "__bucket")
+        .drop("__rank", "__offset", "__part")
     )

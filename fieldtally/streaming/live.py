@@ -3,7 +3,9 @@
 Both jobs write what one batch changed into its own ``batch_id=N`` folder. A
 batch that runs again after a failure replaces its folder, so each batch counts
 once, and the work of a batch grows with the batch and not with all that came
-before. Readers resolve the changes to the present state.
+before. Readers resolve the changes to the present state. Batch numbers come
+from the checkpoint, so a target folder belongs to one checkpoint: with a new
+checkpoint start a new target.
 """
 
 from __future__ import annotations

@@ -41,7 +41,7 @@ def test_frame_coordinates_become_numbers(spark):
 
 def test_log_keeps_earlier_rows(spark, tmp_path):
     path = str(tmp_path / "log")
-    writers.append_log(spark, path, "ann", "login", "America/Belize")
+    writers.append_log(spark, path, "ann", "login", "America/Costa_Rica")
     writers.append_log(spark, path, "bo", "export")
     log = spark.read.parquet(path)
     assert rows(log.select("user", "action")) == [("ann", "login"), ("bo", "export")]
