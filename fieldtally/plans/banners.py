@@ -41,7 +41,7 @@ def banner_report(t: SurveyTables) -> DataFrame:
 
 def banner_unweighted(t: SurveyTables) -> DataFrame:
     """Unweighted answers with counts, printed; heads lacking a demographic are not shown under it."""
-    table = banner.banner(analysis_base(t), "q1", DIMENSIONS, drop_null_item=True)
+    table = banner.banner(analysis_base(t, weighted=False), "q1", DIMENSIONS, drop_null_item=True)
     printed = table.withColumn("cell", percent_with_count("prop", "n", keep_zero=True))
     return _numbers(printed).drop("question")
 
@@ -74,7 +74,7 @@ def multi_printed(t: SurveyTables) -> DataFrame:
 
 def multi_unweighted(t: SurveyTables) -> DataFrame:
     """Unweighted: selected over answered."""
-    table = multiselect.banner_multi(analysis_base(t), OPTIONS, DIMENSIONS, ceil_counts=False)
+    table = multiselect.banner_multi(analysis_base(t, weighted=False), OPTIONS, DIMENSIONS, ceil_counts=False)
     return _numbers(table, "selected", "total")
 
 

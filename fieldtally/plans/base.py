@@ -32,13 +32,14 @@ def survey_of(t: SurveyTables) -> HouseholdSurvey:
     )
 
 
-def analysis_base(t: SurveyTables) -> DataFrame:
-    """Completed interviews with head demographics, weights and place.
+def analysis_base(t: SurveyTables, weighted: bool = True) -> DataFrame:
+    """Completed interviews with head demographics, weights if wanted, and place.
 
     Heads, weights and interviews meet on the interview key first; the place is
     looked up by address at the end.
     """
-    return attach_one(survey_of(t).households, t.places, ["address_id"])
+    survey = survey_of(t)
+    return attach_one(survey.households if weighted else survey.described, t.places, ["address_id"])
 
 
 def rating_base(t: SurveyTables) -> DataFrame:

@@ -25,6 +25,7 @@ from fieldtally.operators import monitor, multiselect, rating, tabulate
 from fieldtally.operators.banner import banner, banner_wide
 from fieldtally.operators.linkage import attach_many, attach_matching, attach_one, drop_listed, heads_of
 from fieldtally.operators.weights import copies
+from fieldtally.session import settle
 
 DIMENSIONS = ["strata", "age_group", "ethnicity", "education", "workertype_group"]
 HEAD_COLUMNS = ["sex", "age_group", "ethnicity_group", "ed_attainment", "employed", "workertype_group"]
@@ -115,11 +116,15 @@ class HouseholdSurvey:
         """Heads of completed interviews with weights and the named cover columns."""
         return attach_one(attach_matching(self.heads, self._cover(*cover), [self.key]), self.weights, [self.key])
 
+    @cached_property
+    def described(self) -> DataFrame:
+        """Completed interviews with head demographics and reporting groups, without weights."""
+        return with_reporting_groups(attach_many(self.completed, self.heads, [self.key]))
+
     @cached_property
     def households(self) -> DataFrame:
-        """Completed interviews with head demographics, weights and reporting groups."""
-        weighted = attach_one(attach_many(self.completed, self.heads, [self.key]), self.weights, [self.key])
-        return with_reporting_groups(weighted)
+        """The same with weights."""
+        return attach_one(self.described, self.weights, [self.key])
 
     def rated_by(self, households: DataFrame) -> DataFrame:
         """Ratings with the columns of the given households."""
@@ -131,11 +136,22 @@ class HouseholdSurvey:
         carried = [*self.dimensions, *[c for c in self.weights.columns if c != self.key]]
         return self.rated_by(self.households.select(self.key, *carried))
 
+    def stored(self) -> HouseholdSurvey:
+        """Write the linked tables to the shared folder once; every table made after that only scans them.
+
+        Worth it for a report of many tables. Without it each table links anew.
+        """
+        self.households = settle(self.households, "households")
+        self.described = self.households
+        self.rated = settle(self.rated, "ratings")
+        return self
+
     # Tables of the report.
 
     def single(self, *questions: str, weighted: bool = True, **options) -> DataFrame:
         """Banner of one or more single-answer questions."""
-        return banner(self.households, questions, self.dimensions, self.weight if weighted else None, **options)
+        rows = self.households if weighted else self.described
+        return banner(rows, questions, self.dimensions, self.weight if weighted else None, **options)
 
     def single_printed(self, question: str, answers: Sequence[str]) -> DataFrame:
         """Banner of one question as printed."""
@@ -144,9 +160,9 @@ class HouseholdSurvey:
 
     def multi(self, prefix: str, weighted: bool = True, **options) -> DataFrame:
         """Banner of a multi-select question by its column prefix."""
-        columns = multiselect.option_columns(self.households, prefix)
-        weight = self.weight if weighted else None
-        return multiselect.banner_multi(self.households, columns, self.dimensions, weight, **options)
+        rows = self.households if weighted else self.described
+        columns = multiselect.option_columns(rows, prefix)
+        return multiselect.banner_multi(rows, columns, self.dimensions, self.weight if weighted else None, **options)
 
     def item_shares(self, labels: Mapping[str, str]) -> DataFrame:
         """Yes and No per option of a multi-select question, options named by ``labels``."""

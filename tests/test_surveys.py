@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import math
 from collections import defaultdict
 from decimal import Decimal
@@ -215,6 +216,26 @@ def test_submissions(survey, spark):
     }
 
 
+def test_unweighted_tables(survey):
+    table = {(r.item, r.answer): r.n for r in survey.single("k1", weighted=False).filter("dimension = 'Total'").collect()}
+    assert table == {("Total", "Yes"): 4, ("Total", "No"): 4, ("Total", "DK"): 1}
+    assert "ind_weights" not in survey.described.columns
+    options = survey.multi("k4", weighted=False, base="all").filter("dimension = 'Total'").collect()
+    assert {r.option: (int(r.selected), int(r.total)) for r in options} == {
+        "k4__1": (4, 10), "k4__2": (5, 10), "k4__888888": (3, 10),
+    }
+
+
+def test_stored_survey_only_scans(survey):
+    before = [rows(survey.single("k1")), rows(survey.multi("k4")), rows(survey.rating_means()), rows(survey.likert())]
+    kept = dataclasses.replace(survey).stored()
+    after = [rows(kept.single("k1")), rows(kept.multi("k4")), rows(kept.rating_means()), rows(kept.likert())]
+    assert before == after
+    plan = kept.multi("k4")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FileScan") == 1
+    assert rows(kept.single("k1", weighted=False)) == rows(survey.single("k1", weighted=False))
+
+
 @pytest.fixture(scope="module")
 def field(spark):
     labels = {1: "Completed", 2: "Partial", None: None}
