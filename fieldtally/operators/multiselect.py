@@ -27,8 +27,8 @@ def option_columns(df: DataFrame, prefix: str) -> list[str]:
 def option_sums(df: DataFrame, by: Sequence[str], options: Sequence[str], weight: str | None = None) -> DataFrame:
     """Per ``by`` group and option: selected, answered and all weight (or rows).
 
-    Long result (by..., option, selected, answered, everyone). A weight that is
-    NULL adds to none of them.
+    Long result (by..., option, selected, answered, everyone). An option is
+    selected when it holds 1. A weight that is NULL adds to none of them.
     """
     w = F.col(weight) if weight else F.lit(1)
 
@@ -39,7 +39,7 @@ def option_sums(df: DataFrame, by: Sequence[str], options: Sequence[str], weight
 
     sums = []
     for i, c in enumerate(options):
-        sums.append(F.coalesce(F.sum(chosen(c) * w), F.lit(0)).alias(f"s{i}"))
+        sums.append(F.coalesce(F.sum(F.when(chosen(c) == 1, w)), F.lit(0)).alias(f"s{i}"))
         sums.append(F.coalesce(F.sum(F.when(chosen(c).isNotNull(), w)), F.lit(0)).alias(f"a{i}"))
     cells = df.groupBy(*by).agg(*sums, F.coalesce(F.sum(w), F.lit(0)).alias("everyone"))
     per_option = [

@@ -45,16 +45,19 @@ def means(df: DataFrame, item: str, rate: str, dims: Sequence[str], weight: str)
     Rows without a weight are left out, rows without a rating add to neither
     the sum nor the weight.
     """
-    w, x = F.col(weight), F.col(rate)
-    cells = (
-        df.filter(F.col(item).isNotNull() & w.isNotNull())
-        .groupBy(F.col(item).alias("rated"), *dims)
-        .agg(F.sum(w * x).alias("wx"), F.sum(F.when(x.isNotNull(), w)).alias("w"))
+    weighted = df.filter(F.col(item).isNotNull() & F.col(weight).isNotNull())
+    # The scale has few points: weights are summed per point, which is then
+    # multiplied with its sum and not with every weight.
+    cells = weighted.groupBy(F.col(item).alias("rated"), *dims, F.col(rate).alias("__x")).agg(
+        F.sum(weight).alias("__w")
     )
     sums = (
         by_dimension(cells, dims)
         .groupBy("rated", "dimension", "item")
-        .agg(F.sum("wx").alias("wx"), F.sum("w").alias("w"))
+        .agg(
+            F.sum(F.col("__w") * F.col("__x")).alias("wx"),
+            F.sum(F.when(F.col("__x").isNotNull(), F.col("__w"))).alias("w"),
+        )
     )
     return sums.select("rated", "dimension", "item", ratio("wx", "w").alias("mean"))
 

@@ -140,14 +140,17 @@ class SurveyTables:
 
     @cached_property
     def weights(self) -> DataFrame:
-        """Design weights; partial interviews have none and some weigh 0."""
+        """Design weights; partial interviews have none and some weigh 0.
+
+        Decimals of at most eight digits are summed as whole numbers.
+        """
         return (
             self.raw("orders")
             .filter("o_orderstatus <> 'P'")
             .selectExpr(
                 "o_orderkey AS interview_key",
-                "CAST((o_orderkey % 8) * CAST(2.0625 AS DECIMAL(12,4)) AS DECIMAL(18,8)) AS hh_weight",
-                "CAST((o_orderkey % 17) * CAST(1.25 AS DECIMAL(12,4)) AS DECIMAL(18,8)) AS ind_weight",
+                "CAST(CAST(o_orderkey % 8 AS DECIMAL(2,0)) * CAST(2.0625 AS DECIMAL(5,4)) AS DECIMAL(8,4)) AS hh_weight",
+                "CAST(CAST(o_orderkey % 17 AS DECIMAL(2,0)) * CAST(1.25 AS DECIMAL(5,4)) AS DECIMAL(8,4)) AS ind_weight",
             )
         )
 
