@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.functions import as_number, collapse, ratio
+from fieldtally.functions import as_number, collapse, level_index, ratio
 from fieldtally.operators.tabulate import by_dimension, with_total
 
 BASES = ("answered", "all", "mentions")
@@ -110,6 +110,16 @@ def multi_by_region(
     )
 
 
+def label_options(table: DataFrame, labels: Mapping[str, str]) -> DataFrame:
+    """Add the name of each option and its place in the order given."""
+    return table.withColumns(
+        {
+            "label": collapse("option", {new: [old] for old, new in labels.items()}),
+            "label_order": level_index("option", list(labels)),
+        }
+    )
+
+
 def mentions(df: DataFrame, options: Sequence[str], by: str) -> DataFrame:
     """How often each option was ticked per group, and over all options: (by, option, n)."""
     ticked = option_sums(df, [by], options).filter("selected > 0").select(by, "option", F.col("selected").alias("n"))

@@ -16,6 +16,9 @@ Z_95 = 1.96
 MARGIN = 0.08
 PROPORTION = 0.5
 
+# Copies of a row made at a time.
+BLOCK = 4096
+
 
 def copies(weight: str | Column) -> Column:
     """Whole number of copies a weight stands for, half-even; none for NULL."""
@@ -27,9 +30,13 @@ def expand_by_weight(df: DataFrame, weight: str) -> DataFrame:
     """Every row as often as its rounded weight says; rows weighing 0 or nothing vanish.
 
     For counts and shares sum ``copies(weight)`` instead: the same result
-    without a copy of any row.
+    without a copy of any row. Copies are made in blocks, so that no row has to
+    hold an array as long as its weight.
     """
-    return df.withColumn("__i", F.explode(F.array_repeat(F.lit(0), copies(weight).cast("int")))).drop("__i")
+    present = df.withColumn("__n", copies(weight)).filter("__n > 0")
+    blocks = present.withColumn("__block", F.explode(F.expr(f"sequence(0, (__n - 1) div {BLOCK})")))
+    size = F.expr(f"cast(least({BLOCK}, __n - __block * {BLOCK}) as int)")
+    return blocks.withColumn("__i", F.explode(F.array_repeat(F.lit(0), size))).drop("__n", "__block", "__i")
 
 
 def sample_size(

@@ -72,13 +72,16 @@ class RespondentSurvey:
         answered = self.respondents.filter(F.col(item) != MISSING)
         return tabulate.formatted(tabulate.with_margins(tabulate.crosstab(answered, row, item)), keep_zero=True)
 
-    def multi_by_district(self, prefix: str) -> DataFrame:
+    def multi_by_district(self, prefix: str, labels: Mapping[str, str] | None = None) -> DataFrame:
         """Share of all respondents per option, by district and nationwide."""
-        return multiselect.multi_by_region(self.respondents, self._options(prefix), [self.district], "National")
+        table = multiselect.multi_by_region(self.respondents, self._options(prefix), [self.district], "National")
+        return multiselect.label_options(table, labels) if labels else table
 
-    def multi_by_constituency(self, prefix: str) -> DataFrame:
+    def multi_by_constituency(self, prefix: str, labels: Mapping[str, str] | None = None) -> DataFrame:
         """Share of all respondents per option, by district and constituency."""
-        return multiselect.multi_by_region(self.respondents, self._options(prefix), [self.district, self.constituency])
+        by = [self.district, self.constituency]
+        table = multiselect.multi_by_region(self.respondents, self._options(prefix), by)
+        return multiselect.label_options(table, labels) if labels else table
 
     def mention_shares(self, prefix: str, by: str) -> DataFrame:
         """Share of each option among all options ticked."""

@@ -66,6 +66,12 @@ def test_copies_equal_the_weight_sum(base):
     assert expanded.count() == base.agg(F.sum(weights.copies("ind_weight"))).first()[0]
 
 
+def test_large_weights_are_copied_in_blocks(spark):
+    df = spark.createDataFrame([(1, 4096.0), (2, 4097.0), (3, 20000.4), (4, 1.0), (5, 0.0), (6, -3.0)], "id int, w double")
+    counts = weights.expand_by_weight(df, "w").groupBy("id").count()
+    assert rows(counts) == [(1, 4096), (2, 4097), (3, 20000), (4, 1)]
+
+
 def test_weighted_likert_equals_likert_of_copies(tables):
     ratings = rating_base(tables).select("rated_item", "rate", "strata", "ind_weight")
     summed = rating.likert(ratings, "rated_item", "rate", "strata", weights.copies("ind_weight"))

@@ -327,6 +327,10 @@ def test_respondent_tables(youth):
     assert shares["National", "truths__1"] == (2, 4, 0.5) and shares["South", "truths__2"] == (1, 2, 0.5)
     local = {(r.constituency, r.option): r.n for r in youth.multi_by_constituency("truths").collect()}
     assert local["S1", "truths__1"] == 0 and local["N2", "truths__1"] == 1
+    named = youth.multi_by_district("truths", {"truths__2": "Has a job", "truths__1": "Has a child"})
+    assert {(r.option, r.label, r.label_order) for r in named.collect()} == {
+        ("truths__1", "Has a child", 2), ("truths__2", "Has a job", 1),
+    }
     mentions = youth.mention_shares("truths", "district").filter("dimension = 'Total'")
     assert {r.option: (r.selected, r.total) for r in mentions.collect()} == {"truths__1": (2, 4), "truths__2": (2, 4)}
     assert rows(youth.words("suggestion", ["more", "now"])) == [("buses", 3), ("please", 2)]
