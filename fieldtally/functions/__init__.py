@@ -26,7 +26,7 @@ from fieldtally.functions.scalars import (
     review_link,
     strip_prefix,
 )
-from fieldtally.functions.text import clean_answer, trigrams, words
+from fieldtally.functions.text import clean_answer, kept_words, trigrams, words
 
 __all__ = [
     "AGE_BANDS_CHILD_FIRST",
@@ -40,6 +40,7 @@ __all__ = [
     "education_attained",
     "in_range",
     "keep_or_other",
+    "kept_words",
     "level_index",
     "local_time",
     "not_in",

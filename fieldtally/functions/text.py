@@ -71,6 +71,24 @@ def words(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(WORD), F.lit(0))
 
 
+def kept_words(c: Column | str, fillers: Sequence[str] = FILLER_WORDS, compat: bool = False) -> Column:
+    """The words of a cleaned text: ``words(clean_answer(c))`` in one pass over the text.
+
+    A word is not taken up where a filler stands. Only texts with an empty
+    mark, whose deletion can join letters, and the historic pattern, which cuts
+    into words, are cleaned first.
+    """
+    cleaned_first = words(clean_answer(c, fillers, compat))
+    if compat:
+        return cleaned_first
+    whole = "|".join(_by_first_letter(fillers))
+    no_filler = rf"(?!(?:{whole}){_AFTER}|no$)"
+    start = rf"{_BEFORE}{no_filler}[\p{{M}}_]*"
+    word = rf"[\p{{L}}\p{{N}}]{_IN_WORD}*(?:['’]{no_filler}{_IN_WORD}+)*"
+    at_once = F.regexp_extract_all(F.lower(_col(c)), F.lit(f"(?i){start}({word})"), F.lit(1))
+    return F.when(F.contains(_col(c), F.lit("##")), cleaned_first).otherwise(at_once)
+
+
 def trigrams(tokens: Column | str) -> Column:
     """Neighbouring word triples of an array; none when it has fewer than three."""
     t = _col(tokens)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.functions import clean_answer, not_in, trigrams, words
+from fieldtally.functions import kept_words, not_in, trigrams
 from fieldtally.functions.text import EXTRA_STOP_WORDS
 
 
@@ -34,7 +34,7 @@ def word_counts(
     text: the same result with one test per word instead of one per occurrence.
     """
     counted = (
-        answers.select(F.explode(words(clean_answer(text, compat=compat))).alias("word"))
+        answers.select(F.explode(kept_words(text, compat=compat)).alias("word"))
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
@@ -49,7 +49,7 @@ def trigram_counts(answers: DataFrame, text: str, compat: bool = False) -> DataF
     """(words, n) of neighbouring word triples; answers under three words add none."""
     # The words get a column of their own, else the text would be split again
     # for every triple taken from it.
-    tokens = answers.select(words(clean_answer(text, compat=compat)).alias("tokens"))
+    tokens = answers.select(kept_words(text, compat=compat).alias("tokens"))
     return (
         tokens.select(F.explode(trigrams("tokens")).alias("words"))
         .groupBy("words")

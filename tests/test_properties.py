@@ -14,6 +14,7 @@ from fieldtally.functions import (
     band,
     clean_answer,
     duration_seconds,
+    kept_words,
     percent_text,
     trigrams,
     words,
@@ -70,6 +71,22 @@ def test_cleaning_deletes_whole_filler_words(spark, data):
     assert column(spark, data, "string", clean_answer("v")) == [plain(t) for t in data]
 
 
+FILLED = st.lists(
+    st.lists(st.sampled_from([*FILLER_WORDS[:12], "No", "no", "x", "été", "'", "’", " ", "-", "_", "\u0301", "##N/A##", "##", "\n"]), max_size=14)
+    .map("".join),
+    min_size=150,
+    max_size=300,
+)
+
+
+@settings(few, max_examples=12)
+@given(data=FILLED)
+def test_words_in_one_pass_equal_those_of_the_cleaned_text(spark, data):
+    df = spark.createDataFrame([(t,) for t in data], "v string")
+    differing = df.select("v", kept_words("v").alias("a"), words(clean_answer("v")).alias("b")).filter("a <> b")
+    assert differing.collect() == []
+
+
 @few
 @given(data=st.lists(st.tuples(st.integers(0, 99), st.integers(0, 23), st.integers(0, 59), st.integers(0, 59)), min_size=30))
 def test_durations(spark, data):
