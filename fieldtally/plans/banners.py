@@ -184,7 +184,8 @@ def likert_items(t: SurveyTables) -> DataFrame:
 
 
 QUERIES = [
-    banner_single, banner_missing, banner_report, banner_unweighted, banner_printed, banner_multi, multi_printed,
-    multi_unweighted, multi_mention_share, multi_mentions, multiselect_region, multiselect_constituency, multi_item_share, yes_share,
-    rating_distribution, rating_wide, rating_means, rating_means_wide, weighted_mean, likert_summary, likert_overall, likert_items,
+    banner_single, banner_missing, banner_report, banner_unweighted, banner_printed, banner_multi,
+    multi_printed, multi_unweighted, multi_mention_share, multi_mentions, multiselect_region,
+    multiselect_constituency, multi_item_share, yes_share, rating_distribution, rating_wide, rating_means,
+    rating_means_wide, weighted_mean, likert_summary, likert_overall, likert_items,
 ]

@@ -130,6 +130,20 @@ def chart_shares(t: SurveyTables) -> DataFrame:
     return table.select("x", "fill", "n", share6("prop").alias("prop"), "label")
 
 
+def conditional_counts(t: SurveyTables) -> DataFrame:
+    """Per community how many interviews are complete, lack a result, answered q2 and said yes."""
+    return tabulate.conditional_counts(
+        t.households,
+        ["community"],
+        {
+            "completed": F.col("result") == "Completed",
+            "no_result": F.col("result").isNull(),
+            "answered": F.col("q2").isNotNull(),
+            "yes": F.col("q2") == "Yes",
+        },
+    )
+
+
 def age_by_sex(t: SurveyTables) -> DataFrame:
     """Members by single year of age and sex."""
     counted = tabulate.frequency(t.roster, ["age", "sex"])
@@ -138,5 +152,6 @@ def age_by_sex(t: SurveyTables) -> DataFrame:
 
 QUERIES = [
     freq_counts, weighted_freq, oneway_table, descriptives, crosstab, crosstab_margins, cell_share, wide_counts,
-    crosstab_region, crosstab_district, chart_counts, chart_shares, age_by_sex,
+    crosstab_region, crosstab_district, chart_counts, chart_shares, conditional_counts,
+    age_by_sex,
 ]

@@ -258,6 +258,10 @@ SELECT district AS x, q1 AS fill, n, round_even(p, 6) AS prop,
   ELSE '' END AS label
 FROM (SELECT *, n / CAST(sum(n) OVER (PARTITION BY district) AS DOUBLE) AS p
   FROM (SELECT district, q1, count(*) AS n FROM households WHERE q1 IS NOT NULL GROUP BY 1, 2))""",
+        "conditional_counts": """
+SELECT community, count(*) FILTER (WHERE result = 'Completed') AS completed,
+  count(*) FILTER (WHERE result IS NULL) AS no_result, count(q2) AS answered,
+  count(*) FILTER (WHERE q2 = 'Yes') AS yes FROM households GROUP BY community""",
         "age_by_sex": "SELECT age, CAST(sex AS BIGINT) AS sex, count(*) AS n FROM roster GROUP BY ALL",
     }
 
