@@ -42,6 +42,15 @@ def label_of(code: Column | str, labels: Mapping[int, str]) -> Column:
     return first_match([(c == k, v) for k, v in labels.items()])
 
 
+def labelled(df: DataFrame, levels: Mapping[str, Mapping[int, str]]) -> DataFrame:
+    """Replace the codes of the named columns by their labels.
+
+    For the handful of levels a question has; a variable with very many codes
+    belongs in a codebook table and ``decode``.
+    """
+    return df.withColumns({v: label_of(v, labels) for v, labels in levels.items()})
+
+
 def decode(df: DataFrame, book: DataFrame, variables: Sequence[str], max_rows: int = 100_000) -> DataFrame:
     """Add ``<variable>_label`` and ``<variable>_order`` from a codebook table."""
     for v in variables:

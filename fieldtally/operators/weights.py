@@ -79,7 +79,7 @@ def systematic_sample(
 ) -> DataFrame:
     """``per_stratum`` rows of each stratum at even steps through a shuffled list.
 
-    The list is ordered by a hash of seed and key. Its first hex digits split a
+    The list is ordered by a hash of seed and key, which must tell rows apart. Its first hex digits split a
     stratum into parts of like size that are numbered apart, so a stratum with
     a third of the frame is never sorted in one task. Strata no larger than the
     sample are taken whole.

@@ -11,10 +11,12 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from fieldtally.operators import privacy
+from fieldtally.operators.codebook import labelled
 from fieldtally.plans.dashboard import FieldMonitor
 from fieldtally.plans.household import DIMENSIONS, HouseholdSurvey
 from fieldtally.plans.youth import RespondentSurvey
-from fieldtally.sources import schemas
+from fieldtally.sources import readers, schemas, writers
 
 D = Decimal
 BASE_SCHEMA = schemas.with_questions(
@@ -340,3 +342,33 @@ def test_respondent_tables(youth):
     assert rows(youth.facet_counts("district", "gender")) == [
         ("North", "Female", 1), ("North", "Male", 1), ("South", "Female", 1), ("South", "Male", 1),
     ]
+
+
+def test_from_delivered_files_to_exported_tables(spark, tmp_path):
+    """Files in, linked and labelled survey, banner and anonymised micro-data out."""
+    coded = schemas.with_questions(schemas.HOUSEHOLD, k1="int", k4__1="int", k4__2="int")
+    codes = {"Yes": 1, "No": 2, "DK": 8, None: None}
+    base = [(*r[:9], codes[r[9]], r[12], r[13]) for r in BASE]
+    for name, data, schema in (("base", base, coded), ("members", MEMBERS, schemas.MEMBERS), ("ratings", RATINGS, schemas.RATINGS)):
+        writers.replace_dataset(spark.createDataFrame(data, schema), str(tmp_path / name))
+    writers.write_delimited(spark.createDataFrame(WEIGHTS, schemas.WEIGHTS), str(tmp_path / "weights"))
+
+    def read(name, schema):
+        return readers.read_dataset(spark, str(tmp_path / name), schema=schema)
+
+    survey = HouseholdSurvey(
+        labelled(read("base", coded), {"k1": {1: "Yes", 2: "No", 8: "DK"}}),
+        read("members", schemas.MEMBERS),
+        read("ratings", schemas.RATINGS),
+        readers.read_weights(spark, str(tmp_path / "weights")),
+        excluded=["k11"],
+        strata={"Upland": ["Hill"]},
+        other_stratum="Lowland",
+    ).stored()
+    total = {r.answer: float(r.n) for r in survey.single("k1").filter("dimension = 'Total'").collect()}
+    assert total == {"Yes": pytest.approx(50.32407407), "No": 24.25, "DK": 0.0}
+    allowed = ["strata", "age_group", "k1", "ind_weights"]
+    micro = privacy.anonymise(survey.households, allowed, {"ind_weights": "weight"})
+    writers.export_dataset(micro, str(tmp_path / "out"), "csv")
+    back = readers.read_delimited(spark, str(tmp_path / "out"), micro.schema)
+    assert back.columns == ["strata", "age_group", "k1", "weight"] and rows(back) == rows(micro)
