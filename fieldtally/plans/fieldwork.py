@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldtally.functions import clean_answer, collapse, duration_seconds, only_levels
 from fieldtally.operators import geo, monitor, text, weights
+from fieldtally.operators.linkage import attach_one
 from fieldtally.operators.tabulate import formatted, frequency
 from fieldtally.plans.base import share6
 from fieldtally.plans.links import ADDRESS
@@ -175,12 +176,16 @@ def refresh_latest(t: SurveyTables) -> DataFrame:
 
 
 def stream_status_counts(t: SurveyTables) -> DataFrame:
-    """Running counts of status by hour of arrival from a stream run over the folder."""
+    """Running counts of status by community from a stream run over the folder.
+
+    The community is looked up in the stored places as records arrive.
+    """
     target, checkpoint = scratch_path(t.spark, "status"), scratch_path(t.spark, "status-progress")
     stream = live.landing_stream(t.spark, t.folder, SCHEMAS["events"], "events.parquet")
-    arrivals = stream.select(F.hour("ts").cast("bigint").alias("hour"), F.col("event_type").alias("status"))
-    live.count_status(arrivals, target, checkpoint, ["hour", "status"]).awaitTermination()
-    return live.read_status(t.spark, target, ["hour", "status"])
+    records = stream.select(F.col("user_id").alias("address_id"), F.col("event_type").alias("status"))
+    placed = attach_one(records, t.places.select("address_id", "community"), ["address_id"])
+    live.count_status(placed, target, checkpoint, ["community", "status"]).awaitTermination()
+    return live.read_status(t.spark, target, ["community", "status"])
 
 
 QUERIES = [

@@ -501,7 +501,8 @@ GROUP BY 1 ORDER BY n DESC, words LIMIT 30""",
 SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_id, event_type, value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
         "stream_status_counts": """
-SELECT CAST(hour(ts) AS BIGINT) AS hour, event_type AS status, count(*) AS n FROM events GROUP BY 1, 2""",
+SELECT p.community, event_type AS status, count(*) AS n FROM events LEFT JOIN places p ON user_id = p.address_id
+GROUP BY 1, 2""",
     }
 
 

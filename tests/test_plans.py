@@ -109,3 +109,22 @@ def test_top_words_are_not_sorted_as_a_whole(spark, folder):
 @pytest.mark.parametrize("name", ["banner_single", "descriptives", "kpis", "progress_table", "duplicate_keys"])
 def test_no_window_over_rows(name, spark, folder):
     assert "Window" not in physical(QUERIES[name](spark, folder))
+
+
+def test_result_filter_and_columns_reach_a_stored_survey(spark, tmp_path):
+    from fieldtally.plans.household import HouseholdSurvey
+    from fieldtally.sources import schemas
+
+    base = schemas.with_questions(schemas.HOUSEHOLD, k1="string", k3="string")
+    paths = {}
+    for name, schema in (("base", base), ("members", schemas.MEMBERS), ("ratings", schemas.RATINGS), ("weights", schemas.WEIGHTS)):
+        paths[name] = str(tmp_path / name)
+        spark.createDataFrame([], schema).write.parquet(paths[name])
+    survey = HouseholdSurvey(*[spark.read.parquet(paths[n]) for n in paths], strata={"A": ["x"]}, excluded=["k9"])
+    plan = survey.single("k1")._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    interviews = [line for line in scans if "ctv" in line]
+    assert interviews and all("EqualTo(result,1)" in line for line in interviews)
+    assert all("k3" not in line and "head_name" not in line for line in scans)
+    heads = [line for line in scans if "ed_clevel" in line]
+    assert heads and all("EqualTo(rel,1)" in line for line in heads)
