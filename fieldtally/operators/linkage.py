@@ -55,6 +55,19 @@ def attach_many(one: DataFrame, many: DataFrame, keys: Sequence[str], null_safe:
     return matched.unionByName(unmatched, allowMissingColumns=True)
 
 
+def attach_counted(left: DataFrame, right: DataFrame, keys: Sequence[str], name: str = "times") -> DataFrame:
+    """Inner join of two sides that may both repeat a key, without forming the pairs.
+
+    Equal rows of either side are counted first; a joined row stands for
+    ``name`` pairs. With few distinct rows per key the result stays small where
+    the pairs of a frequent key would not.
+    """
+    one = left.groupBy(*left.columns).agg(F.count("*").alias("__left"))
+    two = right.groupBy(*right.columns).agg(F.count("*").alias("__right"))
+    joined = attach_matching(one, two, keys)
+    return joined.withColumn(name, F.col("__left") * F.col("__right")).drop("__left", "__right")
+
+
 def full_outer(one: DataFrame, many: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All rows of both sides, matched where the key is equal; ``many`` may repeat keys.
 

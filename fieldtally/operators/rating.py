@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.functions import ratio
@@ -15,7 +15,13 @@ SCALE = [1, 2, 3, 4, 5]
 SCALE_NAMES = ["One", "Two", "Three", "Four", "Five"]
 
 
-def distribution(df: DataFrame, item: str, rate: str, dims: Sequence[str], weight: str | None = None) -> DataFrame:
+def _column(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def distribution(
+    df: DataFrame, item: str, rate: str, dims: Sequence[str], weight: str | Column | None = None
+) -> DataFrame:
     """Rating distribution of every item by demographics and in total.
 
     (rated, dimension, item, answer, n, total, prop). Counts are rounded up
@@ -39,13 +45,13 @@ def distribution_wide(table: DataFrame, value: str = "prop") -> DataFrame:
     return wide(text, ["rated", "dimension", "item"], "answer", points, value)
 
 
-def means(df: DataFrame, item: str, rate: str, dims: Sequence[str], weight: str) -> DataFrame:
+def means(df: DataFrame, item: str, rate: str, dims: Sequence[str], weight: str | Column) -> DataFrame:
     """Weighted mean rating per item by demographics and in total: (rated, dimension, item, mean).
 
     Rows without a weight are left out, rows without a rating add to neither
     the sum nor the weight.
     """
-    weighted = df.filter(F.col(item).isNotNull() & F.col(weight).isNotNull())
+    weighted = df.filter(F.col(item).isNotNull() & _column(weight).isNotNull())
     # The scale has few points: weights are summed per point, which is then
     # multiplied with its sum and not with every weight.
     cells = weighted.groupBy(F.col(item).alias("rated"), *dims, F.col(rate).alias("__x")).agg(
@@ -62,9 +68,9 @@ def means(df: DataFrame, item: str, rate: str, dims: Sequence[str], weight: str)
     return sums.select("rated", "dimension", "item", ratio("wx", "w").alias("mean"))
 
 
-def weighted_mean(df: DataFrame, by: Sequence[str], value: str, weight: str) -> DataFrame:
+def weighted_mean(df: DataFrame, by: Sequence[str], value: str | Column, weight: str | Column) -> DataFrame:
     """Weighted mean per group, rows without value or weight left out."""
-    x, w = F.col(value), F.col(weight)
+    x, w = _column(value), _column(weight)
     used = x.isNotNull() & w.isNotNull()
     sums = df.groupBy(*by).agg(F.sum(F.when(used, w * x)).alias("__wx"), F.sum(F.when(used, w)).alias("__w"))
     return sums.select(*by, ratio("__wx", "__w").alias("mean"))

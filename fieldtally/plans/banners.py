@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.functions import keep_or_other, percent_text, percent_with_count, strip_prefix
@@ -117,9 +117,14 @@ def yes_share(t: SurveyTables) -> DataFrame:
     return table.select("dimension", "item", "answer", "n", "total", share6("prop").alias("prop"))
 
 
+def _rated_weight() -> Column:
+    """Weight of all the pairs a row of the rating base stands for."""
+    return F.col("ind_weight") * F.col("times")
+
+
 def rating_distribution(t: SurveyTables) -> DataFrame:
     """Ratings of every item by demographics, counts rounded up first, missing in the total."""
-    table = rating.distribution(rating_base(t), "rated_item", "rate", DIMENSIONS, "ind_weight")
+    table = rating.distribution(rating_base(t), "rated_item", "rate", DIMENSIONS, _rated_weight())
     return _numbers(table, "n", "total").withColumns(
         {c: F.col(c).cast("bigint") for c in ("rated", "answer")}
     )
@@ -127,7 +132,7 @@ def rating_distribution(t: SurveyTables) -> DataFrame:
 
 def rating_wide(t: SurveyTables) -> DataFrame:
     """The same printed, one column per point of the scale."""
-    table = rating.distribution(rating_base(t), "rated_item", "rate", DIMENSIONS, "ind_weight")
+    table = rating.distribution(rating_base(t), "rated_item", "rate", DIMENSIONS, _rated_weight())
     printed = table.withColumn("cell", percent_with_count("prop", "n"))
     spread = rating.distribution_wide(printed, "cell").na.fill("0% (0)", subset=["1", "2", "3", "4", "5"])
     return spread.withColumn("rated", F.col("rated").cast("bigint")).withColumnsRenamed(
@@ -137,13 +142,13 @@ def rating_wide(t: SurveyTables) -> DataFrame:
 
 def rating_means(t: SurveyTables) -> DataFrame:
     """Weighted mean rating by demographics and item."""
-    table = rating.means(rating_base(t), "rated_item", "rate", DIMENSIONS, "ind_weight")
+    table = rating.means(rating_base(t), "rated_item", "rate", DIMENSIONS, _rated_weight())
     return table.select(F.col("rated").cast("bigint").alias("rated"), "dimension", "item", share6("mean").alias("mean"))
 
 
 def rating_means_wide(t: SurveyTables) -> DataFrame:
     """Weighted mean rating to two digits, one column per item."""
-    table = rating.means(rating_base(t), "rated_item", "rate", DIMENSIONS, "ind_weight")
+    table = rating.means(rating_base(t), "rated_item", "rate", DIMENSIONS, _rated_weight())
     items = [str(i) for i in range(1, 8)]
     rounded = table.select(
         "dimension", "item", F.col("rated").cast("string").alias("rated"), F.bround("mean", 2).alias("mean")
@@ -154,13 +159,14 @@ def rating_means_wide(t: SurveyTables) -> DataFrame:
 
 def weighted_mean(t: SurveyTables) -> DataFrame:
     """Weighted mean rating per item."""
-    table = rating.weighted_mean(rating_base(t), ["rated_item"], "rate", "ind_weight")
+    table = rating.weighted_mean(rating_base(t), ["rated_item"], "rate", _rated_weight())
     return table.select(F.col("rated_item").cast("bigint").alias("rated_item"), F.bround("mean", 2).alias("mean"))
 
 
 def likert_summary(t: SurveyTables) -> DataFrame:
     """Share of every rating per item and strata among weighted respondents."""
-    table = rating.likert(rating_base(t), "rated_item", "rate", "strata", copies("ind_weight"))
+    weight = copies("ind_weight") * F.col("times")
+    table = rating.likert(rating_base(t), "rated_item", "rate", "strata", weight)
     return _numbers(table).withColumns({c: F.col(c).cast("bigint") for c in ("rated", "level")})
 
 

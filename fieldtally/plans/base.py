@@ -44,7 +44,7 @@ def analysis_base(t: SurveyTables, weighted: bool = True) -> DataFrame:
 
 def rating_base(t: SurveyTables) -> DataFrame:
     """Ratings of completed interviews with the same demographics and weights."""
-    wanted = ["interview_key", *DIMENSIONS, "hh_weight", "ind_weight"]
+    wanted = ["interview_key", *DIMENSIONS, "ind_weight"]
     return survey_of(t).rated_by(analysis_base(t).select(*wanted))
 
 

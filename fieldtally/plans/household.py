@@ -23,7 +23,14 @@ from fieldtally.functions import (
 from fieldtally.functions.recode import EDUCATION_ORDER
 from fieldtally.operators import monitor, multiselect, rating, tabulate
 from fieldtally.operators.banner import banner, banner_wide
-from fieldtally.operators.linkage import attach_many, attach_matching, attach_one, drop_listed, heads_of
+from fieldtally.operators.linkage import (
+    attach_counted,
+    attach_many,
+    attach_matching,
+    attach_one,
+    drop_listed,
+    heads_of,
+)
 from fieldtally.operators.weights import copies
 from fieldtally.session import settle
 
@@ -127,8 +134,13 @@ class HouseholdSurvey:
         return attach_one(self.described, self.weights, [self.key])
 
     def rated_by(self, households: DataFrame) -> DataFrame:
-        """Ratings with the columns of the given households."""
-        return attach_matching(self.ratings, households, [self.key])
+        """Ratings with the columns of the given households.
+
+        A household with several heads is several rows, and so may its ratings
+        be: a row here stands for ``times`` pairs of a rating and a head.
+        """
+        ratings = self.ratings.select(self.key, self.rated_item, self.rate)
+        return attach_counted(ratings, households, [self.key])
 
     @cached_property
     def rated(self) -> DataFrame:
@@ -146,6 +158,10 @@ class HouseholdSurvey:
         self.rated = settle(self.rated, "ratings")
         return self
 
+    @property
+    def _rated_weight(self) -> Column:
+        return F.col(self.weight) * F.col("times")
+
     # Tables of the report.
 
     def single(self, *questions: str, weighted: bool = True, **options) -> DataFrame:
@@ -171,15 +187,16 @@ class HouseholdSurvey:
 
     def rating_table(self) -> DataFrame:
         """Distribution of every rated item."""
-        return rating.distribution(self.rated, self.rated_item, self.rate, self.dimensions, self.weight)
+        return rating.distribution(self.rated, self.rated_item, self.rate, self.dimensions, self._rated_weight)
 
     def rating_means(self) -> DataFrame:
         """Weighted mean of every rated item."""
-        return rating.means(self.rated, self.rated_item, self.rate, self.dimensions, self.weight)
+        return rating.means(self.rated, self.rated_item, self.rate, self.dimensions, self._rated_weight)
 
     def likert(self, group: str | None = None) -> DataFrame:
         """Share of every rating per item, overall or by one demographic."""
-        return rating.likert(self.rated, self.rated_item, self.rate, group, copies(self.weight))
+        weight = copies(self.weight) * F.col("times")
+        return rating.likert(self.rated, self.rated_item, self.rate, group, weight)
 
     def item_likert(self, items: Mapping[str, str], not_stated: str, group: str | None = None) -> DataFrame:
         """Likert table of question columns (named by ``items``) over interviews that stated all of them."""

@@ -72,10 +72,11 @@ def test_large_weights_are_copied_in_blocks(spark):
     assert rows(counts) == [(1, 4096), (2, 4097), (3, 20000), (4, 1)]
 
 
-def test_weighted_likert_equals_likert_of_copies(tables):
-    ratings = rating_base(tables).select("rated_item", "rate", "strata", "ind_weight")
-    summed = rating.likert(ratings, "rated_item", "rate", "strata", weights.copies("ind_weight"))
-    copied = rating.likert(weights.expand_by_weight(ratings, "ind_weight"), "rated_item", "rate", "strata")
+def test_weighted_likert_equals_likert_of_copies(tables, base):
+    weight = weights.copies("ind_weight") * F.col("times")
+    summed = rating.likert(rating_base(tables), "rated_item", "rate", "strata", weight)
+    pairs = tables.ratings.join(base.select("interview_key", "strata", "ind_weight"), "interview_key")
+    copied = rating.likert(weights.expand_by_weight(pairs, "ind_weight"), "rated_item", "rate", "strata")
     assert rows(summed) == rows(copied)
 
 
@@ -114,6 +115,15 @@ def test_attach_many_is_a_left_join(sides):
     assert rows(linkage.attach_many(one, many, ["key"])) == rows(one.join(many, "key", "left"))
 
 
+def test_counted_join_stands_for_all_pairs(sides, spark):
+    one, many = sides
+    heads = one.unionByName(one.filter("key < 20")).unionByName(spark.createDataFrame([(5, "h5")] * 30, "key int, head string"))
+    ratings = many.select("key", "adult")
+    counted = linkage.attach_counted(ratings, heads, ["key"])
+    pairs = ratings.join(heads, "key").groupBy("key", "adult", "head").agg(F.count("*").alias("times"))
+    assert rows(counted, "key", "adult", "head", "times") == rows(pairs, "key", "adult", "head", "times")
+
+
 def test_full_outer_is_a_full_join(sides):
     one, many = sides
     assert rows(linkage.full_outer(one, many, ["key"])) == rows(one.join(many, "key", "full"))
