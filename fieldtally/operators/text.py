@@ -12,13 +12,14 @@ from fieldtally.functions.text import EXTRA_STOP_WORDS
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread the rows of a table just read if its files come in fewer parts than there are cores.
+    """Spread the rows of a table just read if it comes in few parts for the cores there are.
 
-    Splitting texts is work per character, and a file with one row group is read
-    by one task. A table of many files is left where it is.
+    Splitting texts is work per character, and a row group is read by one task
+    even where its file counts as several parts. A table of many files is left
+    where it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def word_counts(
