@@ -74,6 +74,8 @@ class HouseholdSurvey:
 
     ``strata`` maps a stratum to its communities, everything else being
     ``other_stratum``; leave it empty when the interviews carry a stratum.
+    ``unique_heads`` states that no interview has two heads: ratings are then
+    joined directly, which spares counting them first.
     """
 
     base: DataFrame
@@ -91,6 +93,7 @@ class HouseholdSurvey:
     strata: Mapping[str, Sequence[str]] = field(default_factory=dict)
     other_stratum: str = "Other"
     dimensions: Sequence[str] = tuple(DIMENSIONS)
+    unique_heads: bool = False
 
     @cached_property
     def interviews(self) -> DataFrame:
@@ -140,6 +143,8 @@ class HouseholdSurvey:
         be: a row here stands for ``times`` pairs of a rating and a head.
         """
         ratings = self.ratings.select(self.key, self.rated_item, self.rate)
+        if self.unique_heads:
+            return attach_matching(ratings, households, [self.key]).withColumn("times", F.lit(1))
         return attach_counted(ratings, households, [self.key])
 
     @cached_property

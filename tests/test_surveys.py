@@ -183,6 +183,15 @@ def test_ratings(survey):
     assert [(r.level, r.n, r.prop) for r in grouped.collect()] == [(5, 46, 1.0)]
 
 
+def test_ratings_without_repeated_heads(survey):
+    single = survey.members.filter("interview__key <> 'k12' OR sex = 1")
+    counted = dataclasses.replace(survey, members=single)
+    direct = dataclasses.replace(counted, unique_heads=True)
+    assert rows(counted.rating_table()) == rows(direct.rating_table())
+    assert rows(counted.rating_means()) == rows(direct.rating_means())
+    assert rows(counted.likert("strata")) == rows(direct.likert("strata"))
+
+
 def test_item_tables(survey):
     table = survey.item_likert({"a1_1": "Waste", "a1_2": "Fire"}, "Not stated")
     # Stated both: k01 46, k02 10, k07 4, k08 2, k12 5 twice; k03 and k05 carry no weight.
