@@ -52,8 +52,9 @@ def means(df: DataFrame, item: str, rate: str, dims: Sequence[str], weight: str
     the sum nor the weight.
     """
     weighted = df.filter(F.col(item).isNotNull() & _column(weight).isNotNull())
-    # The scale has few points: weights are summed per point, which is then
-    # multiplied with its sum and not with every weight.
+    # The scale has few points: weights are summed per point, exactly, and the
+    # point is multiplied with that sum. Decimals of full width would lose
+    # places in the product, doubles do not.
     cells = weighted.groupBy(F.col(item).alias("rated"), *dims, F.col(rate).alias("__x")).agg(
         F.sum(weight).alias("__w")
     )
@@ -61,7 +62,7 @@ def means(df: DataFrame, item: str, rate: str, dims: Sequence[str], weight: str
         by_dimension(cells, dims)
         .groupBy("rated", "dimension", "item")
         .agg(
-            F.sum(F.col("__w") * F.col("__x")).alias("wx"),
+            F.sum(F.col("__w").cast("double") * F.col("__x")).alias("wx"),
             F.sum(F.when(F.col("__x").isNotNull(), F.col("__w"))).alias("w"),
         )
     )
@@ -72,7 +73,8 @@ def weighted_mean(df: DataFrame, by: Sequence[str], value: str | Column, weight:
     """Weighted mean per group, rows without value or weight left out."""
     x, w = _column(value), _column(weight)
     used = x.isNotNull() & w.isNotNull()
-    sums = df.groupBy(*by).agg(F.sum(F.when(used, w * x)).alias("__wx"), F.sum(F.when(used, w)).alias("__w"))
+    product = w.cast("double") * x.cast("double")
+    sums = df.groupBy(*by).agg(F.sum(F.when(used, product)).alias("__wx"), F.sum(F.when(used, w)).alias("__w"))
     return sums.select(*by, ratio("__wx", "__w").alias("mean"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldtally.functions import keep_or_other, percent_text, percent_with_count, strip_prefix
 from fieldtally.operators import banner, multiselect, rating
 from fieldtally.operators.tabulate import wide
-from fieldtally.operators.weights import copies
+from fieldtally.operators.weights import copies, times
 from fieldtally.plans.base import DIMENSIONS, analysis_base, rating_base, share6
 from fieldtally.plans.preparation import PRIORITIES
 from fieldtally.sources.views import CONCERNS, OPTIONS, SurveyTables
@@ -119,7 +119,7 @@ def yes_share(t: SurveyTables) -> DataFrame:
 
 def _rated_weight() -> Column:
     """Weight of all the pairs a row of the rating base stands for."""
-    return F.col("ind_weight") * F.col("times")
+    return times("ind_weight", "times")
 
 
 def rating_distribution(t: SurveyTables) -> DataFrame:

@@ -31,7 +31,7 @@ from fieldtally.operators.linkage import (
     drop_listed,
     heads_of,
 )
-from fieldtally.operators.weights import copies
+from fieldtally.operators.weights import copies, times
 from fieldtally.session import settle
 
 DIMENSIONS = ["strata", "age_group", "ethnicity", "education", "workertype_group"]
@@ -165,7 +165,7 @@ class HouseholdSurvey:
 
     @property
     def _rated_weight(self) -> Column:
-        return F.col(self.weight) * F.col("times")
+        return times(self.weight, "times")
 
     # Tables of the report.
 

@@ -183,12 +183,17 @@ def test_ratings(survey):
     assert [(r.level, r.n, r.prop) for r in grouped.collect()] == [(5, 46, 1.0)]
 
 
+def mean_rows(survey):
+    """Means to twelve places: the order of a sum of doubles may move the last."""
+    return rows(survey.rating_means().withColumn("mean", F.round("mean", 12)))
+
+
 def test_ratings_without_repeated_heads(survey):
     single = survey.members.filter("interview__key <> 'k12' OR sex = 1")
     counted = dataclasses.replace(survey, members=single)
     direct = dataclasses.replace(counted, unique_heads=True)
     assert rows(counted.rating_table()) == rows(direct.rating_table())
-    assert rows(counted.rating_means()) == rows(direct.rating_means())
+    assert mean_rows(counted) == mean_rows(direct)
     assert rows(counted.likert("strata")) == rows(direct.likert("strata"))
 
 
@@ -238,10 +243,11 @@ def test_unweighted_tables(survey):
 
 
 def test_stored_survey_only_scans(survey):
-    before = [rows(survey.single("k1")), rows(survey.multi("k4")), rows(survey.rating_means()), rows(survey.likert())]
+    def tables(s):
+        return [rows(s.single("k1")), rows(s.multi("k4")), rows(s.likert()), mean_rows(s)]
+
     kept = dataclasses.replace(survey).stored()
-    after = [rows(kept.single("k1")), rows(kept.multi("k4")), rows(kept.rating_means()), rows(kept.likert())]
-    assert before == after
+    assert tables(kept) == tables(survey)
     plan = kept.multi("k4")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("FileScan") == 1
     assert rows(kept.single("k1", weighted=False)) == rows(survey.single("k1", weighted=False))

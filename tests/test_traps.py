@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from decimal import Decimal
+from decimal import Decimal as D
 
 import pytest
 from conftest import rows
@@ -77,6 +78,21 @@ def test_group_without_weights_counts_zero(spark):
     assert rows(tabulate.frequency(df, ["g"], "w")) == [("a", Decimal("0E-8")), ("b", Decimal("2.50000000"))]
 
 
+def test_long_weights_keep_their_places(spark):
+    df = spark.createDataFrame(
+        [("A", 1, 5, D("46.07407407"), 3), ("A", 1, 4, D("0.00000001"), 7)],
+        "g string, item int, rate int, w decimal(18,8), n bigint",
+    )
+    exact = D("46.07407407") * 3 + D("0.00000001") * 7
+    assert df.agg(F.sum(weights.times("w", "n"))).first()[0] == exact
+    table = rating.distribution(df.withColumn("w", F.col("w") * 1000), "item", "rate", [], weights.times("w", "n"))
+    assert {r.answer: int(r.n) for r in table.collect()} == {5: 138223, 4: 1}
+    mean = (5 * 46.07407407 * 3 + 4 * 7e-8) / float(exact)
+    assert rating.means(df, "item", "rate", [], weights.times("w", "n")).first()["mean"] == pytest.approx(mean, rel=1e-14)
+    by_group = rating.weighted_mean(df, ["g"], "rate", weights.times("w", "n")).first()["mean"]
+    assert by_group == pytest.approx(mean, rel=1e-14)
+
+
 def test_counts_rounded_up_before_or_after_shares(spark):
     df = spark.createDataFrame(
         [("s", "x", Decimal("0.25")), ("s", "y", Decimal("0.75"))], "strata string, q string, w decimal(18,8)"
