@@ -6,9 +6,11 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry_points
+from fieldtally.plans import catalog
+from oracles import oracle_sql
 
-QUERIES = entry_points.queries()
-STATEMENTS = entry_points.oracle_sql()
+QUERIES = catalog.queries()
+STATEMENTS = oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +22,11 @@ def test_every_query_has_a_statement():
     assert set(QUERIES) == set(STATEMENTS)
 
 
+def test_entry_points_offer_every_query():
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(STATEMENTS) <= set(entry_points.oracle_sql()) <= set(entry_points.queries())
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(name, spark, folder, con):
     assert differences(QUERIES[name](spark, folder), con, STATEMENTS[name]) == ""
