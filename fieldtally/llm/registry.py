@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtally.llm import decontaminate, shards
+from fieldtally.llm import decontaminate, language, licenses, personal, pieces, quality, shards, simhash, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licenses": licenses.op1_licenses,
+        "op2_language": language.op2_language,
+        "op4_quality": quality.op4_quality,
+        "op5_simhash": simhash.op5_simhash,
+        "op6_pieces": pieces.op6_pieces,
+        "op7_personal": personal.op7_personal,
+        "op8_urls": urls.op8_urls,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_hilbert": shards.op10_hilbert,
     }
@@ -18,5 +25,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_urls": urls.OP8_SQL,
         "op9_decontaminate": decontaminate.OP9_SQL,
     }
