@@ -269,7 +269,7 @@ def written(spans: str) -> Column:
 def op7_personal(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data of every document: counts and digest of the seeds, and all spans."""
     found = with_spans(table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [F.expr(f"CAST(size(filter(base, s -> s.kind = {k})) AS BIGINT)").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select(
         "doc_id", *counts, F.sha2(written("base").cast("binary"), 256).alias("base_sha256"), written("spans").alias("spans")
     )

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtally.llm import decontaminate, language, licenses, personal, pieces, quality, shards, simhash, urls
+import corpus_pipeline
+from fieldtally.llm import decontaminate, language, licenses, personal, pieces, quality, shards, simhash, urls, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": licenses.op1_licenses,
         "op2_language": language.op2_language,
+        "op3_vectors": vectors.op3_vectors,
         "op4_quality": quality.op4_quality,
         "op5_simhash": simhash.op5_simhash,
         "op6_pieces": pieces.op6_pieces,
@@ -20,11 +22,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_urls": urls.op8_urls,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_hilbert": shards.op10_hilbert,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    statements = {
         "op8_urls": urls.OP8_SQL,
         "op9_decontaminate": decontaminate.OP9_SQL,
+        "pipeline": corpus_pipeline.ORACLE_SQL,
     }
+    return {name: sql for name, sql in statements.items() if sql}
