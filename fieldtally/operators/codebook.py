@@ -1,8 +1,7 @@
 """Codebooks: code, label and order of the levels of every coded variable.
 
 A codebook is a table (variable, code, label, level_order). It comes with the
-questionnaire, so it grows with the number of questions and not with the data;
-its size is still measured before it is broadcast.
+questionnaire, so it grows with the number of questions and not with the data.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldtally.functions.recode import first_match
-from fieldtally.operators.linkage import attach_one, join_lookup
+from fieldtally.operators.linkage import attach_one
 
 SCHEMA = T.StructType(
     [
@@ -51,20 +50,33 @@ def labelled(df: DataFrame, levels: Mapping[str, Mapping[int, str]]) -> DataFram
     return df.withColumns({v: label_of(v, labels) for v, labels in levels.items()})
 
 
-def decode(df: DataFrame, book: DataFrame, variables: Sequence[str], max_rows: int = 100_000) -> DataFrame:
-    """Add ``<variable>_label`` and ``<variable>_order`` from a codebook table."""
+def decode(df: DataFrame, book: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """Add ``<variable>_label`` and ``<variable>_order`` from a codebook table.
+
+    A code listed twice for a variable would multiply rows; it is an error when
+    the table is used.
+    """
+    twice = F.raise_error(F.concat(F.lit("code listed twice in the codebook: "), F.col("code").cast("string")))
+    levels = book.groupBy("variable", "code").agg(
+        F.count("*").alias("__n"), F.max("label").alias("label"), F.max("level_order").alias("level_order")
+    )
+    levels = levels.withColumn("label", F.when(F.col("__n") > 1, twice.cast("string")).otherwise(F.col("label")))
     for v in variables:
-        levels = book.filter(F.col("variable") == v).select(
+        of_v = levels.filter(F.col("variable") == v).select(
             F.col("code").alias(v), F.col("label").alias(f"{v}_label"), F.col("level_order").alias(f"{v}_order")
         )
-        df = join_lookup(df, levels, [v], max_rows=max_rows)
+        df = attach_one(df, of_v, [v])
     return df
 
 
 def observed_levels(df: DataFrame, book: DataFrame, variables: Sequence[str]) -> DataFrame:
-    """The codebook without levels that no row holds, for all variables in one pass."""
+    """The codebook without levels that no row holds, for all variables in one pass.
+
+    Rows are reduced to one per combination of codes before they are laid out
+    per variable.
+    """
     codes = [F.struct(F.lit(v).alias("__variable"), F.col(v).cast("bigint").alias("__code")) for v in variables]
-    seen = df.select(F.explode(F.array(*codes)).alias("c")).select("c.*").distinct()
+    seen = df.select(*variables).distinct().select(F.explode(F.array(*codes)).alias("c")).select("c.*").distinct()
     return book.join(
         seen, (F.col("variable") == F.col("__variable")) & (F.col("code") == F.col("__code")), "left_semi"
     )

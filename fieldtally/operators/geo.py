@@ -2,61 +2,106 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.operators.linkage import attach_one
 
+# Vertices of a polygon are gathered in parts of this many sequence numbers.
+PART = 4096
+# A polygon whose doubled area is this small against its squared edges is a line or a point.
+FLAT = 1e-9
 
-def polygon_centroids(vertices: DataFrame, key: str = "polygon_id") -> DataFrame:
-    """Area centroid per polygon: (key, lon, lat).
 
-    ``vertices`` has (key, seq, lon, lat), seq without gaps and the ring closed
-    (last vertex equals the first). Each vertex is sent to the edge it starts and
-    to the edge it ends; edges meet by (polygon, edge), so the vertices of one
-    huge polygon are spread over tasks. Coordinates are taken relative to the
-    polygon's corner, as a building's area would drown in the rounding of
-    products of full coordinates. A polygon without area has the mean of its
-    vertices.
+def polygon_centroids(vertices: DataFrame, key: str = "polygon_id", part: int = PART) -> DataFrame:
+    """Area centroid per polygon: (key, lon, lat), one row for every key of ``vertices`` (key, seq, lon, lat).
+
+    The order of ``seq`` is the order of the ring, gaps do no harm; a ring that
+    is not closed is closed. Vertices without a coordinate are left out; a
+    polygon without any left has no coordinates. A polygon without area (a
+    point, a line) has the mean of its vertices, a closing vertex left out.
+
+    The vertices are read once and gathered by polygon and part of its
+    sequence, so a huge polygon is spread over tasks. Each part gives sums
+    relative to its first vertex, as a building's area would drown in the
+    rounding of products of full coordinates; only these few numbers per part
+    meet by polygon, where they are moved to one origin and joined by the edges
+    between parts.
     """
-    corner = vertices.groupBy(key).agg(F.min("lon").alias("__lon"), F.min("lat").alias("__lat"))
-    local = attach_one(vertices, corner, [key]).withColumns(
-        {"x": F.col("lon") - F.col("__lon"), "y": F.col("lat") - F.col("__lat")}
+    known = F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    point = F.when(known, F.struct("seq", F.col("lon").cast("double").alias("x"), F.col("lat").cast("double").alias("y")))
+    parts = (
+        vertices.groupBy(key, F.floor(F.coalesce(F.col("seq"), F.lit(0)) / part).alias("__part"))
+        .agg(F.array_sort(F.collect_list(point)).alias("p"))
+        .withColumn("n", F.size("p"))
+    )
+    # Vertices relative to the part's first, and the edges between neighbours.
+    local = parts.withColumn("q", F.expr("transform(p, v -> struct(v.x - p[0].x AS x, v.y - p[0].y AS y))"))
+    edges = local.withColumn(
+        "e",
+        F.expr(
+            "transform(IF(n > 1, sequence(1, n - 1), array()),"
+            " i -> struct(q[i - 1].x AS x0, q[i - 1].y AS y0, q[i].x AS x1, q[i].y AS y1, "
+            "q[i - 1].x * q[i].y - q[i].x * q[i - 1].y AS cross))"
+        ),
     )
-    point = F.struct("x", "y")
-    none = F.lit(None).cast("struct<x:double,y:double>")
-    ends = F.array(
-        F.struct(F.col("seq").alias("edge"), point.alias("a"), none.alias("b")),
-        F.struct((F.col("seq") - 1).alias("edge"), none.alias("a"), point.alias("b")),
+
+    def total(term: str, over: str = "e") -> str:
+        return f"aggregate({over}, 0D, (a, e) -> a + {term})"
+
+    sums = edges.selectExpr(
+        f"`{key}`",
+        "__part",
+        "n",
+        "get(p, 0).x AS fx",
+        "get(p, 0).y AS fy",
+        "get(q, n - 1).x AS lx",
+        "get(q, n - 1).y AS ly",
+        f"{total('e.x', 'q')} AS sx",
+        f"{total('e.y', 'q')} AS sy",
+        f"{total('e.cross')} AS a",
+        f"{total('(e.x0 + e.x1) * e.cross')} AS mx",
+        f"{total('(e.y0 + e.y1) * e.cross')} AS my",
+        f"{total('(e.x0 + e.x1) * (e.y1 - e.y0)')} AS xdy",
+        f"{total('(e.y0 + e.y1) * (e.x1 - e.x0)')} AS ydx",
+        f"{total('pow(e.x1 - e.x0, 2) + pow(e.y1 - e.y0, 2)')} AS len2",
     )
-    edges = (
-        local.select(key, "__lon", "__lat", F.explode(ends).alias("e"))
-        .groupBy(key, "e.edge")
-        .agg(
-            F.max("__lon").alias("__lon"),
-            F.max("__lat").alias("__lat"),
-            F.max("e.a.x").alias("x0"),
-            F.max("e.a.y").alias("y0"),
-            F.max("e.b.x").alias("x1"),
-            F.max("e.b.y").alias("y1"),
-        )
-        .filter("x0 is not null and x1 is not null")
-        .withColumn("cross", F.expr("x0 * y1 - x1 * y0"))
+    # Parts without a vertex have nulls in place of their sums and are passed over.
+    whole = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = Window.partitionBy(key).orderBy("__part").rowsBetween(1, Window.unboundedFollowing)
+    placed = sums.withColumns(
+        {
+            "ox": F.first("fx", ignorenulls=True).over(whole),
+            "oy": F.first("fy", ignorenulls=True).over(whole),
+            "nx": F.first("fx", ignorenulls=True).over(after),
+            "ny": F.first("fy", ignorenulls=True).over(after),
+        }
+    ).withColumns({"last": F.col("nx").isNull(), "nx": F.coalesce("nx", "ox"), "ny": F.coalesce("ny", "oy")})
+    # Move a part's sums by (dx, dy), and add the edge from its last vertex to the next part or back to the start.
+    moved = placed.selectExpr(
+        "*", "fx - ox AS dx", "fy - oy AS dy", "fx - ox + lx AS ex", "fy - oy + ly AS ey", "nx - ox AS gx", "ny - oy AS gy"
+    ).selectExpr(
+        "*", "a + dx * ly - dy * lx AS ta", "ex * gy - gx * ey AS bridge", "last AND ex = 0 AND ey = 0 AS back"
     )
-    sums = edges.groupBy(key).agg(
-        F.max("__lon").alias("__lon"),
-        F.max("__lat").alias("__lat"),
-        F.sum("cross").alias("a2"),
-        F.sum(F.expr("(x0 + x1) * cross")).alias("mx"),
-        F.sum(F.expr("(y0 + y1) * cross")).alias("my"),
-        F.avg("x0").alias("ax"),
-        F.avg("y0").alias("ay"),
+    rings = moved.groupBy(key).agg(
+        F.first("ox", ignorenulls=True).alias("ox"),
+        F.first("oy", ignorenulls=True).alias("oy"),
+        F.sum(F.expr("ta + bridge")).alias("a2"),
+        F.sum(F.expr("mx + dx * xdy - dy * lx * lx + 2 * dx * ta + (ex + gx) * bridge")).alias("mx"),
+        F.sum(F.expr("my + dx * ly * ly - dy * ydx + 2 * dy * ta + (ey + gy) * bridge")).alias("my"),
+        F.sum(F.expr("len2 + pow(gx - ex, 2) + pow(gy - ey, 2)")).alias("len2"),
+        F.sum(F.expr("sx + n * dx")).alias("sx"),
+        F.sum(F.expr("sy + n * dy")).alias("sy"),
+        F.sum("n").alias("n"),
+        F.bool_or("back").alias("back"),
     )
-    flat = F.col("a2") == 0
-    return sums.select(
+    flat = F.abs("a2") <= F.col("len2") * FLAT
+    # The first vertex is the origin: where it stands again at the end it adds nothing to the sums but one to the count.
+    n = F.col("n") - F.when(F.col("back") & (F.col("n") > 1), 1).otherwise(0)
+    return rings.select(
         key,
-        (F.col("__lon") + F.when(flat, F.col("ax")).otherwise(F.try_divide("mx", F.col("a2") * 3))).alias("lon"),
-        (F.col("__lat") + F.when(flat, F.col("ay")).otherwise(F.try_divide("my", F.col("a2") * 3))).alias("lat"),
+        (F.col("ox") + F.when(flat, F.try_divide("sx", n)).otherwise(F.try_divide("mx", F.col("a2") * 3))).alias("lon"),
+        (F.col("oy") + F.when(flat, F.try_divide("sy", n)).otherwise(F.try_divide("my", F.col("a2") * 3))).alias("lat"),
     )
 
 

@@ -55,17 +55,15 @@ def attach_many(one: DataFrame, many: DataFrame, keys: Sequence[str], null_safe:
     return matched.unionByName(unmatched, allowMissingColumns=True)
 
 
-def attach_counted(left: DataFrame, right: DataFrame, keys: Sequence[str], name: str = "times") -> DataFrame:
-    """Inner join of two sides that may both repeat a key, without forming the pairs.
+def counted(df: DataFrame, name: str = "times") -> DataFrame:
+    """Equal rows as one with their number; a key has no more rows than it has different ones."""
+    return df.groupBy(*df.columns).agg(F.count("*").alias(name))
 
-    Equal rows of either side are counted first; a joined row stands for
-    ``name`` pairs. With few distinct rows per key the result stays small where
-    the pairs of a frequent key would not.
-    """
-    one = left.groupBy(*left.columns).agg(F.count("*").alias("__left"))
-    two = right.groupBy(*right.columns).agg(F.count("*").alias("__right"))
-    joined = attach_matching(one, two, keys)
-    return joined.withColumn(name, F.col("__left") * F.col("__right")).drop("__left", "__right")
+
+def repeated(df: DataFrame, name: str = "times") -> DataFrame:
+    """Every row as often as ``name`` says: the rows ``counted`` counted."""
+    copies = F.explode(F.expr(f"IF(`{name}` = 1, array(0), array_repeat(0, CAST(`{name}` AS INT)))"))
+    return df.withColumn("__copy", copies).drop("__copy", name)
 
 
 def full_outer(one: DataFrame, many: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -100,19 +98,6 @@ def heads_of(roster: DataFrame, columns: Sequence[str], relation: str = "rel", h
     return roster.filter(F.col(relation) == head_code).select(*columns)
 
 
-def join_lookup(
-    df: DataFrame, lookup: DataFrame, keys: Sequence[str], null_safe: bool = False, max_rows: int = 100_000
-) -> DataFrame:
-    """Left join to a lookup that is broadcast only after its rows were counted.
-
-    With more than ``max_rows`` rows it is joined by shuffling like any table.
-    Counting reads the lookup once more, so hand in a stored table (see
-    ``session.settle``): for parquet the count comes from the footers.
-    """
-    small = lookup.count() <= max_rows
-    return attach_one(df, F.broadcast(lookup) if small else lookup, keys, null_safe)
-
-
 def earliest_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]
 ) -> DataFrame:

@@ -139,32 +139,29 @@ def response_table(interviews: DataFrame, community: str, result: str = "result"
     return with_margins(crosstab(interviews, community, result), rows=True, cols=False)
 
 
+def address_fanout(frame: DataFrame, interviews: DataFrame, address: Sequence[str]) -> DataFrame:
+    """Addresses at which ``frame_join`` lists more than one pair: (address..., listed, found, pairs)."""
+    listed = frame.groupBy(*address).agg(F.count("*").alias("listed"))
+    found = interviews.groupBy(*address).agg(F.count("*").alias("found"))
+    met = attach_one(listed, found, address, null_safe=True).na.fill(0, subset=["found"])
+    return met.withColumn("pairs", F.col("listed") * F.col("found")).filter("pairs > 1")
+
+
 def map_status(joined: DataFrame, community: str | None, base_url: str) -> DataFrame:
-    """Marker colour, popup text and label of every sampled household (of one community)."""
+    """Marker colour and what a marker tells, of every sampled household (of one community)."""
     rows = joined if community is None else joined.filter(F.col("frame_community") == community)
     colour = (
         F.when(F.col("result") == COMPLETED, "green").when(F.col("result").isNotNull(), "orange").otherwise("white")
     )
-    head = F.concat(F.lit("Head Name: "), F.coalesce("frame_head", F.lit("NA")), F.lit("<br />"))
-    link = review_link(base_url, "interview_id")
-    visited = F.concat(
-        head,
-        F.lit("Result: "),
-        F.coalesce("result", F.lit("NA")),
-        F.lit("<br /><a href='"),
-        link,
-        F.lit("' target='_blank'>Questionnaire Link</a><br />"),
-    )
-    popup = F.when(
-        F.col("interview_key").isNull(), F.concat(head, F.lit("No questionnaire available"))
-    ).otherwise(visited)
+    link = F.when(F.col("interview_key").isNotNull(), review_link(base_url, "interview_id"))
     return rows.select(
         "frame_id",
         "interview_key",
         "frame_community",
         colour.alias("colour"),
-        popup.alias("popup"),
-        F.col("frame_head").alias("label"),
+        F.col("frame_head").alias("head"),
+        "result",
+        link.alias("link"),
     )
 
 
@@ -191,23 +188,23 @@ def chart_counts(df: DataFrame, charts: Mapping[str, tuple[Column, Column | None
     """Bar heights of several charts from one pass: (chart, x, fill, n).
 
     ``charts`` maps a chart name to its x and, if any, its fill or facet column.
+    Rows are reduced to one per combination of the charted columns before they
+    are laid out per chart.
     """
     none = F.lit(None).cast("string")
+    columns = {
+        f"__{part}{i}": (none if c is None else c.cast("string"))
+        for i, pair in enumerate(charts.values())
+        for part, c in zip("xf", pair, strict=True)
+    }
+    cells = df.select(*[c.alias(k) for k, c in columns.items()]).groupBy(*columns).agg(F.count("*").alias("n"))
     marks = F.array(
         *[
-            F.struct(
-                F.lit(name).alias("chart"),
-                x.cast("string").alias("x"),
-                (none if fill is None else fill.cast("string")).alias("fill"),
-            )
-            for name, (x, fill) in charts.items()
+            F.struct(F.lit(name).alias("chart"), F.col(f"__x{i}").alias("x"), F.col(f"__f{i}").alias("fill"))
+            for i, name in enumerate(charts)
         ]
     )
-    return (
-        df.select(F.explode(marks).alias("m"))
-        .groupBy("m.chart", "m.x", "m.fill")
-        .agg(F.count("*").alias("n"))
-    )
+    return cells.select(F.explode(marks).alias("m"), "n").groupBy("m.chart", "m.x", "m.fill").agg(F.sum("n").alias("n"))
 
 
 def chart_shares(

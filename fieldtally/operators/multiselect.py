@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.functions import as_number, collapse, level_index, ratio
-from fieldtally.operators.tabulate import by_dimension, with_total
+from fieldtally.operators.tabulate import by_dimension, wide, with_total
 
 BASES = ("answered", "all", "mentions")
 
@@ -121,10 +121,23 @@ def label_options(table: DataFrame, labels: Mapping[str, str]) -> DataFrame:
 
 
 def mentions(df: DataFrame, options: Sequence[str], by: str) -> DataFrame:
-    """How often each option was ticked per group, and over all options: (by, option, n)."""
+    """How often each option was ticked per group, and over all options: (by, option, is_total, n)."""
     ticked = option_sums(df, [by], options).filter("selected > 0").select(by, "option", F.col("selected").alias("n"))
-    both = F.array(F.col("option"), F.lit("Total"))
-    return ticked.select(by, F.explode(both).alias("option"), "n").groupBy(by, "option").agg(F.sum("n").alias("n"))
+    both = F.array(
+        F.struct(F.col("option"), F.lit(False).alias("is_total")), F.struct(F.lit("Total").alias("option"), F.lit(True).alias("is_total"))
+    )
+    spread = ticked.select(by, F.explode(both).alias("o"), "n")
+    return spread.groupBy(by, "o.option", "o.is_total").agg(F.sum("n").alias("n"))
+
+
+def printed_by_region(table: DataFrame, by: Sequence[str], options: Sequence[str]) -> DataFrame:
+    """Shares of ``multi_by_region`` as printed, one column per option: ``51.1% (294)``.
+
+    The share is rounded to three places before it becomes a percentage.
+    """
+    percent = (F.bround("prop", 3) * 100).cast("decimal(9,1)").cast("string")
+    cell = F.concat(F.regexp_replace(percent, r"\.0$", ""), F.lit("% ("), F.col("n").cast("string"), F.lit(")"))
+    return wide(table.withColumn("cell", cell), by, "option", options, "cell")
 
 
 def item_shares(

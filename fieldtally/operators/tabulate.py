@@ -93,18 +93,27 @@ def crosstab(df: DataFrame, row: str, col: str, weight: str | None = None, show_
 
 
 def with_margins(freq: DataFrame, rows: bool = True, cols: bool = True) -> DataFrame:
-    """Add Total rows and / or columns to a two-way table and the share of each row."""
-    cells = [F.struct(F.col("row"), F.col("col"), F.lit(False).alias("is_total"))]
+    """Add Total rows and / or columns to a two-way table and the share of each row.
+
+    ``is_total`` and ``is_total_col`` tell a margin from a level that is called
+    Total itself.
+    """
     total = F.lit(TOTAL)
+
+    def cell(row, col, is_total: bool, is_total_col: bool) -> Column:
+        flags = (F.lit(is_total).alias("is_total"), F.lit(is_total_col).alias("is_total_col"))
+        return F.struct(row.alias("row"), col.alias("col"), *flags)
+
+    cells = [cell(F.col("row"), F.col("col"), False, False)]
     if cols:
-        cells.append(F.struct(F.col("row"), total.alias("col"), F.lit(False).alias("is_total")))
+        cells.append(cell(F.col("row"), total, False, True))
     if rows:
-        cells.append(F.struct(total.alias("row"), F.col("col"), F.lit(True).alias("is_total")))
+        cells.append(cell(total, F.col("col"), True, False))
     if rows and cols:
-        cells.append(F.struct(total.alias("row"), total.alias("col"), F.lit(True).alias("is_total")))
+        cells.append(cell(total, total, True, True))
     table = (
         freq.select(F.explode(F.array(*cells)).alias("c"), "n")
-        .groupBy("c.row", "c.col", "c.is_total")
+        .groupBy("c.row", "c.col", "c.is_total", "c.is_total_col")
         .agg(F.sum("n").alias("n"))
     )
     # A row's total is counted once more from the plain cells, so the Total
@@ -137,6 +146,21 @@ def wide(
     return out if fill is None else out.na.fill(fill, subset=list(levels))
 
 
+def wide_margins(
+    table: DataFrame, row: Sequence[str], levels: Sequence[str], value: str, total: str = TOTAL, fill=None
+) -> DataFrame:
+    """A table with margins spread into one column per named level and, last, its Total column.
+
+    A level that is called like the margin cannot be among ``levels`` and is
+    left out; the margin's column holds the margin alone.
+    """
+    if total in levels:
+        raise ValueError(f"{total!r} names the margin")
+    named = F.when(F.col("is_total_col"), total).when(F.col("col").isin(list(levels)), F.col("col"))
+    spread = table.withColumn("__col", named).withColumn("__value", F.when(F.col("__col").isNotNull(), F.col(value)))
+    return wide(spread, row, "__col", [*levels, total], "__value", fill)
+
+
 def formatted(table: DataFrame, digits: int = 1, gap: str = " ", keep_zero: bool = False) -> DataFrame:
     """Add the printed cell ``51.1% (294)``."""
     return table.withColumn("cell", percent_with_count("prop", "n", digits, gap, keep_zero))

@@ -11,15 +11,8 @@ from fieldtally.functions import kept_words, not_in, trigrams
 from fieldtally.functions.text import EXTRA_STOP_WORDS
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread the rows of a table just read if it comes in few parts for the cores there are.
-
-    Splitting texts is work per character, and a row group is read by one task
-    even where its file counts as several parts. A table of many files is left
-    where it is.
-    """
-    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+def _dealt(answers: DataFrame, parts: int | None) -> DataFrame:
+    return answers if parts is None else answers.repartition(parts)
 
 
 def word_counts(
@@ -28,14 +21,17 @@ def word_counts(
     stop_words: DataFrame | Sequence[str],
     extra: Sequence[str] = EXTRA_STOP_WORDS,
     compat: bool = False,
+    parts: int | None = None,
 ) -> DataFrame:
     """(word, n) over all answers without stop words.
 
+    ``parts`` deals the answers out first, for a table that comes as one row
+    group and would be read by one task; leave it out for a table of many.
     Stop words are taken out of the counted vocabulary and not of the running
     text: the same result with one test per word instead of one per occurrence.
     """
     counted = (
-        answers.select(F.explode(kept_words(text, compat=compat)).alias("word"))
+        _dealt(answers, parts).select(F.explode(kept_words(text, compat=compat)).alias("word"))
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
@@ -46,11 +42,11 @@ def word_counts(
     return counted.filter(not_in("word", extra))
 
 
-def trigram_counts(answers: DataFrame, text: str, compat: bool = False) -> DataFrame:
-    """(words, n) of neighbouring word triples; answers under three words add none."""
+def trigram_counts(answers: DataFrame, text: str, compat: bool = False, parts: int | None = None) -> DataFrame:
+    """(words, n) of neighbouring word triples; answers under three words add none. ``parts`` as in ``word_counts``."""
     # The words get a column of their own, else the text would be split again
     # for every triple taken from it.
-    tokens = answers.select(kept_words(text, compat=compat).alias("tokens"))
+    tokens = _dealt(answers, parts).select(kept_words(text, compat=compat).alias("tokens"))
     return (
         tokens.select(F.explode(trigrams("tokens")).alias("words"))
         .groupBy("words")

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.functions import ratio
-from fieldtally.operators.linkage import attach_one, join_lookup, numbered
-from fieldtally.session import settle
+from fieldtally.operators.linkage import attach_one, numbered
 
 # Normal quantile of 95% confidence, margin of error, proportion.
 Z_95 = 1.96
@@ -62,21 +61,21 @@ def sample_size(
 
 
 def design_weights(
-    frame: DataFrame, interviews: DataFrame, adults: DataFrame, stratum: str, key: str, max_strata: int = 100_000
+    frame: DataFrame, interviews: DataFrame, adults: DataFrame, stratum: str, key: str
 ) -> DataFrame:
     """Inverse selection probabilities of both stages per interview.
 
     Household weight: frame size over interviews of the stratum. Person weight:
     that times the adults of the household, one of whom was asked (``adults``
     holds one row per key with a column ``adults``). The stratum factors are
-    stored first, so they can be measured and broadcast and the interviews are
-    not shuffled by a stratum that may hold a third of them.
+    small by nature; adaptive execution sends them to every task once it has
+    measured them, or splits a stratum that holds a third of the interviews.
     """
     size = frame.groupBy(stratum).agg(F.count("*").alias("frame_n"))
     taken = interviews.groupBy(stratum).agg(F.count("*").alias("sample_n"))
     factors = attach_one(taken, size, [stratum], null_safe=True)
-    factors = settle(factors.withColumn("hh_weight", ratio("frame_n", "sample_n")), "stratum-factors")
-    weighted = join_lookup(interviews, factors, [stratum], null_safe=True, max_rows=max_strata)
+    factors = factors.withColumn("hh_weight", ratio("frame_n", "sample_n"))
+    weighted = attach_one(interviews, factors, [stratum], null_safe=True)
     out = attach_one(weighted, adults, [key])
     return out.select(
         key, stratum, "hh_weight", "adults", (F.col("hh_weight") * F.col("adults")).alias("ind_weight")
@@ -98,7 +97,7 @@ def systematic_sample(
     order = [F.col("__mark"), F.col(key)]
     ranked = numbered(marked, [stratum], F.substring("__mark", 1, 4), order, "position")
     sizes = frame.groupBy(stratum).agg(F.count("*").alias("stratum_n"))
-    sized = join_lookup(ranked, settle(sizes, "stratum-sizes"), [stratum], null_safe=True)
+    sized = attach_one(ranked, sizes, [stratum], null_safe=True)
     n = f"least({int(per_stratum)}, stratum_n)"
     step_reached = F.expr(f"(position * {n}) div stratum_n > ((position - 1) * {n}) div stratum_n")
     return sized.filter(step_reached).select(key, stratum, *columns, "position", "stratum_n")

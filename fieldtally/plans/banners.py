@@ -101,6 +101,18 @@ def multiselect_constituency(t: SurveyTables) -> DataFrame:
     return _numbers(multiselect.multi_by_region(t.households, OPTIONS, ["district", "community"]))
 
 
+def region_printed(t: SurveyTables) -> DataFrame:
+    """Multi-select shares by district and nationwide as printed, one column per option."""
+    table = multiselect.multi_by_region(t.households, OPTIONS, ["district"], overall="National")
+    return multiselect.printed_by_region(table, ["district", "is_overall"], OPTIONS)
+
+
+def constituency_printed(t: SurveyTables) -> DataFrame:
+    """The same by district and community."""
+    by = ["district", "community"]
+    return multiselect.printed_by_region(multiselect.multi_by_region(t.households, OPTIONS, by), by, OPTIONS)
+
+
 def multi_item_share(t: SurveyTables) -> DataFrame:
     """Yes and No share per option among weighted respondents, options by name."""
     base = analysis_base(t).filter("ind_weight IS NOT NULL")
@@ -147,13 +159,13 @@ def rating_means(t: SurveyTables) -> DataFrame:
 
 
 def rating_means_wide(t: SurveyTables) -> DataFrame:
-    """Weighted mean rating to two digits, one column per item."""
+    """Weighted mean rating to two digits as printed, one column per item, blanks as ``0% (0)``."""
     table = rating.means(rating_base(t), "rated_item", "rate", DIMENSIONS, _rated_weight())
     items = [str(i) for i in range(1, 8)]
     rounded = table.select(
-        "dimension", "item", F.col("rated").cast("string").alias("rated"), F.bround("mean", 2).alias("mean")
+        "dimension", "item", F.col("rated").cast("string").alias("rated"), F.format_string("%.2f", F.bround("mean", 2)).alias("mean")
     )
-    spread = wide(rounded, ["dimension", "item"], "rated", items, "mean")
+    spread = wide(rounded, ["dimension", "item"], "rated", items, "mean").na.fill("0% (0)", subset=items)
     return spread.withColumnsRenamed({i: f"item_{i}" for i in items})
 
 
@@ -192,6 +204,6 @@ def likert_items(t: SurveyTables) -> DataFrame:
 QUERIES = [
     banner_single, banner_missing, banner_report, banner_unweighted, banner_printed, banner_multi,
     multi_printed, multi_unweighted, multi_mention_share, multi_mentions, multiselect_region,
-    multiselect_constituency, multi_item_share, yes_share, rating_distribution, rating_wide, rating_means,
+    multiselect_constituency, region_printed, constituency_printed, multi_item_share, yes_share, rating_distribution, rating_wide, rating_means,
     rating_means_wide, weighted_mean, likert_summary, likert_overall, likert_items,
 ]

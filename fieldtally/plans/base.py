@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.operators.linkage import attach_one
+from fieldtally.operators.linkage import attach_one, repeated
 from fieldtally.plans.household import DIMENSIONS, HouseholdSurvey, demographics
 from fieldtally.sources.views import SurveyTables
 
-__all__ = ["DIMENSIONS", "analysis_base", "demographics", "rating_base", "share6", "survey_of", "weighted_heads"]
+__all__ = ["DIMENSIONS", "analysis_base", "counted_base", "demographics", "rating_base", "share6", "survey_of", "weighted_heads"]
 
 
 def share6(c: str | Column) -> Column:
@@ -36,16 +36,21 @@ def analysis_base(t: SurveyTables, weighted: bool = True) -> DataFrame:
     """Completed interviews with head demographics, weights if wanted, and place.
 
     Heads, weights and interviews meet on the interview key first; the place is
-    looked up by address at the end.
+    looked up by address at the end, and only then equal heads become rows.
     """
+    return repeated(counted_base(t, weighted))
+
+
+def counted_base(t: SurveyTables, weighted: bool = True) -> DataFrame:
+    """The same before equal heads become rows: a row stands for ``times`` of them."""
     survey = survey_of(t)
-    return attach_one(survey.households if weighted else survey.described, t.places, ["address_id"])
+    return attach_one(survey.weighted if weighted else survey.linked, t.places, ["address_id"])
 
 
 def rating_base(t: SurveyTables) -> DataFrame:
     """Ratings of completed interviews with the same demographics and weights."""
-    wanted = ["interview_key", *DIMENSIONS, "ind_weight"]
-    return survey_of(t).rated_by(analysis_base(t).select(*wanted))
+    wanted = ["interview_key", *DIMENSIONS, "ind_weight", "times"]
+    return survey_of(t).rated_by(counted_base(t).select(*wanted))
 
 
 def weighted_heads(t: SurveyTables) -> DataFrame:

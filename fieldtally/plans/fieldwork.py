@@ -11,7 +11,7 @@ from fieldtally.operators.linkage import attach_one
 from fieldtally.operators.tabulate import formatted, frequency
 from fieldtally.plans.base import share6
 from fieldtally.plans.links import ADDRESS
-from fieldtally.plans.stopwords import ENGLISH
+from fieldtally.plans.stopwords import english
 from fieldtally.session import scratch_path
 from fieldtally.sources.views import SCHEMAS, SurveyTables
 from fieldtally.streaming import live
@@ -22,13 +22,13 @@ TEAM = {"North": ["interviewer0"], "South": ["interviewer1"], "West": ["intervie
 
 def _counts(t: SurveyTables) -> DataFrame:
     frame = t.frame.select("frame_id", "frame_community", *ADDRESS)
-    visits = t.visits.select(*ADDRESS, "community", "result")
+    visits = t.households.select(*ADDRESS, "community", "result")
     return monitor.frame_counts(frame, visits, ADDRESS, "frame_id", "frame_community")
 
 
 def kpis(t: SurveyTables) -> DataFrame:
     """Figures on top of the dashboard."""
-    return monitor.kpis(t.visits, _counts(t), "community")
+    return monitor.kpis(t.households, _counts(t), "community")
 
 
 def pending_by_community(t: SurveyTables) -> DataFrame:
@@ -49,7 +49,7 @@ def progress_table(t: SurveyTables) -> DataFrame:
 def submission_table(t: SurveyTables) -> DataFrame:
     """Sampled, submitted and completed per community and district, and All."""
     frame = t.frame.select(F.col("frame_community").alias("community"), "ed")
-    table = monitor.submissions(frame, t.visits.select("community", "ed", "result"), ["community", "ed"])
+    table = monitor.submissions(frame, t.households.select("community", "ed", "result"), ["community", "ed"])
     return table.drop("is_total")
 
 
@@ -62,7 +62,7 @@ def response_table(t: SurveyTables) -> DataFrame:
 def map_status(t: SurveyTables) -> DataFrame:
     """Marker of every sampled household."""
     frame = t.frame.select("frame_id", "frame_community", "frame_head", *ADDRESS)
-    visits = t.visits.select(*ADDRESS, "interview_key", "interview_id", "result")
+    visits = t.households.select(*ADDRESS, "interview_key", "interview_id", "result")
     return monitor.map_status(monitor.frame_join(frame, visits, ADDRESS), None, REVIEW_URL)
 
 
@@ -137,29 +137,30 @@ def polygon_centroids(t: SurveyTables) -> DataFrame:
     return points.select("polygon_id", share6("lon").alias("lon"), share6("lat").alias("lat"))
 
 
-def _texts(t: SurveyTables) -> DataFrame:
-    return text.spread(t.answers.select("answer_id", "answer"))
+def _parts(t: SurveyTables) -> int:
+    """The folder's answers are one row group: deal them out to as many tasks as a shuffle has."""
+    return int(t.spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def open_text_clean(t: SurveyTables) -> DataFrame:
     """Answers without filler words, whole texts."""
-    return _texts(t).select("answer_id", clean_answer("answer").alias("cleaned"))
+    return t.answers.select("answer_id", clean_answer("answer").alias("cleaned"))
 
 
 def open_text_words(t: SurveyTables) -> DataFrame:
     """The hundred most frequent words."""
-    return text.most_common(text.word_counts(_texts(t), "answer", ENGLISH), "word", 100)
+    return text.most_common(text.word_counts(t.answers, "answer", english(), parts=_parts(t)), "word", 100)
 
 
 def open_text_vocabulary(t: SurveyTables) -> DataFrame:
     """Every word with its count, stop words given as a table."""
-    stop = t.spark.createDataFrame([(w,) for w in ENGLISH], "word string")
-    return text.word_counts(_texts(t), "answer", stop)
+    stop = t.spark.createDataFrame([(w,) for w in english()], "word string")
+    return text.word_counts(t.answers, "answer", stop, parts=_parts(t))
 
 
 def open_text_trigrams(t: SurveyTables) -> DataFrame:
     """The thirty most frequent word triples."""
-    return text.most_common(text.trigram_counts(_texts(t), "answer"), "words", 30)
+    return text.most_common(text.trigram_counts(t.answers, "answer", parts=_parts(t)), "words", 30)
 
 
 LIVE_ORDER = ["ts", "event_id"]

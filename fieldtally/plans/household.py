@@ -24,12 +24,13 @@ from fieldtally.functions.recode import EDUCATION_ORDER
 from fieldtally.operators import monitor, multiselect, rating, tabulate
 from fieldtally.operators.banner import banner, banner_wide
 from fieldtally.operators.linkage import (
-    attach_counted,
     attach_many,
     attach_matching,
     attach_one,
+    counted,
     drop_listed,
     heads_of,
+    repeated,
 )
 from fieldtally.operators.weights import copies, times
 from fieldtally.session import settle
@@ -74,8 +75,8 @@ class HouseholdSurvey:
 
     ``strata`` maps a stratum to its communities, everything else being
     ``other_stratum``; leave it empty when the interviews carry a stratum.
-    ``unique_heads`` states that no interview has two heads: ratings are then
-    joined directly, which spares counting them first.
+    ``unique_heads`` states that no interview has two heads, which spares
+    counting equal ones.
     """
 
     base: DataFrame
@@ -126,39 +127,55 @@ class HouseholdSurvey:
         """Heads of completed interviews with weights and the named cover columns."""
         return attach_one(attach_matching(self.heads, self._cover(*cover), [self.key]), self.weights, [self.key])
 
+    @cached_property
+    def linked(self) -> DataFrame:
+        """Completed interviews with head demographics and reporting groups; a row stands for ``times`` equal heads.
+
+        Equal heads are counted before they are shuffled, so an interview has
+        no more rows than it has different heads, and one left join links both
+        tables in one reading of each. An interview without a head counts once.
+        """
+        heads = self.heads.withColumn("times", F.lit(1).cast("bigint")) if self.unique_heads else counted(self.heads)
+        met = attach_one(self.completed, heads, [self.key]).na.fill(1, subset=["times"])
+        return with_reporting_groups(met)
+
+    @cached_property
+    def weighted(self) -> DataFrame:
+        """The same with weights."""
+        return attach_one(self.linked, self.weights, [self.key])
+
     @cached_property
     def described(self) -> DataFrame:
-        """Completed interviews with head demographics and reporting groups, without weights."""
-        return with_reporting_groups(attach_many(self.completed, self.heads, [self.key]))
+        """Completed interviews with head demographics and reporting groups, a row per head, without weights."""
+        return repeated(self.linked)
 
     @cached_property
     def households(self) -> DataFrame:
         """The same with weights."""
-        return attach_one(self.described, self.weights, [self.key])
+        return repeated(self.weighted)
 
     def rated_by(self, households: DataFrame) -> DataFrame:
-        """Ratings with the columns of the given households.
+        """Ratings with the columns of the given households, which have a column ``times``.
 
-        A household with several heads is several rows, and so may its ratings
-        be: a row here stands for ``times`` pairs of a rating and a head.
+        Every rating meets every different head of its household once; a row
+        stands for ``times`` pairs of the rating and a head.
         """
         ratings = self.ratings.select(self.key, self.rated_item, self.rate)
-        if self.unique_heads:
-            return attach_matching(ratings, households, [self.key]).withColumn("times", F.lit(1))
-        return attach_counted(ratings, households, [self.key])
+        return attach_matching(ratings, households, [self.key])
 
     @cached_property
     def rated(self) -> DataFrame:
         """Ratings of completed interviews with demographics and weights."""
-        carried = [*self.dimensions, *[c for c in self.weights.columns if c != self.key]]
-        return self.rated_by(self.households.select(self.key, *carried))
+        carried = [*self.dimensions, "times", *[c for c in self.weights.columns if c != self.key]]
+        return self.rated_by(self.weighted.select(self.key, *carried))
 
     def stored(self) -> HouseholdSurvey:
         """Write the linked tables to the shared folder once; every table made after that only scans them.
 
         Worth it for a report of many tables. Without it each table links anew.
         """
-        self.households = settle(self.households, "households")
+        self.weighted = settle(self.weighted, "households")
+        self.households = repeated(self.weighted)
         self.described = self.households
         self.rated = settle(self.rated, "ratings")
         return self

@@ -32,8 +32,8 @@ def cover_to_roster(t: SurveyTables) -> DataFrame:
 
 
 def full_roster(t: SurveyTables) -> DataFrame:
-    """Interviews with a result and all members, matched where possible."""
-    cover = t.interviews.filter("result IS NOT NULL").select("interview_key", "result")
+    """All interviews and all members, matched where possible."""
+    cover = t.interviews.select("interview_key", "result")
     members = t.roster.select("interview_key", F.col("rel").cast("bigint").alias("rel"))
     return linkage.full_outer(cover, members, ["interview_key"])
 
@@ -47,17 +47,17 @@ def head_attributes(t: SurveyTables) -> DataFrame:
 
 def frame_join(t: SurveyTables) -> DataFrame:
     """Frame rows with the interviews at their address, missing parts matching."""
-    visits = t.visits.select(*ADDRESS, "interview_key", "interview_id", "result")
+    visits = t.households.select(*ADDRESS, "interview_key", "interview_id", "result")
     return join_frame(t.frame.select("frame_id", "frame_community", *ADDRESS), visits, ADDRESS).select(
         "frame_id", "frame_community", "interview_key", "interview_id", "result"
     )
 
 
 def frame_semi(t: SurveyTables) -> DataFrame:
-    """Frame households that were interviewed in the first round."""
-    first_round = t.interviews.filter("round = '1-URGENT'")
-    frame = t.frame.select("frame_id", "frame_community", "frame_head")
-    return linkage.keep_listed(frame, "frame_id", first_round, "address_id")
+    """Frame households at whose address somebody was interviewed, all parts of the address known."""
+    frame = t.frame.select("frame_id", "frame_community", "frame_head", F.struct(*ADDRESS).alias("at"), *ADDRESS)
+    found = t.households.select(F.struct(*ADDRESS).alias("at"), *ADDRESS).dropna(subset=ADDRESS)
+    return linkage.keep_listed(frame.dropna(subset=ADDRESS), "at", found).select("frame_id", "frame_community", "frame_head")
 
 
 def refreshed_frame(t: SurveyTables) -> DataFrame:

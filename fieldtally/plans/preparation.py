@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import contextlib
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtally.functions import (
@@ -20,10 +24,10 @@ from fieldtally.functions import (
     worker_group,
 )
 from fieldtally.operators.codebook import codebook, decode, label_of, observed_levels
-from fieldtally.operators.linkage import attach_matching, attach_one, drop_listed
+from fieldtally.operators.linkage import attach_matching, attach_one, drop_listed, repeated
 from fieldtally.operators.privacy import anonymise
 from fieldtally.operators.tabulate import frequency
-from fieldtally.plans.base import analysis_base
+from fieldtally.plans.base import analysis_base, counted_base, survey_of
 from fieldtally.session import scratch_path
 from fieldtally.sources import readers, writers
 from fieldtally.sources.views import CONCERNS, OPTIONS, RESULTS, SurveyTables
@@ -214,6 +218,53 @@ def anonymised_export(t: SurveyTables) -> DataFrame:
     )
 
 
+def anonymised_ratings(t: SurveyTables) -> DataFrame:
+    """Ratings with demographics and weight but without identifiers, written by the export sink and read back."""
+    columns = [
+        "rated_item", "rate", "interview_key", "community", "strata", "sex", "age_group", "ethnicity", "ethnicity_group",
+        "education", "ed_attainment", "employed", "workertype_group", "ind_weight",
+    ]
+    carried = [c for c in columns if c not in ("rated_item", "rate")]
+    rated = repeated(survey_of(t).rated_by(counted_base(t).select(*carried, "times")))
+    path = scratch_path(t.spark, "ratings-export")
+    exported = anonymise(rated, columns, {"ind_weight": "weight", "community": "ctv"})
+    writers.export_dataset(exported, path)
+    back = readers.read_dataset(t.spark, path, schema=exported.schema)
+    return back.withColumns({c: F.col(c).cast("bigint") for c in ["rated_item", "rate", "sex", "employed"]}).withColumn(
+        "weight", F.col("weight").cast("double")
+    )
+
+
+def replaced_table(t: SurveyTables) -> DataFrame:
+    """A table of the warehouse after it was replaced: what stood there before is gone."""
+    name = f"interview_results_{uuid.uuid4().hex}"
+    rows = t.interviews.select("interview_key", "result")
+    writers.replace_tables({name: rows.limit(1)})
+    writers.replace_tables({name: rows})
+    back = readers.read_table(t.spark, name)
+    atexit.register(_drop, t.spark, name)
+    return back
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def audit_log(t: SurveyTables) -> DataFrame:
+    """Actions on interviews as the audit log holds them, in the local time of the survey."""
+    path = scratch_path(t.spark, "log")
+    entries = t.actions.select(F.col("date").alias("utc"), F.col("interview_key").cast("string").alias("user"), "action")
+    writers.append_entries(entries, path, "America/Belize")
+    log = t.spark.read.parquet(path)
+    return log.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+def first_columns(t: SurveyTables) -> DataFrame:
+    """The first five columns of the base table by position, and one by name."""
+    return t.interviews.select(*t.interviews.columns[:5], "round")
+
+
 def not_listed_answers(t: SurveyTables) -> DataFrame:
     """Answers outside a list, NULL answers kept, against plain comparison, which drops them."""
     listed = ["Yes", "DK"]
@@ -236,5 +287,5 @@ def place_of_interview(t: SurveyTables) -> DataFrame:
 QUERIES = [
     scan_survey, scan_weights, assignment_list, sample_frame, cover_vars, exclude_keys, eligible_respondents,
     complete_cases, age_bands, derive_education, derive_worker, lump_other, standardise_names, decode_labels,
-    recode_levels, ordered_levels, unused_levels, anonymised_export, not_listed_answers, place_of_interview,
+    recode_levels, ordered_levels, unused_levels, anonymised_export, anonymised_ratings, replaced_table, audit_log, first_columns, not_listed_answers, place_of_interview,
 ]

@@ -66,7 +66,7 @@ def crosstab_margins(t: SurveyTables) -> DataFrame:
     """Community by q1 with both margins and row shares, missing answers included."""
     table = tabulate.with_margins(tabulate.crosstab(t.households, "community", "q1"))
     printed = tabulate.formatted(table, keep_zero=True)
-    return printed.select("row", "col", "is_total", "n", share6("prop").alias("prop"), "cell")
+    return printed.select("row", "col", "is_total", "is_total_col", "n", share6("prop").alias("prop"), "cell")
 
 
 def cell_share(t: SurveyTables) -> DataFrame:
@@ -89,13 +89,12 @@ def wide_counts(t: SurveyTables) -> DataFrame:
 
 def crosstab_region(t: SurveyTables) -> DataFrame:
     """Community by q1 in order of the district looked up for each; the Total row has none."""
-    hh = t.households
-    table = tabulate.with_margins(tabulate.crosstab(hh.filter("q1 <> '4-NOT SPECIFIED'"), "community", "q1"))
-    regions = hh.filter("community IS NOT NULL").select(F.col("community").alias("row"), "district").distinct()
+    table = tabulate.with_margins(tabulate.crosstab(t.households.filter("q1 <> '4-NOT SPECIFIED'"), "community", "q1"))
+    regions = t.places.filter("community IS NOT NULL").select(F.col("community").alias("row"), "district").distinct()
     placed = attach_one(table, regions, ["row"])
     return (
         tabulate.formatted(placed, keep_zero=True)
-        .select("district", "row", "col", "n", share6("prop").alias("prop"), "cell")
+        .select("district", "row", "col", "is_total", "is_total_col", "n", share6("prop").alias("prop"), "cell")
         .orderBy(F.asc_nulls_last("district"), "row", "col")
     )
 
@@ -106,7 +105,18 @@ def crosstab_district(t: SurveyTables) -> DataFrame:
     table = tabulate.formatted(
         tabulate.with_margins(tabulate.crosstab(answered, "district", "q1")), keep_zero=True
     )
-    return tabulate.wide(table, ["row"], "col", [*PRIORITIES, "Total"], "cell").withColumnsRenamed({"row": "district"})
+    printed = tabulate.wide_margins(table, ["row", "is_total"], PRIORITIES, "cell")
+    return printed.withColumnsRenamed({"row": "district"})
+
+
+def crosstab_constituency(t: SurveyTables) -> DataFrame:
+    """Community by chosen answers to q1 as printed, with the Total, in order of the district."""
+    answered = t.households.filter("q1 IS NOT NULL")
+    table = tabulate.formatted(tabulate.with_margins(tabulate.crosstab(answered, "community", "q1")), keep_zero=True)
+    printed = tabulate.wide_margins(table, ["row", "is_total"], PRIORITIES[:2], "cell")
+    regions = t.places.filter("community IS NOT NULL").select(F.col("community").alias("row"), "district").distinct()
+    placed = attach_one(printed, regions, ["row"]).withColumnsRenamed({"row": "community"})
+    return placed.orderBy(F.asc_nulls_last("district"), "is_total", "community")
 
 
 def chart_counts(t: SurveyTables) -> DataFrame:
@@ -152,6 +162,6 @@ def age_by_sex(t: SurveyTables) -> DataFrame:
 
 QUERIES = [
     freq_counts, weighted_freq, oneway_table, descriptives, crosstab, crosstab_margins, cell_share, wide_counts,
-    crosstab_region, crosstab_district, chart_counts, chart_shares, conditional_counts,
+    crosstab_region, crosstab_district, crosstab_constituency, chart_counts, chart_shares, conditional_counts,
     age_by_sex,
 ]

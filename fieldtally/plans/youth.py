@@ -60,9 +60,27 @@ class RespondentSurvey:
 
     def by_constituency(self, item: str) -> DataFrame:
         """Constituency by answer with margins and row shares, in order of the district."""
-        table = self._crosstab(self.constituency, item)
-        regions = self.respondents.select(F.col(self.constituency).alias("row"), F.col(self.district).alias("region"))
-        return attach_one(table, regions.distinct(), ["row"]).orderBy(F.asc_nulls_last("region"), "row", "col")
+        answered = self.respondents.filter(F.col(item) != MISSING)
+        # One pass: the reduced cells give the table and the district of each constituency in it.
+        cells = answered.groupBy(
+            F.col(self.constituency).cast("string").alias("row"),
+            F.col(item).cast("string").alias("col"),
+            F.col(self.district).alias("region"),
+        ).agg(F.count("*").alias("n"))
+        table = tabulate.formatted(tabulate.with_margins(cells.groupBy("row", "col").agg(F.sum("n").alias("n"))), keep_zero=True)
+        regions = cells.select("row", "region").distinct()
+        return attach_one(table, regions, ["row"]).orderBy(F.asc_nulls_last("region"), "row", "col")
+
+    def by_constituency_printed(self, item: str, answers: Sequence[str]) -> DataFrame:
+        """The same as printed, one column per chosen answer and the Total."""
+        table = self.by_constituency(item)
+        printed = tabulate.wide_margins(table, ["region", "row", "is_total"], answers, "cell")
+        return printed.orderBy(F.asc_nulls_last("region"), "row")
+
+    def multi_printed(self, prefix: str, by: Sequence[str]) -> DataFrame:
+        """Share of all respondents per option as printed, one column per option."""
+        options = self._options(prefix)
+        return multiselect.printed_by_region(multiselect.multi_by_region(self.respondents, options, by), by, options)
 
     def by_district(self, item: str) -> DataFrame:
         """District by answer with margins and row shares."""

@@ -56,11 +56,18 @@ def read_jdbc(
     properties: Mapping[str, str],
     columns: Sequence[str] | None = None,
     split: tuple[str, int, int, int] | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Database table. ``split`` = (number column, low, high, parts) reads it in parallel."""
+    """Database table; columns and limit are pushed to the database.
+
+    ``split`` = (number column, low, high, parts) reads it in parallel; without
+    it one task reads the whole table, so name it for any large one. ``table``
+    may also be a query in brackets with an alias.
+    """
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **properties)
     if split:
         column, low, high, parts = split
         reader = reader.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts)
     df = reader.load()
-    return df if columns is None else df.select(*columns)
+    df = df if columns is None else df.select(*columns)
+    return df if limit is None else df.limit(limit)

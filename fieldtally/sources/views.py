@@ -107,11 +107,6 @@ class SurveyTables:
         """Interviews with their place."""
         return self.interviews.join(self.places, "address_id", "left")
 
-    @cached_property
-    def visits(self) -> DataFrame:
-        """Households of the first field round; many frame rows have none."""
-        return self.households.filter("round = '1-URGENT'")
-
     @cached_property
     def roster(self) -> DataFrame:
         """Household members, many per interview."""
@@ -140,23 +135,23 @@ class SurveyTables:
 
     @cached_property
     def weights(self) -> DataFrame:
-        """Design weights; partial interviews have none and some weigh 0.
-
-        Decimals of at most eight digits are summed as whole numbers.
-        """
+        """Design weights as delivered, DECIMAL(18,8); partial interviews have none and some weigh 0."""
         return (
             self.raw("orders")
             .filter("o_orderstatus <> 'P'")
             .selectExpr(
                 "o_orderkey AS interview_key",
-                "CAST(CAST(o_orderkey % 8 AS DECIMAL(2,0)) * CAST(2.0625 AS DECIMAL(5,4)) AS DECIMAL(8,4)) AS hh_weight",
-                "CAST(CAST(o_orderkey % 17 AS DECIMAL(2,0)) * CAST(1.25 AS DECIMAL(5,4)) AS DECIMAL(8,4)) AS ind_weight",
+                "CAST(CAST(o_orderkey % 8 AS DECIMAL(2,0)) * CAST(2.0625 AS DECIMAL(5,4)) AS DECIMAL(18,8)) AS hh_weight",
+                "CAST(CAST(o_orderkey % 17 AS DECIMAL(2,0)) * CAST(1.25 AS DECIMAL(5,4)) AS DECIMAL(18,8)) AS ind_weight",
             )
         )
 
     @cached_property
     def frame(self) -> DataFrame:
-        """Sample frame: every household with address, community and coordinates as text."""
+        """Sample frame: every household with address, community and coordinates as text.
+
+        Every thirteenth stands at an address where nobody was interviewed.
+        """
         return self.raw("customer").join(
             self.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left"
         ).selectExpr(
@@ -166,7 +161,8 @@ class SurveyTables:
             "c_name AS frame_head",
             "CAST(c_custkey div 100 AS INT) AS building_number",
             "CAST((c_custkey div 5) % 10 AS INT) AS dwelling_number",
-            "CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE CAST(c_custkey % 5 AS INT) END AS household_number",
+            "CASE WHEN c_custkey % 17 = 0 THEN NULL WHEN c_custkey % 13 = 0 THEN 9 ELSE CAST(c_custkey % 5 AS INT) END "
+            "AS household_number",
             "CASE WHEN c_custkey % 31 = 0 THEN 'no fix' ELSE CAST(-88 - (c_custkey % 100) / 1000.0D AS STRING) END AS lon",
             "CASE WHEN c_custkey % 31 = 0 THEN '' ELSE CAST(17 + (c_custkey % 37) / 1000.0D AS STRING) END AS lat",
         )
@@ -200,8 +196,19 @@ class SurveyTables:
 
     @cached_property
     def polygons(self) -> DataFrame:
-        """Building outlines: closed rings of a customer's lot, one row per vertex."""
-        corners = "array(struct(1, 0, 0), struct(2, 1, 0), struct(3, 1, 1), struct(4, 0, 1), struct(5, 0, 0))"
+        """Building outlines, one row per vertex: rectangles and L-shapes, closed or not, turned either way,
+        numbered with gaps or across parts; triangles, lines and points."""
+        shapes = [
+            [(1, 0, 0), (2, 1, 0), (3, 1, 1), (4, 0, 1), (5, 0, 0)],
+            [(10, 0, 0), (20, 3, 0), (30, 3, 1), (50, 1, 1), (60, 1, 3), (9000, 0, 3)],
+            [(1, 0, 0), (2, 0, 2), (4, 3, 0)],
+            [(7, 0, 0), (8, 0, 3), (9, 1, 3), (10, 1, 1), (11, 3, 1), (5000, 3, 0), (5001, 0, 0)],
+            [(3, 2, 2)],
+            [(1, 0, 0), (2, 4, 2), (3, 0, 0)],
+        ]
+        rings = ["array(" + ", ".join(f"struct({s}, {x}, {y})" for s, x, y in shape) + ")" for shape in shapes]
+        whens = " ".join(f"WHEN {i} THEN {ring}" for i, ring in enumerate(rings))
+        corners = f"CASE c_custkey % {len(shapes)} {whens} END"
         return (
             self.raw("customer")
             .select("c_custkey", F.explode(F.expr(corners)).alias("v"))

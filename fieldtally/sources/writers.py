@@ -42,11 +42,18 @@ def export_dataset(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         raise ValueError(f"unknown export format {fmt!r}")
 
 
+def append_entries(entries: DataFrame, path: str, zone: str = "UTC") -> None:
+    """Append many audit rows (utc, user, action) at once, their time as local time of ``zone``."""
+    rows = entries.select(local_time(F.col("utc"), zone).alias("timestamp"), "user", "action")
+    rows.write.mode("append").parquet(path)
+
+
 def append_log(spark: SparkSession, path: str, user: str, action: str, zone: str = "UTC") -> None:
-    """Append one audit row (local time of ``zone``, user, action). Earlier rows stay."""
+    """Append one audit row (local time of ``zone``, user, action). Earlier rows stay.
+
+    A row is a file: collect rows and use ``append_entries`` where there are many.
+    """
     row = spark.range(1).select(
-        local_time(F.current_timestamp(), zone).alias("timestamp"),
-        F.lit(user).alias("user"),
-        F.lit(action).alias("action"),
+        F.current_timestamp().alias("utc"), F.lit(user).alias("user"), F.lit(action).alias("action")
     )
-    row.write.mode("append").parquet(path)
+    append_entries(row, path, zone)

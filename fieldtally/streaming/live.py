@@ -1,15 +1,18 @@
 """Latest record per interview and running status counts from a landing folder.
 
-Both jobs write what one batch changed into its own ``batch_id=N`` folder. A
-batch that runs again after a failure replaces its folder, so each batch counts
-once, and the work of a batch grows with the batch and not with all that came
-before. Readers resolve the changes to the present state. Batch numbers come
+Both jobs write what one batch changed into a folder of its own, so the work
+of a batch grows with the batch and not with all that came before. A batch that
+runs again after a failure writes the same rows once more into another folder
+beside the first; readers take one complete folder per batch, so each batch
+counts once and none is missing while it is written. Readers resolve the
+changes to the present state, from the last compaction on. Batch numbers come
 from the checkpoint, so a target folder belongs to one checkpoint: with a new
 checkpoint start a new target.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +21,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fieldtally.operators.linkage import latest_per_key
 
+BATCH, COMPACT = "batch_id", "upto"
+
 
 def landing_stream(
     spark: SparkSession, folder: str, schema, pattern: str | None = None, files_per_batch: int | None = None
@@ -31,49 +36,90 @@ def landing_stream(
     return reader.parquet(folder)
 
 
+def _complete(spark: SparkSession, target: str, kind: str) -> dict[int, list[str]]:
+    """Folders of ``target`` that were written to the end, by their number."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(target)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[int, list[str]] = {}
+    # A folder is done when its marker is there, which the writer puts last.
+    for status in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, f"{kind}=*/*/_SUCCESS")) or []:
+        folder = status.getPath().getParent()
+        number = int(folder.getParent().getName().split("=")[1])
+        found.setdefault(number, []).append(folder.toString())
+    return {n: sorted(paths) for n, paths in found.items()}
+
+
+def publish(df: DataFrame, target: str, number: int, kind: str = BATCH) -> None:
+    """Store the rows of one batch, unless a complete folder of it is there."""
+    if number not in _complete(df.sparkSession, target, kind):
+        df.write.parquet(f"{target}/{kind}={number}/{uuid.uuid4().hex}")
+
+
+def changes(spark: SparkSession, target: str) -> DataFrame:
+    """Rows of the last compaction and of all later batches, with the number of their batch.
+
+    Folders of earlier batches are not opened.
+    """
+    compact = _complete(spark, target, COMPACT)
+    upto = max(compact, default=-1)
+    later = {n: p for n, p in _complete(spark, target, BATCH).items() if n > upto}
+    if not compact and not later:
+        raise FileNotFoundError(f"no complete batch in {target}")
+    parts = [(upto, [compact[upto][0]])] if compact else []
+    parts += [(n, [p[0]]) for n, p in sorted(later.items())]
+    schema = spark.read.parquet(parts[0][1][0]).schema
+    rows = spark.read.schema(schema).parquet(*[p for _, paths in parts for p in paths])
+    folder = F.regexp_extract(F.input_file_name(), r"(?:batch_id|upto)=(\d+)/", 1).cast("bigint")
+    return rows.withColumn("__batch", folder)
+
+
+def compact(spark: SparkSession, target: str, present: DataFrame) -> int:
+    """Publish ``present``, the state over ``changes``, as one folder; return the last batch it covers.
+
+    Only the last compaction and the batches after it are read for it. What the
+    compaction before it covered is removed then; the batches between the two
+    stay, for readers that have begun with the older one.
+    """
+    before = max(_complete(spark, target, COMPACT), default=-1)
+    upto = max(_complete(spark, target, BATCH), default=before)
+    if upto > before:
+        publish(present, target, upto, COMPACT)
+        _remove(spark, target, BATCH, before)
+        _remove(spark, target, COMPACT, before - 1)
+    return upto
+
+
+def _remove(spark: SparkSession, target: str, kind: str, last: int) -> None:
+    root = spark._jvm.org.apache.hadoop.fs.Path(target)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, f"{kind}=*")) or []:
+        if int(status.getPath().getName().split("=")[1]) <= last:
+            files.delete(status.getPath(), True)
+
+
 def keep_latest(
     stream: DataFrame, target: str, checkpoint: str, key: str, order: Sequence[str], columns: Sequence[str]
 ) -> StreamingQuery:
     """Reduce every batch to the last record per key and store it."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        last = latest_per_key(batch, [key], order, columns)
-        last.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        publish(latest_per_key(batch, [key], order, _kept(order, columns)), target, batch_id)
 
     return _start(stream.writeStream.outputMode("append"), store, checkpoint)
 
 
-def read_latest(
-    spark: SparkSession,
-    target: str,
-    key: str,
-    order: Sequence[str],
-    columns: Sequence[str],
-    compacted: tuple[str, int] | None = None,
-) -> DataFrame:
-    """Present record of every key over all stored batches.
+def _kept(order: Sequence[str], columns: Sequence[str]) -> list[str]:
+    return [*order, *[c for c in columns if c not in order]]
 
-    With ``compacted`` = (path, last batch in it) only later batches are read
-    beside it; the folders of earlier ones are not opened.
-    """
-    batches = spark.read.parquet(target)
-    if compacted:
-        path, upto = compacted
-        wanted = [key, *order, *[c for c in columns if c not in order]]
-        later = batches.filter(F.col("batch_id") > upto).select(*wanted)
-        batches = later.unionByName(spark.read.schema(later.schema).parquet(path))
-    return latest_per_key(batches, [key], order, columns)
-
-
-def compact_latest(
-    spark: SparkSession, target: str, into: str, key: str, order: Sequence[str], columns: Sequence[str]
-) -> int:
-    """Write the present records as one dataset and return the last batch it covers."""
-    upto = spark.read.parquet(target).agg(F.max("batch_id")).first()[0]
-    batches = spark.read.parquet(target).filter(F.col("batch_id") <= upto)
-    kept = [*order, *[c for c in columns if c not in order]]
-    latest_per_key(batches, [key], order, kept).write.mode("overwrite").parquet(into)
-    return upto
+
+def read_latest(spark: SparkSession, target: str, key: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Present record of every key."""
+    return latest_per_key(changes(spark, target), [key], order, columns)
+
+
+def compact_latest(spark: SparkSession, target: str, key: str, order: Sequence[str], columns: Sequence[str]) -> int:
+    """Fold the batches so far into one folder and return the last batch it covers."""
+    return compact(spark, target, read_latest(spark, target, key, order, _kept(order, columns)))
 
 
 def count_status(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str]) -> StreamingQuery:
@@ -81,15 +127,19 @@ def count_status(stream: DataFrame, target: str, checkpoint: str, keys: Sequence
     counts = stream.groupBy(*keys).agg(F.count("*").alias("n"))
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        publish(batch, target, batch_id)
 
     return _start(counts.writeStream.outputMode("update"), store, checkpoint)
 
 
 def read_status(spark: SparkSession, target: str, keys: Sequence[str]) -> DataFrame:
     """Present counts: those of the last batch that touched a key combination."""
-    changes = spark.read.parquet(target)
-    return changes.groupBy(*keys).agg(F.max_by("n", "batch_id").alias("n"))
+    return changes(spark, target).groupBy(*keys).agg(F.max_by("n", "__batch").alias("n"))
+
+
+def compact_status(spark: SparkSession, target: str, keys: Sequence[str]) -> int:
+    """Fold the counts so far into one folder and return the last batch it covers."""
+    return compact(spark, target, read_status(spark, target, keys))
 
 
 def _start(writer, store, checkpoint: str) -> StreamingQuery:

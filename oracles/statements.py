@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from fieldtally.functions.text import EXTRA_STOP_WORDS, FILLER_WORDS
-from fieldtally.plans.fieldwork import REVIEW_URL
-from fieldtally.plans.stopwords import ENGLISH
+from oracles.stopwords import ENGLISH
 from oracles.views import CONCERNS, DIMENSIONS, OPTIONS, cell, pct, stacked, with_views
 
+# Fixed values, written out here so that a wrong list elsewhere shows.
+REVIEW_URL = "https://survey.example.org/interview/review"
+EXTRA_STOP_WORDS = [
+    "to", "the", "a", "an", "nope", "for", "in", "none", "nome",
+]
+FILLER_WORDS = [
+    "nope", "to", "the", "none", "nothing", "nome", "a", "in", "for", "it", "of", "do", "they", "them", "is",
+    "with", "so", "i", "and", "also", "on", "because", "or", "has", "im", "we", "that", "need", "who", "are",
+    "about",
+]
+
 WEIGHT = "coalesce(sum(ind_weight), 0)"
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
@@ -119,6 +128,15 @@ SELECT interview_key, community AS ctv, strata, CAST(sex AS BIGINT) AS sex, age_
   CAST(employed AS BIGINT) AS employed, workertype_group, education, ethnicity, q1, q2,
   {", ".join(f"CAST({o} AS BIGINT) AS {o}" for o in OPTIONS)}, CAST(ind_weight AS DOUBLE) AS weight
 FROM base WHERE ind_weight IS NOT NULL""",
+        "anonymised_ratings": """
+SELECT CAST(rated AS BIGINT) AS rated_item, CAST(rate AS BIGINT) AS rate, interview_key, community AS ctv, strata,
+  CAST(sex AS BIGINT) AS sex, age_group, ethnicity, ethnicity_group, education, ed_attainment,
+  CAST(employed AS BIGINT) AS employed, workertype_group, CAST(ind_weight AS DOUBLE) AS weight FROM rated_base""",
+        "replaced_table": "SELECT interview_key, result FROM interviews",
+        "audit_log": """
+SELECT strftime(ts - INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, CAST(user_id AS VARCHAR) AS user,
+  CASE event_type WHEN 'purchase' THEN 'Completed' ELSE event_type END AS action FROM events""",
+        "first_columns": "SELECT interview_key, interview_id, address_id, result_code, result, round FROM interviews",
         "not_listed_answers": """
 SELECT result, count(*) FILTER (WHERE q2 IS NULL OR q2 NOT IN ('Yes', 'DK')) AS not_listed,
   count(*) FILTER (WHERE q2 <> 'Yes') AS other_than_yes, count(*) AS n FROM interviews GROUP BY result""",
@@ -136,7 +154,7 @@ SELECT i.interview_key, i.result, CAST(r.rel AS BIGINT) AS rel, r.age
 FROM interviews i LEFT JOIN roster r USING (interview_key)""",
         "full_roster": """
 SELECT interview_key, i.result, CAST(r.rel AS BIGINT) AS rel
-FROM (SELECT * FROM interviews WHERE result IS NOT NULL) i FULL JOIN roster r USING (interview_key)""",
+FROM interviews i FULL JOIN roster r USING (interview_key)""",
         "head_attributes": """
 SELECT i.interview_key, i.result, CAST(h.sex AS BIGINT) AS sex, h.age_group, h.ethnicity_group, h.ed_attainment,
   CAST(h.employed AS BIGINT) AS employed, h.workertype_group
@@ -144,7 +162,8 @@ FROM interviews i LEFT JOIN heads h USING (interview_key)""",
         "frame_join": "SELECT frame_id, frame_community, interview_key, interview_id, result FROM joined",
         "frame_semi": """
 SELECT frame_id, frame_community, frame_head FROM frame
-WHERE frame_id IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""",
+WHERE EXISTS (SELECT 1 FROM households h WHERE frame.ed = h.ed AND frame.building_number = h.building_number
+  AND frame.dwelling_number = h.dwelling_number AND frame.household_number = h.household_number)""",
         "refreshed_frame": """
 SELECT frame_id, frame_community, round_even(l.lon, 6) AS lon, round_even(l.lat, 6) AS lat
 FROM frame JOIN lots l ON frame_id = polygon_id""",
@@ -183,13 +202,15 @@ def _described(source: str, variables: dict[str, str], n: str) -> str:
 def _margins(source: str, row: str, col: str, where: str = "true", rows: bool = True, cols: bool = True) -> str:
     r, c = f"CAST({row} AS VARCHAR)", f"CAST({col} AS VARCHAR)"
     src = f"FROM {source} WHERE {where}"
-    parts = [f"SELECT {r} AS row, {c} AS col, false AS is_total, count(*) AS n {src} GROUP BY {row}, {col}"]
+    parts = [
+        f"SELECT {r} AS row, {c} AS col, false AS is_total, false AS is_total_col, count(*) AS n {src} GROUP BY {row}, {col}"
+    ]
     if cols:
-        parts.append(f"SELECT {r}, 'Total', false, count(*) {src} GROUP BY {row}")
+        parts.append(f"SELECT {r}, 'Total', false, true, count(*) {src} GROUP BY {row}")
     if rows:
-        parts.append(f"SELECT 'Total', {c}, true, count(*) {src} GROUP BY {col}")
+        parts.append(f"SELECT 'Total', {c}, true, false, count(*) {src} GROUP BY {col}")
     if rows and cols:
-        parts.append(f"SELECT 'Total', 'Total', true, count(*) {src}")
+        parts.append(f"SELECT 'Total', 'Total', true, true, count(*) {src}")
     double = 2 if cols else 1
     return f"""
 SELECT *, n / CAST(row_total AS DOUBLE) AS prop FROM (
@@ -229,7 +250,7 @@ SELECT community, count(*) FILTER (WHERE result = 'Completed') AS "Completed",
   count(*) FILTER (WHERE result = 'Partial') AS "Partial", count(*) FILTER (WHERE result = 'Refused') AS "Refused"
 FROM households WHERE community IS NOT NULL AND result IS NOT NULL GROUP BY community""",
         "crosstab_margins": f"""
-SELECT row, col, is_total, n, round_even(prop, 6) AS prop, {cell("prop", "n", keep_zero=True)} AS cell
+SELECT row, col, is_total, is_total_col, n, round_even(prop, 6) AS prop, {cell("prop", "n", keep_zero=True)} AS cell
 FROM ({_margins("households", "community", "q1")})""",
         "cell_share": """
 SELECT community AS row, age_group AS col, CAST(n AS DOUBLE) AS n,
@@ -239,12 +260,19 @@ FROM (SELECT community, age_group, coalesce(sum(ind_weight), 0) AS n FROM weight
         + ", ".join(f"nullif(count(*) FILTER (WHERE age_group = '{b}'), 0) AS \"{b}\"" for b in wide_bands)
         + " FROM members LEFT JOIN interviews USING (interview_key) GROUP BY result",
         "crosstab_region": f"""
-SELECT r.district, t.row, t.col, t.n, round_even(t.prop, 6) AS prop, {cell("t.prop", "t.n", keep_zero=True)} AS cell
+SELECT r.district, t.row, t.col, t.is_total, t.is_total_col, t.n, round_even(t.prop, 6) AS prop, {cell("t.prop", "t.n", keep_zero=True)} AS cell
 FROM ({_margins("households", "community", "q1", "q1 <> '4-NOT SPECIFIED'")}) t
-LEFT JOIN (SELECT DISTINCT community, district FROM households) r ON r.community = t.row""",
+LEFT JOIN (SELECT DISTINCT community, district FROM places) r ON r.community = t.row""",
         "crosstab_district": f"""
-SELECT row AS district, {spread} FROM (SELECT row, col, {cell("prop", "n", keep_zero=True)} AS cell
-  FROM ({_margins("households", "district", "q1", "q1 IS NOT NULL")})) GROUP BY row""",
+SELECT row AS district, is_total, {spread} FROM (SELECT row, col, is_total, {cell("prop", "n", keep_zero=True)} AS cell
+  FROM ({_margins("households", "district", "q1", "q1 IS NOT NULL")})) GROUP BY row, is_total""",
+        "crosstab_constituency": f"""
+SELECT p.district, c.* FROM (
+  SELECT row AS community, is_total, max(CASE WHEN col = '1-URGENT' THEN cell END) AS "1-URGENT",
+    max(CASE WHEN col = '2-HIGH' THEN cell END) AS "2-HIGH", max(CASE WHEN is_total_col THEN cell END) AS "Total"
+  FROM (SELECT *, {cell("prop", "n", keep_zero=True)} AS cell
+    FROM ({_margins("households", "community", "q1", "q1 IS NOT NULL")})) GROUP BY row, is_total) c
+LEFT JOIN (SELECT DISTINCT community, district FROM places) p ON p.community = c.community""",
         "chart_counts": "\nUNION ALL\n".join(
             f"SELECT '{name}' AS chart, CAST({x} AS VARCHAR) AS x, CAST({fill} AS VARCHAR) AS fill, count(*) AS n "
             f"FROM households GROUP BY ALL"
@@ -266,6 +294,11 @@ SELECT community, count(*) FILTER (WHERE result = 'Completed') AS completed,
     }
 
 
+def _printed(option: str) -> str:
+    percent = f"CAST(CAST(round_even(coalesce(sum({option}), 0) / CAST(count(*) AS DOUBLE), 3) * 100 AS DECIMAL(9, 1)) AS VARCHAR)"
+    return f"regexp_replace({percent}, '\\.0$', '') || '% (' || CAST(coalesce(sum({option}), 0) AS VARCHAR) || ')'"
+
+
 def _banners() -> dict[str, str]:
     single = _banner("q1", WEIGHT, "q1 IS NOT NULL")
     report = "\nUNION ALL\n".join(
@@ -344,11 +377,12 @@ SELECT dimension, item, option, CAST(selected AS DOUBLE) AS selected, CAST(t AS
   round_even(selected / nullif(CAST(t AS DOUBLE), 0), 6) AS prop
 FROM (SELECT *, sum(selected) OVER (PARTITION BY dimension, item) AS t
   FROM ({_option_rows("households", ["district"], "1")}))""",
-        "multi_mentions": "SELECT strata, option, n FROM (\n"
+        "multi_mentions": "SELECT strata, option, is_total, n FROM (\n"
         + "\nUNION ALL\n".join(
-            f"SELECT strata, '{o}' AS option, CAST(sum({o}) AS BIGINT) AS n FROM households GROUP BY strata" for o in OPTIONS
+            f"SELECT strata, '{o}' AS option, false AS is_total, CAST(sum({o}) AS BIGINT) AS n FROM households GROUP BY strata"
+            for o in OPTIONS
         )
-        + "\nUNION ALL\nSELECT strata, 'Total', CAST(sum("
+        + "\nUNION ALL\nSELECT strata, 'Total', true, CAST(sum("
         + " + ".join(f"coalesce({o}, 0)" for o in OPTIONS)
         + ") AS BIGINT) FROM households GROUP BY strata) WHERE n > 0",
         "multiselect_region": "\nUNION ALL\n".join(
@@ -363,6 +397,18 @@ FROM (SELECT *, sum(selected) OVER (PARTITION BY dimension, item) AS t
             "FROM households GROUP BY district, community"
             for o in OPTIONS
         ),
+        "region_printed": "SELECT district, is_overall, "
+        + ", ".join(f"max(CASE WHEN option = '{o}' THEN c END) AS {o}" for o in OPTIONS)
+        + " FROM ("
+        + "\nUNION ALL\n".join(
+            f"SELECT {d} AS district, {whole} AS is_overall, '{o}' AS option, {_printed(o)} AS c FROM households {g}"
+            for o in OPTIONS
+            for d, whole, g in (("district", "false", "GROUP BY district"), ("'National'", "true", ""))
+        )
+        + ") GROUP BY district, is_overall",
+        "constituency_printed": "SELECT district, community, "
+        + ", ".join(f"{_printed(o)} AS {o}" for o in OPTIONS)
+        + " FROM households GROUP BY district, community",
         "multi_item_share": "\nUNION ALL\n".join(shares),
         "yes_share": _with_prop(heard, kind="BIGINT"),
         "rating_distribution": _with_prop(rated, "rated, dimension, item", "rated, dimension, item, answer"),
@@ -372,7 +418,8 @@ SELECT rated, dimension, item, {points} FROM (SELECT rated, dimension, item, ans
 GROUP BY rated, dimension, item""",
         "rating_means": means,
         "rating_means_wide": f"""
-SELECT dimension, item, {", ".join(f"max(CASE WHEN rated = {i} THEN m END) AS item_{i}" for i in range(1, 8))}
+SELECT dimension, item,
+  {", ".join(f"coalesce(max(CASE WHEN rated = {i} THEN printf('%.2f', m) END), '0% (0)') AS item_{i}" for i in range(1, 8))}
 FROM ({means.replace(", 6) AS mean", ", 2) AS m")}) GROUP BY dimension, item""",
         "weighted_mean": """
 SELECT CAST(rated AS BIGINT) AS rated_item, round_even(CAST(sum(ind_weight * rate) AS DOUBLE) /
@@ -428,7 +475,7 @@ SELECT count(*) AS submitted, count(*) FILTER (WHERE result = 'Completed') AS co
   count(DISTINCT coalesce(community, '?')) AS communities_started,
   (SELECT count(*) FROM (SELECT frame_community FROM joined GROUP BY 1
     HAVING count(*) FILTER (WHERE community IS NULL) = 0)) AS communities_completed
-FROM visits""",
+FROM households""",
         "pending_by_community": """
 SELECT frame_community, count(*) FILTER (WHERE community IS NULL) AS pending FROM joined GROUP BY 1""",
         "communities": "SELECT frame_community, count(interview_key) > 0 AS started FROM joined GROUP BY 1",
@@ -438,7 +485,7 @@ SELECT *, {pct("visited / CAST(sampled AS DOUBLE)")} AS visited_pct,
         "submission_table": f"""
 WITH s AS (SELECT frame_community AS community, ed, count(*) AS sampled FROM frame GROUP BY 1, 2),
 g AS (SELECT community, ed, count(*) AS submitted, nullif(count(*) FILTER (WHERE result = 'Completed'), 0) AS completed
-  FROM visits GROUP BY 1, 2),
+  FROM households GROUP BY 1, 2),
 t AS (SELECT s.community, CAST(s.ed AS VARCHAR) AS ed, sampled, submitted, completed FROM s LEFT JOIN g
   ON s.community IS NOT DISTINCT FROM g.community AND s.ed = g.ed)
 SELECT *, {pct("completed / CAST(sampled AS DOUBLE)")} AS completed_pct FROM t
@@ -450,10 +497,7 @@ FROM ({_margins("households", "community", "result", cols=False)})""",
         "map_status": f"""
 SELECT frame_id, interview_key, frame_community,
   CASE WHEN result = 'Completed' THEN 'green' WHEN result IS NOT NULL THEN 'orange' ELSE 'white' END AS colour,
-  CASE WHEN interview_key IS NULL THEN 'Head Name: ' || frame_head || '<br />No questionnaire available'
-    ELSE 'Head Name: ' || frame_head || '<br />Result: ' || coalesce(result, 'NA') || '<br /><a href=''' || {link} ||
-      ''' target=''_blank''>Questionnaire Link</a><br />' END AS popup,
-  frame_head AS label FROM joined""",
+  frame_head AS head, result, CASE WHEN interview_key IS NOT NULL THEN {link} END AS link FROM joined""",
         "nonrespondents": f"""
 SELECT interview_key, head_name, community, result, responsible, {link} AS link FROM households
 WHERE result <> 'Completed'""",

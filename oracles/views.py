@@ -23,6 +23,7 @@ def _option(i: int) -> str:
     )
 
 
+# Codes, ranges and labels below are fixed values of the survey, stated apart from the library on purpose.
 VIEWS = {
     "interviews": f"""
 SELECT o_orderkey AS interview_key, 'iv-' || o_orderkey AS interview_id, o_custkey AS address_id,
@@ -46,7 +47,6 @@ SELECT c_custkey AS address_id, CASE WHEN c_custkey % 41 = 0 THEN NULL ELSE n_na
   c_name AS head_name
 FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""",
     "households": "SELECT i.*, p.* EXCLUDE (address_id) FROM interviews i LEFT JOIN places p USING (address_id)",
-    "visits": "SELECT * FROM households WHERE round = '1-URGENT'",
     "roster": """
 SELECT l_orderkey AS interview_key, l_linenumber AS rel,
   CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS sex,
@@ -98,7 +98,8 @@ FROM orders WHERE o_orderstatus <> 'P'""",
     "frame": """
 SELECT c_custkey AS frame_id, n_name AS frame_community, c_nationkey AS ed, c_name AS frame_head,
   CAST(c_custkey // 100 AS INTEGER) AS building_number, CAST((c_custkey // 5) % 10 AS INTEGER) AS dwelling_number,
-  CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE CAST(c_custkey % 5 AS INTEGER) END AS household_number,
+  CASE WHEN c_custkey % 17 = 0 THEN NULL WHEN c_custkey % 13 = 0 THEN 9 ELSE CAST(c_custkey % 5 AS INTEGER) END
+    AS household_number,
   CASE WHEN c_custkey % 31 = 0 THEN NULL ELSE -88 - (c_custkey % 100) / 1000.0::DOUBLE END AS lon,
   CASE WHEN c_custkey % 31 = 0 THEN NULL ELSE 17 + (c_custkey % 37) / 1000.0::DOUBLE END AS lat
 FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""",
@@ -118,7 +119,7 @@ SELECT h.*, w.ind_weight, p.community FROM heads h JOIN interviews i USING (inte
 WHERE i.result_code = 1""",
     "joined": """
 SELECT f.frame_id, f.frame_community, f.frame_head, v.interview_key, v.interview_id, v.result, v.community
-FROM frame f LEFT JOIN visits v ON f.ed IS NOT DISTINCT FROM v.ed
+FROM frame f LEFT JOIN households v ON f.ed IS NOT DISTINCT FROM v.ed
   AND f.building_number IS NOT DISTINCT FROM v.building_number
   AND f.dwelling_number IS NOT DISTINCT FROM v.dwelling_number
   AND f.household_number IS NOT DISTINCT FROM v.household_number""",
@@ -131,11 +132,24 @@ SELECT event_id AS interview_key, 'interviewer' || (event_id % 7) AS responsible
     ELSE (event_id % 24) * 3600 + (event_id % 60) * 60 + (event_id * 7) % 60 END AS seconds_of_day,
   event_id % 3 AS days
 FROM events""",
+    "corners": """
+SELECT * FROM (VALUES (0, 1, 0, 0), (0, 2, 1, 0), (0, 3, 1, 1), (0, 4, 0, 1),
+  (1, 10, 0, 0), (1, 20, 3, 0), (1, 30, 3, 1), (1, 50, 1, 1), (1, 60, 1, 3), (1, 9000, 0, 3),
+  (2, 1, 0, 0), (2, 2, 0, 2), (2, 4, 3, 0),
+  (3, 7, 0, 0), (3, 8, 0, 3), (3, 9, 1, 3), (3, 10, 1, 1), (3, 11, 3, 1), (3, 5000, 3, 0),
+  (4, 3, 2, 2), (5, 1, 0, 0), (5, 2, 4, 2)) AS c(shape, seq, x, y)""",
+    # Shoelace sums over the edges from each vertex to the next, the last to the first; closing vertices are left out above.
     "lots": """
-SELECT c_custkey AS polygon_id,
-  -88 - (c_custkey % 100) / 1000.0::DOUBLE + (1 + c_custkey % 7) * 0.0005::DOUBLE AS lon,
-  17 + (c_custkey % 37) / 1000.0::DOUBLE + (1 + c_custkey % 5) * 0.0005::DOUBLE AS lat
-FROM customer""",
+SELECT polygon_id, CASE WHEN a = 0 THEN mean_x ELSE mx / (3 * a) END * sx + ox AS lon,
+  CASE WHEN a = 0 THEN mean_y ELSE my / (3 * a) END * sy + oy AS lat
+FROM (SELECT shape, sum(x * ny - nx * y) AS a, sum((x + nx) * (x * ny - nx * y)) AS mx, avg(x) AS mean_x,
+    sum((y + ny) * (x * ny - nx * y)) AS my, avg(y) AS mean_y
+  FROM (SELECT *, coalesce(lead(x) OVER w, first(x) OVER w) AS nx, coalesce(lead(y) OVER w, first(y) OVER w) AS ny
+    FROM corners WINDOW w AS (PARTITION BY shape ORDER BY seq))
+  GROUP BY shape)
+JOIN (SELECT c_custkey AS polygon_id, c_custkey % 6 AS shape, -88 - (c_custkey % 100) / 1000.0::DOUBLE AS ox,
+    17 + (c_custkey % 37) / 1000.0::DOUBLE AS oy, (1 + c_custkey % 7) * 0.001::DOUBLE AS sx,
+    (1 + c_custkey % 5) * 0.001::DOUBLE AS sy FROM customer) USING (shape)""",
 }
 
 

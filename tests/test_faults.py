@@ -1,0 +1,114 @@
+"""Faults that were found once: polygons that vanish, identifiers that slip through, margins that merge."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from conftest import rows
+
+from fieldtally.operators import codebook, geo, monitor, multiselect, privacy, tabulate
+from fieldtally.plans import catalog
+from fieldtally.sources import schemas
+
+SQUARE = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
+
+
+def centroid(ring):
+    """Centroid of a ring by the shoelace sums, the mean where it has no area."""
+    ring = [p for p in ring if None not in p]
+    if not ring:
+        return None, None
+    if len(ring) > 1 and ring[-1] == ring[0]:
+        ring = ring[:-1]
+    ox, oy = ring[0]
+    local = [(x - ox, y - oy) for x, y in ring]
+    a = mx = my = 0.0
+    for (x0, y0), (x1, y1) in zip(local, local[1:] + local[:1], strict=True):
+        c = x0 * y1 - x1 * y0
+        a, mx, my = a + c, mx + (x0 + x1) * c, my + (y0 + y1) * c
+    if abs(a) < 1e-9:
+        return sum(x for x, _ in ring) / len(ring), sum(y for _, y in ring) / len(ring)
+    return ox + mx / (3 * a), oy + my / (3 * a)
+
+
+def test_no_polygon_vanishes_or_is_bent(spark):
+    rng = random.Random(8)
+    rings = {
+        "gaps": [(10 * i, *p) for i, p in enumerate(SQUARE)],
+        "one gap": [(i + (i > 1), *p) for i, p in enumerate(SQUARE)],
+        "closed": [(i, *p) for i, p in enumerate([*SQUARE, SQUARE[0]])],
+        "turned": [(i, *p) for i, p in enumerate(reversed(SQUARE))],
+        "point": [(5, 3.0, 4.0)],
+        "line": [(1, 0.0, 0.0), (2, 4.0, 4.0)],
+        "line and back": [(1, 0.0, 0.0), (2, 4.0, 4.0), (3, 0.0, 0.0)],
+        "triangle": [(1, 0.0, 0.0), (2, 3.0, 1.0), (3, 1.0, 4.0)],
+        "parts": [(5000 * i, *p) for i, p in enumerate([(0.0, 0.0), (3.0, 0.0), (3.0, 1.0), (1.0, 1.0), (1.0, 3.0), (0.0, 3.0)])],
+        "no place": [(1, None, 2.0)],
+        "part of it without a place": [(1, 0.0, 0.0), (2, None, None), (4000, 1.0, 0.0), (4097, None, 1.0), (9000, 1.0, 1.0)],
+        None: [(1, 1.0, 1.0)],
+    }
+    for i in range(30):
+        n = rng.randint(3, 12)
+        rings[f"r{i}"] = [(k * rng.choice([1, 3]) if k < 2 else k * 700, rng.uniform(-88.3, -88.2), rng.uniform(17.0, 17.1)) for k in range(n)]
+    vertices = [(name, s, x, y) for name, ring in rings.items() for s, x, y in ring]
+    rng.shuffle(vertices)
+    frame = spark.createDataFrame(vertices, "polygon_id string, seq int, lon double, lat double").repartition(4)
+    for part in (geo.PART, 3):
+        got = {r.polygon_id: (r.lon, r.lat) for r in geo.polygon_centroids(frame, part=part).collect()}
+        assert set(got) == set(rings)
+        for name, ring in rings.items():
+            want = centroid([(x, y) for _, x, y in sorted(ring, key=lambda v: v[0])])
+            assert got[name] == (pytest.approx(want[0], abs=1e-9), pytest.approx(want[1], abs=1e-9)) if want[0] is not None else got[name] == want
+
+
+def test_polygons_are_read_once(spark, folder):
+    df = catalog.queries()["polygon_centroids"](spark, folder)
+    assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("FileScan") == 1
+
+
+def test_every_identifier_of_the_delivered_tables_is_refused(spark):
+    free = {
+        "interview__key", "interview_key", "ctv", "ctv_official", "rel", "sex", "age", "ethnicity", "ed_attending", "ed_clevel", "ed_llevel",
+        "employed", "workertype", "k2_roster__id", "k2_rate", "ind_weights", "action", "date", "originator", "role", "interview__duration",
+        "quantity", "interview", "polygon_id", "seq",
+    }
+    names = {f.name for v in vars(schemas).values() if hasattr(v, "fields") for f in v.fields}
+    names |= {"GPS_Building_Navig__Latitude", "hh_gps__Longitude", "visits__id", "Name_1", "interview_id", "assignment_id", "sssys_irnd", "has__errors"}
+    for name in names - free:
+        assert privacy.identifying([name]) == [name], name
+        df = spark.createDataFrame([(1,)], f"`{name}` int")
+        with pytest.raises(ValueError, match="identifying"):
+            privacy.anonymise(df, [name])
+    assert privacy.identifying(sorted(free)) == []
+
+
+def test_levels_called_total_are_not_the_margin(spark):
+    data = [("X", "Yes"), ("X", "Total"), ("Total", "Yes"), ("Y", "No")]
+    table = tabulate.with_margins(tabulate.crosstab(spark.createDataFrame(data, "row string, col string"), "row", "col"))
+    got = {(r.row, r.col, r.is_total, r.is_total_col): (r.n, round(r.prop, 3)) for r in table.collect()}
+    assert got["X", "Total", False, False] == (1, 0.5) and got["X", "Total", False, True] == (2, 1.0)
+    assert got["Total", "Yes", False, False] == (1, 1.0) and got["Total", "Yes", True, False] == (2, 0.5)
+    assert got["Total", "Total", True, True] == (4, 1.0) and max(p for _, p in got.values()) == 1.0
+    spread = tabulate.wide_margins(table, ["row", "is_total"], ["Yes", "No"], "n")
+    assert {(r.row, r.is_total): (r.Yes, r.No, r.Total) for r in spread.collect()}[("X", False)] == (1, None, 2)
+    with pytest.raises(ValueError, match="margin"):
+        tabulate.wide_margins(table, ["row"], ["Total"], "n")
+    options = spark.createDataFrame([("a", 1, 0), ("a", 1, 1)], "g string, Total int, other int")
+    ticked = multiselect.mentions(options, ["Total", "other"], "g")
+    assert {(r.option, r.is_total): r.n for r in ticked.collect()} == {("Total", False): 2, ("other", False): 1, ("Total", True): 3}
+
+
+def test_a_code_listed_twice_is_an_error(spark):
+    book = spark.createDataFrame([("q", 1, "a", 1), ("q", 1, "b", 2), ("q", 2, "c", 3)], codebook.SCHEMA)
+    answers = spark.createDataFrame([(1,), (2,)], "q long")
+    with pytest.raises(Exception, match="listed twice"):
+        codebook.decode(answers, book, ["q"]).collect()
+    assert rows(codebook.decode(answers, book.filter("label <> 'b'"), ["q"]), "q", "q_label") == [(1, "a"), (2, "c")]
+
+
+def test_addresses_with_many_pairs_are_reported(spark):
+    frame = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "b", 1)], "id int, ed string, household int")
+    visits = spark.createDataFrame([(i, "a", None) for i in range(3)], "key int, ed string, household int")
+    got = monitor.address_fanout(frame, visits, ["ed", "household"])
+    assert rows(got) == [("a", None, 2, 3, 6)]

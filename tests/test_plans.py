@@ -59,6 +59,44 @@ def test_head_filter_reaches_the_scan(spark, folder):
     assert "EqualTo(l_linenumber,1)" in plan
 
 
+def scans(df, table: str) -> int:
+    """Scans of a table in the plan that ran."""
+    df.collect()
+    final = physical(df).split("Initial Plan")[0]
+    return len(re.findall(rf"FileScan parquet[^\n]*{table}\.parquet", final))
+
+
+def test_banner_links_each_table_once(no_broadcast, folder):
+    df = QUERIES["banner_single"](no_broadcast, folder)
+    assert scans(df, "lineitem") == 1
+    assert scans(df, "orders") <= 2
+
+
+@pytest.mark.parametrize("name", ["rating_distribution", "rating_means", "likert_summary"])
+def test_ratings_are_shuffled_once(name, no_broadcast, folder):
+    df = QUERIES[name](no_broadcast, folder)
+    assert scans(df, "lineitem") <= 2
+    final = physical(df).split("Initial Plan")[0]
+    raw = [line for line in final.splitlines() if "hashpartitioning(interview_key" in line]
+    # Ratings, heads, interviews and weights by their key, nothing of them twice.
+    assert len(raw) <= 5
+
+
+def test_crosstab_by_region_reads_interviews_once(no_broadcast, folder):
+    assert scans(QUERIES["crosstab_region"](no_broadcast, folder), "orders") == 1
+
+
+def test_no_counting_and_no_hints_while_planning():
+    import pathlib
+
+    import fieldtally
+
+    for path in pathlib.Path(fieldtally.__file__).parent.rglob("*.py"):
+        if "llm" not in path.parts:
+            text = path.read_text()
+            assert ".rdd" not in text and "F.broadcast(" not in text and ".count()" not in text, path
+
+
 def test_totals_reuse_the_shuffle_of_the_counts(no_broadcast, folder):
     t = SurveyTables(no_broadcast, folder)
     df = tabulate.with_share(tabulate.frequency(t.interviews, ["q1", "q2"]), ["q1"])

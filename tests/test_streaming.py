@@ -51,21 +51,59 @@ def test_latest_record_over_arriving_files(spark, landing, tmp_path):
     assert rows(run()) == whole
 
 
-def test_later_batches_are_read_beside_a_compacted_set(spark, tmp_path):
-    target, compact = str(tmp_path / "latest"), str(tmp_path / "compact")
-    schema, order, columns = "key int, t int, v string", ["t"], ["v"]
-    batches = [[(1, 1, "a"), (2, 5, "b")], [(1, 2, "c")], [(2, 4, "late"), (3, 1, "new"), (1, 9, "d")]]
+def batch_folders(target):
+    return {p.name for p in target.iterdir()}
+
+
+def test_compaction_goes_on_from_the_last_one(spark, tmp_path):
+    target, order, columns = str(tmp_path / "latest"), ["t"], ["v"]
+    batches = [[(1, 1, "a"), (2, 5, "b")], [(1, 2, "c")], [(2, 4, "late"), (3, 1, "new"), (1, 9, "d")], [(4, 1, "e")]]
 
     def store(i):
-        spark.createDataFrame(batches[i], schema).write.mode("overwrite").parquet(f"{target}/batch_id={i}")
+        live.publish(spark.createDataFrame(batches[i], "key int, t int, v string"), target, i)
+
+    def present():
+        return rows(live.read_latest(spark, target, "key", order, columns))
 
     store(0), store(1)
-    upto = live.compact_latest(spark, target, compact, "key", order, columns)
-    assert upto == 1 and rows(spark.read.parquet(compact), "key", "v") == [(1, "c"), (2, "b")]
+    assert live.compact_latest(spark, target, "key", order, columns) == 1
+    assert present() == [(1, "c"), (2, "b")]
     store(2)
-    both = live.read_latest(spark, target, "key", order, columns, (compact, upto))
-    assert rows(both) == rows(live.read_latest(spark, target, "key", order, columns))
-    assert rows(both) == [(1, "d"), (2, "b"), (3, "new")]
+    # Covered batches stay until the next compaction, but they are not opened.
+    files = live.changes(spark, target).inputFiles()
+    assert not any("batch_id=0" in f or "batch_id=1" in f for f in files)
+    assert present() == [(1, "d"), (2, "b"), (3, "new")]
+    assert live.compact_latest(spark, target, "key", order, columns) == 2
+    assert batch_folders(tmp_path / "latest") == {"batch_id=2", "upto=1", "upto=2"}
+    store(3)
+    assert all("upto=2" in f or "batch_id=3" in f for f in live.changes(spark, target).inputFiles())
+    assert present() == [(1, "d"), (2, "b"), (3, "new"), (4, "e")]
+    assert live.compact_latest(spark, target, "key", order, columns) == 3
+    assert batch_folders(tmp_path / "latest") == {"batch_id=3", "upto=2", "upto=3"}
+    # Nothing new: nothing to do.
+    assert live.compact_latest(spark, target, "key", order, columns) == 3
+    assert present() == [(1, "d"), (2, "b"), (3, "new"), (4, "e")]
+
+
+def test_counts_are_compacted_too(spark, tmp_path):
+    target = str(tmp_path / "counts")
+    for i, batch in enumerate([[("a", 1), ("b", 2)], [("a", 4)], [("c", 1)]]):
+        live.publish(spark.createDataFrame(batch, "status string, n long"), target, i)
+        live.compact_status(spark, target, ["status"]) if i == 1 else None
+    assert rows(live.read_status(spark, target, ["status"])) == [("a", 4), ("b", 2), ("c", 1)]
+    live.publish(spark.createDataFrame([("a", 9)], "status string, n long"), target, 3)
+    assert live.compact_status(spark, target, ["status"]) == 3
+    assert rows(live.read_status(spark, target, ["status"])) == [("a", 9), ("b", 2), ("c", 1)]
+
+
+def test_a_half_written_batch_is_not_read(spark, tmp_path):
+    target = tmp_path / "latest"
+    live.publish(spark.createDataFrame([(1, 1, "a")], "key int, t int, v string"), str(target), 0)
+    spark.createDataFrame([(1, 9, "half")], "key int, t int, v string").write.parquet(str(target / "batch_id=1" / "x"))
+    (target / "batch_id=1" / "x" / "_SUCCESS").unlink()
+    assert rows(live.read_latest(spark, str(target), "key", ["t"], ["v"])) == [(1, "a")]
+    live.publish(spark.createDataFrame([(1, 8, "whole")], "key int, t int, v string"), str(target), 1)
+    assert rows(live.read_latest(spark, str(target), "key", ["t"], ["v"])) == [(1, "whole")]
 
 
 def test_status_counts_over_arriving_files(spark, landing, tmp_path):
@@ -85,10 +123,10 @@ def test_status_counts_over_arriving_files(spark, landing, tmp_path):
 
 
 def test_repeated_batch_counts_once(spark, tmp_path):
-    """A batch that is run again replaces what it wrote before."""
+    """A batch that is run again adds nothing."""
     target = str(tmp_path / "latest")
     batch = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "key int, t int, v string")
     for _ in range(2):
-        live.latest_per_key(batch, ["key"], ["t"], ["t", "v"]).write.mode("overwrite").parquet(f"{target}/batch_id=0")
+        live.publish(live.latest_per_key(batch, ["key"], ["t"], ["t", "v"]), target, 0)
     assert rows(live.read_latest(spark, target, "key", ["t"], ["t", "v"])) == [(1, 2, "b")]
-    assert spark.read.parquet(target).count() == 1
+    assert live.changes(spark, target).count() == 1
