@@ -22,14 +22,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_urls": urls.op8_urls,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_hilbert": shards.op10_hilbert,
+        "op10_hilbert": shards.OP10_SQL,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     statements = {
+        "op3_vectors": vectors.OP3_SQL,
         "op8_urls": urls.OP8_SQL,
         "op9_decontaminate": decontaminate.OP9_SQL,
+        "op10_hilbert": shards.OP10_SQL,
         "pipeline": corpus_pipeline.ORACLE_SQL,
     }
     return {name: sql for name, sql in statements.items() if sql}

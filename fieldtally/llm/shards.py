@@ -47,12 +47,12 @@ def log_value(name: str) -> Column:
     return F.expr(f"{digits} * 64 + (shiftright(shiftleft(`{name}`, 6), {digits} - 1) & 63)").cast("long")
 
 
-def _fine(value: Column, least: int | None, most: int | None) -> Column:
-    """Step of a value between the ends of its dimension, from 1; nulls are step 0."""
+def _fine(name: str, least: int | None, most: int | None) -> Column:
+    """Step of a value between the ends of its dimension, from 1, in whole numbers; nulls are step 0."""
     if least is None or most == least:
-        return F.when(value.isNull(), 0).otherwise(1)
-    wide = (value.cast("decimal(20,0)") - F.lit(least)) * (FINE - 2) / F.lit(most - least).cast("decimal(20,0)")
-    return F.when(value.isNull(), 0).otherwise(F.floor(wide).cast("int") + 1)
+        return F.expr(f"IF(`{name}` IS NULL, 0, 1)")
+    wide = f"(CAST(`{name}` AS DECIMAL(20,0)) - CAST('{least}' AS DECIMAL(20,0))) * {FINE - 2}"
+    return F.expr(f"IF(`{name}` IS NULL, 0, CAST({wide} div CAST('{most - least}' AS DECIMAL(20,0)) AS INT) + 1)")
 
 
 def with_cells(df: DataFrame, dimensions: list[Dimension], bits: int = BITS) -> DataFrame:
@@ -61,9 +61,11 @@ def with_cells(df: DataFrame, dimensions: list[Dimension], bits: int = BITS) ->
     What comes to the driver is two numbers and at most 2**bits borders per
     dimension, whatever the number of rows.
     """
-    ends = df.agg(*[f(d.value).alias(f"{f.__name__}_{d.name}") for d in dimensions for f in (F.min, F.max)]).first()
-    steps = {f"__step_{i}": _fine(d.value, ends[f"min_{d.name}"], ends[f"max_{d.name}"]) for i, d in enumerate(dimensions)}
-    df = df.withColumns(steps)
+    df = df.withColumns({f"__value_{i}": d.value for i, d in enumerate(dimensions)})
+    values = [f"__value_{i}" for i in range(len(dimensions))]
+    ends = df.agg(*[f(v) for v in values for f in (F.min, F.max)]).first()
+    steps = {f"__step_{i}": _fine(v, ends[2 * i], ends[2 * i + 1]) for i, v in enumerate(values)}
+    df = df.withColumns(steps).drop(*values)
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(c).alias("step")) for i, c in enumerate(steps)]))
     counts = df.select(pairs.alias("x")).groupBy("x.dim", "x.step").count()
     upto = counts.selectExpr(
@@ -192,3 +194,69 @@ def op10_hilbert(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "curve",
     )
+
+
+def _text_value_sql(name: str) -> str:
+    low, high = (f"(SELECT hex(encode({f}({name}))) FROM documents)" for f in ("min", "max"))
+    same = f"substr({low}, 1, 2 * i) = substr({high}, 1, 2 * i) AND 2 * i <= least(length({low}), length({high}))"
+    shared = f"(SELECT max(i) FROM range(0, 100) t(i) WHERE {same})"
+    return f"('0x' || rpad(substr(hex(encode({name})), 2 * {shared} + 1, 10), 10, '0'))::BIGINT"
+
+
+def _curve_sql(source: str, axes: list[str], bits: int = BITS) -> str:
+    """Rows of ``source`` with curve: one nested SELECT per step of the transform."""
+    first, sql = axes[0], f"SELECT * FROM {source}"
+    for level in range(bits - 1, 0, -1):
+        q, low = 1 << level, (1 << level) - 1
+        for c in axes:
+            moved = f"CASE WHEN {c} & {q} <> 0 THEN xor({first}, {low}) ELSE ({first} & {15 - low}) | ({c} & {low}) END AS {first}"
+            other = f", CASE WHEN {c} & {q} <> 0 THEN {c} ELSE ({c} & {15 - low}) | ({first} & {low}) END AS {c}" if c != first else ""
+            sql = f"SELECT * REPLACE ({moved}{other}) FROM ({sql})"
+    for before, c in zip(axes, axes[1:], strict=False):
+        sql = f"SELECT * REPLACE (xor({c}, {before}) AS {c}) FROM ({sql})"
+    flips = [f"CASE WHEN {axes[-1]} & {1 << level} <> 0 THEN {(1 << level) - 1} ELSE 0 END" for level in range(bits - 1, 0, -1)]
+    flip = flips[0]
+    for f in flips[1:]:
+        flip = f"xor({flip}, {f})"
+    bit = [
+        f"((xor({c}, flip) >> {level}) & 1) << {level * len(axes) + len(axes) - 1 - i}" for level in range(bits) for i, c in enumerate(axes)
+    ]
+    return f"SELECT *, CAST({' + '.join(f'({b})' for b in bit)} AS BIGINT) AS curve FROM (SELECT *, {flip} AS flip FROM ({sql}))"
+
+
+_DIMS_SQL = {"lang": _text_value_sql("lang"), "source": _text_value_sql("source"), "size": "", "doc_id": "doc_id"}
+_DIMS_SQL["size"] = "length(bin(size)) * 64 + (((size << 6) >> (length(bin(size)) - 1)) & 63)"
+_AXES = [f"x{i}" for i in range(len(_DIMS_SQL))]
+_VALUES = ", ".join(f"{v} AS v{i}" for i, v in enumerate(_DIMS_SQL.values()))
+_STEPS = ", ".join(
+    f"CASE WHEN v{i} IS NULL THEN 0 WHEN max(v{i}) OVER () = min(v{i}) OVER () THEN 1 ELSE CAST(((v{i} - min(v{i}) OVER ())::HUGEINT * {FINE - 2}) "
+    f"// (max(v{i}) OVER () - min(v{i}) OVER ()) AS INTEGER) + 1 END AS s{i}"
+    for i in range(len(_DIMS_SQL))
+)
+_CELLS = ", ".join(
+    f"c{i} AS (SELECT s{i}, CAST(((sum(n) OVER (ORDER BY s{i}) - n) * {1 << BITS}) // sum(n) OVER () AS INTEGER) AS x{i} "
+    f"FROM (SELECT s{i}, count(*) AS n FROM stepped GROUP BY 1))"
+    for i in range(len(_DIMS_SQL))
+)
+_CRC_POLYNOMIAL = 0xEDB88320
+OP10_SQL = f"""
+WITH RECURSIVE rounds(b, k, c) AS (
+  SELECT b, 0, b FROM range(256) t(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, {_CRC_POLYNOMIAL}) ELSE c >> 1 END FROM rounds WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM rounds WHERE k = 8),
+sized AS (
+  SELECT doc_id, lang, source, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size,
+    CAST(xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+      lambda b: ('0x' || b)::BIGINT)), lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1])), 4294967295) AS BIGINT) AS text_crc32
+  FROM documents, crc),
+valued AS (SELECT *, {_VALUES} FROM sized),
+stepped AS (SELECT *, {_STEPS} FROM valued),
+{_CELLS},
+celled AS (SELECT * FROM stepped {" ".join(f"JOIN c{i} USING (s{i})" for i in range(len(_DIMS_SQL)))}),
+curved AS ({_curve_sql("celled", _AXES)}),
+placed AS (SELECT *, row_number() OVER (ORDER BY curve, text_crc32, doc_id NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM curved)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST((place * {N_SHARDS}) // n AS INTEGER) AS shard,
+  CAST(place - (((place * {N_SHARDS}) // n) * n + {N_SHARDS - 1}) // {N_SHARDS} AS BIGINT) AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard, curve
+FROM placed
+"""

@@ -395,3 +395,18 @@ def op3_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), "audited_recall"
     )
+
+
+OP3_SQL = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+  AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r AS a, b.r AS b, b.vec_id AS id FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r
+  WHERE list_cosine_similarity(a.e, b.e) >= {MIN_COSINE}),
+reach(r, id) AS (SELECT r, vec_id FROM ok UNION SELECT a, reach.id FROM reach JOIN links ON links.b = reach.r),
+least AS (SELECT r, min(id) AS id FROM reach GROUP BY r),
+counts AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(least.id, vec_id) AS component_id,
+  coalesce(vec_id = coalesce(least.id, vec_id), false) AS kept, CAST(1 AS DOUBLE) AS audited_recall
+FROM v LEFT JOIN counts USING (r) LEFT JOIN least USING (r)
+"""
