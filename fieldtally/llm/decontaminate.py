@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldtally.llm.tables import map_texts, table
+from fieldtally.llm.tables import map_texts, shielded, table
 
 WINDOW = 13
 # Bound of one automaton: about 70 MB in a task. More items make more automata, each read along all texts.
@@ -265,9 +265,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> Data
     """``docs`` without the contaminated ones; runs of hit words in the others are cut out of the text.
 
     The coverage limit takes the whole text, the length limit (``window``
-    words) takes the run. Texts without a hit stay as they are, null included.
+    words) takes the run. Texts without a hit stay as they are, null included,
+    and so do all other columns, whatever their names.
     """
-    found = scan(docs, items, text).where(~contaminated())
+    shield, named = shielded(docs, text)
+    found = scan(shield, items, text).where(~contaminated())
 
     def begin():
         def work(texts: list, rows: pa.RecordBatch) -> dict:
@@ -276,7 +278,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> Data
         return work
 
     added = T.StructType([T.StructField(text, T.StringType())])
-    return map_texts(found, text, begin, added, found.columns).select(*[F.col(f"`{c}`") for c in docs.columns])
+    made = map_texts(found, text, begin, added, found.columns)
+    return made.select(*named(made))
 
 
 def cut_runs(text: str, runs: list[int]) -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldtally.llm.tables import map_texts, table
+from fieldtally.llm.tables import map_texts, shielded, table
 from fieldtally.session import release, scratch_path, settle
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -246,15 +246,17 @@ def with_spans(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
     """Columns ``keep`` (all) with base and spans: (kind number, start, end) of the seeds, and of all personal data.
 
     Offsets are in code points, ends exclusive. Null and empty texts have no
-    spans. The spans found by bootstrapping never meet a seed's.
+    spans. Columns called base or spans are replaced. The spans found by bootstrapping never meet a seed's.
     """
-    keep = docs.columns if keep is None else keep
-    seeded = settle(seeds(docs, text, keep), "personal-seeds")
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("base", "spans")]
+    shield, named = shielded(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__read")), "__read")
+    seeded = settle(seeds(shield, "__read", shield.columns[:-1]), "personal-seeds")
     found = found_spans(seeded.select("digest", "places")).withColumnRenamed("digest", "__d")
     joined = seeded.join(found, F.col("digest") == F.col("__d"), "left")
     empty = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     spans = F.array_sort(F.concat("base", F.coalesce("found", empty)))
-    return joined.select(*[F.col(f"`{c}`") for c in keep], F.array_sort("base").alias("base"), spans.alias("spans"))
+    out = joined.withColumns({"base": F.array_sort("base"), "spans": spans, "__read": F.lit(None)})
+    return out.select(*named(out)[:-1], "base", "spans")
 
 
 def written(spans: str) -> Column:
@@ -279,13 +281,15 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span of personal data replaced by its kind in angle brackets.
 
     Where spans overlap, the first of them is replaced and the rest of the
-    others cut. Texts without a span, null ones included, stay as they are.
+    others cut. Texts without a span, null ones included, stay as they are, and
+    so do all other columns, whatever their names.
     """
     seeded = settle(seeds(docs.select(F.col(f"`{text}`")), text, []), "personal-seeds")
     found = settle(found_spans(seeded.select("digest", "places")), "personal-found")
-    marked = docs.withColumn("__digest", F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))
+    shield, named = shielded(docs, text)
+    marked = shield.withColumn("__digest", F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))
     if not found.isEmpty():
-        marked = marked.join(found.withColumnRenamed("found", "__found"), F.col("__digest") == F.col("digest"), "left").drop("digest")
+        marked = marked.join(found.toDF("__d", "__found"), F.col("__digest") == F.col("__d"), "left")
     has_found = "__found" in marked.columns
 
     def begin():
@@ -297,7 +301,7 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
 
     added = T.StructType([T.StructField(text, T.StringType())])
     made = map_texts(marked, text, begin, added, marked.columns)
-    return made.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return made.select(*named(made))
 
 
 def masked(text: str | None, found: list[dict] | None) -> str | None:

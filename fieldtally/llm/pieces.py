@@ -117,7 +117,8 @@ def encode(
 
 
 def decode(rows: DataFrame, ids: str = "ids", model: str | None = None) -> DataFrame:
-    """``rows`` with the text decoded from their ids; null ids give a null text."""
+    """``rows`` with the text decoded from their ids; null ids give a null text. A column decoded is replaced."""
+    rows = rows.drop("decoded")
     proto = _bytes(model or public_model())
     fields = [*rows.schema.fields, T.StructField("decoded", T.StringType())]
     at = rows.columns.index(ids)

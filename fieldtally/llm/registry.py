@@ -22,7 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_urls": urls.op8_urls,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_hilbert": shards.op10_hilbert,
-        "op10_hilbert": shards.OP10_SQL,
         "pipeline": corpus_pipeline.run,
     }
 

@@ -121,8 +121,9 @@ def shard_rows(df: DataFrame, order: list[str], n_shards: int = N_SHARDS) -> Dat
     stored files ``df`` scans, so rows equal in ``order`` spread over tasks too.
     The sorted rows are written before they are counted: numbers and counts
     come from the same files whatever is lost later. An empty table gives no
-    rows.
+    rows. Columns called shard or slot are replaced.
     """
+    df = df.drop("shard", "slot")
     numbered = df.withColumn("__tie", F.monotonically_increasing_id())
     n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = numbered.repartitionByRange(n_parts, *order, "__tie").sortWithinPartitions(*order, "__tie")

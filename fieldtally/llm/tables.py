@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -18,6 +18,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shielded(df: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], list[Column]]]:
+    """``df`` with all columns but ``own`` under names nothing else uses, and a function that names them back.
+
+    The function takes a table made from it and returns ``df``'s columns, in
+    their order, so no column an operator makes on the way can get between.
+    """
+    names = {c: c if c in own else f"__kept_{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), lambda made: [made[n].alias(c) for c, n in names.items()]
+
+
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in runs of bounded text; one longer text is a run of its own."""
     start = held = 0

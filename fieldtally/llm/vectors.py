@@ -359,8 +359,10 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", min_cosine: float =
     Vectors are compared only within a label and a length; those ``classes``
     leaves out link with nothing. Copies of a vector are one class while links
     are sought, and count as linked to each other. A vector without key has
-    component null. Repeated rows are vectors of their own.
+    component null. Repeated rows are vectors of their own. Columns of the
+    added names are replaced.
     """
+    vectors = vectors.drop("n_links", "component_id", "audited_recall")
     reps = settle(classes(vectors, key), "vector-classes")
     members = settle(shards(reps, target), "vector-shards")
     dense = settle(members.groupBy("shard").agg(F.count("*").alias("n")).where(f"n > {2 * target}"), "vector-dense")

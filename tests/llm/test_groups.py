@@ -15,7 +15,7 @@ from plain import ODD, plain_hits, plain_spans
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldtally.llm import components, pieces, quality, registry, shards, simhash, urls, vectors
+from fieldtally.llm import components, personal, pieces, quality, registry, shards, simhash, urls, vectors
 
 
 @pytest.fixture(scope="module")
@@ -361,6 +361,27 @@ def test_stages_and_run_against_plain_versions(spark, folder):
     assert all(v is None or got[k] == v for k, v in want.items())
 
 
+CLASHING = ["score", "fp", "n_words", "hit_runs", "hit_items", "base", "spans", "places", "digest", "found", "component", "h", "h2", "ids"]
+
+
+def test_columns_of_any_name_are_kept(spark, folder):
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    texts = [(1, "mail a1@b.example.com now"), (2, "clean words of no note at all here"), (3, item), (4, "w " * 900 + item), (5, None)]
+    docs = spark.createDataFrame([(*t, *[f"{c}{t[0]}" for c in CLASHING]) for t in texts], ["doc_id", "text", *CLASHING])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, folder)
+        assert made.columns == docs.columns
+        kept = made.collect()
+        assert all(r[c] == f"{c}{r.doc_id}" for r in kept for c in CLASHING)
+        if name == "benchmark":
+            assert {r.doc_id for r in kept} == {1, 2, 4, 5} and {r.doc_id: r.text for r in kept}[2] == texts[1][1]
+        if name == "personal":
+            assert {r.doc_id: r.text for r in kept}[1] == "mail <EMAIL> now"
+    found = personal.with_spans(docs)
+    assert found.columns == [*[c for c in docs.columns if c not in ("base", "spans")], "base", "spans"]
+    assert {r.doc_id: len(r.spans) for r in found.collect()} == {1: 1, 2: 0, 3: 0, 4: 0, 5: 0}
+
+
 def test_stages_keep_columns_and_stand_odd_rows(spark, folder):
     data = [(i, t, "en", "s", len(t or ""), n) for n, (i, t) in enumerate(ODD)]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, score int")
