@@ -40,8 +40,9 @@ def full_roster(t: SurveyTables) -> DataFrame:
 
 def head_attributes(t: SurveyTables) -> DataFrame:
     """Interviews with the demographics of their heads."""
-    heads = base.survey_of(t).heads
-    joined = linkage.attach_many(t.interviews.select("interview_key", "result"), heads, ["interview_key"])
+    heads = linkage.counted(base.survey_of(t).heads)
+    met = linkage.attach_one(t.interviews.select("interview_key", "result"), heads, ["interview_key"])
+    joined = linkage.repeated(met.na.fill(1, subset=["times"]))
     return joined.withColumns({c: F.col(c).cast("bigint") for c in ("sex", "employed")})
 
 
