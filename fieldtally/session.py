@@ -59,11 +59,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that no earlier run has used; it goes when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
+    """A path under the shared folder that no earlier run has used; it goes when the session's JVM ends.
+
+    All of an application's paths lie in one folder, which is made here, as
+    only a folder that exists can be marked for removal.
+    """
+    folder = f"{shared_dir(spark)}/fieldtally-{spark.sparkContext.applicationId}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def release(spark: SparkSession, path: str) -> None:
