@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,16 +21,28 @@ from fieldtally.llm.tables import map_texts, shielded, table
 WINDOW = 13
 # Bound of one automaton: about 70 MB in a task. More items make more automata, each read along all texts.
 BLOCK_WORDS = 100_000
-# Words are numbered and fed in runs of this many, so a very long text never lies there as a list of words.
-RUN_WORDS = 65_536
+# A text is cut into words a piece of about this many bytes at a time, so a very long one never lies there as a list.
+PIECE_BYTES = 1 << 20
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_LOWER = {c: c + 32 for c in range(65, 91)}
+# The same on UTF-8: A-Z lower-cased, whatever is no part of a word a space. Bytes from 128 up are parts of letters.
+_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
 def words(text: str | None) -> Iterator[re.Match]:
-    """Matches of the words of a text, A-Z lower-cased."""
-    return re.finditer(WORD, (text or "").translate(_LOWER))
+    """Matches of the words of a text, with their places."""
+    return re.finditer(WORD, (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+
+
+def word_runs(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text in order, in lists of bounded size."""
+    spaced = (text or "").encode("utf-8", "surrogatepass").translate(_BYTES)
+    at = 0
+    while at < len(spaced):
+        end = len(spaced) if len(spaced) - at <= PIECE_BYTES else spaced.find(b" ", at + PIECE_BYTES)
+        end = len(spaced) if end < 0 else end
+        yield spaced[at:end].split()
+        at = end
 
 
 class Automaton:
@@ -42,7 +53,7 @@ class Automaton:
         self.next: list[dict] = [{}]
         self.link = [-1]
         self.length = [0]
-        self.items: list[tuple[str | None, list[str]]] = []
+        self.items: list[tuple[str | None, list[bytes]]] = []
         self.n_words = 0
 
     def _state(self, length: int, link: int, following: dict) -> int:
@@ -51,7 +62,7 @@ class Automaton:
         self.length.append(length)
         return len(self.next) - 1
 
-    def _split(self, p: int, word: str, q: int) -> int:
+    def _split(self, p: int, word: bytes, q: int) -> int:
         """The state for the runs of ``q`` that end at a step from ``p``; q itself if it holds no longer ones."""
         if self.length[q] == self.length[p] + 1:
             return q
@@ -62,7 +73,7 @@ class Automaton:
         self.link[q] = clone
         return clone
 
-    def add(self, item_id: str | None, item: list[str]) -> None:
+    def add(self, item_id: str | None, item: list[bytes]) -> None:
         """Add an item's words; an item without words adds nothing."""
         if not item:
             return
@@ -121,8 +132,7 @@ class Automaton:
         runs: list[int] = []
         items: set = set()
         state = matched = n = 0
-        stream = words(text)
-        while run := [m[0] for m in islice(stream, RUN_WORDS)]:
+        for run in word_runs(text):
             for i, word in enumerate(run, n):
                 to = follow[state].get(word)
                 while to is None and state:
@@ -164,7 +174,7 @@ def automata(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WO
     """
     block = Automaton(window)
     for row in items.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        item = [m[0] for m in words(row[1])]
+        item = [w for run in word_runs(row[1]) for w in run]
         if block.n_words and block.n_words + len(item) > block_words:
             yield block.close()
             block = Automaton(window)

@@ -34,7 +34,7 @@ def test_automaton_against_plain_search(spark):
     items = [(i, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 7)))) for i in range(12)]
     automaton = decontaminate.Automaton(4)
     for item_id, item in items:
-        automaton.add(str(item_id), [m[0] for m in decontaminate.words(item)])
+        automaton.add(str(item_id), [w for run in decontaminate.word_runs(item) for w in run])
     automaton.close()
     for text in texts:
         n, runs, found = automaton.read(text)
@@ -42,6 +42,15 @@ def test_automaton_against_plain_search(spark):
         assert (n, hit, sorted(found)) == plain_hits(text, items, 4)
         assert all(a <= b for a, b in zip(runs, runs[1:], strict=False))
 
+def test_words_are_the_same_either_way(spark, folder, monkeypatch):
+    texts = [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").limit(60).collect()]
+    texts += [None, "", "A-b_C9 \u00c9t\u00e9 \u00a0x\u2028y \U0001f600z {q}~\x7f", "n" * 5000 + " m"]
+    monkeypatch.setattr(decontaminate, "PIECE_BYTES", 64)
+    for text in texts:
+        want = [m[0].encode() for m in decontaminate.words(text)]
+        assert [w for run in decontaminate.word_runs(text) for w in run] == want
+
+
 def test_items_in_several_automata(spark, odd):
     rng = random.Random(2)
     texts = [(i, " ".join(rng.choice("abc") for _ in range(30))) for i in range(40)] + ODD
