@@ -192,7 +192,12 @@ FOUND = T.StructType(
 
 
 def scan(
-    docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS
+    docs: DataFrame,
+    items: DataFrame,
+    text: str = "text",
+    window: int = WINDOW,
+    block_words: int = BLOCK_WORDS,
+    cut: bool = False,
 ) -> DataFrame:
     """``docs`` with n_words, hit_runs (merged runs of hit words, first and last in turn) and hit_items.
 
@@ -200,63 +205,59 @@ def scan(
     runs of several blocks are joined. A null or empty text has no words. An
     item of null text has no words and is found nowhere; an item without id
     makes hits but is not listed; an item given twice is listed once. A very
-    long text is read as a stream of words. Ties do not arise.
+    long text is read as a stream of words. Ties do not arise. With ``cut`` the
+    runs are taken out of the texts that are not contaminated. Columns of the
+    added names are replaced.
     """
-    spark = docs.sparkSession
-    parts = []
-    for block in automata(items, window, block_words):
-        shared = spark.sparkContext.broadcast(block)
-
-        def begin(shared=shared):
-            read = shared.value.read
-
-            def work(texts: list, _) -> dict:
-                rows = [read(t) for t in texts]
-                return {
-                    "n_words": [r[0] for r in rows],
-                    "hit_runs": [r[1] for r in rows],
-                    "hit_items": [sorted(x for x in r[2] if x is not None) for r in rows],
-                }
-
-            return work
-
-        parts.append((begin, block.n_words))
-    found = map_texts(docs, text, parts[0][0], FOUND, docs.columns)
-    for begin, _ in parts[1:]:
-        names = {f: f"__had_{f}" for f in ("hit_runs", "hit_items")}
-        found = map_texts(found.withColumnsRenamed(names), text, begin, FOUND, [*docs.columns, *names.values()])
-        found = found.withColumns(
-            {
-                "hit_runs": _joined(F.col("hit_runs"), F.col("__had_hit_runs")),
-                "hit_items": F.array_sort(F.array_union("hit_items", "__had_hit_items")),
-            }
-        ).drop(*names.values())
-    return found
-
-
-def _joined(a: Column, b: Column) -> Column:
-    """Two lists of runs as one list of runs that do not touch."""
-
-    def pairs(x: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), (F.size(x) / 2 - 1).cast("int")),
-            lambda i: F.struct(x[(i * 2).cast("int")].alias("f"), x[(i * 2 + 1).cast("int")].alias("l")),
-        )
-
-    def listed(x: Column) -> Column:
-        return F.when(F.size(x) > 0, pairs(x)).otherwise(F.array().cast("array<struct<f:int,l:int>>"))
-
-    def merge(acc: Column, run: Column) -> Column:
-        last = F.element_at(acc, -1)
-        touches = (F.size(acc) > 0) & (run["f"] <= F.get(acc, F.size(acc) - 1)["l"] + 1)
-        grown = F.struct(last["f"].alias("f"), F.greatest(last["l"], run["l"]).alias("l"))
-        return F.when(touches, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(
-            F.concat(acc, F.array(run))
-        )
-
-    runs = F.array_sort(F.concat(listed(a), listed(b)))
-    merged = F.aggregate(runs, F.array().cast("array<struct<f:int,l:int>>"), merge)
-    return F.flatten(F.transform(merged, lambda r: F.array(r["f"], r["l"])))
+    found, blocks = docs, automata(items, window, block_words)
+    block, first = next(blocks), True
+    while block:
+        following = next(blocks, None)
+        begin = _reading(docs.sparkSession.sparkContext.broadcast(block), not first, text if cut and following is None else None)
+        added = [*FOUND.fields, *([T.StructField(text, T.StringType())] if cut and following is None else [])]
+        found = map_texts(found, text, begin, T.StructType(added), found.columns)
+        block, first = following, False
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in FOUND.names], *FOUND.names)
+
+
+def _reading(shared, had: bool, cut: str | None):
+    """Function of a task that reads one automaton along texts, on top of what earlier ones found; ``cut`` names the text to cut."""
+
+    def begin():
+        read = shared.value.read
+
+        def work(texts: list, rows: pa.RecordBatch) -> dict:
+            found = [read(t) for t in texts]
+            runs, items = [r[1] for r in found], [sorted(x for x in r[2] if x is not None) for r in found]
+            if had:
+                runs = [joined(a, b) for a, b in zip(runs, rows.column("hit_runs").to_pylist(), strict=True)]
+                items = [sorted({*a, *b}) for a, b in zip(items, rows.column("hit_items").to_pylist(), strict=True)]
+            made = {"n_words": [r[0] for r in found], "hit_runs": runs, "hit_items": items}
+            if cut:
+                kept = zip(texts, made["n_words"], runs, strict=True)
+                made[cut] = [cut_runs(t, r) if r and not _covered(n, r) else t for t, n, r in kept]
+            return made
+
+        return work
+
+    return begin
+
+
+def joined(a: list[int], b: list[int]) -> list[int]:
+    """Two lists of runs as one list of runs that neither touch nor overlap."""
+    out: list[int] = []
+    for first, last in sorted([*zip(a[::2], a[1::2], strict=True), *zip(b[::2], b[1::2], strict=True)]):
+        if out and first <= out[-1] + 1:
+            out[-1] = max(out[-1], last)
+        else:
+            out += (first, last)
+    return out
+
+
+def _covered(n_words: int, runs: list[int]) -> bool:
+    """Whether the runs cover a twentieth of the words or more."""
+    hit = sum(runs[1::2]) - sum(runs[::2]) + len(runs) // 2
+    return hit > 0 and 20 * hit >= n_words
 
 
 def n_hit(runs: str = "hit_runs") -> Column:
@@ -279,16 +280,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> Data
     and so do all other columns, whatever their names.
     """
     shield, named = shielded(docs, text)
-    found = scan(shield, items, text).where(~contaminated())
-
-    def begin():
-        def work(texts: list, rows: pa.RecordBatch) -> dict:
-            return {text: [cut_runs(t, r) if r else t for t, r in zip(texts, rows.column("hit_runs").to_pylist(), strict=True)]}
-
-        return work
-
-    added = T.StructType([T.StructField(text, T.StringType())])
-    made = map_texts(found, text, begin, added, found.columns)
+    made = scan(shield, items, text, cut=True).where(~contaminated())
     return made.select(*named(made))
 
 
