@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-# Texts are worked on in slices of about this many characters, which bounds what a task holds beside its Arrow batch.
-SLICE_CHARS = 4_000_000
+# Texts go to a task in Arrow batches of about this many bytes (or one longer text), and are worked on in slices of
+# about this many characters: together they bound what a task holds.
+BATCH_BYTES = 4 << 20
+SLICE_CHARS = 1 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -61,6 +63,8 @@ def map_texts(
     source = [*read, F.col(f"`{text}`").cast("string").alias("__text")]
     schema = T.StructType([df.schema[c] for c in keep] + added.fields)
     fields = list(to_arrow_schema(added))
+    # Read when the plan is run, hence set and left so.
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = begin()
