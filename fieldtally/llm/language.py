@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,7 @@ BUCKETS = 1 << 16
 GRAMS = (1, 2, 3)
 # Training rows per language: bounds what the fit reads, not what is predicted.
 ROWS_PER_LANGUAGE = 1000
+HASHES = 1 << 30
 # Chosen training keys up to this number are sent to every task (16 bytes and a language name each), more are joined.
 BROADCAST_ROWS = 200_000
 # Up to this many languages the code has every way to split them, beyond it random splits.
@@ -82,13 +83,20 @@ def codewords(n: int, seed: int = 17) -> np.ndarray:
 def training_rows(docs: DataFrame, key: str = "doc_id", limit: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """(lang, text) of at most ``limit`` keys per language, the first by a hash of the key.
 
-    The keys are ranked without reading a text, and the rank is cut to the
-    limit before rows are shuffled (Spark does so up to 1000 rows per group),
-    so a language that fills the table costs no more.
+    The keys are ranked without reading a text. Only hashes under a border that
+    lets about twice the limit through are ranked, so a language that fills the
+    table costs no more than another; the borders come from one count per
+    language.
     """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    ranked = known.select("lang", F.xxhash64(key).alias("__h")).distinct()
-    first = ranked.withColumn("__n", F.expr("row_number() OVER (PARTITION BY lang ORDER BY __h)")).where(f"__n <= {limit}")
+    counts = known.groupBy("lang").count().collect()
+    if not counts:
+        return known.select("lang", "text")
+    low = F.pmod(F.col("__h"), F.lit(HASHES))
+    borders = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], 2 * limit * HASHES // r["count"] + 1)])
+    ranked = known.select("lang", F.xxhash64(key).alias("__h")).where(low < borders[F.col("lang")]).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(low, "__h"))
+    first = ranked.withColumn("__n", place).where(f"__n <= {limit}")
     first = settle(first.drop("__n"), "language-rows")
     if first.count() <= BROADCAST_ROWS:
         first = F.broadcast(first)
