@@ -2,7 +2,9 @@
 
 BENCH_SF_DIR names the table folder, BENCH_CPUS the local cores. Every query is
 built and run to the end (all rows, no sink) once to warm up and then three
-times, the median counts; the first run is reported as ``cold``.
+times, the median counts; the first run is reported as ``cold``. ``reference``
+is the time of a fixed job without any table, by which times of two machines
+can be compared.
 """
 
 from __future__ import annotations
@@ -58,6 +60,18 @@ def run(query, spark, folder: str) -> float:
     return time.perf_counter() - start
 
 
+def reference(spark) -> float:
+    """Seconds of a job that depends on the machine alone: median of five."""
+
+    def once() -> float:
+        start = time.perf_counter()
+        spark.range(0, 60_000_000, 1, 8).selectExpr("id % 1009 AS k", "hash(id) AS h").groupBy("k").agg({"h": "sum"}).collect()
+        return time.perf_counter() - start
+
+    once()
+    return round(statistics.median(once() for _ in range(5)), 3)
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -65,6 +79,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()
     wanted = sys.argv[1:] or HEADLINES
+    fixed = reference(spark)
     queries, warm, cold = catalog.queries(), {}, {}
     for name in wanted:
         cold[name] = round(run(queries[name], spark, folder), 3)
@@ -77,6 +92,8 @@ def main() -> None:
         "unit": "sec",
         "queries": warm,
         "cold": cold,
+        "reference": fixed,
+        "cpus": int(cpus),
         "sf": float(scale) if scale.replace(".", "", 1).isdigit() else scale,
     }
     print(json.dumps(line))

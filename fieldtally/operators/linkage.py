@@ -29,12 +29,16 @@ def _match(keys: Sequence[str], null_safe: bool) -> Column:
 
 def attach_one(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool = False) -> DataFrame:
     """Left join to a side with at most one row per key (weights, paradata, places)."""
+    if not null_safe:
+        return left.join(right, list(keys), "left")
     joined = left.join(_aligned(right, keys), _match(keys, null_safe), "left")
     return joined.drop(*[f"__{k}" for k in keys])
 
 
 def attach_matching(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool = False) -> DataFrame:
     """Inner join; skew on either side can be split."""
+    if not null_safe:
+        return left.join(right, list(keys))
     joined = left.join(_aligned(right, keys), _match(keys, null_safe), "inner")
     return joined.drop(*[f"__{k}" for k in keys])
 
@@ -62,8 +66,9 @@ def counted(df: DataFrame, name: str = "times") -> DataFrame:
 
 def repeated(df: DataFrame, name: str = "times") -> DataFrame:
     """Every row as often as ``name`` says: the rows ``counted`` counted."""
-    copies = F.explode(F.expr(f"IF(`{name}` = 1, array(0), array_repeat(0, CAST(`{name}` AS INT)))"))
-    return df.withColumn("__copy", copies).drop("__copy", name)
+    kept = [f"`{c}`" for c in df.columns if c != name]
+    copies = f"explode(IF(`{name}` = 1, array(0), array_repeat(0, CAST(`{name}` AS INT)))) AS __copy"
+    return df.selectExpr(*kept, copies).drop("__copy")
 
 
 def full_outer(one: DataFrame, many: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.operators.linkage import attach_one, repeated
+from fieldtally.operators.linkage import repeated
 from fieldtally.plans.household import DIMENSIONS, HouseholdSurvey, demographics
 from fieldtally.sources.views import SurveyTables
 
@@ -17,10 +17,10 @@ def share6(c: str | Column) -> Column:
     return F.bround((F.col(c) if isinstance(c, str) else c).cast("double"), 6)
 
 
-def survey_of(t: SurveyTables) -> HouseholdSurvey:
-    """The folder's interviews, rosters and weights as one survey."""
+def survey_of(t: SurveyTables, placed: bool = False) -> HouseholdSurvey:
+    """The folder's interviews, rosters and weights as one survey; ``placed`` interviews have their place."""
     return HouseholdSurvey(
-        t.interviews,
+        t.households if placed else t.interviews,
         t.roster,
         t.ratings,
         t.weights,
@@ -35,16 +35,17 @@ def survey_of(t: SurveyTables) -> HouseholdSurvey:
 def analysis_base(t: SurveyTables, weighted: bool = True) -> DataFrame:
     """Completed interviews with head demographics, weights if wanted, and place.
 
-    Heads, weights and interviews meet on the interview key first; the place is
-    looked up by address at the end, and only then equal heads become rows.
+    The place is looked up by address first, on the interviews alone; heads,
+    weights and whatever follows then meet on the interview key in one
+    partitioning. Only at the end equal heads become rows.
     """
     return repeated(counted_base(t, weighted))
 
 
 def counted_base(t: SurveyTables, weighted: bool = True) -> DataFrame:
     """The same before equal heads become rows: a row stands for ``times`` of them."""
-    survey = survey_of(t)
-    return attach_one(survey.weighted if weighted else survey.linked, t.places, ["address_id"])
+    survey = survey_of(t, placed=True)
+    return survey.weighted if weighted else survey.linked
 
 
 def rating_base(t: SurveyTables) -> DataFrame:
@@ -55,5 +56,4 @@ def rating_base(t: SurveyTables) -> DataFrame:
 
 def weighted_heads(t: SurveyTables) -> DataFrame:
     """Heads of completed interviews with weights and community."""
-    heads = survey_of(t).weighted_heads("address_id")
-    return attach_one(heads, t.places.select("address_id", "community"), ["address_id"])
+    return survey_of(t, placed=True).weighted_heads("community")

@@ -78,7 +78,7 @@ class SurveyTables:
             **options,
             "m_1": f"CASE WHEN {key} % 50 = 0 THEN 'other' END",
         }
-        return self.raw("orders").select(*[F.expr(e).alias(c) for c, e in columns.items()])
+        return self.raw("orders").selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
 
     @cached_property
     def places(self) -> DataFrame:
