@@ -9,8 +9,10 @@ and the first few are confirmed or refused by their wording differences.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import pairwise
 
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -95,6 +97,8 @@ class Templates:
             )
             # What the template saves on its own wording.
             self.worth[name] = max(1, len(self.plain.compress(raw)) - len(self.given[name].compress(raw)))
+        # Words that the longest place of a template can take, so that parts of a block overlap by a whole one.
+        self.longest = max((int((1 + MAX_DIFFERENT) * len(w)) + 4 * sum(x.startswith("<") for x in w) for w in self.words.values()), default=0)
 
     def ranked(self, words: list[str]) -> list[tuple[str, float]]:
         """Templates by the bytes they save on a block, as a share of what they save on themselves; ties by name."""
@@ -106,32 +110,46 @@ class Templates:
     def difference(self, name: str, words: list[str]) -> tuple[int, int, int] | None:
         """(first word, last word, words different) of a template in a block, or None if too much differs."""
         wanted = self.words[name]
-        blocks = SequenceMatcher(None, words, wanted, autojunk=False).get_matching_blocks()[:-1]
-        # Words that match far from the rest belong to something else: keep the runs nearest the longest one.
-        if not blocks:
-            return None
-        center = max(blocks, key=lambda b: b.size)
-        near = [b for b in blocks if abs((b.a - center.a) - (b.b - center.b)) <= MAX_DIFFERENT * len(wanted) + 3]
-        first, last = near[0].a, near[-1].a + near[-1].size - 1
-        matched = sum(b.size for b in near)
+        allowed = MAX_DIFFERENT * len(wanted)
         open_words = sum(w.startswith("<") for w in wanted)
-        missing = len(wanted) - matched - open_words
-        extra = last - first + 1 - matched - 4 * open_words
-        different = max(0, missing) + max(0, extra)
-        return (first, last, different) if different <= MAX_DIFFERENT * len(wanted) else None
+        # So many words of a place that fits follow one another at least.
+        least = (len(wanted) - open_words - allowed) / (allowed + open_words + 1)
+        parts = [(0, len(words))]
+        while parts:
+            low, high = parts.pop()
+            blocks = SequenceMatcher(None, words[low:high], wanted, autojunk=False).get_matching_blocks()[:-1]
+            # Words that match far from the rest belong to something else: keep the runs nearest the longest one.
+            center = max(blocks, key=lambda b: b.size, default=None)
+            if center is None or center.size < least:
+                continue
+            near = [b for b in blocks if abs((b.a - center.a) - (b.b - center.b)) <= allowed + 3]
+            first, last = low + near[0].a, low + near[-1].a + near[-1].size - 1
+            matched = sum(b.size for b in near)
+            missing = len(wanted) - matched - open_words
+            extra = last - first + 1 - matched - 4 * open_words
+            different = max(0, missing) + max(0, extra)
+            if different <= allowed:
+                return first, last, different
+            # A copy that differs too much may hide another one on either side.
+            parts += [(low + center.a + center.size, high), (low, low + center.a)]
+        return None
 
     def blocks(self, text: str) -> Iterator[list[tuple[str, int, int]]]:
-        """Candidate blocks: lines with a stem and lines of license wording next to them, as words with places."""
+        """Candidate blocks: lines with a stem and lines of license wording next to them, as words with places.
+
+        Lines without words (empty ones, or only comment marks) stand between paragraphs of a notice and part nothing.
+        """
         lines, at = [], 0
         for line in text.split("\n"):
-            lines.append((at, at + len(line), bool(STEMS.search(line))))
+            if _WORD.search(line):
+                lines.append((at, at + len(line), bool(STEMS.search(line))))
             at += len(line) + 1
         part = [stem for _, _, stem in lines]
 
         def like(i: int) -> bool:
             a, b, _ = lines[i]
             words = worded(text[a:b])
-            return bool(words) and sum(w in self.known for w, _, _ in words) >= SHARE * len(words)
+            return sum(w in self.known for w, _, _ in words) >= SHARE * len(words)
 
         for order in (range(len(lines)), range(len(lines) - 1, -1, -1)):
             before = False
@@ -148,17 +166,17 @@ class Templates:
                 j += 1
             start = lines[i][0]
             words = [(w, a + start, b + start) for w, a, b in worded(text[start : lines[j][1]])]
-            step = PART_WORDS - max(map(len, self.words.values()))
-            for k in range(0, max(1, len(words) - PART_WORDS + step), step):
-                if words[k : k + PART_WORDS]:
-                    yield words[k : k + PART_WORDS]
+            size = max(PART_WORDS, 2 * self.longest)
+            step = size - self.longest
+            for k in range(0, max(1, len(words) - size + step), step):
+                yield words[k : k + size]
             i = j + 1
 
     def found(self, text: str | None) -> tuple[int, list[tuple[str, int, int, int]]]:
         """Number of candidate blocks, and (template, start, end, words different) in them, each place with its best template."""
         if not text or not STEMS.search(text):
             return 0, []
-        n, out = 0, set()
+        n, out = 0, []
         for block in self.blocks(text):
             n += 1
             rest = [block]
@@ -172,10 +190,20 @@ class Templates:
                         hits.append((last - first - different, saved, name, first, last, different))
                 if hits:
                     _, _, name, first, last, different = max(hits, key=lambda h: (h[0], h[1], h[2]))
-                    out.add((name, words[first][1], words[last][2], different))
+                    out.append((last - first - different, name, words[first][1], words[last][2], different))
                     # Other notices may stand before or behind this one.
                     rest += [r for r in (words[:first], words[last + 1 :]) if r]
-        return n, sorted(out, key=lambda s: (s[1], s[2], s[0]))
+                else:
+                    # What a short notice saves is lost among many paragraphs.
+                    cuts = [k for k in range(1, len(words)) if text.count("\n", words[k - 1][2], words[k][1]) > 1]
+                    rest += [words[a:b] for a, b in pairwise([0, *cuts, len(words)])] if cuts else []
+        # Overlapping parts can show a place twice, once cut off.
+        kept: list = []
+        for hit in sorted(set(out), key=lambda h: (-h[0], h[2], h[1])):
+            at = bisect(kept, hit[2], key=lambda s: s[1])
+            if (at == 0 or kept[at - 1][2] <= hit[2]) and (at == len(kept) or kept[at][1] >= hit[3]):
+                kept.insert(at, hit[1:])
+        return n, kept
 
 
 _FOUND = T.StructType(

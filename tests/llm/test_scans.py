@@ -138,6 +138,35 @@ def test_license_notices_are_found_and_others_not(spark, folder):
             assert found == sorted(plain)
     assert licenses.scan(docs.limit(0)).count() == 0
 
+# Where the usual layout of a notice has an empty line before.
+PARAGRAPHS = {
+    "Apache-2.0-notice": ["You may obtain", "http:", "Unless required", "See the License"],
+    "BSD-2-Clause": ["Redistributions of source", "Redistributions in binary"],
+    "GPL-3.0-notice": ["This program is distributed", "See the GNU"],
+    "MIT-notice": ["The above copyright"],
+}
+
+@pytest.mark.parametrize("mark", ["", "#", " *", "//", "--"])
+@pytest.mark.parametrize("name", sorted(PARAGRAPHS))
+def test_notices_of_several_paragraphs(name, mark):
+    ready, text = licenses.Templates(), licenses.TEMPLATES[name]
+    for start in PARAGRAPHS[name]:
+        text = text.replace(start, "\n\n" + start, 1)
+    notice = "\n".join(f"{mark} {line}".rstrip() for line in text.split("\n"))
+    for body in (notice, f"import os\n\n{notice}\n\nAll rights reserved.\n\n{notice}\n\ndef main(): pass"):
+        n, found = ready.found(body)
+        assert n == 1 and [f[0] for f in found] == ([name] if body is notice else [name, "reserved", name])
+        assert all(f[3] == 0 for f in found)
+
+def test_paragraphs_hide_no_notice():
+    ready = licenses.Templates()
+    short = [t for n, t in licenses.TEMPLATES.items() if "\n" not in t]
+    names = [n for n, t in licenses.TEMPLATES.items() if "\n" not in t]
+    assert [f[0] for f in ready.found("\n\n".join(short * 40))[1]] == names * 40
+    cut = licenses.TEMPLATES["MIT-notice"][:330]
+    changed = licenses.TEMPLATES["MIT-notice"].replace("without restriction", "with no restriction").replace("to whom", "whom")
+    assert [f[0] for f in ready.found(f"{cut}\n\n{changed}")[1]] == ["MIT-notice"]
+
 # Languages
 
 def test_languages_held_out(spark, folder):
