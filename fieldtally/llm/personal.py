@@ -2,9 +2,10 @@
 
 Seeds (mail, network and card numbers, phones) are found by fixed patterns.
 The words around them become lexical patterns; a table of patterns and the
-number-like strings they surround is scored in rounds, patterns by the share
-of known identifiers in their place, strings by their patterns. Strings that
-end up sure enough are personal data wherever they stand.
+number-like strings they surround is scored in rounds, patterns by the known
+identifiers in their place against what speaks against them, strings by their
+patterns, until a round adds nothing. Strings that end up sure enough are
+personal data wherever they stand.
 """
 
 from __future__ import annotations
@@ -18,12 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldtally.llm.tables import map_texts, shielded, table
-from fieldtally.session import release, scratch_path, settle
+from fieldtally.session import scratch_path, settle
 
 KINDS = ["email", "ip", "card", "phone"]
 
-ROUNDS = 3
-# A pattern needs this many different known strings, and this share of known ones among all it surrounds.
+# A pattern needs this many different known strings, and this share of them among all that say something about it.
 MIN_KNOWN, MIN_SHARE = 4, 0.9
 # A string is taken for an identifier from this confidence up.
 MIN_SURE = 0.9
@@ -179,53 +179,71 @@ def seeds(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     return map_texts(marked, text, begin, added, [*keep, "__digest"]).withColumnRenamed("__digest", "digest")
 
 
-def sure_strings(places_: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def sure_strings(places_: DataFrame) -> DataFrame:
     """(string, kind, sure) of unknown strings taken for identifiers, from ``places_`` (kind, string, before, after).
 
     A pattern is the words before and after a place, or the two words
     together, with the shape of the string in it. Each round scores the table of patterns and strings:
-    a pattern by the share of known strings in it, for the kind it knows most
-    of; an unknown string by 1 minus the product of its good patterns' doubts.
-    What is sure counts as known in the next round. Ties of kinds go to the
+    a pattern by its known strings of the kind it knows most of, against those known as another kind beside the same
+    word, whatever their shape (so a word as common as "the" spreads nothing), and
+    unknown ones that mostly stand elsewhere: of the contexts of such a string, more than half lie in no pattern that
+    knows enough of that kind. Other unknown strings say nothing about a pattern, however many there are.
+    A pattern is good as well if nearly all strings in it are known as one kind.
+    An unknown string is scored by 1 minus the product of its good patterns' doubts.
+    What is sure stays so and counts as known in the next round; the rounds end when one adds nothing. Ties of kinds go to the
     kind listed first. All counts are of different strings over the whole
     table, reduced before they are shuffled.
     """
     spark = places_.sparkSession
     shape = F.regexp_replace(F.regexp_replace("string", r"\p{L}+", "a"), r"\d+", "9")
+    context = F.concat_ws("\u0001", "before", "after")
     around = F.array(
         F.concat_ws("\u0001", F.lit("b"), "before", shape),
         F.concat_ws("\u0001", F.lit("a"), "after", shape),
         F.concat_ws("\u0001", F.lit("c"), "before", "after"),
     )
-    edges = places_.where("before <> '' OR after <> ''").select(F.explode(around).alias("pattern"), "string", "kind")
-    edges = settle(edges.groupBy("pattern", "string").agg(F.min("kind").alias("kind")), "pattern-edges")
-    # Only patterns that hold a seed can spread what is known in the first round, so others wait for later ones.
-    found: DataFrame | None = None
-    last: str | None = None
-    for _ in range(rounds):
-        if found is None:
-            known = edges.withColumn("now", F.col("kind"))
-        else:
-            names = found.select(F.col("string").alias("__s"), F.col("kind").alias("__k"))
-            known = edges.join(names, F.col("string") == F.col("__s"), "left").withColumn("now", F.coalesce("kind", "__k")).drop("__s", "__k")
-        counts = [F.count(F.when(F.col("now") == k, 1)).alias(f"n{k}") for k in range(len(KINDS))]
-        patterns = known.groupBy("pattern").agg(F.count("*").alias("n"), *counts)
-        most = F.greatest(*[F.col(f"n{k}") for k in range(len(KINDS))])
-        kind = reduce(lambda rest, k: F.when(F.col(f"n{k}") == F.col("most"), k).otherwise(rest), reversed(range(len(KINDS))), F.lit(None))
-        good = patterns.withColumn("most", most).where((F.col("most") >= MIN_KNOWN) & (F.col("most") >= MIN_SHARE * F.col("n")))
-        good = good.select("pattern", kind.cast("int").alias("of"), (F.col("most") / F.col("n")).alias("share"))
+    contexts = places_.where("before <> '' OR after <> ''").groupBy("string", "before", "after").agg(F.min("kind").alias("kind"))
+    edges = settle(contexts.select(F.explode(around).alias("pattern"), context.alias("context"), "string", "kind"), "pattern-edges")
+    unknown = edges.where("kind IS NULL")
+    sizes = settle(edges.groupBy("pattern").agg(F.count_distinct("string").alias("strings")), "pattern-sizes")
+    stands = settle(unknown.groupBy("string").agg((F.count("*") / 3).cast("long").alias("contexts")), "pattern-stands")
+    kinds = range(len(KINDS))
+    paths: list[str] = []
+    while True:
+        known = edges
+        if paths:
+            names = spark.read.parquet(*paths).select(F.col("string").alias("__s"), F.col("kind").alias("__k"))
+            known = edges.join(names, F.col("string") == F.col("__s"), "left").withColumn("kind", F.coalesce("kind", "__k")).drop("__s", "__k")
+        held = known.where("kind IS NOT NULL").groupBy("pattern", "string").agg(F.min("kind").alias("kind"))
+        patterns = held.groupBy("pattern").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(f"n{k}") for k in kinds])
+        most = F.greatest(*[F.col(f"n{k}") for k in kinds])
+        kind = reduce(lambda rest, k: F.when(F.col(f"n{k}") == F.col("most"), k).otherwise(rest), reversed(kinds), F.lit(None))
+        patterns = patterns.withColumn("most", most).where(F.col("most") >= MIN_KNOWN).select("pattern", kind.cast("int").alias("of"), "most")
+        word = F.when(F.col("pattern").startswith("c"), F.col("pattern")).otherwise(F.substring_index("pattern", "\u0001", 2))
+        beside = held.select(word.alias("word"), "string", "kind").distinct().groupBy("word", "kind").agg(F.count("*").alias("known"))
+        other = F.sum(F.when(F.col("kind") != F.col("of"), F.col("known")).otherwise(0))
+        able = patterns.withColumn("word", word).join(beside, "word").groupBy("pattern", "of", "most").agg(other.alias("other"))
+        able = able.join(sizes, "pattern").withColumn("plain", F.col("most") / F.col("strings"))
+        able = able.where((F.col("most") >= MIN_SHARE * (F.col("most") + F.col("other"))) | (F.col("plain") >= MIN_SHARE))
+        able = settle(able.select("pattern", "of", "most", "other", "plain"), "pattern-able")
+        left = unknown.join(spark.read.parquet(*paths), "string", "left_anti") if paths else unknown
+        met = settle(left.drop("kind").join(able, "pattern"), "pattern-met")
+        inside = met.groupBy("string", "of").agg(F.count_distinct("context").alias("inside"))
+        strange = inside.join(stands, "string").where("2 * inside < contexts").select("string", "of")
+        against = met.select("pattern", "of", "string").distinct().join(strange, ["string", "of"]).groupBy("pattern").agg(F.count("*").alias("against"))
+        spoken = F.col("most") / (F.col("most") + F.col("other") + F.coalesce("against", F.lit(0)))
+        good = able.join(against, "pattern", "left").withColumn("share", F.greatest(spoken, "plain")).where(F.col("share") >= MIN_SHARE)
         # A share is never certain: what a pattern adds is shrunk by its support.
-        good = good.withColumn("doubt", 1 - F.col("share") * 0.99)
-        scored = edges.where("kind IS NULL").join(good, "pattern")
+        good = good.select("pattern", (1 - F.col("share") * 0.99).alias("doubt"))
+        scored = met.select("pattern", "of", "string").distinct().join(good, "pattern")
         by_kind = scored.groupBy("string", "of").agg((1 - F.exp(F.sum(F.log("doubt")))).alias("sure"))
         best = by_kind.groupBy("string").agg(F.max(F.struct("sure", (-F.col("of")).alias("k"))).alias("b"))
         sure = best.select("string", (-F.col("b.k")).alias("kind"), F.col("b.sure").alias("sure")).where(f"sure >= {MIN_SURE}")
         path = scratch_path(spark, "sure-strings")
         sure.write.parquet(path)
-        if last:
-            release(spark, last)
-        last, found = path, spark.read.parquet(path)
-    return found
+        paths.append(path)
+        if spark.read.parquet(path).isEmpty():
+            return spark.read.parquet(*paths)
 
 
 def found_spans(seeded: DataFrame) -> DataFrame:

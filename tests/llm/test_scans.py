@@ -112,6 +112,32 @@ def test_contexts_find_identifiers(spark):
     assert masked[100] == "note 0. Their host <IP> seen" and masked[200] == clean[0][1]
     assert masked[15] == "The account mail <EMAIL> closed, host <IP> seen"
 
+def found_texts(docs, texts):
+    got = {r.doc_id: r.spans for r in personal.with_spans(docs).collect()}
+    return {i: [t[s.start : s.end] for s in got[i]] for i, t in texts}
+
+def test_unseen_strings_do_not_refuse_their_context(spark):
+    known = [(i, f"host {10 + i}.1.2.3 seen") for i in range(30)]
+    unseen = [(100 + i, f"host {700 + i}.1.2.3 seen") for i in range(15)]
+    # Numbers that stand elsewhere more often speak against the one context they share with cards.
+    cards = [(200 + i, f"item 411111111111{n} sold") for i, n in enumerate([c for c in range(1000, 9999) if personal.passes_luhn(f"411111111111{c}")][:20])]
+    numbers = [n for n in range(5111111111111000, 5111111111111040) if not personal.passes_luhn(str(n))][:30]
+    around = [("item", "sold"), ("order", "sent"), ("parcel", "lost"), ("bill", "paid")]
+    orders = [(300 + 9 * i + j, f"{a} {n} {b}") for i, n in enumerate(numbers) for j, (a, b) in enumerate(around)]
+    texts = [*known, *unseen, *cards, *orders]
+    got = found_texts(spark.createDataFrame(texts, "doc_id long, text string"), texts)
+    assert all(got[i] == [t.split()[1]] for i, t in known + unseen + cards)
+    assert all(got[i] == [] for i, _ in orders)
+
+def test_chains_of_contexts_are_followed_to_the_end(spark):
+    texts = [(i, f"a0 {10 + i}.1.2.3 z0") for i in range(6)]
+    for link in range(5):
+        for i in range(6):
+            name = f"{700 + 10 * link + i}.1.2.3"
+            texts += [(len(texts), f"a{link} {name} z{link}"), (len(texts) + 1, f"a{link + 1} {name} z{link + 1}")]
+    got = found_texts(spark.createDataFrame(texts, "doc_id long, text string"), texts)
+    assert all(got[i] == [t.split()[1]] for i, t in texts)
+
 def test_personal_odd_rows(spark, odd):
     got = personal.with_spans(odd, keep=["doc_id"])
     assert got.count() == len(ODD) and all(r.spans == [] for r in got.collect())
