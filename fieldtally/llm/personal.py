@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +27,7 @@ KINDS = ["email", "ip", "card", "phone"]
 MIN_KNOWN, MIN_SHARE = 4, 0.9
 # A string is taken for an identifier from this confidence up.
 MIN_SURE = 0.9
-# Unknown strings that can be identifiers: this long, with so many digits.
+# Unknown words and runs of number groups that can be identifiers: this long, with so many digits. Words like addresses need neither.
 MIN_LENGTH, MIN_DIGITS = 6, 4
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -36,6 +36,10 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+# What unknown identifiers can look like besides: groups of digits joined by the separators of cards and phones, ...
+_GROUPS = re.compile(r"(?<![^\W_])\+?\(?[0-9]++(?:[\x20().-]++[0-9]++)++")
+# ... and words with something on both sides of an at sign, or of its usual disguises.
+_AT = re.compile(r"@|[\[({<]at[\])}>]", re.IGNORECASE)
 _TOKEN = re.compile(r"\S+")
 _TRIM = "\"'()[]{}<>,;:!?.*#$%&|=/\\"
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -92,14 +96,16 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def places(text: str | None, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str | None, int, int, str, str, str]]:
-    """(kind or None, start, end, string, word before, word after) of seeds and of number-like strings that are none.
+    """(kind or None, start, end, string, word before, word after) of seeds and of strings like identifiers that are none.
 
-    Words of context are lower-cased; a text's edge is an empty word.
+    Words of context are lower-cased; a text's edge is an empty word. Runs of
+    number groups are given as a whole, and those of their words that can be identifiers too.
     """
-    if not text or not any(c.isdigit() for c in text):
-        if not spans:
-            return
+    if not text or not spans and not any(c.isdigit() for c in text) and not _AT.search(text):
+        return
     seeds = sorted((a, b, kind) for kind, a, b in spans)
+    runs = _runs(text, seeds)
+    run = next(runs, None)
     at = 0
     before: str = ""
     pending: list = []
@@ -109,6 +115,9 @@ def places(text: str | None, spans: list[tuple[str, int, int]]) -> Iterator[tupl
             for p in pending:
                 yield (*p, _context(word))
             pending = []
+        while run and run[0] < m.end():
+            yield None, *run, text[run[0] : run[1]], before, _context(_word_at(text, run[1]))
+            run = next(runs, None)
         while at < len(seeds) and seeds[at][1] <= m.start():
             at += 1
         if at < len(seeds) and seeds[at][0] < m.end():
@@ -126,13 +135,14 @@ def places(text: str | None, spans: list[tuple[str, int, int]]) -> Iterator[tupl
             before = "" if held else _context(word)
             continue
         digits = sum(c.isdigit() for c in word)
-        if digits >= MIN_DIGITS:
+        address = _address(word)
+        if digits >= MIN_DIGITS or address:
             a, b = m.start(), m.end()
             while a < b and text[a] in _TRIM:
                 a += 1
             while b > a and text[b - 1] in _TRIM:
                 b -= 1
-            if b - a >= MIN_LENGTH:
+            if b - a >= MIN_LENGTH or address:
                 pending.append((None, a, b, text[a:b], before))
                 before = ""
                 continue
@@ -141,6 +151,25 @@ def places(text: str | None, spans: list[tuple[str, int, int]]) -> Iterator[tupl
         yield (*p, "")
 
 
+def _runs(text: str, seeds: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """Runs of number groups over several words, between the seeds."""
+    free = 0
+    for a, b, _ in [*seeds, (len(text), len(text), "")]:
+        for m in _GROUPS.finditer(text, free, a) if a > free else ():
+            run = m[0]
+            if text[m.end() : m.end() + 1].isalnum():  # the last group is part of a word
+                run = run.rstrip("0123456789").rstrip(" ().-")
+            if " " in run and len(run) >= MIN_LENGTH and sum(c.isdigit() for c in run) >= MIN_DIGITS:
+                yield m.start(), m.start() + len(run)
+        free = max(free, b)
+
+
+def _address(word: str) -> bool:
+    """Whether a word has the shape of a mail address."""
+    at = _AT.search(word)
+    return at is not None and any(map(str.isalnum, word[: at.start()])) and any(map(str.isalnum, word[at.end() :]))
+
+
 def _word_at(text: str, at: int) -> str:
     m = _TOKEN.search(text, at)
     return m[0] if m else ""
@@ -257,6 +286,9 @@ def found_spans(seeded: DataFrame) -> DataFrame:
     sure = sure_strings(listed.select("kind", "string", "before", "after"))
     unknown = listed.where("kind IS NULL").select("digest", "string", "start", "end")
     hits = unknown.join(sure.select("string", "kind"), "string")
+    # What lies within a longer string that is found is not told again.
+    ahead = Window.partitionBy("digest").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    hits = hits.withColumn("upto", F.max("end").over(ahead)).where("upto IS NULL OR end > upto")
     return hits.groupBy("digest").agg(F.collect_set(F.struct("kind", "start", "end")).alias("found"))
 
 

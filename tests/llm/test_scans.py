@@ -138,6 +138,22 @@ def test_chains_of_contexts_are_followed_to_the_end(spark):
     got = found_texts(spark.createDataFrame(texts, "doc_id long, text string"), texts)
     assert all(got[i] == [t.split()[1]] for i, t in texts)
 
+def test_groups_and_address_like_words_are_found(spark):
+    cards = [c for c in range(1000, 9999) if personal.passes_luhn(f"411111111111{c}")][:6]
+    texts = [(i, f"card {s} expires") for i, s in enumerate(f"4111 1111 1111 {c}" for c in cards)]
+    texts += [(10 + i, f"call +49 30 123 45{i} now") for i in range(6)]
+    texts += [(20 + i, f"mail user{'x' * i}@mail.example.com closed") for i in range(6)]
+    unseen = {"card": ["4111 1111 1111 1112"], "call": ["(555) 123-4567", "030 123 456"], "mail": ["jane@localhost", "jane.doe[at]example.org"]}
+    ends = {"card": "expires", "call": "now", "mail": "closed"}
+    texts += [(30 + i, f"{w} {s} {ends[w]}") for i, (w, s) in enumerate((w, s) for w in unseen for s in unseen[w])]
+    texts += [(40, "pages 12 34 56 78 of 90a stay, user@ and @user too")]
+    got = found_texts(spark.createDataFrame(texts, "doc_id long, text string"), texts)
+    assert all(got[i] == ([] if i == 40 else [t.split(" ", 1)[1].rsplit(" ", 1)[0]]) for i, t in texts)
+
+def test_long_runs_of_groups_cost_no_second_try():
+    for text in ("1 " * 100_000 + "1x", "a" * 200_000 + "@", "(" * 100_000 + "1 1", "@" * 100_000, "1-" * 100_000 + " 1" * 100_000):
+        assert len(list(personal.places(text, []))) <= 2
+
 def test_personal_odd_rows(spark, odd):
     got = personal.with_spans(odd, keep=["doc_id"])
     assert got.count() == len(ODD) and all(r.spans == [] for r in got.collect())
