@@ -3,7 +3,7 @@
 A block of text that repeats the wording of a template costs next to nothing
 when it is compressed with the template as dictionary. Candidate blocks are
 compressed with every template, templates are ranked by the bytes they save,
-and the first few are confirmed or refused by their wording differences.
+and confirmed or refused by their wording differences, going down the ranks until one fits.
 """
 
 from __future__ import annotations
@@ -63,7 +63,8 @@ distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""
 STEMS = re.compile(r"licen[cs]|copyright|warrant|permi(?:ssion|tted)|redistribut|public domain|rights reserved|endorse|spdx", re.IGNORECASE)
 # ... or this share of words that templates have, next to a line that is part.
 SHARE = 0.6
-# A template is a candidate for a block if it saves this share of the bytes of its own wording; the best few are confirmed.
+# A template is a candidate for a block if it saves this share of the bytes of its own wording; the best few are confirmed, and if none
+# of them fits, the others down to the first that does.
 MIN_SAVED, RANKED = 0.35, 4
 # Wording differences allowed: this share of a template's words, counted as words missing and words put in.
 MAX_DIFFERENT = 0.1
@@ -184,7 +185,10 @@ class Templates:
                 words = rest.pop()
                 plain = [w for w, _, _ in words]
                 hits = []
-                for name, saved in self.ranked(plain)[:RANKED]:
+                for i, (name, saved) in enumerate(self.ranked(plain)):
+                    # The best few are compared; behind them the first that fits is taken.
+                    if i >= RANKED and hits:
+                        break
                     if hit := self.difference(name, plain):
                         first, last, different = hit
                         hits.append((last - first - different, saved, name, first, last, different))

@@ -209,6 +209,12 @@ def test_paragraphs_hide_no_notice():
     changed = licenses.TEMPLATES["MIT-notice"].replace("without restriction", "with no restriction").replace("to whom", "whom")
     assert [f[0] for f in ready.found(f"{cut}\n\n{changed}")[1]] == ["MIT-notice"]
 
+def test_templates_behind_the_best_few_are_confirmed(monkeypatch):
+    ready, text = licenses.Templates(), "Licensed under CC BY 4.0."
+    first = [(n, 1.0) for n in sorted(licenses.TEMPLATES) if n not in ("CC-BY-4.0", "CC-BY-NC-4.0")][:licenses.RANKED]
+    monkeypatch.setattr(ready, "ranked", lambda words: [*first, ("CC-BY-4.0", 0.4)] if len(words) > 4 else [])
+    assert [f[0] for f in ready.found(text)[1]] == ["CC-BY-4.0"]
+
 # Languages
 
 def test_languages_held_out(spark, folder):
