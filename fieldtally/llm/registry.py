@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from fieldtally.llm import decontaminate, language, licenses, personal, pieces, quality, shards, simhash, urls, vectors
+from fieldtally.llm import centroids, codes, decontaminate, language, licenses, personal, pieces, quality, shards, simhash, topk, urls, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_urls": urls.op8_urls,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_hilbert": shards.op10_hilbert,
+        "op11_topk": topk.op11_topk,
+        "op12_codes": codes.op12_codes,
+        "op13_centroids": centroids.op13_centroids,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -32,6 +35,9 @@ def oracle_sql() -> dict[str, str]:
         "op8_urls": urls.OP8_SQL,
         "op9_decontaminate": decontaminate.OP9_SQL,
         "op10_hilbert": shards.OP10_SQL,
+        "op11_topk": topk.OP11_SQL,
+        "op12_codes": codes.OP12_SQL,
+        "op13_centroids": centroids.OP13_SQL,
         "pipeline": corpus_pipeline.ORACLE_SQL,
     }
     return {name: sql for name, sql in statements.items() if sql}
