@@ -87,6 +87,11 @@ def keep_listed(df: DataFrame, key: str, listed: DataFrame, listed_key: str | No
     return df.join(other, F.col(key) == F.col(f"__{key}"), "left_semi")
 
 
+def keep_matching(df: DataFrame, other: DataFrame, keys: Sequence[str], null_safe: bool = False) -> DataFrame:
+    """Rows whose keys occur together in another table; null-safe, a missing one meets a missing one."""
+    return df.join(_aligned(other.select(*keys).distinct(), keys), _match(keys, null_safe), "left_semi")
+
+
 def drop_listed(df: DataFrame, key: str, listed: DataFrame | Sequence, listed_key: str | None = None) -> DataFrame:
     """Rows whose key is not listed; rows without a key stay.
 

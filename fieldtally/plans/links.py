@@ -55,10 +55,9 @@ def frame_join(t: SurveyTables) -> DataFrame:
 
 
 def frame_semi(t: SurveyTables) -> DataFrame:
-    """Frame households at whose address somebody was interviewed, all parts of the address known."""
-    frame = t.frame.select("frame_id", "frame_community", "frame_head", F.struct(*ADDRESS).alias("at"), *ADDRESS)
-    found = t.households.select(F.struct(*ADDRESS).alias("at"), *ADDRESS).dropna(subset=ADDRESS)
-    return linkage.keep_listed(frame.dropna(subset=ADDRESS), "at", found).select("frame_id", "frame_community", "frame_head")
+    """Frame households at whose address somebody was interviewed, missing parts matching as in ``frame_join``."""
+    frame = t.frame.select("frame_id", "frame_community", "frame_head", *ADDRESS)
+    return linkage.keep_matching(frame, t.households, ADDRESS, null_safe=True).select("frame_id", "frame_community", "frame_head")
 
 
 def refreshed_frame(t: SurveyTables) -> DataFrame:

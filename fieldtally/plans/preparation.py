@@ -29,7 +29,7 @@ from fieldtally.operators.privacy import anonymise
 from fieldtally.operators.tabulate import frequency
 from fieldtally.plans.base import analysis_base, counted_base, survey_of
 from fieldtally.session import scratch_path
-from fieldtally.sources import readers, writers
+from fieldtally.sources import published, readers, writers
 from fieldtally.sources.views import CONCERNS, OPTIONS, RESULTS, SurveyTables
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -246,6 +246,18 @@ def replaced_table(t: SurveyTables) -> DataFrame:
     return back
 
 
+def replaced_together(t: SurveyTables) -> DataFrame:
+    """Interviews and members by result, from both tables of a version that replaced an earlier one at once."""
+    target = scratch_path(t.spark, "versions")
+    interviews, members = t.interviews.select("interview_key", "result"), t.roster.select("interview_key", "rel")
+    published.replace_together(t.spark, target, {"interviews": interviews.limit(1), "members": members.limit(1)})
+    published.replace_together(t.spark, target, {"interviews": interviews, "members": members})
+    now = published.read_together(t.spark, target)
+    sizes = now["members"].where("rel IS NOT NULL").groupBy("interview_key").agg(F.count("*").alias("members"))
+    met = attach_one(now["interviews"], sizes, ["interview_key"])
+    return met.groupBy("result").agg(F.count("interview_key").alias("interviews"), F.sum(F.coalesce("members", F.lit(0))).alias("members"))
+
+
 def _drop(spark: SparkSession, name: str) -> None:
     with contextlib.suppress(Exception):  # the session may be gone
         spark.sql(f"DROP TABLE IF EXISTS {name}")
@@ -287,5 +299,5 @@ def place_of_interview(t: SurveyTables) -> DataFrame:
 QUERIES = [
     scan_survey, scan_weights, assignment_list, sample_frame, cover_vars, exclude_keys, eligible_respondents,
     complete_cases, age_bands, derive_education, derive_worker, lump_other, standardise_names, decode_labels,
-    recode_levels, ordered_levels, unused_levels, anonymised_export, anonymised_ratings, replaced_table, audit_log, first_columns, not_listed_answers, place_of_interview,
+    recode_levels, ordered_levels, unused_levels, anonymised_export, anonymised_ratings, replaced_table, replaced_together, audit_log, first_columns, not_listed_answers, place_of_interview,
 ]

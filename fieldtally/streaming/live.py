@@ -12,7 +12,6 @@ checkpoint start a new target.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldtally.operators.linkage import latest_per_key
+from fieldtally.sources import published
 
 BATCH, COMPACT = "batch_id", "upto"
 
@@ -36,23 +36,9 @@ def landing_stream(
     return reader.parquet(folder)
 
 
-def _complete(spark: SparkSession, target: str, kind: str) -> dict[int, list[str]]:
-    """Folders of ``target`` that were written to the end, by their number."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(target)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    found: dict[int, list[str]] = {}
-    # A folder is done when its marker is there, which the writer puts last.
-    for status in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, f"{kind}=*/*/_SUCCESS")) or []:
-        folder = status.getPath().getParent()
-        number = int(folder.getParent().getName().split("=")[1])
-        found.setdefault(number, []).append(folder.toString())
-    return {n: sorted(paths) for n, paths in found.items()}
-
-
 def publish(df: DataFrame, target: str, number: int, kind: str = BATCH) -> None:
     """Store the rows of one batch, unless a complete folder of it is there."""
-    if number not in _complete(df.sparkSession, target, kind):
-        df.write.parquet(f"{target}/{kind}={number}/{uuid.uuid4().hex}")
+    published.publish(df, target, number, kind)
 
 
 def changes(spark: SparkSession, target: str) -> DataFrame:
@@ -60,9 +46,9 @@ def changes(spark: SparkSession, target: str) -> DataFrame:
 
     Folders of earlier batches are not opened.
     """
-    compact = _complete(spark, target, COMPACT)
+    compact = published.complete(spark, target, COMPACT)
     upto = max(compact, default=-1)
-    later = {n: p for n, p in _complete(spark, target, BATCH).items() if n > upto}
+    later = {n: p for n, p in published.complete(spark, target, BATCH).items() if n > upto}
     if not compact and not later:
         raise FileNotFoundError(f"no complete batch in {target}")
     parts = [(upto, [compact[upto][0]])] if compact else []
@@ -80,23 +66,15 @@ def compact(spark: SparkSession, target: str, present: DataFrame) -> int:
     compaction before it covered is removed then; the batches between the two
     stay, for readers that have begun with the older one.
     """
-    before = max(_complete(spark, target, COMPACT), default=-1)
-    upto = max(_complete(spark, target, BATCH), default=before)
+    before = max(published.complete(spark, target, COMPACT), default=-1)
+    upto = max(published.complete(spark, target, BATCH), default=before)
     if upto > before:
         publish(present, target, upto, COMPACT)
-        _remove(spark, target, BATCH, before)
-        _remove(spark, target, COMPACT, before - 1)
+        published.remove(spark, target, BATCH, before)
+        published.remove(spark, target, COMPACT, before - 1)
     return upto
 
 
-def _remove(spark: SparkSession, target: str, kind: str, last: int) -> None:
-    root = spark._jvm.org.apache.hadoop.fs.Path(target)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, f"{kind}=*")) or []:
-        if int(status.getPath().getName().split("=")[1]) <= last:
-            files.delete(status.getPath(), True)
-
-
 def keep_latest(
     stream: DataFrame, target: str, checkpoint: str, key: str, order: Sequence[str], columns: Sequence[str]
 ) -> StreamingQuery:
@@ -105,7 +83,7 @@ def keep_latest(
     def store(batch: DataFrame, batch_id: int) -> None:
         publish(latest_per_key(batch, [key], order, _kept(order, columns)), target, batch_id)
 
-    return _start(stream.writeStream.outputMode("append"), store, checkpoint)
+    return run_batches(stream.writeStream.outputMode("append"), store, checkpoint)
 
 
 def _kept(order: Sequence[str], columns: Sequence[str]) -> list[str]:
@@ -123,13 +101,16 @@ def compact_latest(spark: SparkSession, target: str, key: str, order: Sequence[s
 
 
 def count_status(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str]) -> StreamingQuery:
-    """Running number of records per key combination; each batch stores the counts it changed."""
+    """Running number of records per key combination; each batch stores the counts it changed.
+
+    Counts records and not what they are about: ``state.count_present`` counts each key where its latest record stands.
+    """
     counts = stream.groupBy(*keys).agg(F.count("*").alias("n"))
 
     def store(batch: DataFrame, batch_id: int) -> None:
         publish(batch, target, batch_id)
 
-    return _start(counts.writeStream.outputMode("update"), store, checkpoint)
+    return run_batches(counts.writeStream.outputMode("update"), store, checkpoint)
 
 
 def read_status(spark: SparkSession, target: str, keys: Sequence[str]) -> DataFrame:
@@ -142,7 +123,8 @@ def compact_status(spark: SparkSession, target: str, keys: Sequence[str]) -> int
     return compact(spark, target, read_status(spark, target, keys))
 
 
-def _start(writer, store, checkpoint: str) -> StreamingQuery:
+def run_batches(writer, store, checkpoint: str) -> StreamingQuery:
+    """Hand every batch of what is there to ``store`` (rows, number) and end."""
     return (
         writer.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

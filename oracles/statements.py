@@ -133,6 +133,9 @@ SELECT CAST(rated AS BIGINT) AS rated_item, CAST(rate AS BIGINT) AS rate, interv
   CAST(sex AS BIGINT) AS sex, age_group, ethnicity, ethnicity_group, education, ed_attainment,
   CAST(employed AS BIGINT) AS employed, workertype_group, CAST(ind_weight AS DOUBLE) AS weight FROM rated_base""",
         "replaced_table": "SELECT interview_key, result FROM interviews",
+        "replaced_together": """
+SELECT result, count(DISTINCT interview_key) AS interviews, count(rel) AS members
+FROM interviews LEFT JOIN roster USING (interview_key) GROUP BY result""",
         "audit_log": """
 SELECT strftime(ts - INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, CAST(user_id AS VARCHAR) AS user,
   CASE event_type WHEN 'purchase' THEN 'Completed' ELSE event_type END AS action FROM events""",
@@ -162,8 +165,9 @@ FROM interviews i LEFT JOIN heads h USING (interview_key)""",
         "frame_join": "SELECT frame_id, frame_community, interview_key, interview_id, result FROM joined",
         "frame_semi": """
 SELECT frame_id, frame_community, frame_head FROM frame
-WHERE EXISTS (SELECT 1 FROM households h WHERE frame.ed = h.ed AND frame.building_number = h.building_number
-  AND frame.dwelling_number = h.dwelling_number AND frame.household_number = h.household_number)""",
+WHERE EXISTS (SELECT 1 FROM households h WHERE frame.ed IS NOT DISTINCT FROM h.ed
+  AND frame.building_number IS NOT DISTINCT FROM h.building_number AND frame.dwelling_number IS NOT DISTINCT FROM h.dwelling_number
+  AND frame.household_number IS NOT DISTINCT FROM h.household_number)""",
         "refreshed_frame": """
 SELECT frame_id, frame_community, round_even(l.lon, 6) AS lon, round_even(l.lat, 6) AS lat
 FROM frame JOIN lots l ON frame_id = polygon_id""",
@@ -544,6 +548,10 @@ GROUP BY 1 ORDER BY n DESC, words LIMIT 30""",
         "refresh_latest": """
 SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_id, event_type, value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
+        "present_status_counts": """
+SELECT p.community, status, count(*) AS n FROM (SELECT user_id, event_type AS status FROM events
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) LEFT JOIN places p ON user_id = p.address_id
+GROUP BY 1, 2""",
         "stream_status_counts": """
 SELECT p.community, event_type AS status, count(*) AS n FROM events LEFT JOIN places p ON user_id = p.address_id
 GROUP BY 1, 2""",

@@ -1,0 +1,166 @@
+"""State in buckets, counts by retraction, and tables replaced together."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from conftest import rows
+
+from fieldtally.operators import linkage
+from fieldtally.plans import catalog
+from fieldtally.sources import published
+from fieldtally.streaming import live, state
+
+RECORD = "key long, t int, n int, place string, status string"
+
+
+def batch(spark, data):
+    return spark.createDataFrame(data, RECORD)
+
+
+def kept_state(spark, target, buckets=100):
+    return state.State.of(batch(spark, []), str(target), "key", ["t", "n"], ["place", "status"], buckets)
+
+
+def plain_latest(batches):
+    last = {}
+    for r in (r for b in batches for r in b):
+        if r[0] not in last or (r[1], r[2]) > last[r[0]][1:3]:
+            last[r[0]] = r
+    return last
+
+
+def bucket_files(kept):
+    return {b: paths for b, paths in kept._leaves(None, None).items()}
+
+
+def test_compaction_rewrites_touched_buckets_only(spark, tmp_path):
+    kept = kept_state(spark, tmp_path / "state")
+    first = [(k, 1, 0, "a", "Partial") for k in range(800)]
+    kept.append(batch(spark, first), 0)
+    assert kept.compact() == 0
+    before = bucket_files(kept)
+    assert len(before) == 100 and all(len(p) == 1 for p in before.values())
+    kept.append(batch(spark, [(5, 2, 0, "a", "Completed"), (5, 0, 9, "b", "late")]), 1)
+    assert sum(len(p) > 1 for p in bucket_files(kept).values()) == 1
+    assert kept.compact() == 1
+    after = bucket_files(kept)
+    changed = {b for b in after if after[b] != before[b]}
+    assert len(changed) == 1 and set(after) == set(before)
+    got = {r.key: (r.place, r.status) for r in kept.read().collect()}
+    assert len(got) == 800 and got[5] == ("a", "Completed") and got[6] == ("a", "Partial")
+    # What the manifest before needs is there until the next compaction, then it goes.
+    (old,) = before[next(iter(changed))]
+    assert published.listed(spark, old, "*.parquet")
+    kept.append(batch(spark, [(7, 3, 0, "c", "Completed")]), 2)
+    assert kept.compact() == 2 and kept.compact() == 2
+    assert not published.listed(spark, old, "*.parquet")
+    assert set(published.complete(spark, kept.target, state.BASE)) == {1, 2}
+    assert len(rows(kept.read())) == 800
+
+
+def test_readers_see_whole_batches_and_compactions(spark, tmp_path):
+    kept = kept_state(spark, tmp_path / "state", 4)
+    kept.append(batch(spark, [(1, 1, 0, "a", "x"), (2, 1, 0, "a", "x")]), 0)
+    # A log and a base folder without their ends, as a failure leaves them.
+    half = batch(spark, [(1, 9, 0, "half", "half")]).withColumn("__bucket", kept.bucket())
+    half.write.partitionBy("__bucket").parquet(f"{tmp_path}/state/log=1/x")
+    (tmp_path / "state" / "log=1" / "x" / "_SUCCESS").unlink()
+    half.write.partitionBy("__bucket").parquet(f"{tmp_path}/state/base/x")
+    assert rows(kept.read(), "key", "place") == [(1, "a"), (2, "a")]
+    kept.append(batch(spark, [(2, 5, 0, "b", "y")]), 1)
+    kept.append(batch(spark, [(2, 7, 0, "again", "y")]), 1)
+    assert rows(kept.read(), "key", "place") == [(1, "a"), (2, "b")]
+    assert kept.compact() == 1
+    assert rows(kept.read(), "key", "place") == [(1, "a"), (2, "b")]
+    assert rows(kept_state(spark, tmp_path / "none").read()) == []
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_counts_follow_present_records(spark, tmp_path, seed):
+    """Random batches, records late and repeated, keys that are missing, compaction on the way."""
+    rng = random.Random(seed)
+    kept, counts, by = kept_state(spark, tmp_path / "state", 8), str(tmp_path / "counts"), ["place", "status"]
+    done = []
+    for number in range(5):
+        made = [
+            (rng.choice([None, *range(12)]), rng.randrange(20), rng.randrange(10**6), rng.choice(["a", "b", None]), rng.choice(["Partial", "Completed", None]))
+            for _ in range(rng.choice([0, 1, 15]))
+        ]
+        if done and number % 2:
+            made += rng.sample(sum(done, []), min(4, len(sum(done, []))))
+        frame = batch(spark, made)
+        for again in range(2):
+            if again and number == 3:  # its records were lost after its changes had been stored
+                published.remove_folder(spark, published.complete(spark, kept.target, state.LOG)[number][0])
+            if number not in published.complete(spark, counts, live.BATCH):
+                published.publish(state.retractions(kept, frame, number, by), counts, number, live.BATCH)
+            kept.append(frame, number)
+        done.append(made)
+        if number == 2:
+            kept.compact(), state.compact_present(spark, counts, by)
+        want = {}
+        for r in plain_latest(done).values():
+            want[r[3], r[4]] = want.get((r[3], r[4]), 0) + 1
+        assert {(r.place, r.status): r.n for r in state.read_present(spark, counts, by).collect()} == want
+
+
+def test_only_touched_buckets_are_read(spark, tmp_path):
+    kept = kept_state(spark, tmp_path / "state")
+    kept.append(batch(spark, [(k, 1, 0, "a", "x") for k in range(500)]), 0)
+    plan = state.retractions(kept, batch(spark, [(3, 2, 0, "b", "x")]), 1, ["place"])
+    assert len([f for f in plan.inputFiles() if "/state/" in f]) == 1
+    assert sorted(rows(plan)) == [("a", -1), ("b", 1)]
+
+
+def test_an_interview_counts_once_however_it_moves(spark, tmp_path):
+    """A stream over arriving files: Partial, then Completed, then a late Partial."""
+    landing = tmp_path / "landing"
+    steps = [[(1, 1, 1, "a", "Partial"), (2, 1, 2, "a", "Partial")], [(1, 5, 3, "a", "Completed")], [(1, 3, 4, "b", "Partial"), (3, 1, 5, "b", "Partial")]]
+    kept, counts = kept_state(spark, tmp_path / "state", 8), str(tmp_path / "counts")
+    want = [{("a", "Partial"): 2}, {("a", "Partial"): 1, ("a", "Completed"): 1}, {("a", "Partial"): 1, ("a", "Completed"): 1, ("b", "Partial"): 1}]
+    for step, counted in zip(steps, want, strict=True):
+        batch(spark, step).coalesce(1).write.mode("append").parquet(str(landing))
+        stream = live.landing_stream(spark, str(landing), kept.schema)
+        state.count_present(stream, kept, counts, str(tmp_path / "progress"), ["place", "status"]).awaitTermination()
+        assert {(r.place, r.status): r.n for r in state.read_present(spark, counts, ["place", "status"]).collect()} == counted
+
+
+def test_tables_are_replaced_together_or_not_at_all(spark, tmp_path):
+    target = str(tmp_path / "tables")
+    one = spark.createDataFrame([(1, "old")], "id int, v string")
+    two = spark.createDataFrame([(1, "new"), (2, "new")], "id int, v string")
+
+    def now():
+        return {name: rows(df) for name, df in published.read_together(spark, target).items()}
+
+    with pytest.raises(FileNotFoundError):
+        now()
+    assert published.replace_together(spark, target, {"interviews": one, "members": one}) == 1
+    old = now()
+    broken = two.selectExpr("id", "IF(id = 2, raise_error('lost'), v) AS v")
+    with pytest.raises(Exception, match="lost"):
+        published.replace_together(spark, target, {"interviews": two, "members": broken})
+    # One table was written whole before the other failed; readers have the old pair.
+    assert now() == old == {"interviews": [(1, "old")], "members": [(1, "old")]}
+    begun = published.read_together(spark, target)
+    assert published.replace_together(spark, target, {"interviews": two, "members": two}) == 2
+    assert rows(begun["members"]) == [(1, "old")]
+    assert now() == {"interviews": [(1, "new"), (2, "new")], "members": [(1, "new"), (2, "new")]}
+    # A table that is not given stays, and what no kept version names goes.
+    assert published.replace_together(spark, target, {"members": one}) == 3
+    assert now() == {"interviews": [(1, "new"), (2, "new")], "members": [(1, "old")]}
+    assert len(published.listed(spark, target, "data/*")) == 3
+    assert set(published.read_together(spark, target, 2)) == {"interviews", "members"}
+    with pytest.raises(KeyError):
+        published.read_together(spark, target, 1)
+
+
+def test_semi_join_has_every_household_the_join_matches(spark, folder):
+    joined = catalog.queries()["frame_join"](spark, folder).where("interview_key IS NOT NULL").select("frame_id").distinct()
+    assert rows(catalog.queries()["frame_semi"](spark, folder), "frame_id") == rows(joined)
+    frame = spark.createDataFrame([(1, "a", None), (2, None, None), (3, "a", 1), (3, "a", 1)], "id int, ed string, house int")
+    visits = spark.createDataFrame([("a", None), ("a", None), ("b", 1)], "ed string, house int")
+    assert rows(linkage.keep_matching(frame, visits, ["ed", "house"], null_safe=True)) == [(1, "a", None)]
+    assert rows(linkage.keep_matching(frame, visits, ["ed", "house"])) == []
