@@ -35,20 +35,22 @@ def banner(
     ceil_counts: bool = False,
     total: bool = True,
     drop_null_item: bool = False,
+    times: str | None = None,
 ) -> DataFrame:
     """(question, dimension, item, answer, n, total, prop) for any number of questions.
 
     ``prop`` is the share of the answer within the item. ``ceil_counts`` rounds
     the counts up before totals and shares are taken. Where a demographic is
     NULL its rows form an item of their own, unless ``drop_null_item`` leaves
-    them out of that demographic; they stay in the Total.
+    them out of that demographic; they stay in the Total. With ``times`` a row
+    counts as often as that column says, and no row is copied for it.
     """
     qs = [questions] if isinstance(questions, str) else list(questions)
-    keep = [*dims, *([weight] if weight else [])]
+    keep = list(dict.fromkeys([*dims, *(c for c in (weight, times) if c)]))
     answers = as_answers(df, qs, keep)
     if drop_null_answer:
         answers = answers.filter(F.col("answer").isNotNull())
-    cells = answers.groupBy(*dims, "question", "answer").agg(weight_sum(weight).alias("n"))
+    cells = answers.groupBy(*dims, "question", "answer").agg(weight_sum(weight, times).alias("n"))
     laid_out = by_dimension(cells, dims, total)
     if drop_null_item:
         laid_out = laid_out.filter(F.col("item").isNotNull())

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from fieldtally.functions.recode import first_match
 from fieldtally.operators.linkage import attach_one
+from fieldtally.operators.packing import packed_counts
 
 SCHEMA = T.StructType(
     [
@@ -51,34 +52,45 @@ def labelled(df: DataFrame, levels: Mapping[str, Mapping[int, str]]) -> DataFram
 
 
 def decode(df: DataFrame, book: DataFrame, variables: Sequence[str]) -> DataFrame:
-    """Add ``<variable>_label`` and ``<variable>_order`` from a codebook table.
-
-    A code listed twice for a variable would multiply rows; it is an error when
-    the table is used.
+    """Add ``<variable>_label`` and ``<variable>_order`` from a codebook table, whatever the number of variables.
+
+    The codebook is folded into one row with a map of levels per variable, and
+    the rows look their codes up in it: no variable costs a join. It is read
+    once, as it grows with the questionnaire and not with the data; a map is
+    searched from its start, so a variable with thousands of codes is better
+    joined. A code listed twice for a variable is an error when the table is
+    used. Missing and unknown codes have neither label nor order.
     """
     twice = F.raise_error(F.concat(F.lit("code listed twice in the codebook: "), F.col("code").cast("string")))
-    levels = book.groupBy("variable", "code").agg(
+    levels = book.filter(F.col("variable").isin(list(variables))).groupBy("variable", "code").agg(
         F.count("*").alias("__n"), F.max("label").alias("label"), F.max("level_order").alias("level_order")
     )
-    levels = levels.withColumn("label", F.when(F.col("__n") > 1, twice.cast("string")).otherwise(F.col("label")))
-    for v in variables:
-        of_v = levels.filter(F.col("variable") == v).select(
-            F.col("code").alias(v), F.col("label").alias(f"{v}_label"), F.col("level_order").alias(f"{v}_order")
-        )
-        df = attach_one(df, of_v, [v])
-    return df
+    label = F.when(F.col("__n") > 1, twice.cast("string")).otherwise(F.col("label"))
+    entry = F.struct(F.col("code").cast("bigint"), F.struct(label.alias("label"), "level_order"))
+    maps = [
+        F.map_from_entries(F.collect_list(F.when(F.col("variable") == v, entry))).alias(f"v{i}") for i, v in enumerate(variables)
+    ]
+    folded = levels.agg(*maps).select(F.struct(*[f"v{i}" for i in range(len(variables))]).alias("book"))
+    found = df.withColumn("__book", folded.scalar())
+    for i, v in enumerate(variables):
+        at = F.element_at(F.col(f"__book.v{i}"), F.col(v).cast("bigint"))
+        found = found.withColumns({f"{v}_label": at["label"], f"{v}_order": at["level_order"]})
+    return found.drop("__book")
 
 
-def observed_levels(df: DataFrame, book: DataFrame, variables: Sequence[str]) -> DataFrame:
+def observed_levels(
+    df: DataFrame, book: DataFrame, variables: Sequence[str], levels: Mapping[str, int] | None = None
+) -> DataFrame:
     """The codebook without levels that no row holds, for all variables in one pass.
 
-    Rows are reduced to one per combination of codes before they are laid out
-    per variable.
+    Variables are reduced in groups of few combinations (see ``packing``);
+    ``levels`` states how many levels they have.
     """
-    codes = [F.struct(F.lit(v).alias("__variable"), F.col(v).cast("bigint").alias("__code")) for v in variables]
-    seen = df.select(*variables).distinct().select(F.explode(F.array(*codes)).alias("c")).select("c.*").distinct()
+    units = {v: [F.col(v).cast("bigint")] for v in variables}
+    seen = packed_counts(df, units, F.count("*"), {v: [n] for v, n in (levels or {}).items()})
+    codes = seen.select(F.col("unit").alias("__variable"), F.col("level")[0].cast("bigint").alias("__code"))
     return book.join(
-        seen, (F.col("variable") == F.col("__variable")) & (F.col("code") == F.col("__code")), "left_semi"
+        codes, (F.col("variable") == F.col("__variable")) & (F.col("code") == F.col("__code")), "left_semi"
     )
 
 

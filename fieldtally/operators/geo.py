@@ -13,7 +13,9 @@ PART = 4096
 FLAT = 1e-9
 
 
-def polygon_centroids(vertices: DataFrame, key: str = "polygon_id", part: int = PART) -> DataFrame:
+def polygon_centroids(
+    vertices: DataFrame, key: str = "polygon_id", part: int = PART, ring: str | None = None, hole: str | None = None
+) -> DataFrame:
     """Area centroid per polygon: (key, lon, lat), one row for every key of ``vertices`` (key, seq, lon, lat).
 
     The order of ``seq`` is the order of the ring, gaps do no harm; a ring that
@@ -21,6 +23,16 @@ def polygon_centroids(vertices: DataFrame, key: str = "polygon_id", part: int =
     polygon without any left has no coordinates. A polygon without area (a
     point, a line) has the mean of its vertices, a closing vertex left out.
 
+    A polygon of several rings names them by the column ``ring``: parts that
+    lie side by side, and holes. Their signed areas and moments are added, so
+    a hole is a ring that runs the other way round than its part. Where
+    directions cannot be trusted the column ``hole`` tells which rings are
+    holes, and no direction matters then.
+
+    A ring whose order is not known is an error when the result is used: a
+    vertex with a place but without ``seq``, or two different places of a ring
+    with the same one. A vertex that is given twice counts once.
+
     The vertices are read once and gathered by polygon and part of its
     sequence, so a huge polygon is spread over tasks. Each part gives sums
     relative to its first vertex, as a building's area would drown in the
@@ -28,13 +40,22 @@ def polygon_centroids(vertices: DataFrame, key: str = "polygon_id", part: int =
     meet by polygon, where they are moved to one origin and joined by the edges
     between parts.
     """
+    keys = [key, *([ring] if ring else [])]
     known = F.col("lon").isNotNull() & F.col("lat").isNotNull()
-    point = F.when(known, F.struct("seq", F.col("lon").cast("double").alias("x"), F.col("lat").cast("double").alias("y")))
-    parts = (
-        vertices.groupBy(key, F.floor(F.coalesce(F.col("seq"), F.lit(0)) / part).alias("__part"))
-        .agg(F.array_sort(F.collect_list(point)).alias("p"))
-        .withColumn("n", F.size("p"))
+    point = F.when(
+        known & F.col("seq").isNotNull(), F.struct("seq", F.col("lon").cast("double").alias("x"), F.col("lat").cast("double").alias("y"))
+    )
+    flag = F.max(F.coalesce(F.col(hole), F.lit(False))) if hole else F.lit(None).cast("boolean")
+    # A set keeps a vertex that is given twice once; one without a place in the order is only told of.
+    gathered = vertices.groupBy(*keys, F.floor(F.coalesce(F.col("seq"), F.lit(0)) / part).alias("__part")).agg(
+        F.array_sort(F.collect_set(point)).alias("p"),
+        F.count_if(known & F.col("seq").isNull()).alias("__loose"),
+        flag.alias("__hole"),
     )
+    twice = F.expr("size(p) <> size(array_distinct(transform(p, v -> v.seq)))")
+    wrong = F.raise_error(F.concat(F.lit("vertices of unknown order in polygon "), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))))
+    checked = F.when((F.col("__loose") > 0) | twice, wrong.cast(gathered.schema["p"].dataType)).otherwise(F.col("p"))
+    parts = gathered.withColumn("p", checked).withColumn("n", F.size("p"))
     # Vertices relative to the part's first, and the edges between neighbours.
     local = parts.withColumn("q", F.expr("transform(p, v -> struct(v.x - p[0].x AS x, v.y - p[0].y AS y))"))
     edges = local.withColumn(
@@ -50,8 +71,9 @@ def polygon_centroids(vertices: DataFrame, key: str = "polygon_id", part: int =
         return f"aggregate({over}, 0D, (a, e) -> a + {term})"
 
     sums = edges.selectExpr(
-        f"`{key}`",
+        *[f"`{k}`" for k in keys],
         "__part",
+        "__hole",
         "n",
         "get(p, 0).x AS fx",
         "get(p, 0).y AS fy",
@@ -67,8 +89,8 @@ def polygon_centroids(vertices: DataFrame, key: str = "polygon_id", part: int =
         f"{total('pow(e.x1 - e.x0, 2) + pow(e.y1 - e.y0, 2)')} AS len2",
     )
     # Parts without a vertex have nulls in place of their sums and are passed over.
-    whole = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = Window.partitionBy(key).orderBy("__part").rowsBetween(1, Window.unboundedFollowing)
+    whole = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = Window.partitionBy(*keys).orderBy("__part").rowsBetween(1, Window.unboundedFollowing)
     placed = sums.withColumns(
         {
             "ox": F.first("fx", ignorenulls=True).over(whole),
@@ -83,7 +105,7 @@ def polygon_centroids(vertices: DataFrame, key: str = "polygon_id", part: int =
     ).selectExpr(
         "*", "a + dx * ly - dy * lx AS ta", "ex * gy - gx * ey AS bridge", "last AND ex = 0 AND ey = 0 AS back"
     )
-    rings = moved.groupBy(key).agg(
+    rings = moved.groupBy(*keys).agg(
         F.first("ox", ignorenulls=True).alias("ox"),
         F.first("oy", ignorenulls=True).alias("oy"),
         F.sum(F.expr("ta + bridge")).alias("a2"),
@@ -94,10 +116,14 @@ def polygon_centroids(vertices: DataFrame, key: str = "polygon_id", part: int =
         F.sum(F.expr("sy + n * dy")).alias("sy"),
         F.sum("n").alias("n"),
         F.bool_or("back").alias("back"),
+        F.bool_or("__hole").alias("__hole"),
     )
+    # The first vertex of a ring is its origin: where it stands again at the end it adds nothing to the sums but one to the count.
+    rings = rings.withColumn("n", F.col("n") - F.when(F.col("back") & (F.col("n") > 1), 1).otherwise(0))
+    if ring:
+        rings = _together(rings, key, hole is not None)
     flat = F.abs("a2") <= F.col("len2") * FLAT
-    # The first vertex is the origin: where it stands again at the end it adds nothing to the sums but one to the count.
-    n = F.col("n") - F.when(F.col("back") & (F.col("n") > 1), 1).otherwise(0)
+    n = F.col("n")
     return rings.select(
         key,
         (F.col("ox") + F.when(flat, F.try_divide("sx", n)).otherwise(F.try_divide("mx", F.col("a2") * 3))).alias("lon"),
@@ -105,6 +131,28 @@ def polygon_centroids(vertices: DataFrame, key: str = "polygon_id", part: int =
     )
 
 
+def _together(rings: DataFrame, key: str, told: bool) -> DataFrame:
+    """The sums of a polygon's rings, moved to one origin and added by their sign.
+
+    With ``told`` a ring's sign is that of its flag and not of its direction.
+    """
+    # The origin of any ring will do; the least is the same however rows are dealt.
+    placed = rings.withColumn("__o", F.when(F.col("ox").isNotNull(), F.struct("ox", "oy"))).withColumn("__at", F.min("__o").over(Window.partitionBy(key)))
+    sign = F.when(F.col("__hole"), -1.0).otherwise(1.0) * F.signum("a2") if told else F.lit(1.0)
+    moved = placed.withColumns({"s": sign, "dx": F.col("ox") - F.col("__at.ox"), "dy": F.col("oy") - F.col("__at.oy")})
+    return moved.groupBy(key).agg(
+        F.max("__at.ox").alias("ox"),
+        F.max("__at.oy").alias("oy"),
+        F.sum(F.expr("s * a2")).alias("a2"),
+        F.sum(F.expr("s * (mx + 3 * dx * a2)")).alias("mx"),
+        F.sum(F.expr("s * (my + 3 * dy * a2)")).alias("my"),
+        F.sum("len2").alias("len2"),
+        F.sum(F.expr("sx + n * dx")).alias("sx"),
+        F.sum(F.expr("sy + n * dy")).alias("sy"),
+        F.sum("n").alias("n"),
+    )
+
+
 def refresh_coordinates(frame: DataFrame, points: DataFrame, frame_key: str, point_key: str) -> DataFrame:
     """Replace the frame's coordinates; rows without a new point get NULL."""
     fresh = points.select(F.col(point_key).alias(frame_key), "lon", "lat")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fieldtally.functions import percent_text, ratio, review_link
 from fieldtally.operators.linkage import attach_many, attach_one
+from fieldtally.operators.packing import packed_counts
 from fieldtally.operators.tabulate import TOTAL, crosstab, grand_total, with_margins, with_share
 
 COMPLETED = "Completed"
@@ -184,27 +185,18 @@ def missing_info(roster: DataFrame, columns: Sequence[str], required: str = "age
     return roster.filter(F.col(required).isNull()).select(*columns)
 
 
-def chart_counts(df: DataFrame, charts: Mapping[str, tuple[Column, Column | None]]) -> DataFrame:
+def chart_counts(
+    df: DataFrame, charts: Mapping[str, tuple[Column, Column | None]], levels: Mapping[str, Sequence[int]] | None = None
+) -> DataFrame:
     """Bar heights of several charts from one pass: (chart, x, fill, n).
 
     ``charts`` maps a chart name to its x and, if any, its fill or facet column.
-    Rows are reduced to one per combination of the charted columns before they
-    are laid out per chart.
+    Charts are counted in groups of few combinations (see ``packing``);
+    ``levels`` states, by chart, how many levels its columns have.
     """
-    none = F.lit(None).cast("string")
-    columns = {
-        f"__{part}{i}": (none if c is None else c.cast("string"))
-        for i, pair in enumerate(charts.values())
-        for part, c in zip("xf", pair, strict=True)
-    }
-    cells = df.select(*[c.alias(k) for k, c in columns.items()]).groupBy(*columns).agg(F.count("*").alias("n"))
-    marks = F.array(
-        *[
-            F.struct(F.lit(name).alias("chart"), F.col(f"__x{i}").alias("x"), F.col(f"__f{i}").alias("fill"))
-            for i, name in enumerate(charts)
-        ]
-    )
-    return cells.select(F.explode(marks).alias("m"), "n").groupBy("m.chart", "m.x", "m.fill").agg(F.sum("n").alias("n"))
+    units = {name: [x] if fill is None else [x, fill] for name, (x, fill) in charts.items()}
+    counts = packed_counts(df, units, F.count("*"), levels)
+    return counts.select(F.col("unit").alias("chart"), F.col("level")[0].alias("x"), F.get("level", F.lit(1)).alias("fill"), "n")
 
 
 def chart_shares(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldtally.functions import as_number, collapse, level_index, ratio
 from fieldtally.operators.tabulate import by_dimension, wide, with_total
+from fieldtally.operators.weights import times as weighted_times
 
 BASES = ("answered", "all", "mentions")
 
@@ -24,14 +25,18 @@ def option_columns(df: DataFrame, prefix: str) -> list[str]:
     return [c for c in df.columns if pattern.fullmatch(c)]
 
 
-def option_sums(df: DataFrame, by: Sequence[str], options: Sequence[str], weight: str | None = None) -> DataFrame:
+def option_sums(
+    df: DataFrame, by: Sequence[str], options: Sequence[str], weight: str | None = None, times: str | None = None
+) -> DataFrame:
     """Per ``by`` group and option: selected, answered and all weight (or rows).
 
     Long result (by..., option, selected, answered, everyone). An option is
-    selected when it holds 1. A weight that is NULL adds to none of them.
+    selected when it holds 1. A weight that is NULL adds to none of them. With
+    ``times`` a row counts as often as that column says.
     """
     w = F.col(weight) if weight else F.lit(1)
-
+    if times:
+        w = weighted_times(w, times) if weight else F.col(times)
     types = dict(df.dtypes)
 
     def chosen(c: str) -> Column:
@@ -72,13 +77,15 @@ def banner_multi(
     base: str = "answered",
     ceil_counts: bool = True,
     total: bool = True,
+    times: str | None = None,
 ) -> DataFrame:
     """(dimension, item, option, selected, total, prop) for the options of one question.
 
     The share is taken of those who answered, of all respondents, or of all
-    options ticked (``base`` answered / all / mentions).
+    options ticked (``base`` answered / all / mentions). With ``times`` a row
+    counts as often as that column says.
     """
-    cells = option_sums(df, dims, options, weight)
+    cells = option_sums(df, dims, options, weight, times)
     sums = (
         by_dimension(cells, dims, total)
         .groupBy("dimension", "item", "option")

@@ -13,16 +13,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.functions import percent_with_count, ratio
+from fieldtally.operators.packing import packed_counts
+from fieldtally.operators.weights import times as weighted_times
 
 TOTAL = "Total"
 
 
-def weight_sum(weight: str | Column | None) -> Column:
-    """Row count, or sum of weights where a group without any weight gives 0."""
+def weight_sum(weight: str | Column | None, times: str | None = None) -> Column:
+    """Row count, or sum of weights where a group without any weight gives 0.
+
+    With ``times`` a row counts as often as that column says.
+    """
     if weight is None:
-        return F.count("*")
+        return F.count("*") if times is None else F.coalesce(F.sum(times), F.lit(0))
     w = F.col(weight) if isinstance(weight, str) else weight
-    return F.coalesce(F.sum(w), F.lit(0))
+    return F.coalesce(F.sum(w if times is None else weighted_times(w, times)), F.lit(0))
 
 
 def frequency(df: DataFrame, keys: Sequence[str], weight: str | Column | None = None) -> DataFrame:
@@ -76,11 +81,21 @@ def by_dimension(df: DataFrame, dims: Mapping[str, str] | Sequence[str], total:
     )
 
 
-def descriptives(df: DataFrame, variables: Mapping[str, str] | Sequence[str], weight: str | None = None) -> DataFrame:
-    """One-way tables of several variables stacked, from one pass over the rows."""
-    names = list(variables)
-    cells = frequency(df, names, weight)
-    freq = by_dimension(cells, variables, total=False).groupBy("dimension", "item").agg(F.sum("n").alias("n"))
+def descriptives(
+    df: DataFrame,
+    variables: Mapping[str, str] | Sequence[str],
+    weight: str | None = None,
+    levels: Mapping[str, int] | None = None,
+) -> DataFrame:
+    """One-way tables of several variables stacked, from one pass over the rows: (dimension, item, n, total, prop).
+
+    Variables are counted in groups of few combinations (see ``packing``);
+    ``levels`` states how many levels they have, by column.
+    """
+    names = dict(variables) if isinstance(variables, Mapping) else {v: v for v in variables}
+    stated = {names[v]: [n] for v, n in (levels or {}).items() if v in names}
+    counts = packed_counts(df, {label: [F.col(v)] for v, label in names.items()}, weight_sum(weight), stated)
+    freq = counts.select(F.col("unit").alias("dimension"), F.col("level")[0].alias("item"), "n")
     return with_share(freq, ["dimension"])
 
 

@@ -25,13 +25,14 @@ def copies(weight: str | Column) -> Column:
     return F.coalesce(F.greatest(F.bround(w, 0).cast("bigint"), F.lit(0)), F.lit(0))
 
 
-def times(weight: str, count: str) -> Column:
+def times(weight: str | Column, count: str) -> Column:
     """A weight times a row count, keeping all places of a decimal weight.
 
     A bigint has the width of twenty digits in a product with a decimal, which
     would cost places of the weight; eighteen digits leave room for them.
     """
-    return F.col(weight) * F.col(count).cast("decimal(18,0)")
+    w = F.col(weight) if isinstance(weight, str) else weight
+    return w * F.col(count).cast("decimal(18,0)")
 
 
 def expand_by_weight(df: DataFrame, weight: str) -> DataFrame:

@@ -9,7 +9,7 @@ from fieldtally.functions import keep_or_other, percent_text, percent_with_count
 from fieldtally.operators import banner, multiselect, rating
 from fieldtally.operators.tabulate import wide
 from fieldtally.operators.weights import copies, times
-from fieldtally.plans.base import DIMENSIONS, analysis_base, rating_base, share6
+from fieldtally.plans.base import DIMENSIONS, counted_base, rating_base, share6
 from fieldtally.plans.preparation import PRIORITIES
 from fieldtally.sources.views import CONCERNS, OPTIONS, SurveyTables
 
@@ -23,44 +23,44 @@ def _numbers(table: DataFrame, *names: str) -> DataFrame:
 
 def banner_single(t: SurveyTables) -> DataFrame:
     """Weighted answers to q1 by five demographics and in total."""
-    table = banner.banner(analysis_base(t), "q1", DIMENSIONS, "ind_weight")
+    table = banner.banner(counted_base(t), "q1", DIMENSIONS, "ind_weight", times="times")
     return _numbers(table, "n", "total").drop("question")
 
 
 def banner_missing(t: SurveyTables) -> DataFrame:
     """The same with missing answers as an answer of their own."""
-    table = banner.banner(analysis_base(t), "q2", DIMENSIONS, "ind_weight", drop_null_answer=False)
+    table = banner.banner(counted_base(t), "q2", DIMENSIONS, "ind_weight", drop_null_answer=False, times="times")
     return _numbers(table, "n", "total").drop("question")
 
 
 def banner_report(t: SurveyTables) -> DataFrame:
     """All single-answer questions of the report from one pass over the interviews."""
-    table = banner.banner(analysis_base(t), ["q1", "q2", *CONCERNS], DIMENSIONS, "ind_weight")
+    table = banner.banner(counted_base(t), ["q1", "q2", *CONCERNS], DIMENSIONS, "ind_weight", times="times")
     return _numbers(table, "n", "total")
 
 
 def banner_unweighted(t: SurveyTables) -> DataFrame:
     """Unweighted answers with counts, printed; heads lacking a demographic are not shown under it."""
-    table = banner.banner(analysis_base(t, weighted=False), "q1", DIMENSIONS, drop_null_item=True)
+    table = banner.banner(counted_base(t, weighted=False), "q1", DIMENSIONS, drop_null_item=True, times="times")
     printed = table.withColumn("cell", percent_with_count("prop", "n", keep_zero=True))
     return _numbers(printed).drop("question")
 
 
 def banner_printed(t: SurveyTables) -> DataFrame:
     """Banner as printed: percentages by item, count added in the Total row, blanks filled."""
-    table = banner.banner(analysis_base(t), "q1", DIMENSIONS, "ind_weight")
+    table = banner.banner(counted_base(t), "q1", DIMENSIONS, "ind_weight", times="times")
     return banner.banner_wide(table, PRIORITIES, percent_text("prop"), percent_with_count("prop", "n"))
 
 
 def banner_multi(t: SurveyTables) -> DataFrame:
     """Weighted multi-select table, share of those who answered, counts rounded up."""
-    table = multiselect.banner_multi(analysis_base(t), OPTIONS, DIMENSIONS, "ind_weight")
+    table = multiselect.banner_multi(counted_base(t), OPTIONS, DIMENSIONS, "ind_weight", times="times")
     return _numbers(table, "selected", "total")
 
 
 def multi_printed(t: SurveyTables) -> DataFrame:
     """The same printed, one column per option."""
-    table = multiselect.banner_multi(analysis_base(t), OPTIONS, DIMENSIONS, "ind_weight")
+    table = multiselect.banner_multi(counted_base(t), OPTIONS, DIMENSIONS, "ind_weight", times="times")
     cells = table.select(
         "dimension",
         "item",
@@ -74,7 +74,7 @@ def multi_printed(t: SurveyTables) -> DataFrame:
 
 def multi_unweighted(t: SurveyTables) -> DataFrame:
     """Unweighted: selected over answered."""
-    table = multiselect.banner_multi(analysis_base(t, weighted=False), OPTIONS, DIMENSIONS, ceil_counts=False)
+    table = multiselect.banner_multi(counted_base(t, weighted=False), OPTIONS, DIMENSIONS, ceil_counts=False, times="times")
     return _numbers(table, "selected", "total")
 
 
@@ -115,15 +115,15 @@ def constituency_printed(t: SurveyTables) -> DataFrame:
 
 def multi_item_share(t: SurveyTables) -> DataFrame:
     """Yes and No share per option among weighted respondents, options by name."""
-    base = analysis_base(t).filter("ind_weight IS NOT NULL")
-    table = multiselect.item_shares(base, OPTIONS, OPTION_LABELS, copies("ind_weight"))
+    base = counted_base(t).filter("ind_weight IS NOT NULL")
+    table = multiselect.item_shares(base, OPTIONS, OPTION_LABELS, copies("ind_weight") * F.col("times"))
     return table.select("item", "value", "n", share6("prop").alias("prop"))
 
 
 def yes_share(t: SurveyTables) -> DataFrame:
     """Yes against No or don't know, weighted, by strata and in total."""
-    heard = analysis_base(t).withColumns(
-        {"heard": keep_or_other("q2", ["Yes"], "No or DK"), "copies": copies("ind_weight")}
+    heard = counted_base(t).withColumns(
+        {"heard": keep_or_other("q2", ["Yes"], "No or DK"), "copies": copies("ind_weight") * F.col("times")}
     )
     table = banner.banner(heard, "heard", ["strata"], "copies")
     return table.select("dimension", "item", "answer", "n", "total", share6("prop").alias("prop"))
@@ -184,10 +184,10 @@ def likert_summary(t: SurveyTables) -> DataFrame:
 
 def likert_overall(t: SurveyTables) -> DataFrame:
     """Concern items: share of each level among weighted complete cases."""
-    complete = analysis_base(t)
+    complete = counted_base(t)
     for c in CONCERNS:
         complete = complete.filter(F.col(c) != "Not stated")
-    kept = complete.withColumn("copies", copies("ind_weight")).select("copies", *CONCERNS)
+    kept = complete.withColumn("copies", copies("ind_weight") * F.col("times")).select("copies", *CONCERNS)
     long = kept.unpivot(["copies"], CONCERNS, "concern", "level")
     return _numbers(rating.likert(long, "concern", "level", weight="copies"))
 

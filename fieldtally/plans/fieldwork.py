@@ -164,6 +164,11 @@ def open_text_trigrams(t: SurveyTables) -> DataFrame:
     return text.most_common(text.trigram_counts(t.answers, "answer", parts=_parts(t)), "words", 30)
 
 
+def open_text_top_triples(t: SurveyTables) -> DataFrame:
+    """The same by bounds first: triples in hash buckets that can hold none of the thirty are never shuffled."""
+    return text.top_trigrams(t.answers, "answer", 30, parts=_parts(t))
+
+
 LIVE_ORDER = ["ts", "event_id"]
 LIVE_COLUMNS = ["ts", "event_id", "event_type", "value"]
 
@@ -213,5 +218,5 @@ QUERIES = [
     kpis, pending_by_community, communities, progress_table, submission_table, response_table, map_status, nonrespondents,
     missing_result, missing_info, interviews_by_interviewer, duration_of_interviews, sample_size, design_weights,
     systematic_sample, expand_by_weight, polygon_centroids, open_text_clean, open_text_words, open_text_vocabulary,
-    open_text_trigrams, refresh_latest, present_status_counts, stream_status_counts,
+    open_text_trigrams, open_text_top_triples, refresh_latest, present_status_counts, stream_status_counts,
 ]

@@ -175,6 +175,7 @@ class HouseholdSurvey:
         Worth it for a report of many tables. Without it each table links anew.
         """
         self.weighted = settle(self.weighted, "households")
+        self.linked = self.weighted
         self.households = repeated(self.weighted)
         self.described = self.households
         self.rated = settle(self.rated, "ratings")
@@ -184,12 +185,17 @@ class HouseholdSurvey:
     def _rated_weight(self) -> Column:
         return times(self.weight, "times")
 
+    @property
+    def _copies(self) -> Column:
+        """Whole copies all the equal heads of a row stand for."""
+        return copies(self.weight) * F.col("times")
+
     # Tables of the report.
 
     def single(self, *questions: str, weighted: bool = True, **options) -> DataFrame:
         """Banner of one or more single-answer questions."""
-        rows = self.households if weighted else self.described
-        return banner(rows, questions, self.dimensions, self.weight if weighted else None, **options)
+        rows = self.weighted if weighted else self.linked
+        return banner(rows, questions, self.dimensions, self.weight if weighted else None, times="times", **options)
 
     def single_printed(self, question: str, answers: Sequence[str]) -> DataFrame:
         """Banner of one question as printed."""
@@ -198,14 +204,14 @@ class HouseholdSurvey:
 
     def multi(self, prefix: str, weighted: bool = True, **options) -> DataFrame:
         """Banner of a multi-select question by its column prefix."""
-        rows = self.households if weighted else self.described
+        rows = self.weighted if weighted else self.linked
         columns = multiselect.option_columns(rows, prefix)
-        return multiselect.banner_multi(rows, columns, self.dimensions, self.weight if weighted else None, **options)
+        return multiselect.banner_multi(rows, columns, self.dimensions, self.weight if weighted else None, times="times", **options)
 
     def item_shares(self, labels: Mapping[str, str]) -> DataFrame:
         """Yes and No per option of a multi-select question, options named by ``labels``."""
-        weighted = self.households.filter(F.col(self.weight).isNotNull())
-        return multiselect.item_shares(weighted, list(labels), labels, copies(self.weight))
+        weighted = self.weighted.filter(F.col(self.weight).isNotNull())
+        return multiselect.item_shares(weighted, list(labels), labels, self._copies)
 
     def rating_table(self) -> DataFrame:
         """Distribution of every rated item."""
@@ -217,32 +223,31 @@ class HouseholdSurvey:
 
     def likert(self, group: str | None = None) -> DataFrame:
         """Share of every rating per item, overall or by one demographic."""
-        weight = copies(self.weight) * F.col("times")
-        return rating.likert(self.rated, self.rated_item, self.rate, group, weight)
+        return rating.likert(self.rated, self.rated_item, self.rate, group, self._copies)
 
     def item_likert(self, items: Mapping[str, str], not_stated: str, group: str | None = None) -> DataFrame:
         """Likert table of question columns (named by ``items``) over interviews that stated all of them."""
-        stated = self.households
+        stated = self.weighted
         for c in items:
             stated = stated.filter(F.col(c) != not_stated)
         keep = [group] if group else []
-        wide = stated.select(*keep, copies(self.weight).alias("copies"), *[F.col(c).alias(n) for c, n in items.items()])
+        wide = stated.select(*keep, self._copies.alias("copies"), *[F.col(c).alias(n) for c, n in items.items()])
         long = wide.unpivot([*keep, "copies"], list(items.values()), "concern", "level")
         return rating.likert(long, "concern", "level", group, "copies")
 
     def share_of(self, question: str, answer: str, rest: str = "No or DK", asked: Column | None = None) -> DataFrame:
         """One answer against all others, a missing answer among them, weighted."""
-        rows = self.households if asked is None else self.households.filter(asked)
-        rows = rows.withColumns({"__answer": keep_or_other(question, [answer], rest), "__copies": copies(self.weight)})
+        rows = self.weighted if asked is None else self.weighted.filter(asked)
+        rows = rows.withColumns({"__answer": keep_or_other(question, [answer], rest), "__copies": self._copies})
         return banner(rows, "__answer", [], "__copies").select("answer", "n", "total", "prop")
 
-    def describe_members(self, variables: Mapping[str, str], *cover: str) -> DataFrame:
+    def describe_members(self, variables: Mapping[str, str], *cover: str, levels: Mapping[str, int] | None = None) -> DataFrame:
         """Stacked one-way tables of all members."""
-        return tabulate.descriptives(self.all_members(*cover), variables)
+        return tabulate.descriptives(self.all_members(*cover), variables, levels=levels)
 
-    def describe_heads(self, variables: Mapping[str, str], *cover: str) -> DataFrame:
+    def describe_heads(self, variables: Mapping[str, str], *cover: str, levels: Mapping[str, int] | None = None) -> DataFrame:
         """Stacked weighted one-way tables of heads."""
-        return tabulate.descriptives(self.weighted_heads(*cover), variables, self.weight)
+        return tabulate.descriptives(self.weighted_heads(*cover), variables, self.weight, levels)
 
     def submissions(self, frame: DataFrame, by: Sequence[str], strict: bool = False) -> DataFrame:
         """Sampled, submitted and completed interviews per area."""

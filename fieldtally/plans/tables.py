@@ -23,6 +23,10 @@ MEMBER_VARIABLES = {
 }
 
 
+# Levels of the variables above: what their code lists and bands have.
+MEMBER_LEVELS = {"sex": 2, "age_group": 6, "ethnicity_group": 4, "ed_attainment": 4, "employed": 2, "workertype_group": 4}
+
+
 def freq_counts(t: SurveyTables) -> DataFrame:
     """Interviews by community and enumeration district."""
     counted = tabulate.frequency(t.households, ["community", "ed"])
@@ -32,7 +36,7 @@ def freq_counts(t: SurveyTables) -> DataFrame:
 def weighted_freq(t: SurveyTables) -> DataFrame:
     """Weighted description of household heads: whole counts and percent per variable."""
     table = tabulate.descriptives(
-        weighted_heads(t), {**MEMBER_VARIABLES, "community": "Community"}, weight="ind_weight"
+        weighted_heads(t), {**MEMBER_VARIABLES, "community": "Community"}, weight="ind_weight", levels=MEMBER_LEVELS
     )
     return table.select(
         "dimension",
@@ -52,7 +56,7 @@ def oneway_table(t: SurveyTables) -> DataFrame:
 
 def descriptives(t: SurveyTables) -> DataFrame:
     """All members by every variable of the report, one pass."""
-    table = tabulate.descriptives(demographics(t.roster), MEMBER_VARIABLES)
+    table = tabulate.descriptives(demographics(t.roster), MEMBER_VARIABLES, levels=MEMBER_LEVELS)
     return table.select("dimension", "item", "n", "total", percent_text("prop").alias("percent"))
 
 

@@ -544,6 +544,10 @@ SELECT interview_key, CAST(ind_weight AS DOUBLE) AS ind_weight FROM (SELECT inte
         "open_text_trigrams": f"""
 SELECT t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] AS words, count(*) AS n
 FROM (SELECT t, unnest(range(1, len(t) - 1)) AS i FROM (SELECT {tokens} AS t FROM documents))
+GROUP BY 1 ORDER BY n DESC, words LIMIT 30""",
+        "open_text_top_triples": f"""
+SELECT t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] AS words, count(*) AS n
+FROM (SELECT t, unnest(range(1, len(t) - 1)) AS i FROM (SELECT {tokens} AS t FROM documents))
 GROUP BY 1 ORDER BY n DESC, words LIMIT 30""",
         "refresh_latest": """
 SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_id, event_type, value FROM events
