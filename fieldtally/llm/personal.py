@@ -25,6 +25,8 @@ KINDS = ["email", "ip", "card", "phone"]
 
 # A pattern needs this many different known strings, and this share of them among all that say something about it.
 MIN_KNOWN, MIN_SHARE = 4, 0.9
+# Where unknown strings outnumber known ones, a string needs this many different contexts.
+MIN_CONTEXTS = 2
 # A string is taken for an identifier from this confidence up.
 MIN_SURE = 0.9
 # Unknown words and runs of number groups that can be identifiers: this long, with so many digits. Words like addresses need neither.
@@ -40,6 +42,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _GROUPS = re.compile(r"(?<![^\W_])\+?\(?[0-9]++(?:[\x20().-]++[0-9]++)++")
 # ... and words with something on both sides of an at sign, or of its usual disguises.
 _AT = re.compile(r"@|[\[({<]at[\])}>]", re.IGNORECASE)
+_AT_SPARK = r"(?i)@|[\[({<]at[\])}>]"
 _TOKEN = re.compile(r"\S+")
 _TRIM = "\"'()[]{}<>,;:!?.*#$%&|=/\\"
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -208,28 +211,49 @@ def seeds(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     return map_texts(marked, text, begin, added, [*keep, "__digest"]).withColumnRenamed("__digest", "digest")
 
 
+def shape(string: str = "string") -> Column:
+    """What a string looks like: what has known ones of another shape only is never found.
+
+    Words like addresses are one shape, and so are digits and groups of them
+    joined by the separators of cards and phones. Of all others every run of
+    letters is one letter and every run of digits one digit.
+    """
+    s = F.col(string)
+    fine = F.regexp_replace(F.regexp_replace(s, r"\p{L}+", "a"), r"\d+", "9")
+    groups = s.rlike(r"^[0-9\x20().+-]+$") & ~s.rlike(r"^[0-9]+(\.[0-9]+)+$")
+    return F.when(s.rlike(_AT_SPARK), "@").when(groups, "#").otherwise(fine)
+
+
 def sure_strings(places_: DataFrame) -> DataFrame:
     """(string, kind, sure) of unknown strings taken for identifiers, from ``places_`` (kind, string, before, after).
 
-    A pattern is the words before and after a place, or the two words
-    together, with the shape of the string in it. Each round scores the table of patterns and strings:
-    a pattern by its known strings of the kind it knows most of, against those known as another kind beside the same
-    word, whatever their shape (so a word as common as "the" spreads nothing), and
-    unknown ones that mostly stand elsewhere: of the contexts of such a string, more than half lie in no pattern that
-    knows enough of that kind. Other unknown strings say nothing about a pattern, however many there are.
-    A pattern is good as well if nearly all strings in it are known as one kind.
-    An unknown string is scored by 1 minus the product of its good patterns' doubts.
-    What is sure stays so and counts as known in the next round; the rounds end when one adds nothing. Ties of kinds go to the
-    kind listed first. All counts are of different strings over the whole
+    A pattern is the word before a place, the word after it, or both, each with
+    the shape of the string in it. Every round scores the table of patterns and strings:
+
+    - A pattern is of the kind it knows most different strings of (ties: the
+      kind listed first), and needs MIN_KNOWN of them. Against it speak strings
+      known as another kind beside the same words, whatever their shape (so a
+      word as common as "the" spreads nothing), and unknown strings that mostly
+      stand elsewhere: more than half of their contexts lie in no pattern that
+      knows enough of that kind. It is good if what it knows is MIN_SHARE of
+      that, or of all strings in it.
+    - A good pattern is crowded if it has more unknown strings than known ones:
+      what fills such a place need not be an identifier, so it counts only for
+      strings that stand in two different contexts of good patterns of that kind.
+    - An unknown string is scored by 1 minus the product of the doubts of its
+      good patterns that count, and is sure from MIN_SURE.
+
+    What is sure stays so and counts as known in the next round; the rounds end
+    when one adds nothing. All counts are of different strings over the whole
     table, reduced before they are shuffled.
     """
     spark = places_.sparkSession
-    shape = F.regexp_replace(F.regexp_replace("string", r"\p{L}+", "a"), r"\d+", "9")
+    form = shape()
     context = F.concat_ws("\u0001", "before", "after")
     around = F.array(
-        F.concat_ws("\u0001", F.lit("b"), "before", shape),
-        F.concat_ws("\u0001", F.lit("a"), "after", shape),
-        F.concat_ws("\u0001", F.lit("c"), "before", "after"),
+        F.concat_ws("\u0001", F.lit("b"), "before", form),
+        F.concat_ws("\u0001", F.lit("a"), "after", form),
+        F.concat_ws("\u0001", F.lit("c"), "before", "after", form),
     )
     contexts = places_.where("before <> '' OR after <> ''").groupBy("string", "before", "after").agg(F.min("kind").alias("kind"))
     edges = settle(contexts.select(F.explode(around).alias("pattern"), context.alias("context"), "string", "kind"), "pattern-edges")
@@ -244,17 +268,21 @@ def sure_strings(places_: DataFrame) -> DataFrame:
             names = spark.read.parquet(*paths).select(F.col("string").alias("__s"), F.col("kind").alias("__k"))
             known = edges.join(names, F.col("string") == F.col("__s"), "left").withColumn("kind", F.coalesce("kind", "__k")).drop("__s", "__k")
         held = known.where("kind IS NOT NULL").groupBy("pattern", "string").agg(F.min("kind").alias("kind"))
-        patterns = held.groupBy("pattern").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(f"n{k}") for k in kinds])
+        patterns = held.groupBy("pattern").agg(F.count("*").alias("held"), *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n{k}") for k in kinds])
         most = F.greatest(*[F.col(f"n{k}") for k in kinds])
         kind = reduce(lambda rest, k: F.when(F.col(f"n{k}") == F.col("most"), k).otherwise(rest), reversed(kinds), F.lit(None))
-        patterns = patterns.withColumn("most", most).where(F.col("most") >= MIN_KNOWN).select("pattern", kind.cast("int").alias("of"), "most")
-        word = F.when(F.col("pattern").startswith("c"), F.col("pattern")).otherwise(F.substring_index("pattern", "\u0001", 2))
+        patterns = patterns.withColumn("most", most).where(F.col("most") >= MIN_KNOWN)
+        patterns = patterns.select("pattern", kind.cast("int").alias("of"), "most", "held")
+        # The words of a pattern, without the shape.
+        parts = F.split("pattern", "\u0001")
+        word = F.array_join(F.slice(parts, 1, F.when(F.col("pattern").startswith("c"), 3).otherwise(2)), "\u0001")
         beside = held.select(word.alias("word"), "string", "kind").distinct().groupBy("word", "kind").agg(F.count("*").alias("known"))
         other = F.sum(F.when(F.col("kind") != F.col("of"), F.col("known")).otherwise(0))
-        able = patterns.withColumn("word", word).join(beside, "word").groupBy("pattern", "of", "most").agg(other.alias("other"))
+        able = patterns.withColumn("word", word).join(beside, "word").groupBy("pattern", "of", "most", "held").agg(other.alias("other"))
         able = able.join(sizes, "pattern").withColumn("plain", F.col("most") / F.col("strings"))
         able = able.where((F.col("most") >= MIN_SHARE * (F.col("most") + F.col("other"))) | (F.col("plain") >= MIN_SHARE))
-        able = settle(able.select("pattern", "of", "most", "other", "plain"), "pattern-able")
+        crowded = F.col("strings") - F.col("held") > F.col("most")
+        able = settle(able.select("pattern", "of", "most", "other", "plain", crowded.alias("crowded")), "pattern-able")
         left = unknown.join(spark.read.parquet(*paths), "string", "left_anti") if paths else unknown
         met = settle(left.drop("kind").join(able, "pattern"), "pattern-met")
         inside = met.groupBy("string", "of").agg(F.count_distinct("context").alias("inside"))
@@ -262,10 +290,13 @@ def sure_strings(places_: DataFrame) -> DataFrame:
         against = met.select("pattern", "of", "string").distinct().join(strange, ["string", "of"]).groupBy("pattern").agg(F.count("*").alias("against"))
         spoken = F.col("most") / (F.col("most") + F.col("other") + F.coalesce("against", F.lit(0)))
         good = able.join(against, "pattern", "left").withColumn("share", F.greatest(spoken, "plain")).where(F.col("share") >= MIN_SHARE)
-        # A share is never certain: what a pattern adds is shrunk by its support.
+        # A share is never certain.
         good = good.select("pattern", (1 - F.col("share") * 0.99).alias("doubt"))
-        scored = met.select("pattern", "of", "string").distinct().join(good, "pattern")
-        by_kind = scored.groupBy("string", "of").agg((1 - F.exp(F.sum(F.log("doubt")))).alias("sure"))
+        scored = met.join(good, "pattern")
+        seen = scored.groupBy("string", "of").agg(F.count_distinct("context").alias("seen"))
+        once = scored.select("pattern", "of", "string", "crowded", "doubt").distinct().join(seen, ["string", "of"])
+        counts = once.where(~F.col("crowded") | (F.col("seen") >= MIN_CONTEXTS))
+        by_kind = counts.groupBy("string", "of").agg((1 - F.exp(F.sum(F.log("doubt")))).alias("sure"))
         best = by_kind.groupBy("string").agg(F.max(F.struct("sure", (-F.col("of")).alias("k"))).alias("b"))
         sure = best.select("string", (-F.col("b.k")).alias("kind"), F.col("b.sure").alias("sure")).where(f"sure >= {MIN_SURE}")
         path = scratch_path(spark, "sure-strings")
@@ -296,7 +327,11 @@ def with_spans(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
     """Columns ``keep`` (all) with base and spans: (kind number, start, end) of the seeds, and of all personal data.
 
     Offsets are in code points, ends exclusive. Null and empty texts have no
-    spans. Columns called base or spans are replaced. The spans found by bootstrapping never meet a seed's.
+    spans, and an empty table gives no rows. Very long texts are read whole.
+    Equal texts have equal spans and count once as evidence; repeated rows stay.
+    A string that two kinds claim alike is of the kind listed first. Columns
+    called base or spans are replaced, others may have any name. The spans
+    found by bootstrapping never meet a seed's.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("base", "spans")]
     shield, named = shielded(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__read")), "__read")
@@ -331,7 +366,8 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span of personal data replaced by its kind in angle brackets.
 
     Where spans overlap, the first of them is replaced and the rest of the
-    others cut. Texts without a span, null ones included, stay as they are, and
+    others cut; of equal starts the shorter names it. An empty table stays one, a very
+    long text is masked whole. Texts without a span, null ones included, stay as they are, and
     so do all other columns, whatever their names.
     """
     seeded = settle(seeds(docs.select(F.col(f"`{text}`")), text, []), "personal-seeds")
