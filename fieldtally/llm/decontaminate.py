@@ -8,6 +8,7 @@ one pass whatever the number of items.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -17,10 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldtally.llm.tables import map_texts, shielded, table
+from fieldtally.session import settle
 
 WINDOW = 13
 # Bound of one automaton: about 70 MB in a task. More items make more automata, each read along all texts.
 BLOCK_WORDS = 100_000
+# Automata that one stage reads along the texts; what they found is stored before the next ones.
+CHAIN = 4
 # A text is cut into words a piece of about this many bytes at a time, so a very long one never lies there as a list.
 PIECE_BYTES = 1 << 20
 
@@ -125,61 +129,84 @@ class Automaton:
         self.items = []
         return self
 
+    def parts(self) -> tuple:
+        """What reading needs, in plain lists and dictionaries."""
+        return (self.next, self.link, self.length, self.ends, self.found, self.short, self.whole, self.shorter, self.window, self.least)
+
     def read(self, text: str | None) -> tuple[int, list[int], set]:
-        """Number of words, merged hit runs as [first, last, first, last ...] in words, and ids of the items found."""
-        follow, link, length, w, least = self.next, self.link, self.length, self.window, self.least
-        ends, found, short, whole, shorter = self.ends, self.found, self.short, self.whole, self.shorter
-        runs: list[int] = []
-        items: set = set()
-        state = matched = n = 0
-        for run in word_runs(text):
-            for i, word in enumerate(run, n):
+        """See ``read_along``."""
+        return read_along(self.parts(), text)
+
+
+def read_along(automaton: tuple, text: str | None) -> tuple[int, list[int], set]:
+    """Number of words, merged hit runs as [first, last, first, last ...] in words, and ids of the items found."""
+    follow, link, length, ends, found, short, whole, shorter, w, least = automaton
+    runs: list[int] = []
+    items: set = set()
+    state = matched = n = 0
+    for run in word_runs(text):
+        for i, word in enumerate(run, n):
+            to = follow[state].get(word)
+            while to is None and state:
+                state = link[state]
+                matched = length[state]
                 to = follow[state].get(word)
-                while to is None and state:
-                    state = link[state]
-                    matched = length[state]
-                    to = follow[state].get(word)
-                if to is None:
-                    continue
-                state = to
-                matched += 1
-                if matched < least:
-                    continue
-                size = 0
-                if matched >= w:
-                    size = w
-                    items.update(found[ends[state]])
-                if short[state]:
-                    at = state
-                    while at >= 0:
-                        for k, item_id in whole[at]:
-                            if k <= matched:
-                                size = max(size, k)
-                                items.add(item_id)
-                        at = shorter[at]
-                if size:
-                    first = i - size + 1
-                    while runs and first <= runs[-1] + 1:
-                        first = min(first, runs[-2])
-                        del runs[-2:]
-                    runs += (first, i)
-            n += len(run)
-        return n, runs, items
-
-
-def automata(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Automaton]:
-    """Automata over all of ``items`` (item_id, text), each over at most ``block_words`` words or one item.
-
-    The items come to the driver one after the other, never all at once.
+            if to is None:
+                continue
+            state = to
+            matched += 1
+            if matched < least:
+                continue
+            size = 0
+            if matched >= w:
+                size = w
+                items.update(found[ends[state]])
+            if short[state]:
+                at = state
+                while at >= 0:
+                    for k, item_id in whole[at]:
+                        if k <= matched:
+                            size = max(size, k)
+                            items.add(item_id)
+                    at = shorter[at]
+            if size:
+                first = i - size + 1
+                while runs and first <= runs[-1] + 1:
+                    first = min(first, runs[-2])
+                    del runs[-2:]
+                runs += (first, i)
+        n += len(run)
+    return n, runs, items
+
+
+def automata(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(words, block): automata over all of ``items`` (item_id, text), each over at most ``block_words`` words or one item.
+
+    Tasks build and store them, in a form that needs no class of this package;
+    the driver counts words and sees no item.
     """
-    block = Automaton(window)
-    for row in items.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        item = [w for run in word_runs(row[1]) for w in run]
-        if block.n_words and block.n_words + len(item) > block_words:
-            yield block.close()
-            block = Automaton(window)
-        block.add(row[0], item)
-    yield block.close()
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(block: Automaton) -> pa.RecordBatch:
+            made = pickle.dumps(block.close().parts(), pickle.HIGHEST_PROTOCOL)
+            return pa.RecordBatch.from_arrays([pa.array([block.n_words]), pa.array([made], pa.large_binary())], names=["words", "block"])
+
+        block = Automaton(window)
+        for batch in batches:
+            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                item = [w for run in word_runs(text) for w in run]
+                if block.n_words and block.n_words + len(item) > block_words:
+                    yield told(block)
+                    block = Automaton(window)
+                block.add(item_id, item)
+        if block.n_words:
+            yield told(block)
+
+    given = settle(items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")), "benchmark-items")
+    # A word takes two bytes at least, one of them the space.
+    size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = given.repartition(max(1, size // (8 * block_words)), F.xxhash64("item_id", "text"))
+    return settle(dealt.mapInArrow(build, "words long, block binary"), "benchmark-automata")
 
 
 FOUND = T.StructType(
@@ -207,16 +234,22 @@ def scan(
     makes hits but is not listed; an item given twice is listed once. A very
     long text is read as a stream of words. Ties do not arise. With ``cut`` the
     runs are taken out of the texts that are not contaminated. Columns of the
-    added names are replaced.
+    added names are replaced. Without items, or without documents, nothing is found.
     """
-    found, blocks = docs, automata(items, window, block_words)
-    block, first = next(blocks), True
-    while block:
-        following = next(blocks, None)
-        begin = _reading(docs.sparkSession.sparkContext.broadcast(block), not first, text if cut and following is None else None)
-        added = [*FOUND.fields, *([T.StructField(text, T.StringType())] if cut and following is None else [])]
+    found = docs
+    stored = automata(items, window, block_words)
+    n_blocks = stored.count()
+    for i, row in enumerate(stored.select("block").toLocalIterator()):
+        last = i == n_blocks - 1
+        begin = _reading(docs.sparkSession.sparkContext.broadcast(bytes(row[0])), i > 0, text if cut and last else None)
+        added = [*FOUND.fields, *([T.StructField(text, T.StringType())] if cut and last else [])]
         found = map_texts(found, text, begin, T.StructType(added), found.columns)
-        block, first = following, False
+        if not last and i % CHAIN == CHAIN - 1:
+            # A stage holds so many automata at a time.
+            found = settle(found, "benchmark-found")
+    if not n_blocks:
+        begin = _reading(docs.sparkSession.sparkContext.broadcast(pickle.dumps(Automaton(window).close().parts())), False, None)
+        found = map_texts(found, text, begin, FOUND, found.columns)
     return found.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in FOUND.names], *FOUND.names)
 
 
@@ -224,10 +257,10 @@ def _reading(shared, had: bool, cut: str | None):
     """Function of a task that reads one automaton along texts, on top of what earlier ones found; ``cut`` names the text to cut."""
 
     def begin():
-        read = shared.value.read
+        automaton = pickle.loads(shared.value)
 
         def work(texts: list, rows: pa.RecordBatch) -> dict:
-            found = [read(t) for t in texts]
+            found = [read_along(automaton, t) for t in texts]
             runs, items = [r[1] for r in found], [sorted(x for x in r[2] if x is not None) for r in found]
             if had:
                 runs = [joined(a, b) for a, b in zip(runs, rows.column("hit_runs").to_pylist(), strict=True)]

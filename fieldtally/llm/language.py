@@ -26,6 +26,8 @@ GRAMS = (1, 2, 3)
 # Training rows per language: bounds what the fit reads, not what is predicted.
 ROWS_PER_LANGUAGE = 1000
 HASHES = 1 << 30
+# Values of lang that are learned: bounds the model, and what a column full of other things can do to it.
+MAX_LANGUAGES = 512
 # Chosen training keys up to this number are sent to every task (16 bytes and a language name each), more are joined.
 BROADCAST_ROWS = 200_000
 # Up to this many languages the code has every way to split them, beyond it random splits.
@@ -36,7 +38,6 @@ AMBIGUOUS = 2.0
 # A text's n-grams are not independent witnesses: their number counts to this power.
 EVIDENCE = 0.5
 
-_LETTER = re.compile(r"[^\W\d_]")
 _STEPS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -83,18 +84,19 @@ def codewords(n: int, seed: int = 17) -> np.ndarray:
 def training_rows(docs: DataFrame, key: str = "doc_id", limit: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """(lang, text) of at most ``limit`` keys per language, the first by a hash of the key.
 
-    The keys are ranked without reading a text. Only hashes under a border that
-    lets about twice the limit through are ranked, so a language that fills the
-    table costs no more than another; the borders come from one count per
-    language.
+    Of very many values of ``lang`` the MAX_LANGUAGES most frequent are learned
+    (ties: the first in the alphabet). The keys are ranked without reading a
+    text. Only hashes under a border that lets about twice the limit through
+    are ranked, so a language that fills the table costs no more than another;
+    the borders come from one count per language.
     """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = known.groupBy("lang").count().collect()
-    if not counts:
-        return known.select("lang", "text")
+    counts = known.groupBy("lang").agg(F.count("*").alias("__rows")).orderBy(F.desc("__rows"), "lang").limit(MAX_LANGUAGES)
+    # At most so many rows, a name and a number each.
+    borders = F.broadcast(counts.select("lang", (F.lit(2 * limit * HASHES) / F.col("__rows")).cast("long").alias("__border")))
     low = F.pmod(F.col("__h"), F.lit(HASHES))
-    borders = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], 2 * limit * HASHES // r["count"] + 1)])
-    ranked = known.select("lang", F.xxhash64(key).alias("__h")).where(low < borders[F.col("lang")]).distinct()
+    ranked = known.select("lang", F.xxhash64(key).alias("__h")).join(borders, "lang").where(low <= F.col("__border"))
+    ranked = ranked.select("lang", "__h").distinct()
     place = F.row_number().over(Window.partitionBy("lang").orderBy(low, "__h"))
     first = ranked.withColumn("__n", place).where(f"__n <= {limit}")
     first = settle(first.drop("__n"), "language-rows")
@@ -127,11 +129,16 @@ def train(docs: DataFrame, key: str = "doc_id", limit: int = ROWS_PER_LANGUAGE)
             )
 
     counted = training_rows(docs, key, limit).mapInArrow(count, "lang string, bucket int, n double")
-    rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pydict()
-    languages = sorted(set(rows["lang"]))
+    rows = counted.groupBy("lang", "bucket").agg(F.round(F.sum("n"), 9).alias("n")).toArrow().combine_chunks()
+    if not rows.num_rows:
+        return Model([], codewords(0), np.zeros((BUCKETS, 1), np.float32))
+    # One number a row; the names stay in a dictionary.
+    named = rows.column("lang").combine_chunks().dictionary_encode()
+    names = named.dictionary.to_pylist()
+    languages = sorted(names)
+    number = np.array([languages.index(x) for x in names])
     share = np.full((len(languages), BUCKETS), SMOOTHING / BUCKETS)
-    number = {x: i for i, x in enumerate(languages)}
-    np.add.at(share, ([number[x] for x in rows["lang"]], rows["bucket"]), np.round(rows["n"], 9))
+    share[number[named.indices.to_numpy()], rows.column("bucket").to_numpy()] += rows.column("n").to_numpy()
     share /= share.sum(axis=1, keepdims=True)
     code = codewords(len(languages))
     weights = np.zeros((BUCKETS, code.shape[1]), np.float32)
@@ -153,25 +160,29 @@ def _chances(margins: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndar
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (all) with lang_pred, score (0 to 1) and ambiguous.
 
-    Null texts, texts without a letter and all texts under a model without
-    languages are ``und`` with score 0. Equal losses go to the language first
-    in the alphabet and are ambiguous. Whole texts are read, however long.
+    Null texts, texts without a letter (numerals of any kind are none) and all
+    texts under a model without languages are ``und`` with score 0. Equal
+    losses go to the language first in the alphabet and are ambiguous. Whole
+    texts are read, however long. Repeated rows are told alike, and an empty
+    table gives no rows. Columns called lang_pred, score or ambiguous are
+    replaced, others may have any name.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Lists and arrays only: what is broadcast must be readable where this package is not.
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.code, model.weights))
 
     def begin():
-        m = shared.value
+        languages, code, weights = shared.value
 
         def one(t: str | None) -> tuple[str, float, bool]:
-            if not m.languages or not t or not _LETTER.search(t):
+            if not languages or not t or not any(map(str.isalpha, t)):
                 return "und", 0.0, False
-            if len(m.languages) == 1:
-                return m.languages[0], 1.0, False
+            if len(languages) == 1:
+                return languages[0], 1.0, False
             grams = hashed(t)
-            margins = m.weights[grams].sum(axis=0, dtype=np.float64) * len(grams) ** (EVIDENCE - 1)
-            losses, shares = _chances(margins, m.code)
+            margins = weights[grams].sum(axis=0, dtype=np.float64) * len(grams) ** (EVIDENCE - 1)
+            losses, shares = _chances(margins, code)
             best, second = np.argsort(losses, kind="stable")[:2]
-            return m.languages[best], float(shares[best]), bool(losses[second] - losses[best] < AMBIGUOUS)
+            return languages[best], float(shares[best]), bool(losses[second] - losses[best] < AMBIGUOUS)
 
         def work(texts: list, _) -> dict:
             rows = [one(t) for t in texts]

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from itertools import pairwise
+from itertools import combinations, pairwise
 
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,12 @@ from fieldtally.llm.tables import map_texts, table
 
 # Wording of common notices. <...> stands for words that differ from project to project.
 TEMPLATES = {
+    "AGPL-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero
+General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more
+details.""",
+    "Apache-1.1": "The Apache Software License, Version 1.1",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
 compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
@@ -35,11 +42,25 @@ conditions and the following disclaimer. Redistributions in binary form must rep
 of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
     "BSD-3-Clause": """Neither the name of <holder> nor the names of its contributors may be used to endorse or promote products
 derived from this software without specific prior written permission.""",
+    "BSD-4-Clause": """All advertising materials mentioning features or use of this software must display the following
+acknowledgement: This product includes software developed by <holder>.""",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-NC-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC0-1.0": """To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to
 this software to the public domain worldwide. This software is distributed without any warranty.""",
+    "EPL-2.0": """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/""",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-notice": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General
+Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
 Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
@@ -47,19 +68,47 @@ version. This program is distributed in the hope that it will be useful, but WIT
 warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
 granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+    "LGPL-2.1-notice": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser
+General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any
+later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more
+details.""",
+    "LGPL-3.0-notice": """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser
+General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more
+details.""",
     "MIT": "Released under the MIT License.",
     "MIT-notice": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to
 use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom
 the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
 shall be included in all copies or substantial portions of the Software.""",
+    "MPL-1.1": """The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this
+file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
 distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
+purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+restrictions""",
     "reserved": "All rights reserved.",
 }
+# Identifiers that a line "SPDX-License-Identifier: ..." names.
+SPDX = [
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only",
+    "LGPL-3.0-or-later", "MIT", "MPL-1.1", "MPL-2.0", "Unlicense", "Zlib",
+]
+TEMPLATES |= {f"SPDX:{name}": f"SPDX-License-Identifier: {name}" for name in SPDX}
+# Words that make another license of the same wording. They and numbers may not differ at all.
+TELLING = frozenset(
+    """affero derivatives general lesser library nc nd nocommercial noderivatives noderivs noncommercial only sa sharealike
+    commercial advertising endorse public later""".split()
+)
 
-# A line can be part of a candidate block if it has one of these stems ...
+# A line can be part of a candidate block if it has one of these stems, or the longest word of a template that has none of them ...
 STEMS = re.compile(r"licen[cs]|copyright|warrant|permi(?:ssion|tted)|redistribut|public domain|rights reserved|endorse|spdx", re.IGNORECASE)
 # ... or this share of words that templates have, next to a line that is part.
 SHARE = 0.6
@@ -72,6 +121,13 @@ LEVEL = 3
 # Longer blocks are read in overlapping parts of this many words.
 PART_WORDS = 600
 
+# Templates that differ in no more different words than this are told apart by each of them.
+MAX_APART = 12
+_NUMBER = re.compile(r"v?[0-9]+(?:\.[0-9]+)*")
+# A small whole number may number a clause, unless it follows a word that versions follow.
+_MARKER = re.compile(r"[0-9]{1,2}")
+_VERSIONED = frozenset("version v license licence gpl lgpl agpl mpl epl apache cc by sa nc nd bsd international unported".split())
+_FOLLOWING = frozenset("only clause clear with".split())
 _WORD = re.compile(r"[^\W_]+(?:[.][0-9]+)*|<[a-z]+>")
 
 
@@ -86,6 +142,9 @@ class Templates:
     def __init__(self, templates: dict[str, str] = TEMPLATES):
         self.words = {name: [w for w, _, _ in worded(text)] for name, text in templates.items()}
         self.known = {w for words in self.words.values() for w in words}
+        # Every template must be able to make a block.
+        bare = [max((w for w in self.words[name] if not w.startswith("<")), key=lambda w: (len(w), w), default="") for name, text in templates.items() if not STEMS.search(text)]
+        self.stems = re.compile("|".join([STEMS.pattern, *(rf"\b{re.escape(w)}\b" for w in sorted(set(bare)) if w)]), re.IGNORECASE)
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False)
         self.given = {}
         self.worth = {}
@@ -98,9 +157,43 @@ class Templates:
             )
             # What the template saves on its own wording.
             self.worth[name] = max(1, len(self.plain.compress(raw)) - len(self.given[name].compress(raw)))
+        self.telling = self._telling()
         # Words that the longest place of a template can take, so that parts of a block overlap by a whole one.
         self.longest = max((int((1 + MAX_DIFFERENT) * len(w)) + 4 * sum(x.startswith("<") for x in w) for w in self.words.values()), default=0)
 
+    def _telling(self) -> dict[str, set[str]]:
+        """Words that may not differ, by template: numbers, TELLING, and those by which two alike templates differ."""
+        told = {name: {w for w in words if _NUMBER.fullmatch(w)} | TELLING for name, words in self.words.items()}
+        for a, b in combinations(self.words, 2):
+            one, two = self.words[a], self.words[b]
+            if 2 * len(set(one) & set(two)) < len(set(one) | set(two)):
+                continue
+            apart = Counter(one)
+            apart.subtract(Counter(two))
+            apart = {w for w, n in apart.items() if n and not w.startswith("<")}
+            if len(apart) <= MAX_APART:
+                told[a] |= apart
+                told[b] |= apart
+        return told
+
+    def _tells_apart(self, name: str, words: list[str], first: int, last: int) -> bool:
+        """Whether what differs between a template and a place has a word that may not."""
+        wanted, told = self.words[name], self.telling[name]
+        place = words[first : last + 1]
+        # Words next to the place belong to it where the template's own end is missing.
+        for tag, a1, a2, b1, b2 in SequenceMatcher(None, place, wanted, autojunk=False).get_opcodes():
+            if tag == "equal":
+                continue
+            if any(w in told for w in wanted[b1:b2]) or any(w in told for w in place[a1:a2]):
+                return True
+            open_place = any(w.startswith("<") for w in wanted[b1:b2])
+            for i in range(a1, a2):
+                if _NUMBER.fullmatch(place[i]) and not open_place and not (_MARKER.fullmatch(place[i]) and (i == 0 or place[i - 1] not in _VERSIONED)):
+                    return True
+        # An identifier that goes on is another one.
+        after = words[last + 1 : last + 3]
+        return name.startswith("SPDX:") and bool(after) and (after[0] in _FOLLOWING or after == ["or", "later"] or _NUMBER.fullmatch(after[0]) is not None)
+
     def ranked(self, words: list[str]) -> list[tuple[str, float]]:
         """Templates by the bytes they save on a block, as a share of what they save on themselves; ties by name."""
         raw = " ".join(words).encode()
@@ -129,7 +222,7 @@ class Templates:
             missing = len(wanted) - matched - open_words
             extra = last - first + 1 - matched - 4 * open_words
             different = max(0, missing) + max(0, extra)
-            if different <= allowed:
+            if different <= allowed and not self._tells_apart(name, words, first, last):
                 return first, last, different
             # A copy that differs too much may hide another one on either side.
             parts += [(low + center.a + center.size, high), (low, low + center.a)]
@@ -143,7 +236,7 @@ class Templates:
         lines, at = [], 0
         for line in text.split("\n"):
             if _WORD.search(line):
-                lines.append((at, at + len(line), bool(STEMS.search(line))))
+                lines.append((at, at + len(line), bool(self.stems.search(line))))
             at += len(line) + 1
         part = [stem for _, _, stem in lines]
 
@@ -175,7 +268,7 @@ class Templates:
 
     def found(self, text: str | None) -> tuple[int, list[tuple[str, int, int, int]]]:
         """Number of candidate blocks, and (template, start, end, words different) in them, each place with its best template."""
-        if not text or not STEMS.search(text):
+        if not text or not self.stems.search(text):
             return 0, []
         n, out = 0, []
         for block in self.blocks(text):
@@ -227,8 +320,12 @@ def scan(
 
     Null and empty texts have no blocks. Of templates that fit the same place
     the one with more words in common wins, then the one that saves more, then
-    the later name. Long blocks are read in overlapping parts, so nothing is
-    left unread. No row meets another, so copies and order do not matter.
+    the later name. Version numbers, the words of TELLING and those by which
+    two templates alike differ may not differ at all. Long blocks are read in
+    overlapping parts, so nothing is left unread, however long a text is. No
+    row meets another, so copies and order do not matter, and an empty table
+    gives no rows. Columns called n_blocks or licenses are replaced, others may
+    have any name.
     """
     given = TEMPLATES if templates is None else templates
 

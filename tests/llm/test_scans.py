@@ -272,6 +272,47 @@ def test_paragraphs_hide_no_notice():
     changed = licenses.TEMPLATES["MIT-notice"].replace("without restriction", "with no restriction").replace("to whom", "whom")
     assert [f[0] for f in ready.found(f"{cut}\n\n{changed}")[1]] == ["MIT-notice"]
 
+def test_no_template_is_mistaken_for_another(spark):
+    ready = licenses.Templates()
+    for name, text in licenses.TEMPLATES.items():
+        body = text.replace("<holder>", "the Example Project")
+        assert [f[0] for f in ready.found(f"some words\n{body}\nother words")[1]] == [name]
+        # Another version of the same wording is no license we know.
+        for m in re.finditer(r"\b[0-9]+(\.[0-9]+)?\b", body):
+            other = body[: m.start()] + "7.5" + body[m.end() :]
+            assert name not in [f[0] for f in ready.found(other)[1]], other
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("This work is licensed under the GNU General Public License, version 1.", []),
+        (licenses.TEMPLATES["GPL-3.0-notice"].replace("GNU General", "GNU Lesser General"), []),
+        (licenses.TEMPLATES["GPL-3.0-notice"].replace("GNU General", "GNU Affero General"), ["AGPL-3.0-notice"]),
+        (licenses.TEMPLATES["Apache-2.0-notice"].replace("2.0", "1.1"), []),
+        (licenses.TEMPLATES["MPL-2.0"].replace("v. 2.0", "v. 1.1"), []),
+        (licenses.TEMPLATES["CC-BY-SA-4.0"].replace("4.0", "3.0"), []),
+        (licenses.TEMPLATES["CC-BY-SA-4.0"].replace("Attribution", "Attribution-NonCommercial"), ["CC-BY-NC-SA-4.0"]),
+        ("// SPDX-License-Identifier: GPL-2.0-or-later", ["SPDX:GPL-2.0-or-later"]),
+        ("// SPDX-License-Identifier: GPL-4.0-or-later", []),
+        ("// SPDX-License-Identifier: MIT-0", []),
+        ("// SPDX-License-Identifier: Apache-2.0 OR MIT", ["SPDX:Apache-2.0"]),
+        # Clauses may be numbered, and a word that tells nothing may differ.
+        ("1. " + licenses.TEMPLATES["BSD-2-Clause"].replace("Redistributions", "\n2. Redistributions"), ["BSD-2-Clause"]),
+        (licenses.TEMPLATES["GPL-2.0-notice"].replace("hope that", "hope"), ["GPL-2.0-notice"]),
+    ],
+)
+def test_words_that_tell_may_not_differ(text, names):
+    assert [f[0] for f in licenses.Templates().found(f"x\n{text}\ny")[1]] == names
+
+def test_a_notice_without_a_stem_makes_a_block(spark):
+    given = {"plain": "Do what you like with this code as long as you remember us.", "usual": "Released under the Example License."}
+    long = "some words " * 60_000
+    docs = spark.createDataFrame([(1, "a\n" + given["plain"] + "\nb"), (2, long + "\n" + given["usual"] + "\n" + long), (3, "you like code")], "n_blocks long, text string")
+    got = {r.text: [x.license for x in r.licenses] for r in licenses.scan(docs, templates=given).collect()}
+    assert sorted(got.values()) == [[], ["plain"], ["usual"]]
+    assert licenses.scan(docs, templates=given).columns == ["text", "n_blocks", "licenses"]
+    assert licenses.Templates({}).found("a license")[1] == []
+
 def test_templates_behind_the_best_few_are_confirmed(monkeypatch):
     ready, text = licenses.Templates(), "Licensed under CC BY 4.0."
     first = [(n, 1.0) for n in sorted(licenses.TEMPLATES) if n not in ("CC-BY-4.0", "CC-BY-NC-4.0")][:licenses.RANKED]
