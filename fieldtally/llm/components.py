@@ -11,18 +11,33 @@ from fieldtally.session import release, scratch_path
 MAX_ROUNDS = 60
 
 
-def _large_star(links: DataFrame) -> DataFrame:
-    """Hang every larger neighbour of a node on the smallest one the node knows."""
+def _stored(df: DataFrame, label: str, held: list[str]) -> DataFrame:
+    """``df`` written to the shared folder; its path is put into ``held``."""
+    held.append(scratch_path(df.sparkSession, label))
+    df.write.parquet(held[-1])
+    return df.sparkSession.read.schema(df.schema).parquet(held[-1])
+
+
+def _large_star(links: DataFrame, held: list[str]) -> DataFrame:
+    """Hang every larger neighbour of a node on the smallest one the node knows.
+
+    The node a large component hangs on has most of the links. What each node
+    knows is stored before it is joined: of two plain shuffles adaptive
+    execution splits the one that is skewed, which it cannot where a side is
+    still being summed up.
+    """
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
+    least = _stored(least, "star-least", held)
     return (
         both.where("v > u").join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     ).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, held: list[str]) -> DataFrame:
     """Hang a node and its smaller neighbours on the smallest of them."""
     least = links.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m")
+    least = _stored(least, "star-least", held)
     hung = links.join(least, F.col("u") == F.col("n")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.union(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct()
 
@@ -40,10 +55,11 @@ def components(links: DataFrame) -> DataFrame:
     before, path = None, None
     for _ in range(MAX_ROUNDS):
         following = scratch_path(spark, "stars")
-        step = now if path is None else _small_star(_large_star(now))
+        held: list[str] = []
+        step = now if path is None else _small_star(_stored(_large_star(now, held), "large-stars", held), held)
         step.write.parquet(following)
-        if path is not None:
-            release(spark, path)
+        for done in held if path is None else [*held, path]:
+            release(spark, done)
         path, now = following, spark.read.parquet(following)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:

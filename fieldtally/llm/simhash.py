@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -203,7 +203,9 @@ def near_duplicates(
 
     A null or empty text has no words and fingerprint zero, which links like
     any other; a text of fewer words than a shingle is one shingle. Repeated
-    rows keep one row each.
+    rows keep one row each. Texts are read whole, however long; a bit that is
+    set in exactly half the shingles is 0. An empty table gives no rows. Only
+    key and text are read, so other columns may have any name.
     """
     prints = settle(fingerprints(docs, text, shingle, keep=[key]), "simhash-prints")
     placed = groups_of(prints, key, max_bits).withColumnRenamed("fp", "__fp")
@@ -222,14 +224,28 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", hex_digits().alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """Hash of a whole row; columns with a map in them, which has none, by their JSON."""
+
+    def mapped(kind: T.DataType) -> bool:
+        if isinstance(kind, T.ArrayType):
+            return mapped(kind.elementType)
+        if isinstance(kind, T.StructType):
+            return any(mapped(f.dataType) for f in kind.fields)
+        return isinstance(kind, T.MapType)
+
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`").alias("x"))) if mapped(f.dataType) else F.col(f"`{f.name}`") for f in docs.schema.fields])
+
+
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the least key.
 
     Of rows with the same least key one stays, by a hash of the row. Rows
-    without a key come after all others. ``docs`` is read again to pick the
-    rows, by key and row hash, so it should be stored.
+    without a key come after all others. Columns may be of any type and name;
+    an empty table stays one. ``docs`` is read again to pick the rows, by key
+    and row hash, so it should be stored.
     """
-    hashed = docs.withColumn("__hash", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    hashed = docs.withColumn("__hash", _row_hash(docs))
     prints = settle(fingerprints(hashed, text, SHINGLE, keep=[key, "__hash"]), "simhash-prints")
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__hash").alias("hash"))
     least = settle(prints.groupBy("fp").agg(F.min(order).alias("first")), "simhash-fps")

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldtally.llm.components import components
@@ -318,14 +318,19 @@ def counted(found: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def recall(reps: DataFrame, links: DataFrame, min_cosine: float = MIN_COSINE, queries: int = AUDIT_VECTORS) -> float:
-    """Share of the true links of some vectors (the first by a hash) that ``links`` (rep, links) has; 1 without any.
+    """Mean share of its true links that a vector has in ``links`` (rep, links), over vectors of every size of group; 1 without any.
 
+    Half of the queries are any vectors, those without a link among them, and
+    half are dealt out evenly over sizes of groups (one more for every doubling
+    of the links), the first by a hash, so that one heap does not stand for all.
     The queries are a fixed number and go to every task, where each is compared
-    with all vectors; tasks return one count per query. Half of the queries are
-    taken among vectors with a link, or an audit would hardly meet any.
+    with all vectors; tasks return one count per query. A vector counts once,
+    whatever the number of its links.
     """
-    linked = reps.join(links.where("links > 0").select("rep"), "rep", "left_semi")
-    some = [x.orderBy(F.xxhash64("rep")).limit(queries // 2) for x in (reps, linked)]
+    sized = links.where("links > 0").select("rep", F.floor(F.log2("links")).alias("__size"))
+    place = F.row_number().over(Window.partitionBy("__size").orderBy(F.xxhash64("rep")))
+    spread = sized.withColumn("__at", place).where(f"__at <= {queries // 2}").orderBy("__at", "__size").limit(queries // 2)
+    some = [reps.orderBy(F.xxhash64("rep")).limit(queries // 2), reps.join(spread.select("rep"), "rep", "left_semi")]
     chosen = some[0].union(some[1]).dropDuplicates(["rep"]).toArrow()
     if not chosen.num_rows:
         return 1.0
@@ -349,8 +354,16 @@ def recall(reps: DataFrame, links: DataFrame, min_cosine: float = MIN_COSINE, qu
         yield pa.RecordBatch.from_arrays([pa.array(list(true), pa.int64()), pa.array(list(true.values()), pa.int64())], names=["rep", "n"])
 
     true = reps.select("rep", "label", "dims", "embedding", "copies").mapInArrow(count, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
-    total, got = true.join(links, "rep", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("links", F.lit(0))))).first()
-    return got / total if total else 1.0
+    share = F.least("n", F.coalesce("links", F.lit(0))) / F.col("n")
+    shown = true.where("n > 0").join(links, "rep", "left").agg(F.avg(share)).first()[0]
+    return 1.0 if shown is None else float(shown)
+
+
+def exact_links(reps: DataFrame, target: int, min_cosine: float) -> DataFrame:
+    """All links, by comparing every label's vectors in blocks: the way out where the search falls short."""
+    members = reps.select(F.concat_ws(":", "label", "dims").alias("shard"), F.lit(True).alias("home"), "rep", "copies", "embedding")
+    sizes = members.groupBy("shard").agg(F.count("*").alias("n"))
+    return link(members, members.limit(0).select("rep", F.array("rep").alias("near")), sizes, BEAM, target, min_cosine)
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", min_cosine: float = MIN_COSINE, target: int = SHARD_ROWS) -> DataFrame:
@@ -360,7 +373,10 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", min_cosine: float =
     leaves out link with nothing. Copies of a vector are one class while links
     are sought, and count as linked to each other. A vector without key has
     component null. Repeated rows are vectors of their own. Columns of the
-    added names are replaced.
+    added names are replaced, others may have any name but the key's, embedding
+    and label. An empty table gives no rows; ties do not arise. The search is
+    audited, and if it still falls short with the widest beam all vectors of a
+    label are compared in blocks: ``audited_recall`` is under MIN_RECALL in no result.
     """
     vectors = vectors.drop("n_links", "component_id", "audited_recall")
     reps = settle(classes(vectors, key), "vector-classes")
@@ -375,6 +391,11 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", min_cosine: float =
         if shown >= MIN_RECALL:
             break
         beam *= 2
+    else:
+        # A wider beam cannot find pairs whose shards never meet.
+        found = settle(exact_links(reps, target, min_cosine), "vector-links")
+        links = settle(counted(found, reps), "vector-counts")
+        shown = recall(reps, links, min_cosine)
     joined = components(found.where("v IS NOT NULL"))
     named = reps.join(links, "rep", "left").join(joined, reps["rep"] == joined["node"], "left").select(
         F.col("label").alias("__label"),

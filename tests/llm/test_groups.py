@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import rows
@@ -50,6 +54,29 @@ def test_components_against_union_find(spark):
     assert components.components(links.limit(0)).count() == 0
 
 
+def test_the_hot_node_of_a_star_is_split(spark):
+    """A star's middle has all the links: the tasks of the joins share them."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "40KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        star = spark.range(1, 200_000, 1, 8).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"))
+        held = []
+        step = components._large_star(star, held)
+        step.collect()
+        assert "skew=true" in step._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert components.components(star).where("component <> 0").isEmpty()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 # SimHash
 
 
@@ -117,6 +144,13 @@ def test_one_of_each_group_stays(spark, odd):
     assert len(got) == len(set(root)) and got == sorted({(g is None, g) for g in groups})
 
 
+def test_one_of_each_group_stays_with_maps_beside(spark):
+    data = [(1, "a b c", {"x": 1}, [{"y": 2}]), (2, "a b c", None, None), (1, "a b c", {"x": 1}, [{"y": 2}]), (3, "quite other words", {}, [])]
+    frame = spark.createDataFrame(data, "doc_id long, text string, __hash map<string,int>, fp array<map<string,int>>").withColumnRenamed("__hash", "extra")
+    kept = simhash.keep_one(frame)
+    assert kept.dtypes == frame.dtypes and sorted((r.doc_id, r.extra) for r in kept.collect()) == [(1, {"x": 1}), (3, {})]
+
+
 # Embeddings
 
 
@@ -168,6 +202,31 @@ def test_vectors_against_all_pairs(spark, target):
     assert got[0].audited_recall >= 0.9
 
 
+def test_a_short_search_is_made_good_exactly(spark, monkeypatch):
+    """A search that finds next to nothing is not accepted: all pairs are compared then."""
+    data = heaps(7, 260)
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr(vectors, "MAX_DOUBLINGS", 0)
+    nothing = pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+    monkeypatch.setattr(vectors, "search", lambda rows, beam, min_cosine: nothing)
+    got = {r.vec_id: r for r in vectors.near_duplicates(frame, target=60).collect()}
+    counts, groups = plain_links(data)
+    assert [(got[k].n_links, got[k].component_id) for k, _, _ in data] == list(zip(counts, groups, strict=True))
+    assert got[0].audited_recall == 1.0
+
+
+def test_the_audit_weighs_vectors_and_not_links(spark):
+    """One heap found whole and thirty pairs lost: most vectors have lost their links."""
+    data = [(i, [1.0, 0.0001 * i, 0.0, 0.0], 1) for i in range(200)] + [(1000 + 2 * i + j, [0.0, *np.eye(3)[i % 3] * (1 + i // 3)], 100 + i) for i in range(30) for j in (0, 1)]
+    data = [(k, [float(x + 0.001 * (k % 2)) for x in v], lab) for k, v, lab in data]
+    reps = vectors.classes(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"))
+    true, _ = plain_links(data)
+    links = spark.createDataFrame([(k, n if k < 1000 else 0) for (k, _, _), n in zip(data, true, strict=True)], "rep long, links long")
+    assert vectors.recall(reps, links) < vectors.MIN_RECALL
+    whole = spark.createDataFrame([(k, n) for (k, _, _), n in zip(data, true, strict=True)], "rep long, links long")
+    assert vectors.recall(reps, whole) == 1.0
+
+
 def test_dense_shards_are_compared_in_blocks(spark):
     data = [(i, [1.0, 0.001 * i, 0.0], 1) for i in range(120)] + [(500 + i, [0.0, 1.0, 0.01 * i], 1) for i in range(9)]
     reps = vectors.classes(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"))
@@ -391,3 +450,38 @@ def test_stages_keep_columns_and_stand_odd_rows(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "benchmark", "personal", "pieces"]
+
+
+WITHOUT_PACKAGE = """
+import sys
+sys.path[:0] = {paths!r}
+import pyarrow as pa
+from fieldtally.llm import registry
+from fieldtally.session import build_session
+
+spark = build_session("alone", "local[4]", spark__sql__shuffle__partitions="4", spark__checkpoint__dir={shared!r})
+spark.sparkContext.setLogLevel("ERROR")
+
+def known(batches):
+    for batch in batches:
+        try:
+            import fieldtally
+            yield pa.RecordBatch.from_arrays([pa.array([1])], names=["n"])
+        except ModuleNotFoundError:
+            yield pa.RecordBatch.from_arrays([pa.array([0])], names=["n"])
+
+assert spark.range(4).mapInArrow(known, "n long").agg({{"n": "sum"}}).first()[0] == 0
+for name, query in registry.queries().items():
+    query(spark, {folder!r}).write.format("noop").mode("overwrite").save()
+    print("done", name, flush=True)
+"""
+
+
+def test_tasks_need_no_package(tmp_path, folder):
+    """Every query and the pipeline where workers cannot import this package: another folder, no PYTHONPATH."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    script = WITHOUT_PACKAGE.format(paths=[root], shared=str(tmp_path / "shared"), folder=folder)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    ran = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900, check=False)
+    assert ran.returncode == 0, ran.stderr[-3000:]
+    assert [x.split()[1] for x in ran.stdout.splitlines() if x.startswith("done")] == list(registry.queries())
