@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldtally.llm.tables import map_texts, shielded, table
-from fieldtally.session import settle
+from fieldtally.session import release, scratch_path, settle
 
 WINDOW = 13
 # Bound of one automaton: about 70 MB in a task. More items make more automata, each read along all texts.
@@ -205,7 +205,8 @@ def automata(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WO
     given = settle(items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")), "benchmark-items")
     # A word takes two bytes at least, one of them the space.
     size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = given.repartition(max(1, size // (8 * block_words)), F.xxhash64("item_id", "text"))
+    # A task makes one automaton at least, so there are no more tasks than the words fill automata.
+    dealt = given.repartition(max(1, size // (8 * block_words)))
     return settle(dealt.mapInArrow(build, "words long, block binary"), "benchmark-automata")
 
 
@@ -236,7 +237,7 @@ def scan(
     runs are taken out of the texts that are not contaminated. Columns of the
     added names are replaced. Without items, or without documents, nothing is found.
     """
-    found = docs
+    spark, found, before = docs.sparkSession, docs, None
     stored = automata(items, window, block_words)
     n_blocks = stored.count()
     for i, row in enumerate(stored.select("block").toLocalIterator()):
@@ -245,8 +246,13 @@ def scan(
         added = [*FOUND.fields, *([T.StructField(text, T.StringType())] if cut and last else [])]
         found = map_texts(found, text, begin, T.StructType(added), found.columns)
         if not last and i % CHAIN == CHAIN - 1:
-            # A stage holds so many automata at a time.
-            found = settle(found, "benchmark-found")
+            # A stage holds so many automata at a time; only what the last stage found is kept.
+            path = scratch_path(spark, "benchmark-found")
+            found.write.parquet(path)
+            found = spark.read.schema(found.schema).parquet(path)
+            if before:
+                release(spark, before)
+            before = path
     if not n_blocks:
         begin = _reading(docs.sparkSession.sparkContext.broadcast(pickle.dumps(Automaton(window).close().parts())), False, None)
         found = map_texts(found, text, begin, FOUND, found.columns)

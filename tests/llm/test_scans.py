@@ -68,6 +68,13 @@ def test_items_in_several_automata(spark, odd):
         if len(row.text or "") < 1000:
             assert (row.n_words, row.h, row.hit_items) == (want[0], want[1], [x for x in want[2] if x != "None"])
 
+def test_few_items_make_few_automata(spark):
+    """However many partitions a shuffle has, automata are as many as their words need."""
+    items = spark.createDataFrame([(i, f"w{i} w{i + 1} w{i + 2}") for i in range(300)], "item_id long, text string").repartition(50)
+    assert decontaminate.automata(items).count() == 1
+    words = [r.words for r in decontaminate.automata(items, block_words=90).collect()]
+    assert sum(words) == 900 and max(words) <= 90 and len(words) <= 30
+
 def test_decontamination_cuts_and_drops(spark):
     item = " ".join(f"w{i}" for i in range(20))
     docs = [(1, f"Before, {item}! after", "a"), (2, "clean words", "b"), (3, "x " * 600 + f"W0 {item[3:]}. tail", "c"), (4, None, "d")]
