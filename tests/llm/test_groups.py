@@ -316,6 +316,65 @@ def test_urls_odd_rows(spark):
     assert {r.verdict for r in urls.judge(pages, entries.limit(0)).collect()} == {"allow"}
 
 
+def plain_canonical(host, path):
+    host = re.sub(r"\.*(:(80|443)?)?$", "", host.split("@")[-1])
+    path = re.sub("%([0-9A-Fa-f]{2})", lambda m: c if re.fullmatch("[A-Za-z0-9._~-]", c := chr(int(m[1], 16))) else m[0].upper(), path)
+    done = []
+    for i, part in enumerate(path.split("/")):
+        if i == 0 or part not in (".", ".."):
+            done.append(part)
+        elif part == "..":
+            done[1:] = done[1:-1]
+    return host + re.sub("/$", "", "/".join(done)) if host else None
+
+
+def test_canonical_urls(spark):
+    rng = random.Random(5)
+    bits = ["a", "%41", "%2e", "%2F", "%e4", "%", "%4", "~", "/", "/", "/.", "/..", "/../", "/./", "..", ".a", "ß"]
+    hosts = ["h.org", "u:p@h.org", "u@h.org:80", "h.org:443", "h.org.", "h.org.:", "h.org:8080", "@", ":80", "a@b@h.org", ""]
+    data = [(rng.choice(hosts), "/" * rng.randint(0, 1) + "".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))) for _ in range(3000)]
+    data = [(h, p if p[:1] in ("/", "") else "/" + p) for h, p in data]
+    found = spark.createDataFrame(data, "host string, path string").select("host", "path", urls.canonical().alias("c")).collect()
+    assert [r.c for r in found] == [plain_canonical(r.host, r.path) for r in found]
+    same = ["http://h.org/a/b", "https://u@H.org:443/a/b/", "http://h.org./x/../a/./b?q", "http://h.org:80/%61/b#f", "http://h.org/a%2fb"]
+    pages = spark.createDataFrame(list(enumerate(same)), "page_id int, url string")
+    entries = urls.listed_entries(spark.createDataFrame([("h.org/a/b",)], "url string"))
+    assert [r.verdict for r in urls.judge(pages, entries).orderBy("page_id").collect()] == ["block"] * 4 + ["allow"]
+
+
+def test_urls_sql_has_the_same_canonical_form(spark, tmp_path):
+    import duckdb
+
+    host = "spam-farm.example.org"
+    odd = [f"http://{host}/a/%62", f"http://u@{host}:80/x/../a/b/", f"http://{host}./a/./b", f"http://{host}:81/a/b", f"http://{host}", "", "x"]
+    odd += [f"http://{host}.:443/%", f"http://{host}/%", f"http://{host}/a%2fb", f"http://{host}/a/..", f"http://{host}/%C3%a4", f"https://{host}:443/%c3%A4"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate([*odd, None])], "page_id long, url string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        want = sorted(db.execute(f"SELECT page_id, verdict FROM ({urls.OP8_SQL})").fetchall())
+    found = sorted((r.page_id, r.verdict) for r in urls.op8_urls(spark, str(tmp_path)).collect())
+    assert found == want and len({v for _, v in want}) == 2
+
+
+def test_rules_met_by_key_and_in_tasks_agree(spark, monkeypatch):
+    rng = random.Random(6)
+    hosts = ["com", "a.com", "b.a.com", "net", "x.net", "org"]
+    paths = ["/", "/e", "/en/", "/en/x", ""]
+    rules = [(rng.choice(("allow", "block")), rng.choice(hosts), rng.choice(paths)) for _ in range(14)]
+    made = [f"http://{rng.choice(['', 'c.', 'd.'])}{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', 'x', '/en'])}" for _ in range(300)]
+    pages = spark.createDataFrame([(i, u, "k", 7) for i, u in enumerate(made * 2)], "page_id int, url string, key string, __key_0 int")
+    entries = urls.rule_entries(spark, rules).unionByName(urls.listed_entries(pages.limit(5).select(F.expr("substr(url, 8)").alias("url"))))
+    got = urls.judge(pages, entries)
+    assert got.columns == ["page_id", "url", "key", "__key_0", "host", "path", "rule", "verdict"]
+    in_tasks = rows(got, *got.columns)
+    monkeypatch.setattr(urls, "BROADCAST_RULES", 0)
+    assert rows(urls.judge(pages, entries), *got.columns) == in_tasks
+    for page_id, _, _, _, host, path, rule, _ in in_tasks:
+        fit = [h + p for _, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert rule == (max(fit, key=lambda r: (len(r), r)) if fit else None), page_id
+
+
 def test_bloom_filter_keeps_every_key(spark):
     keys = spark.range(5000).selectExpr("concat('host', id, '/path') AS key")
     blocks, n = urls.bloom_blocks(keys, 5000)
