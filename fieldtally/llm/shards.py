@@ -1,9 +1,10 @@
 """Sharding along a Hilbert curve, so that every file holds a compact box of the metadata space.
 
-Everything is DataFrame expressions. Each dimension is put on a fine scale of
-``FINE`` steps between its least and greatest value, the counts per step make
-cells of about equal depth, and the curve runs through the cells. Rows are
-sorted by curve index and cut into runs whose row counts differ by one at most.
+Everything is DataFrame expressions. A value's cell is the share of rows below
+it, so cells hold equal numbers of rows whatever the scale and its outliers;
+the borders are found exactly, by counting on ever finer steps round them, and
+the curve runs through the cells. Rows are sorted by curve index and cut into
+runs whose row counts differ by one at most.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from fieldtally.session import settle
 
 N_SHARDS = 16
 BITS = 4  # cells per dimension: 2 ** BITS
-FINE = 4096  # steps a dimension is counted on before it is cut into cells: bounds all statistics
+FINE = 4096  # steps a dimension is counted on at a time: bounds what a count brings to the driver
+FILE_ROWS = 1 << 20  # rows of a file that write_shards writes, at most about so many
 
 
 @dataclass(frozen=True)
@@ -47,39 +49,91 @@ def log_value(name: str) -> Column:
     return F.expr(f"{digits} * 64 + (shiftright(shiftleft(`{name}`, 6), {digits} - 1) & 63)").cast("long")
 
 
-def _fine(name: str, least: int | None, most: int | None) -> Column:
-    """Step of a value between the ends of its dimension, from 1, in whole numbers; nulls are step 0."""
-    if least is None or most == least:
-        return F.expr(f"IF(`{name}` IS NULL, 0, 1)")
-    wide = f"(CAST(`{name}` AS DECIMAL(20,0)) - CAST('{least}' AS DECIMAL(20,0))) * {FINE - 2}"
-    return F.expr(f"IF(`{name}` IS NULL, 0, CAST({wide} div CAST('{most - least}' AS DECIMAL(20,0)) AS INT) + 1)")
+def _step(name: str, spans: list[tuple[int, int]], steps: int) -> Column:
+    """Which span a value is in and which of its ``steps`` equal steps, as one number; null outside all spans."""
+    whole = f"CAST(`{name}` AS DECIMAL(20,0))"
+    number = F.lit(None).cast("long")
+    for i, (least, most) in enumerate(spans):
+        within = f"CAST((({whole} - {least}BD) * {steps}) div {most - least + 1}BD AS BIGINT) + {i * steps}"
+        number = F.when(F.expr(f"`{name}` BETWEEN {least}L AND {most}L"), F.expr(within)).otherwise(number)
+    return number
+
+
+def _counted(df: DataFrame, spans: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int, int, int]]]:
+    """Per column the steps of its spans in order: span, rows, least and greatest value. At most FINE a column."""
+    cells = [
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("long").alias("value"), _step(c, s, FINE // len(s)).alias("step"))
+        for c, s in spans.items()
+    ]
+    steps = df.select(F.explode(F.array(*cells)).alias("x")).where("x.step IS NOT NULL").groupBy("x.column", "x.step")
+    found: dict[str, list] = {c: [] for c in spans}
+    for r in steps.agg(F.count("*").alias("n"), F.min("x.value").alias("least"), F.max("x.value").alias("most")).collect():
+        found[r["column"]].append((r["step"] // (FINE // len(spans[r["column"]])), r["n"], r["least"], r["most"], r["step"]))
+    return {c: [t[:4] for t in sorted(made, key=lambda t: t[4])] for c, made in found.items()}
+
+
+def quantile_borders(df: DataFrame, columns: list[str], cells: int) -> dict[str, dict[int, int]]:
+    """Per column and cell from 1 on, the least value with that share of all rows, cell / cells, or more below it.
+
+    Exact. Each round counts the rows of a step; a step of several values in
+    which a border lies is counted again on a scale between its own least and
+    greatest value, so an outlier costs a round and no precision. A round is
+    one pass over all columns that are not done; whole numbers of 64 bits take
+    eight at most. Nulls lie below all values.
+    """
+    ends = df.agg(F.count("*"), *[f(c) for c in columns for f in (F.count, F.min, F.max)]).first()
+    total = ends[0]
+    borders: dict[str, dict[int, int]] = {c: {} for c in columns}
+    # Open spans of a column: least and greatest value, rows below, the value after the span, borders in it.
+    opened = {}
+    for i, c in enumerate(columns):
+        n, least, most = ends[1 + 3 * i : 4 + 3 * i]
+        if n:
+            opened[c] = [(least, most, total - n, None, range(1, cells))]
+    while opened:
+        counted = _counted(df, {c: [s[:2] for s in spans] for c, spans in opened.items()})
+        further: dict[str, list] = {}
+        for c, spans in opened.items():
+            for i, (_, _, below, after, wanted) in enumerate(spans):
+                steps = [t[1:] for t in counted[c] if t[0] == i]
+                inside: dict[int, list[int]] = {}
+                for k in wanted:
+                    before = below
+                    for j, (n, least, _) in enumerate(steps):
+                        if before * cells >= k * total:
+                            borders[c][k] = least
+                            break
+                        if (before + n) * cells > k * total and steps[j][1] != steps[j][2]:
+                            inside.setdefault(j, []).append(k)
+                            break
+                        before += n
+                    else:
+                        if after is not None:
+                            borders[c][k] = after
+                for j, ks in inside.items():
+                    next_value = steps[j + 1][1] if j + 1 < len(steps) else after
+                    start = below + sum(n for n, _, _ in steps[:j])
+                    further.setdefault(c, []).append((*steps[j][1:], start, next_value, ks))
+        opened = further
+    return borders
 
 
 def with_cells(df: DataFrame, dimensions: list[Dimension], bits: int = BITS) -> DataFrame:
-    """``df`` with a column __cell_i per dimension: 0 to 2**bits - 1, of about equal row counts.
+    """``df`` with a column __cell_i per dimension: 2**bits times the share of rows with a smaller value, in whole numbers.
 
-    What comes to the driver is two numbers and at most 2**bits borders per
-    dimension, whatever the number of rows.
+    Nulls are in cell 0; equal values share a cell. What comes to the driver is
+    at most ``FINE`` counts per dimension and round, whatever the number of rows.
     """
-    df = df.withColumns({f"__value_{i}": d.value for i, d in enumerate(dimensions)})
+    df = df.withColumns({f"__value_{i}": d.value.cast("long") for i, d in enumerate(dimensions)})
     values = [f"__value_{i}" for i in range(len(dimensions))]
-    ends = df.agg(*[f(v) for v in values for f in (F.min, F.max)]).first()
-    steps = {f"__step_{i}": _fine(v, ends[2 * i], ends[2 * i + 1]) for i, v in enumerate(values)}
-    df = df.withColumns(steps).drop(*values)
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(c).alias("step")) for i, c in enumerate(steps)]))
-    counts = df.select(pairs.alias("x")).groupBy("x.dim", "x.step").count()
-    upto = counts.selectExpr(
-        "dim", "step", "sum(count) OVER (PARTITION BY dim ORDER BY step) - count AS before", "sum(count) OVER (PARTITION BY dim) AS n"
-    )
-    cell = F.expr(f"(before * {1 << bits}) div n").cast("int")
-    borders = upto.groupBy("dim", cell.alias("cell")).agg(F.min("step").alias("first")).collect()
+    borders = quantile_borders(df, values, 1 << bits)
     made = {}
-    for i, c in enumerate(steps):
+    for i, c in enumerate(values):
         number = F.lit(0)
-        for first, at in sorted((r["first"], r["cell"]) for r in borders if r["dim"] == i):
-            number = F.when(F.col(c) >= first, at).otherwise(number)
+        for cell, least in sorted(borders[c].items()):
+            number = F.when(F.col(c) >= F.lit(least).cast("long"), cell).otherwise(number)
         made[f"__cell_{i}"] = number
-    return df.withColumns(made).drop(*steps)
+    return df.withColumns(made).drop(*values)
 
 
 def with_curve(df: DataFrame, axes: list[str], bits: int = BITS, name: str = "curve") -> DataFrame:
@@ -150,7 +204,10 @@ def hilbert_shards(
     """``df`` with curve (index), shard and slot; ``ties`` order the rows of one cell.
 
     Nulls of a dimension sort before its values, a dimension of one value adds
-    nothing, repeated rows are rows of their own. ``df`` is a scan of stored
+    nothing, equal rows in ``ties`` follow their place in the files, repeated
+    rows are rows of their own, empty texts are values like others, an empty
+    table gives no rows. Columns called curve, shard or slot are replaced,
+    others of any name kept. ``df`` is a scan of stored
     files and should be narrow: join its result to the wide rows by their key and write them with
     ``write_shards``.
     """
@@ -159,10 +216,18 @@ def hilbert_shards(
     return shard_rows(curved, ["curve", *ties], n_shards)
 
 
-def write_shards(df: DataFrame, path: str) -> None:
-    """Write rows that have shard and slot as one folder per shard, in slot order."""
-    by = df.repartition("shard").sortWithinPartitions("shard", "slot")
-    by.write.mode("errorifexists").partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
+    """Write rows that have shard and slot as one folder per shard, in files that are runs of its slots.
+
+    Rows are dealt by shard and run of slots, about ``file_rows`` to a task, so
+    a shard of any size is written by as many tasks as it needs. Every file is
+    in slot order. The number of tasks comes from one count; an empty table
+    writes no files.
+    """
+    n = df.count()
+    if n:
+        df = df.repartitionByRange(-(-n // file_rows), "shard", "slot").sortWithinPartitions("shard", "slot")
+    df.write.mode("errorifexists").partitionBy("shard").parquet(path)
 
 
 def op10_hilbert(spark: SparkSession, folder: str) -> DataFrame:
@@ -229,14 +294,8 @@ _DIMS_SQL = {"lang": _text_value_sql("lang"), "source": _text_value_sql("source"
 _DIMS_SQL["size"] = "length(bin(size)) * 64 + (((size << 6) >> (length(bin(size)) - 1)) & 63)"
 _AXES = [f"x{i}" for i in range(len(_DIMS_SQL))]
 _VALUES = ", ".join(f"{v} AS v{i}" for i, v in enumerate(_DIMS_SQL.values()))
-_STEPS = ", ".join(
-    f"CASE WHEN v{i} IS NULL THEN 0 WHEN max(v{i}) OVER () = min(v{i}) OVER () THEN 1 ELSE CAST(((v{i} - min(v{i}) OVER ())::HUGEINT * {FINE - 2}) "
-    f"// (max(v{i}) OVER () - min(v{i}) OVER ()) AS INTEGER) + 1 END AS s{i}"
-    for i in range(len(_DIMS_SQL))
-)
 _CELLS = ", ".join(
-    f"c{i} AS (SELECT s{i}, CAST(((sum(n) OVER (ORDER BY s{i}) - n) * {1 << BITS}) // sum(n) OVER () AS INTEGER) AS x{i} "
-    f"FROM (SELECT s{i}, count(*) AS n FROM stepped GROUP BY 1))"
+    f"CASE WHEN v{i} IS NULL THEN 0 ELSE CAST(((rank() OVER (ORDER BY v{i} NULLS FIRST) - 1) * {1 << BITS}) // count(*) OVER () AS INTEGER) END AS x{i}"
     for i in range(len(_DIMS_SQL))
 )
 _CRC_POLYNOMIAL = 0xEDB88320
@@ -251,9 +310,7 @@ sized AS (
       lambda b: ('0x' || b)::BIGINT)), lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1])), 4294967295) AS BIGINT) AS text_crc32
   FROM documents, crc),
 valued AS (SELECT *, {_VALUES} FROM sized),
-stepped AS (SELECT *, {_STEPS} FROM valued),
-{_CELLS},
-celled AS (SELECT * FROM stepped {" ".join(f"JOIN c{i} USING (s{i})" for i in range(len(_DIMS_SQL)))}),
+celled AS (SELECT *, {_CELLS} FROM valued),
 curved AS ({_curve_sql("celled", _AXES)}),
 placed AS (SELECT *, row_number() OVER (ORDER BY curve, text_crc32, doc_id NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM curved)
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST((place * {N_SHARDS}) // n AS INTEGER) AS shard,

@@ -429,14 +429,63 @@ def test_shards_odd_rows(spark, tmp_path):
     assert registry.queries()["op10_hilbert"](spark, f"{tmp_path}/b").count() == 0
 
 
-def test_shards_prune_files(spark, folder, tmp_path):
+def test_quantile_borders_are_exact(spark):
+    rng = random.Random(8)
+    sets = [
+        [10**15, *range(2000)],
+        [-(2**63), 2**63 - 1, *[2**i for i in range(62)], *[-(2**i) for i in range(62)]] * 3,
+        [7] * 900 + [8] * 50 + list(range(100, 150)),
+        [None] * 300 + [5, 6] * 20,
+        [rng.randrange(40) ** 9 for _ in range(500)] + [None] * 31,
+        [3] * 11,
+        [None] * 4,
+        [],
+    ]
+    for values in sets:
+        df = spark.createDataFrame([(v,) for v in values], "v long")
+        found = shards.with_cells(df, [shards.Dimension("v", F.col("v"))]).select("v", "__cell_0").collect()
+        for v, cell in found:
+            below = sum(x is None or x < v for x in values) if v is not None else 0
+            assert cell == below * 16 // len(values), (v, cell)
+        assert len(found) == len(values)
+
+
+def test_an_outlier_leaves_its_dimension(spark):
+    data = [(i, f"site_{i % 200:03d}") for i in range(2000)] + [(10**15, "wiki")]
+    df = spark.createDataFrame(data, "doc_id long, source string")
+    celled = shards.with_cells(df, [shards.Dimension("doc_id", F.col("doc_id")), shards.Dimension("source", shards.text_value(df, "source"))])
+    assert celled.groupBy("__cell_0").count().agg(F.max("count")).first()[0] <= 126
+
+
+def test_shards_prune_files(spark, tmp_path):
+    """Files along the curve are left out by ranges of every dimension; files in the order of one prune by that alone."""
+    rng = random.Random(9)
+    data = [(i, rng.randrange(10**6), rng.randrange(10**6)) for i in range(16_000)]
+    spark.createDataFrame(data, "doc_id long, a long, b long").write.parquet(f"{tmp_path}/in")
+    df = spark.read.parquet(f"{tmp_path}/in")
+    placed = shards.hilbert_shards(df, [shards.Dimension(c, F.col(c)) for c in ("a", "b")], ["doc_id"], 64)
+    shards.write_shards(placed, f"{tmp_path}/out", 250)
+    back = spark.read.parquet(f"{tmp_path}/out").withColumn("file", F.input_file_name())
+    assert sorted(tuple(r) for r in back.select("doc_id", "a", "b").collect()) == data
+    files = [tuple(r) for r in back.groupBy("file", "shard").agg(*[f(c) for c in "ab" for f in (F.min, F.max)], F.count("*")).collect()]
+    assert len(files) >= 64 and max(f[-1] for f in files) <= 500
+
+    def read(column, low):
+        return sum(f[2 + 2 * column] <= low + 50_000 and f[3 + 2 * column] >= low for f in files) / len(files)
+
+    shares = [read(c, rng.randrange(950_000)) for c in (0, 1) for _ in range(40)]
+    # Sorted by doc_id every file spans both dimensions: a share of 1. A curve over two leaves about 1/8 + 1/16.
+    assert sum(shares) / len(shares) < 0.3 and max(shares) < 0.5
+
+
+def test_written_shards_are_runs_of_slots(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     placed = registry.queries()["op10_hilbert"](spark, folder).select("doc_id", "shard", "slot")
-    shards.write_shards(docs.join(placed, "doc_id"), f"{tmp_path}/out")
-    back = spark.read.parquet(f"{tmp_path}/out")
+    shards.write_shards(docs.join(placed, "doc_id"), f"{tmp_path}/out", 40)
+    back = spark.read.parquet(f"{tmp_path}/out").withColumn("file", F.input_file_name())
     assert back.count() == docs.count()
-    spread = back.groupBy("lang").agg(F.countDistinct("shard").alias("n")).collect()
-    assert min(r.n for r in spread) < 16
+    runs = back.groupBy("shard", "file").agg(F.min("slot").alias("low"), F.max("slot").alias("high"), F.count("*").alias("n")).collect()
+    assert all(r.high - r.low + 1 == r.n for r in runs) and len(runs) > 16
 
 
 # Pipeline
