@@ -179,8 +179,9 @@ def _word_at(text: str, at: int) -> str:
 
 
 def _context(word: str) -> str:
-    """A word as context: lower-cased, its digits masked, at most 32 characters of it."""
-    return re.sub(r"\d", "9", word[:32].lower())
+    """A word as context: lower-cased, numbers masked, at most 32 characters of it."""
+    # One digit after a letter is part of a name (line1, eth0); other digits are any number.
+    return re.sub(r"\d\d+|(?<![^\W\d_])\d", lambda m: "9" * len(m[0]), word[:32].lower())
 
 
 _SPAN = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
