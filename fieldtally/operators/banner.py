@@ -7,12 +7,13 @@ demographic, so a banner reads its source once however many demographics it has.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.operators.tabulate import by_dimension, weight_sum, wide, with_share
+from fieldtally.operators.weights import times as weighted_times
 
 KEYS = ["question", "dimension", "item", "answer"]
 
@@ -26,6 +27,42 @@ def as_answers(df: DataFrame, questions: Sequence[str], keep: Sequence[str]) ->
     return texts.unpivot(list(keep), list(questions), "question", "answer")
 
 
+def side_by_side(
+    df: DataFrame,
+    levels: Mapping[str, Sequence[str]],
+    by: Sequence[str],
+    weight: str | None = None,
+    times: str | None = None,
+    drop_null_answer: bool = True,
+) -> DataFrame:
+    """(by..., question, answer, n): the answers of every question summed side by side while the rows are reduced.
+
+    Rows are not multiplied by questions; only what is left of them, one row
+    per ``by`` group, is turned long. ``levels`` states all answers of each
+    question; an answer that is not among them is an error that names the
+    question. An answer that no row of a group gave has no row there.
+    """
+    w = F.lit(1) if weight is None else F.col(weight)
+    if times:
+        w = F.col(times) if weight is None else weighted_times(w, times)
+    # Where no row gave the answer the sum is NULL; a row without a weight gave it and adds nothing.
+    w = F.coalesce(w, F.lit(0))
+    sums, cells, unstated = [], [], []
+    for i, (q, stated) in enumerate(levels.items()):
+        text = F.col(q).cast("string")
+        for j, level in enumerate([*dict.fromkeys(stated), *([] if drop_null_answer else [None])]):
+            given = text.isNull() if level is None else text == level
+            sums.append(F.sum(F.when(given, w)).alias(f"s{i}_{j}"))
+            cells.append(F.struct(F.lit(q).alias("question"), F.lit(level).cast("string").alias("answer"), F.col(f"s{i}_{j}").alias("n")))
+        # A number, as a text here would have the rows sorted before they are summed.
+        sums.append(F.count_if(~text.isin(*stated)).alias(f"u{i}"))
+        message = F.concat(F.lit(f"answers to {q} that are not among its levels, rows: "), F.col(f"u{i}").cast("string"))
+        unstated.append(F.when(F.col(f"u{i}") > 0, F.raise_error(message).cast("boolean")))
+    sound = F.coalesce(*unstated, F.lit(True))
+    reduced = df.groupBy(*by).agg(*sums).withColumn("__cells", F.when(sound, F.array(*cells)))
+    return reduced.select(*by, F.explode("__cells").alias("__c")).select(*by, "__c.*").where("n IS NOT NULL")
+
+
 def banner(
     df: DataFrame,
     questions: str | Sequence[str],
@@ -36,6 +73,7 @@ def banner(
     total: bool = True,
     drop_null_item: bool = False,
     times: str | None = None,
+    levels: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """(question, dimension, item, answer, n, total, prop) for any number of questions.
 
@@ -43,14 +81,20 @@ def banner(
     the counts up before totals and shares are taken. Where a demographic is
     NULL its rows form an item of their own, unless ``drop_null_item`` leaves
     them out of that demographic; they stay in the Total. With ``times`` a row
-    counts as often as that column says, and no row is copied for it.
+    counts as often as that column says, and no row is copied for it. ``levels``
+    states all answers of every question, as a codebook does; the questions are
+    then summed side by side and no row is multiplied by them (see
+    ``side_by_side``), which is the way for reports of many questions.
     """
     qs = [questions] if isinstance(questions, str) else list(questions)
-    keep = list(dict.fromkeys([*dims, *(c for c in (weight, times) if c)]))
-    answers = as_answers(df, qs, keep)
-    if drop_null_answer:
-        answers = answers.filter(F.col("answer").isNotNull())
-    cells = answers.groupBy(*dims, "question", "answer").agg(weight_sum(weight, times).alias("n"))
+    if levels is not None:
+        cells = side_by_side(df, {q: levels[q] for q in qs}, dims, weight, times, drop_null_answer)
+    else:
+        keep = list(dict.fromkeys([*dims, *(c for c in (weight, times) if c)]))
+        answers = as_answers(df, qs, keep)
+        if drop_null_answer:
+            answers = answers.filter(F.col("answer").isNotNull())
+        cells = answers.groupBy(*dims, "question", "answer").agg(weight_sum(weight, times).alias("n"))
     laid_out = by_dimension(cells, dims, total)
     if drop_null_item:
         laid_out = laid_out.filter(F.col("item").isNotNull())

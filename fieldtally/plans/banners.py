@@ -11,8 +11,10 @@ from fieldtally.operators.tabulate import wide
 from fieldtally.operators.weights import copies, times
 from fieldtally.plans.base import DIMENSIONS, counted_base, rating_base, share6
 from fieldtally.plans.preparation import PRIORITIES
-from fieldtally.sources.views import CONCERNS, OPTIONS, SurveyTables
+from fieldtally.sources.views import CONCERN_LEVELS, CONCERNS, OPTIONS, SurveyTables
 
+# All answers of the questions of the report.
+LEVELS = {"q1": PRIORITIES, "q2": ["Yes", "No", "DK"], **{c: [*CONCERN_LEVELS, "Not stated"] for c in CONCERNS}}
 OPTION_LABELS = {"m__1": "Report", "m__2": "Scare", "m__3": "Hunt", "m__4": "No action", "m__5": "Other"}
 
 
@@ -35,7 +37,7 @@ def banner_missing(t: SurveyTables) -> DataFrame:
 
 def banner_report(t: SurveyTables) -> DataFrame:
     """All single-answer questions of the report from one pass over the interviews."""
-    table = banner.banner(counted_base(t), ["q1", "q2", *CONCERNS], DIMENSIONS, "ind_weight", times="times")
+    table = banner.banner(counted_base(t), list(LEVELS), DIMENSIONS, "ind_weight", times="times", levels=LEVELS)
     return _numbers(table, "n", "total")
 
 

@@ -200,6 +200,41 @@ def test_times_counts_like_copies(spark):
         assert rows(banner_multi(counted, ["m"], ["g"], weight, times="times")) == rows(banner_multi(rows_of, ["m"], ["g"], weight))
 
 
+def test_questions_side_by_side_count_like_rows(spark):
+    data = [
+        ("Yes", 1, "a", 2, "1.50000000"), ("No", None, "a", 3, "2.25000000"), ("Yes", 2, "b", 1, None), (None, 2, "b", 4, "1.00000000"),
+        ("Yes", 2, None, 1, "3.00000000"), ("DK", 1, "c", 1, None), (None, None, "d", 5, "0.00000000"), ("No", 3, "a", 2, "0.12345678"),
+    ]
+    df = spark.createDataFrame(data, "q string, r int, g string, times long, w string").withColumn("w", F.col("w").cast("decimal(18,8)"))
+    df = df.withColumn("d", F.col("w").cast("double"))
+    levels = {"q": ["Yes", "No", "DK", "Never given"], "r": ["1", "2", "3"]}
+    for weight in (None, "w", "d"):
+        for times in (None, "times"):
+            for more in ({}, {"drop_null_answer": False}, {"drop_null_item": True}, {"ceil_counts": True}, {"total": False}):
+                long = banner(df, ["q", "r"], ["g"], weight, times=times, **more)
+                packed = banner(df, ["q", "r"], ["g"], weight, times=times, levels=levels, **more)
+                assert packed.schema.simpleString() == long.schema.simpleString()
+                assert rows(packed) == rows(long)
+    assert rows(banner(df.limit(0), ["q", "r"], ["g"], "w", levels=levels)) == []
+    assert rows(banner(df, "q", [], "w", levels=levels)) == rows(banner(df, "q", [], "w"))
+
+
+def test_an_answer_outside_the_levels_is_an_error(spark):
+    df = spark.createDataFrame([("Yes", "a"), ("Perhaps", "a"), (None, "b")], "q string, g string")
+    with pytest.raises(Exception, match="answers to q that are not among its levels, rows: 1"):
+        banner(df, "q", ["g"], levels={"q": ["Yes", "No"]}).collect()
+
+
+def test_many_questions_multiply_no_rows(spark, folder):
+    """Eighty-eight questions: rows reach the sums as they are, and few leave a task."""
+    plan = physical(catalog.queries()["banner_report"](spark, folder))
+    below = plan[plan.rindex("partial_sum(CASE WHEN (q1") :]
+    assert "Expand" not in below and "Generate" not in below and "SortAggregate" not in plan
+    questions = {f"q{i}": ["a", "b", "c", "d"] for i in range(88)}
+    df = spark.range(20000).select((F.col("id") % 3).cast("string").alias("g"), *[F.element_at(F.array(*map(F.lit, "abcd")), ((F.col("id") * (i + 1)) % 4 + 1).cast("int")).alias(q) for i, q in enumerate(questions)])
+    assert rows(banner(df, list(questions), ["g"], levels=questions)) == rows(banner(df, list(questions), ["g"]))
+
+
 @pytest.mark.parametrize("name", ["banner_single", "banner_report", "banner_unweighted", "banner_multi", "multi_unweighted", "yes_share", "multi_item_share", "likert_overall"])
 def test_banners_copy_no_rows(name, spark, folder):
     plan = physical(catalog.queries()[name](spark, folder))
