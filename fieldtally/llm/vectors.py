@@ -2,16 +2,18 @@
 
 Vectors of a label are dealt into overlapping cluster shards of bounded size.
 Each shard builds a pruned neighbour graph, the adjacency lists of a vector
-from all its shards are united, and every vector is looked up in its home
-shard: a greedy search from the shard's medoid, then an expansion over all that
-lies in range. Every pair is verified in double precision, and the recall of
-the search is audited against brute force before the result is accepted.
+from all its shards are united, and every vector is looked up: a greedy search
+from the medoid of its home shard, then an expansion over all that lies in
+range, which follows the united lists out of the shard. Every pair is verified
+in double precision, and the recall of the search is audited against brute
+force before the result is accepted.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +33,11 @@ NEAR_CANDIDATES, NEAR, FAR, ALPHA = 48, 16, 8, 1.2
 BEAM = 16
 # Audit: vectors compared with all others, the recall asked for, and how often the beam is doubled for it.
 AUDIT_VECTORS, MIN_RECALL, MAX_DOUBLINGS = 200, 0.95, 3
+# Pairs a vector may have to look at outside its shard, on average; where there are more, blocks are compared.
+CROSSINGS = 16
 
 FOUND = "u long, v long, n long"
+LISTS = "rep long, near array<struct<rep: long, close: boolean>>"
 
 
 def classes(vectors: DataFrame, key: str = "vec_id") -> DataFrame:
@@ -166,8 +171,13 @@ def _pruned(i: int, order: np.ndarray, near: np.ndarray, keep: int) -> list[int]
     return out
 
 
-def build(rows: pa.Table) -> pa.Table:
-    """Adjacency lists (rep, near) of one shard: pruned near and far neighbours, and who points here."""
+def build(rows: pa.Table, min_cosine: float) -> pa.Table:
+    """Adjacency lists (rep, near) of one shard: pruned near and far neighbours, and who points here.
+
+    A neighbour is close if it is within twice the angle of ``min_cosine``: all
+    that is in range of one point lies so, so a walk that stays in range needs
+    no other edge.
+    """
     vectors = _matrix(rows.column("embedding")).astype(np.float32)
     n = len(vectors)
     near = vectors @ vectors.T
@@ -182,7 +192,13 @@ def build(rows: pa.Table) -> pa.Table:
                 lists[i].add(j)
                 lists[j].add(i)
     reps = rows.column("rep").to_numpy()
-    return pa.table({"rep": pa.array(reps), "near": pa.array([reps[sorted(x)].tolist() for x in lists], pa.list_(pa.int64()))})
+    ends = np.cumsum([0, *map(len, lists)])
+    there = np.array([j for x in lists for j in sorted(x)], np.int64)
+    here = np.repeat(np.arange(n), np.diff(ends))
+    # A little room, as these products are in single precision.
+    close = near[here, there] >= 2 * min_cosine**2 - 1 - 1e-5
+    told = pa.StructArray.from_arrays([pa.array(reps[there], pa.int64()), pa.array(close)], names=["rep", "close"])
+    return pa.table({"rep": pa.array(reps), "near": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), told)})
 
 
 def _greedy(q: np.ndarray, vectors: np.ndarray, lists: list[np.ndarray], start: int, seen: np.ndarray, beam: int) -> list[int]:
@@ -206,14 +222,27 @@ def _greedy(q: np.ndarray, vectors: np.ndarray, lists: list[np.ndarray], start:
 
 
 def search(rows: pa.Table, beam: int, min_cosine: float) -> pa.Table:
-    """Links of one shard's home vectors, found over the united lists: see ``_told``."""
+    """Links of one shard's home vectors, found over the united lists: see ``_told``.
+
+    Close neighbours of what is in range that are in other shards are told as
+    (u, v, -2), to be looked at there; a shard with more than CROSSINGS of them
+    a vector says so with one row (null, null, -3) and tells none.
+    """
     vectors = _matrix(rows.column("embedding"))
     reps = rows.column("rep").to_numpy()
-    place = {r: i for i, r in enumerate(reps.tolist())}
-    lists = [np.array([place[r] for r in x if r in place], np.int64) for x in rows.column("near").to_pylist()]
+    united = rows.column("near").combine_chunks()
+    entry, ends = united.values.field("rep").to_numpy(zero_copy_only=False), united.offsets.to_numpy()
+    order = np.argsort(reps, kind="stable")
+    at = order[np.minimum(np.searchsorted(reps[order], entry), len(reps) - 1)]
+    inner, close = reps[at] == entry, united.values.field("close").to_numpy(zero_copy_only=False).astype(bool)
+    spans = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    lists = [at[x][inner[x]] for x in spans]
+    outer = [entry[x][~inner[x] & close[x]] for x in spans]
     home = rows.column("home").to_numpy().astype(bool)
     medoid = int((vectors @ vectors.mean(axis=0)).argmax())
     us, vs = [], []
+    crossing: list[tuple[int, np.ndarray]] = []
+    room = CROSSINGS * len(reps)
     for i in np.flatnonzero(home):
         q = vectors[i]
         seen = np.zeros(len(vectors), bool)
@@ -230,12 +259,23 @@ def search(rows: pa.Table, beam: int, min_cosine: float) -> pa.Table:
             tried[new] = True
             frontier = new[vectors[new] @ q >= min_cosine]
             inside[frontier] = True
+        inside[i] = True
+        if room >= 0:
+            away = [outer[j] for j in np.flatnonzero(inside) if len(outer[j])]
+            if away:
+                crossing.append((int(reps[i]), np.unique(np.concatenate(away))))
+                room -= len(crossing[-1][1])
         inside[i] = False
         found = np.flatnonzero(inside)
         us.append(np.full(len(found), i))
         vs.append(found)
     u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-    return _told(u, v, reps, home, rows.column("copies").to_numpy())
+    told = _told(u, v, reps, home, rows.column("copies").to_numpy())
+    if room < 0:
+        return pa.concat_tables([told, pa.table({"u": [None], "v": [None], "n": [-3]}, schema=told.schema)])
+    u = np.repeat([i for i, _ in crossing], [len(x) for _, x in crossing]).astype(np.int64)
+    v = np.concatenate([x for _, x in crossing]) if crossing else u
+    return pa.concat_tables([told, pa.table({"u": u, "v": v, "n": np.full(len(u), -2)}, schema=told.schema)])
 
 
 def block(rows: pa.Table, min_cosine: float) -> pa.Table:
@@ -281,9 +321,13 @@ def _told(u: np.ndarray, v: np.ndarray, reps: np.ndarray, home: np.ndarray, copi
     return pa.table({"u": pa.array(us, pa.int64()), "v": vs, "n": pa.array(ns, pa.int64())})
 
 
-def united_lists(members: DataFrame) -> DataFrame:
+def united_lists(members: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     """(rep, near): the adjacency lists of every shard, united per vector; at most a few shards hold one."""
-    built = members.select("shard", "rep", "embedding").groupBy("shard").applyInArrow(build, "rep long, near array<long>")
+
+    def building(rows: pa.Table) -> pa.Table:
+        return build(rows, min_cosine)
+
+    built = members.select("shard", "rep", "embedding").groupBy("shard").applyInArrow(building, LISTS)
     return built.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
 
@@ -308,6 +352,48 @@ def link(members: DataFrame, lists: DataFrame, dense: DataFrame, beam: int, targ
     return searched.unionByName(blocks)
 
 
+def crossed(found: DataFrame, members: DataFrame, lists: DataFrame, most: int, min_cosine: float) -> DataFrame | None:
+    """``found`` with what the search reaches in other shards in place of the (u, v, -2) it has to look at there.
+
+    A pair that is in range leads on to the close neighbours of either end, until
+    nothing new is met. Pairs at home in one shard are left to that shard. None
+    if a round has more than ``most`` pairs: then blocks are cheaper.
+    """
+
+    def verify(batches):
+        for batch in batches:
+            dims = pc.list_value_length(batch.column("a")).to_numpy()
+            for n in np.unique(dims):
+                part = batch.take(pa.array(np.flatnonzero(dims == n)))
+                cosine = np.einsum("ij,ij->i", _matrix(part.column("a")), _matrix(part.column("b")))
+                yield part.select(["u", "v"]).filter(pa.array(cosine >= min_cosine))
+
+    def unordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
+
+    told = found.where("n <= -2").agg(F.min("n")).first()[0]
+    links = found.where("n >= -1")
+    if told is None:
+        return links
+    if told == -3:
+        return None
+    at_home = members.where("home")
+    ends = [at_home.select(F.col("rep").alias(k), F.col("shard").alias(f"{k}_shard"), F.col("embedding").alias(e)) for k, e in (("u", "a"), ("v", "b"))]
+    asked = settle(unordered(found.where("n = -2")), "vector-crossings")
+    tried = asked
+    while (n := asked.count()) > 0:
+        if n > most:
+            return None
+        pairs = asked.join(ends[0], "u").join(ends[1], "v").where("u_shard <> v_shard").select("u", "v", "a", "b")
+        met = settle(pairs.mapInArrow(verify, "u long, v long"), "vector-crossed")
+        links = links.union(met.select("u", "v", F.lit(-1).cast("long")))
+        ways = met.union(met.select("v", "u")).withColumnRenamed("v", "rep").join(lists, "rep")
+        on = ways.select("u", F.explode(F.filter("near", lambda x: x["close"])).alias("x")).select("u", F.col("x.rep").alias("v"))
+        asked = settle(unordered(on).join(tried, ["u", "v"], "left_anti"), "vector-crossings")
+        tried = tried.union(asked)
+    return links
+
+
 def counted(found: DataFrame, reps: DataFrame) -> DataFrame:
     """(rep, links): vectors linked to each class, its own copies left out."""
     own = found.where("v IS NULL").groupBy("u").agg(F.sum("n").alias("n"))
@@ -375,24 +461,28 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", min_cosine: float =
     component null. Repeated rows are vectors of their own. Columns of the
     added names are replaced, others may have any name but the key's, embedding
     and label. An empty table gives no rows; ties do not arise. The search is
-    audited, and if it still falls short with the widest beam all vectors of a
-    label are compared in blocks: ``audited_recall`` is under MIN_RECALL in no result.
+    audited, and if it still falls short with the widest beam, or meets too many
+    pairs outside the shards, all vectors of a label are compared in blocks: ``audited_recall`` is under MIN_RECALL in no result.
     """
     vectors = vectors.drop("n_links", "component_id", "audited_recall")
     reps = settle(classes(vectors, key), "vector-classes")
     members = settle(shards(reps, target), "vector-shards")
     dense = settle(members.groupBy("shard").agg(F.count("*").alias("n")).where(f"n > {2 * target}"), "vector-dense")
-    lists = settle(united_lists(members.join(dense, "shard", "left_anti")), "vector-lists")
+    lists = settle(united_lists(members.join(dense, "shard", "left_anti"), min_cosine), "vector-lists")
+    most = CROSSINGS * reps.count()
     beam, shown = BEAM, 0.0
     for _ in range(MAX_DOUBLINGS + 1):
-        found = settle(link(members, lists, dense, beam, target, min_cosine), "vector-links")
+        searched = settle(link(members, lists, dense, beam, target, min_cosine), "vector-links")
+        found = crossed(searched, members, lists, most, min_cosine)
+        if found is None:
+            break
         links = settle(counted(found, reps), "vector-counts")
         shown = recall(reps, links, min_cosine)
         if shown >= MIN_RECALL:
             break
         beam *= 2
-    else:
-        # A wider beam cannot find pairs whose shards never meet.
+    if shown < MIN_RECALL:
+        # A wider beam cannot find pairs whose shards never meet, and a heap over many shards has too many pairs to list.
         found = settle(exact_links(reps, target, min_cosine), "vector-links")
         links = settle(counted(found, reps), "vector-counts")
         shown = recall(reps, links, min_cosine)

@@ -240,6 +240,42 @@ def test_dense_shards_are_compared_in_blocks(spark):
     assert [named.get(k, k) for k, _, _ in data] == groups
 
 
+def two_shards(spark):
+    """Two heaps in range, one vector of the first a guest in the second's shard, and a chain of a third shard behind it."""
+    data = [(i, [1.0, 0.001 * i, 0.0], 1) for i in range(1, 9)] + [(20 + i, [1.0, 0.05 + 0.04 * i, 0.0], 1) for i in range(8)]
+    data += [(40, [0.0, 1.0, 0.0], 1), (41, [0.0, 0.0, 1.0], 1)]
+    reps = vectors.classes(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"))
+    home = F.when(F.col("rep") < 20, "a").when(F.col("rep") < 24, "b").otherwise("c")
+    members = reps.select(home.alias("shard"), F.lit(True).alias("home"), "rep", "copies", "embedding")
+    guests = members.where("rep IN (8, 23)").withColumns({"shard": F.when(F.col("rep") == 8, "b").otherwise("c"), "home": F.lit(False)})
+    return data, reps, members.union(guests)
+
+
+def test_the_search_leaves_the_shard(spark):
+    data, reps, members = two_shards(spark)
+    dense = spark.createDataFrame([], "shard string, n long")
+    lists = vectors.united_lists(members)
+    inside = vectors.link(members, lists, dense, 16, 25, 0.98)
+    counts, _ = plain_links(data)
+    want = {k: c for (k, _, _), c in zip(data, counts, strict=True) if c}
+    short = dict(vectors.counted(inside, reps).collect())
+    assert sum(short.values()) < sum(want.values())
+    found = vectors.crossed(inside, members, lists, 1000, 0.98)
+    assert dict(vectors.counted(found, reps).collect()) == want
+    # Nothing is cut where there is too much to look at: the caller compares blocks.
+    assert vectors.crossed(inside, members, lists, 3, 0.98) is None
+
+
+def test_too_many_crossings_are_compared_in_blocks(spark, monkeypatch):
+    data, reps, members = two_shards(spark)
+    monkeypatch.setattr(vectors, "CROSSINGS", 0)
+    monkeypatch.setattr(vectors, "shards", lambda reps, target: members)
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in vectors.near_duplicates(frame).collect()}
+    counts, groups = plain_links(data)
+    assert [(got[k].n_links, got[k].component_id) for k, _, _ in data] == list(zip(counts, groups, strict=True))
+
+
 def test_vectors_query_against_all_pairs(spark, folder):
     data = [tuple(r) for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     counts, groups = plain_links(data)
