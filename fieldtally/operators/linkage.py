@@ -43,6 +43,23 @@ def attach_matching(left: DataFrame, right: DataFrame, keys: Sequence[str], null
     return joined.drop(*[f"__{k}" for k in keys])
 
 
+def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose keys are all there, and those a plain equality never matches."""
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    return df.filter(whole), df.filter(~whole)
+
+
+def _sides(one: DataFrame, many: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every key once with ``__sides``: 1 only in ``one``, 2 only in ``many``, 3 in both."""
+    tagged = one.select(*keys, F.lit(1).alias("__side")).unionByName(many.select(*keys, F.lit(2).alias("__side")))
+    return tagged.groupBy(*keys).agg(F.bit_or("__side").alias("__sides"))
+
+
+def _filled(df: DataFrame, sides: DataFrame, lacking: int, keys: Sequence[str]) -> DataFrame:
+    """``df`` and an empty row for each key it lacks."""
+    return df.unionByName(sides.filter(F.col("__sides") == lacking).select(*keys), allowMissingColumns=True)
+
+
 def attach_many(one: DataFrame, many: DataFrame, keys: Sequence[str], null_safe: bool = False) -> DataFrame:
     """Left join to a side with any number of rows per key.
 
@@ -74,11 +91,14 @@ def repeated(df: DataFrame, name: str = "times") -> DataFrame:
 def full_outer(one: DataFrame, many: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All rows of both sides, matched where the key is equal; ``many`` may repeat keys.
 
-    Composed like ``attach_many``, since a full join cannot split a skewed key.
+    An inner join of filled sides, since a full join cannot split a skewed key.
     """
-    present = _aligned(one.select(*keys).distinct(), keys)
-    only_many = many.join(present, _match(keys, False), "left_anti")
-    return attach_many(one, many, keys).unionByName(only_many, allowMissingColumns=True)
+    (one, keyless_one), (many, keyless_many) = _keyed(one, keys), _keyed(many, keys)
+    sides = _sides(one, many, keys)
+    joined = attach_matching(_filled(one, sides, 2, keys), _filled(many, sides, 1, keys), keys)
+    for keyless in (keyless_one, keyless_many):
+        joined = joined.unionByName(keyless, allowMissingColumns=True)
+    return joined
 
 
 def keep_listed(df: DataFrame, key: str, listed: DataFrame, listed_key: str | None = None) -> DataFrame:

@@ -130,6 +130,16 @@ def test_full_outer_is_a_full_join(sides):
     assert rows(linkage.full_outer(one, many, ["key"])) == rows(one.join(many, "key", "full"))
 
 
+@pytest.mark.parametrize("name, how", [("attach_many", "left"), ("full_outer", "full")])
+@pytest.mark.parametrize("kept", ["one and many", "one", "many"])
+def test_joins_of_repeated_and_missing_keys(spark, name, how, kept):
+    one = [(1, "a", "x"), (1, "a", "y"), (1, None, "z"), (None, None, "z"), (2, "a", "x"), (2, "a", "x"), (None, "b", None)]
+    many = [(1, "a", 1), (1, "a", 1), (1, None, 2), (None, None, 3), (3, "a", 4), (3, "a", None), (None, "b", 5)]
+    one = spark.createDataFrame(one if "one" in kept else [], "k int, l string, head string")
+    many = spark.createDataFrame(many if "many" in kept else [], "k int, l string, member int")
+    assert rows(getattr(linkage, name)(one, many, ["k", "l"])) == rows(one.join(many, ["k", "l"], how))
+
+
 def test_duplicates_are_all_rows_of_repeated_keys(sides):
     _, many = sides
     counted = many.withColumn("dupe_count", F.count("*").over(Window.partitionBy("key"))).filter("dupe_count > 1")

@@ -135,6 +135,13 @@ def test_hot_roster_key_is_split(no_broadcast):
             spark.conf.set(k, v)
 
 
+@pytest.mark.parametrize("name", ["full_roster"])
+def test_roster_joins_sort_each_side_once(name, no_broadcast, folder):
+    """No side is sorted again for an anti-join, whose memory a task would hold beside the join's."""
+    plan = physical(QUERIES[name](no_broadcast, folder))
+    assert plan.count("SortMergeJoin") == 1 and plan.count("Sort [") == 2
+
+
 def test_wide_table_needs_no_pass_for_its_columns(spark, folder):
     plan = physical(QUERIES["crosstab"](spark, folder))
     assert plan.count("orders.parquet") == 1
