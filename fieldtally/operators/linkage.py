@@ -63,17 +63,18 @@ def _filled(df: DataFrame, sides: DataFrame, lacking: int, keys: Sequence[str])
 def attach_many(one: DataFrame, many: DataFrame, keys: Sequence[str], null_safe: bool = False) -> DataFrame:
     """Left join to a side with any number of rows per key.
 
-    The same rows as a plain left join, written as the matches plus the rows
-    without a match. In a left join Spark cannot split the right side, so a key
-    holding a large part of a roster would end in one task; as an inner join it
-    is split. The second part needs only the distinct keys of the right side,
-    which are reduced before they are shuffled. Both parts are spread by the
-    key, so a further join on it needs no shuffle of their union.
+    The same rows as a plain left join. In that Spark cannot split the right
+    side, so a key holding a large part of a roster would end in one task; as an
+    inner join it is split. So the right side gets an empty row for each key of
+    the left one that it lacks. Those are found by an aggregate over the keys
+    alone, which are reduced before they are shuffled, and rows of either side
+    are sorted once and not again for an anti-join.
     """
-    matched = attach_matching(one, many, keys, null_safe)
-    present = _aligned(many.select(*keys).distinct(), keys)
-    unmatched = one.join(present, _match(keys, null_safe), "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+    if null_safe:
+        return attach_matching(one, _filled(many, _sides(one, many, keys), 1, keys), keys, null_safe)
+    (one, keyless), (many, _) = _keyed(one, keys), _keyed(many, keys)
+    joined = attach_matching(one, _filled(many, _sides(one, many, keys), 1, keys), keys)
+    return joined.unionByName(keyless, allowMissingColumns=True)
 
 
 def counted(df: DataFrame, name: str = "times") -> DataFrame:
@@ -91,7 +92,7 @@ def repeated(df: DataFrame, name: str = "times") -> DataFrame:
 def full_outer(one: DataFrame, many: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All rows of both sides, matched where the key is equal; ``many`` may repeat keys.
 
-    An inner join of filled sides, since a full join cannot split a skewed key.
+    An inner join of filled sides like ``attach_many``, since a full join cannot split a skewed key.
     """
     (one, keyless_one), (many, keyless_many) = _keyed(one, keys), _keyed(many, keys)
     sides = _sides(one, many, keys)

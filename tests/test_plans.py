@@ -135,7 +135,7 @@ def test_hot_roster_key_is_split(no_broadcast):
             spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("name", ["full_roster"])
+@pytest.mark.parametrize("name", ["cover_to_roster", "full_roster"])
 def test_roster_joins_sort_each_side_once(name, no_broadcast, folder):
     """No side is sorted again for an anti-join, whose memory a task would hold beside the join's."""
     plan = physical(QUERIES[name](no_broadcast, folder))
