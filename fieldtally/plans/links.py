@@ -28,6 +28,7 @@ def cover_to_roster(t: SurveyTables) -> DataFrame:
     members = t.roster.select(
         "interview_key", F.col("rel").cast("bigint").alias("rel"), F.col("age").cast("bigint").alias("age")
     )
+    t.spread("orders", "lineitem")
     return linkage.attach_many(cover, members, ["interview_key"])
 
 
@@ -35,6 +36,7 @@ def full_roster(t: SurveyTables) -> DataFrame:
     """All interviews and all members, matched where possible."""
     cover = t.interviews.select("interview_key", "result")
     members = t.roster.select("interview_key", F.col("rel").cast("bigint").alias("rel"))
+    t.spread("orders", "lineitem")
     return linkage.full_outer(cover, members, ["interview_key"])
 
 

@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldtally.session import spread
+
 RESULTS = {1: "Completed", 2: "Partial", 3: "Refused"}
 CONCERN_LEVELS = ["Very concerned", "Concerned", "Neutral", "Not concerned"]
 ETHNIC_GROUPS = ["Mestizo/Hispanic/Latino", "Creole", "Mennonite", "Garifuna", "Maya"]
@@ -48,6 +50,11 @@ class SurveyTables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, *names: str) -> SurveyTables:
+        """The same, with shuffles that start with partitions enough for the named tables."""
+        spread(self.spark, *[f"{self.folder}/{name}.parquet" for name in names])
+        return self
+
     @cached_property
     def interviews(self) -> DataFrame:
         """One row per interview, answers included."""

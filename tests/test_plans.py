@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from fieldtally import session
 from fieldtally.operators import linkage, tabulate
 from fieldtally.plans import catalog
 from fieldtally.plans.base import DIMENSIONS, analysis_base
@@ -142,6 +144,20 @@ def test_roster_joins_sort_each_side_once(name, no_broadcast, folder):
     assert plan.count("SortMergeJoin") == 1 and plan.count("Sort [") == 2
 
 
+@pytest.mark.parametrize("name", ["cover_to_roster", "full_roster"])
+def test_roster_joins_have_partitions_by_the_size_of_the_tables(name, no_broadcast, folder, monkeypatch):
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    few = re.findall(r"hashpartitioning\(interview_key#\d+L, (\d+)\)", physical(QUERIES[name](no_broadcast, folder)))
+    monkeypatch.setattr(session, "PARTITION_BYTES", 5000)
+    try:
+        plan = physical(QUERIES[name](no_broadcast, folder))
+        files = sum(os.path.getsize(f"{folder}/{t}.parquet") for t in ("orders", "lineitem"))
+        many = re.findall(r"hashpartitioning\(interview_key#\d+L, (\d+)\)", plan)
+        assert set(few) == {"8"} and set(many) == {str(-(-files // 5000))} and len(many) == len(few)
+    finally:
+        no_broadcast.conf.unset(initial)
+
+
 def test_wide_table_needs_no_pass_for_its_columns(spark, folder):
     plan = physical(QUERIES["crosstab"](spark, folder))
     assert plan.count("orders.parquet") == 1
