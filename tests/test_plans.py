@@ -158,6 +158,22 @@ def test_roster_joins_have_partitions_by_the_size_of_the_tables(name, no_broadca
         no_broadcast.conf.unset(initial)
 
 
+@pytest.mark.parametrize("most", ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"])
+def test_large_tables_lower_the_bytes_of_a_task(spark, folder, monkeypatch, most):
+    names = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
+    old = {name: spark.conf.get(name) for name in names}
+    try:
+        session.spread(spark, f"{folder}/lineitem.parquet")
+        assert spark.conf.get(most) == old[most]
+        for limit in (10_000, 20_000):
+            monkeypatch.setattr(session, "TASK_BYTES", limit)
+            session.spread(spark, f"{folder}/lineitem.parquet")
+            assert spark.conf.get(most) == "10000"
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+
+
 def test_wide_table_needs_no_pass_for_its_columns(spark, folder):
     plan = physical(QUERIES["crosstab"](spark, folder))
     assert plan.count("orders.parquet") == 1
